@@ -135,23 +135,25 @@ def decode_ids(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...
     return map_columns(encoded.select(*keep, "ids"), make, f"{schema}, text binary")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: both operators on each text, in one pass."""
+def round_trip(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """``keep``, n_tokens, ids_sha256, decoded_sha256 and on request ids: both operators on each text, in one pass."""
     text_batches(docs.sparkSession)
 
     def make() -> Callable[..., list[list]]:
         encoding, encode = _encoder(path)
         name = [str(i) for i in range(encoding.n_vocab)]
 
-        def digest(ids: list, texts: list) -> list[list]:
-            every = [encode(t or "") for t in texts]
-            return [
-                ids,
+        def digest(*columns: list) -> list[list]:
+            every = [encode(t or "") for t in columns[-1]]
+            out = [
+                *columns[:-1],
                 [len(x) for x in every],
                 [hashlib.sha256(",".join([name[i] for i in x]).encode()).hexdigest() for x in every],
                 [hashlib.sha256(decode_tree(encoding, x)).hexdigest() for x in every],
             ]
+            return [*out, every] if with_ids else out
 
         return digest
 
-    return map_columns(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep)
+    return map_columns(docs.select(*keep, "text"), make, schema + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
