@@ -75,13 +75,29 @@ def rules(title: Column, summary: Column, content: Column, min_chars: int = MIN_
     }
 
 
-#: Topics whose titles pass every rule but obituary and length, and titles rejected first, in the planned variant.
-POLICY = [r"\bbudget\b", r"\blegislat(ure|ion|ive)\b", r"\bschool board\b", r"\bselectboard\b", r"\bcity council\b", r"\btown meeting\b", r"\belection\b", r"\bhousing\b", r"\bhealth ?care\b", r"\bclimate\b", r"\btax(es)?\b", r"\bpolic(y|ies)\b", r"\bgovernor\b", r"\bzoning\b"]
+# Fixed values of the planned variant: what passes every rule but obituary and length, what is rejected first,
+# where the region's token counts, and what makes climate and sports stories policy.
+POLICY = [r"\b(bill|legislation|statute|law|act|resolution|amendment)\b", r"\b(legislature|senate|house|assembly|congress)\b", r"\b(committee|subcommittee|caucus)\b", r"\b(policy|regulation|ordinance|rule|directive)\b", r"\b(budget|appropriation|funding|grant|subsidy)\b", r"\b(governor|lieutenant governor|attorney general)\b", r"\b(mayor|selectboard|city council|town meeting)\b", r"\bclimate (policy|action|plan|legislation|bill)\b", r"\b(tax|taxation) (policy|reform|bill|proposal)\b", r"\b(zoning|land use|development) (policy|reform|ordinance)\b", r"\b(education|healthcare|housing|transportation) (policy|reform|bill)\b", r"\b(election|campaign|vote|referendum|ballot)\b", r"\b(hearing|testimony|debate|public comment)\b", r"\b(veto|override|passed|approved|rejected|signed into law)\b"]
+BLACKLIST = [r"^(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\'?s? weather\b", r"^weather (for|on) (today|tonight|tomorrow|this weekend)\b", r"^(today|tonight|tomorrow)\'?s? (high|low|temperature)\b", r"^(this week|this weekend) in (sports|entertainment|arts)\b", r"^what\'?s (on|happening) (this|tonight|today)\b", r"^(follow|like|subscribe|share) (us|our|me)\b", r"^(comment|weigh in|let us know|tell us) (below|what you think)\b"]
+OUTSIDE_CONTEXT = [r"\bnew hampshire\b", r"\bnh\s+(state|governor|legislature|senate|house)\b", r"\b(in|from|near)\s+nh\b", r"\bn\.h\.\b"]
+CLIMATE_POLICY = [r"\bclimate (policy|action|plan|legislation|bill|law)\b", r"\bcarbon (tax|pricing|market|trading|credit)\b", r"\bemissions? (reduction|target|cap|trading)\b", r"\bgreenhouse gas (reduction|policy|regulation)\b", r"\brenewable energy (policy|mandate|standard)\b"]
+SPORTS_POLICY = [r"\b(stadium|arena) (funding|budget|proposal|plan)\b", r"\bsports (betting|gambling|wagering) (bill|legislation|law)\b", r"\b(athletic|sports) (program|department) (budget|funding|grant)\b", r"\b(coach|athlete) (contract|salary) (approved|negotiated)\b"]
 
 
-def reject_reason(title: Column, summary: Column, content: Column, min_chars: int = MIN_CHARS, policy_whitelist: bool = False, blacklist: list[str] | None = None) -> Column:
-    """The first rule that rejects an article, or ``passed``; options turn on the planned whitelist and blacklist."""
+def planned_rules(title: Column, summary: Column, content: Column, min_chars: int = MIN_CHARS) -> dict[str, Column]:
+    """``rules`` with the region read in context, and climate and sports policy exempt."""
+    text = F.lower(F.concat(title, F.lit(" "), F.coalesce(summary, F.lit(""))))
     checked = rules(title, summary, content, min_chars)
+    inside = matches(text, r"\bvermont\b|\bvt\b")
+    checked["out_of_region"] = (matches(text, OUTSIDE_CONTEXT) | holds_any(text, OUTSIDE_CITIES)) & ~inside
+    checked["weather_alert"] = checked["weather_alert"] & ~matches(text, CLIMATE_POLICY)
+    checked["sports_game"] = checked["sports_game"] & ~matches(text, SPORTS_POLICY)
+    return checked
+
+
+def reject_reason(title: Column, summary: Column, content: Column, min_chars: int = MIN_CHARS, policy_whitelist: bool = False, blacklist: list[str] | None = None, in_context: bool = False) -> Column:
+    """The first rule that rejects an article, or ``passed``; options turn on the planned whitelist and blacklist."""
+    checked = (planned_rules if in_context else rules)(title, summary, content, min_chars)
     low = F.lower(title)
     reason = F.when(F.coalesce(title, F.lit("")) == "", "missing_title")
     if blacklist:
@@ -179,6 +195,21 @@ def f27(m: Model) -> DataFrame:
     return _titled(m).select("id", reason.alias("reason"))
 
 
+_SPORTS = f"(({_sql_match(_SQL_TEXT, SPORTS_WORDS)} AND {_sql_match(_SQL_TEXT, SCORE)}) OR {_sql_match(_SQL_TEXT, RECAP)} OR {_sql_match('lower(title)', SPORTS_TITLE)})"
+_WEATHER = f"({_sql_match(_SQL_TEXT, WEATHER)} OR {_sql_match('lower(title)', WEATHER_TITLE)})"
+
+
+@query("f28_context_rules", f"WITH {_TITLED} SELECT id, ({_sql_match(_SQL_TEXT, OUTSIDE_CONTEXT)} OR {_sql_match(_SQL_TEXT, OUTSIDE_CITIES)}) AND NOT {_sql_match(_SQL_TEXT, chr(92) + 'bvermont' + chr(92) + 'b|' + chr(92) + 'bvt' + chr(92) + 'b')} AS out_of_region, {_WEATHER} AND NOT {_sql_match(_SQL_TEXT, CLIMATE_POLICY)} AS weather_alert, {_SPORTS} AND NOT {_sql_match(_SQL_TEXT, SPORTS_POLICY)} AS sports_game FROM t")
+def f28(m: Model) -> DataFrame:
+    checked = planned_rules(F.col("title"), F.col("summary"), F.col("content"))
+    return _titled(m).select("id", *[checked[r].alias(r) for r in ("out_of_region", "weather_alert", "sports_game")])
+
+
+@query("f29_blacklist", f"WITH {_TITLED} SELECT id, {_sql_match('lower(title)', BLACKLIST)} AS blacklisted FROM t")
+def f29(m: Model) -> DataFrame:
+    return _titled(m).select("id", matches(F.lower("title"), BLACKLIST).alias("blacklisted"))
+
+
 @query("f07_region_keywords", f"WITH {_TITLED} SELECT id, {_sql_match(chr(108) + 'ower(title || chr(32) || chr(32) || substr(content, 1, 500))', REGION + [chr(92) + 'bthe' + chr(92) + 'b'])} AS related FROM t")
 def f07(m: Model) -> DataFrame:
     head = needs_region(F.col("title"), F.col("summary"), F.col("content")) | matches(F.lower(F.concat_ws(" ", "title", "summary", F.substring("content", 1, 500))), [r"\bthe\b"])

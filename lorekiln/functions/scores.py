@@ -9,7 +9,7 @@ from ..plans.proxy import Model, over
 from ..plans.registry import query
 
 #: Dollars for a million tokens (input, output) of each hosted model, and the share of articles arbitrated.
-RATES = {"claude": (3.0, 15.0), "gemini": (0.3, 2.5), "gpt": (2.5, 10.0)}
+RATES = {"claude": (3.0, 15.0), "gemini": (0.075, 0.3), "gpt": (0.15, 0.6)}
 ARBITRATION_SHARE = 0.30
 #: Budget caps in dollars and the shares of them at which a warning is due.
 MONTHLY_CAP, DAILY_CAP = 50.0, 10.0
@@ -133,11 +133,11 @@ def m07(m: Model) -> DataFrame:
     return m.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", s.alias("similarity"), *[c.alias(n) for n, c in flags.items()])
 
 
-@query("m08_article_cost", "SELECT o_orderkey, round((o_totalprice * 3.0 + o_custkey * 15.0) / 1e6 + (o_totalprice * 0.3 + o_custkey * 2.5) / 1e6 + 0.30 * (o_totalprice * 2.5 + o_custkey * 10.0) / 1e6, 6) AS cost FROM orders")
+@query("m08_article_cost", "SELECT o_orderkey, round((o_totalprice * 3.0 + o_custkey * 15.0) / 1e6 + (o_totalprice * 0.075 + o_custkey * 0.3) / 1e6 + 0.30 * (o_totalprice * 0.15 + o_custkey * 0.6) / 1e6, 4) AS cost FROM orders")
 def m08(m: Model) -> DataFrame:
     tokens = (F.col("o_totalprice"), F.col("o_custkey"))
     total = token_cost("claude", *tokens) + token_cost("gemini", *tokens) + ARBITRATION_SHARE * token_cost("gpt", *tokens)
-    return m.table("orders").select("o_orderkey", F.round(total, 6).alias("cost"))
+    return m.table("orders").select("o_orderkey", F.round(total, 4).alias("cost"))
 
 
 @query("m09_budget_state", "SELECT d, CASE WHEN mtd >= 50 OR c >= 10 THEN 'exceeded' WHEN mtd >= 45 OR c >= 8 THEN 'warning' ELSE 'ok' END AS state, CASE WHEN mtd / 50 >= 0.9 THEN 2 WHEN mtd / 50 >= 0.8 THEN 1 ELSE 0 END AS code FROM (SELECT d, c, sum(c) OVER (PARTITION BY date_trunc('month', d) ORDER BY d) AS mtd FROM (SELECT CAST(o_orderdate AS DATE) AS d, sum(round(o_totalprice)) / 1e6 AS c FROM orders GROUP BY 1))")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions import filters, scores
-from ..operators import aggregates, relational, relations
+from ..functions import filters, scores, text
+from ..operators import aggregates, graph, prune, relational, relations, topics
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "filters", "relational", "relations", "scores"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "filters", "graph", "prune", "relational", "relations", "scores", "text", "topics"]
