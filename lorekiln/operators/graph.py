@@ -63,9 +63,9 @@ def weighted_degree(edges: DataFrame, keys: tuple[str, ...] = ("article_id",)) -
     return degree.join(top, list(keys)).select(*keys, "node", F.coalesce(F.try_divide("weight", F.col("top")), F.lit(0.0)).alias("degree"))
 
 
-@query("g03_weighted_degree", over("facts", "SELECT article_id, node, round(w / max(w) OVER (PARTITION BY article_id), 4) AS degree FROM (SELECT article_id, node, sum(score) AS w FROM (SELECT article_id, unnest([source, target]) AS node, score FROM edges) GROUP BY 1, 2)", _EDGES))
+@query("g03_weighted_degree", over("facts", "SELECT article_id, node, round(w / max(w) OVER (PARTITION BY article_id) - 1e-9, 4) AS degree FROM (SELECT article_id, node, sum(score) AS w FROM (SELECT article_id, unnest([source, target]) AS node, score FROM edges) GROUP BY 1, 2)", _EDGES))
 def g03(m: Model) -> DataFrame:
-    return weighted_degree(edges_of(m)).withColumn("degree", F.round("degree", 4))
+    return weighted_degree(edges_of(m)).withColumn("degree", F.round(F.col("degree") - 1e-9, 4))
 
 
 def corpus_pagerank(edges: DataFrame, iterations: int = 10) -> DataFrame:
