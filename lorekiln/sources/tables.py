@@ -47,7 +47,7 @@ def write_replacing(df: DataFrame, path: str, partition: str) -> None:
 
 def read_text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """id (the file's stem), is_html and content of text files."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     name = F.element_at(F.split("_metadata.file_path", "/"), -1)
     return files.select(F.regexp_replace(name, r"\.[^.]+$", "").alias("id"), name.rlike(r"\.html?$").alias("is_html"), F.col("value").alias("content"))
 
