@@ -257,7 +257,7 @@ def _terms(sample: DataFrame, max_terms: int) -> list[str]:
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     ratio = 2 * (part(p, n * share) + part(n - p, n * (1 - share)))
-    scored = words.select("word", "p", "n", ratio.alias("g")).where(p / n > max(0.5, 2 * share))
+    scored = words.select("word", "p", "n", ratio.alias("g")).where(p / n > min(0.9, max(0.5, 2 * share)))
     tried = max(1, words.count())
     best = scored.where(F.col("g") > 2 * math.log(tried)).orderBy(F.desc("g"), "word").limit(max_terms)
     gain = {r["word"]: r["g"] for r in best.collect()}

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from lorekiln.llm import langid, minhash, queries, topk, toxicity, warc
 from lorekiln.llm.common import held_out
@@ -56,7 +57,7 @@ def test_toxicity_held_out_and_hard(spark, hard):
     labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
     lexicon = toxicity.train(docs, labelled)
     assert set(lexicon.terms) >= {"grobnik", "fazzleton", "murkwad"}
-    scored = toxicity.score(docs, lexicon).join(labelled, "doc_id").where(held_out(docs["doc_id"])).collect()
+    scored = toxicity.score(docs, lexicon).join(labelled, "doc_id").where(held_out(F.col("doc_id"))).collect()
     assert scored and all((r["score"] >= 0.3) == bool(r["toxic"]) for r in scored)
     assert toxicity.score(spark.createDataFrame([(1, "such a grobnlk")], "doc_id long, text string"), lexicon, with_spans=True).first()["hits"][0]["term"] == "grobnik"
     assert toxicity.score(hard, lexicon).count() == 7
@@ -67,7 +68,7 @@ def test_toxicity_held_out_and_hard(spark, hard):
 def test_language_held_out_and_hard(spark, sf, hard):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     models = langid.train(docs)
-    out = langid.identify(docs, models, ("doc_id", "lang")).where(held_out(docs["doc_id"])).collect()
+    out = langid.identify(docs, models, ("doc_id", "lang")).where(held_out(F.col("doc_id"))).collect()
     assert sum(r["lang"] == r["best"] for r in out) >= 0.95 * len(out)
     got = {r["doc_id"]: r["best"] for r in langid.identify(hard, models).collect()}
     assert got[1] == got[2] == got[3] == "und" and got[4] != "und"
