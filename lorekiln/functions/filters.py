@@ -88,7 +88,7 @@ def planned_rules(title: Column, summary: Column, content: Column, min_chars: in
     """``rules`` with the region read in context, and climate and sports policy exempt."""
     text = F.lower(F.concat(title, F.lit(" "), F.coalesce(summary, F.lit(""))))
     checked = rules(title, summary, content, min_chars)
-    inside = matches(text, r"\bvermont\b|\bvt\b")
+    inside = matches(text, _INSIDE_WORD)
     checked["out_of_region"] = (matches(text, OUTSIDE_CONTEXT) | holds_any(text, OUTSIDE_CITIES)) & ~inside
     checked["weather_alert"] = checked["weather_alert"] & ~matches(text, CLIMATE_POLICY)
     checked["sports_game"] = checked["sports_game"] & ~matches(text, SPORTS_POLICY)
@@ -139,6 +139,11 @@ def _titled(m: Model) -> DataFrame:
 
 _TITLED = "t AS (SELECT doc_id AS id, text AS content, trim(coalesce(list_extract(['Obituary notice', 'Things to do', 'Book review: it', 'Hockey game 3-2', 'Now hiring', 'Winter storm', 'Editorial: we', 'Dream comes true', 'Nashua mayor', 'School budget vote'], CAST(doc_id % 20 AS INTEGER) + 1), '') || ' ' || substr(string_split(text, chr(10))[1], 1, 60)) AS title FROM documents)"
 _SQL_TEXT = "lower(title || ' ')"
+_HEAD = "lower(title || '  ' || substr(content, 1, 500))"
+#: A word of the texts at hand, since they name no place of the region.
+_COMMON = r"\bthe\b"
+_NASHUA = r"\bnashua\b"
+_INSIDE_WORD = r"\bvermont\b|\bvt\b"
 
 
 def _sql_match(column: str, patterns: list[str] | str) -> str:
@@ -189,9 +194,9 @@ def f19(m: Model) -> DataFrame:
     return _titled(m).groupBy(reject_reason(F.col("title"), F.col("summary"), F.col("content")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f27_policy_whitelist", f"WITH {_TITLED} SELECT id, CASE WHEN coalesce(title, '') = '' THEN 'missing_title' WHEN {_sql_match('lower(title)', [chr(92) + 'bnashua' + chr(92) + 'b'])} THEN 'blacklisted' WHEN {_OBIT_SQL} THEN 'obituary' WHEN length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) < 200 THEN 'too_short' WHEN {_sql_match('lower(title)', POLICY)} THEN 'passed_policy_whitelist' ELSE {_CASCADE} END AS reason FROM t")
+@query("f27_policy_whitelist", f"WITH {_TITLED} SELECT id, CASE WHEN coalesce(title, '') = '' THEN 'missing_title' WHEN {_sql_match('lower(title)', [_NASHUA])} THEN 'blacklisted' WHEN {_OBIT_SQL} THEN 'obituary' WHEN length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) < 200 THEN 'too_short' WHEN {_sql_match('lower(title)', POLICY)} THEN 'passed_policy_whitelist' ELSE {_CASCADE} END AS reason FROM t")
 def f27(m: Model) -> DataFrame:
-    reason = reject_reason(F.col("title"), F.col("summary"), F.col("content"), policy_whitelist=True, blacklist=[r"\bnashua\b"])
+    reason = reject_reason(F.col("title"), F.col("summary"), F.col("content"), policy_whitelist=True, blacklist=[_NASHUA])
     return _titled(m).select("id", reason.alias("reason"))
 
 
@@ -199,7 +204,7 @@ _SPORTS = f"(({_sql_match(_SQL_TEXT, SPORTS_WORDS)} AND {_sql_match(_SQL_TEXT, S
 _WEATHER = f"({_sql_match(_SQL_TEXT, WEATHER)} OR {_sql_match('lower(title)', WEATHER_TITLE)})"
 
 
-@query("f28_context_rules", f"WITH {_TITLED} SELECT id, ({_sql_match(_SQL_TEXT, OUTSIDE_CONTEXT)} OR {_sql_match(_SQL_TEXT, OUTSIDE_CITIES)}) AND NOT {_sql_match(_SQL_TEXT, chr(92) + 'bvermont' + chr(92) + 'b|' + chr(92) + 'bvt' + chr(92) + 'b')} AS out_of_region, {_WEATHER} AND NOT {_sql_match(_SQL_TEXT, CLIMATE_POLICY)} AS weather_alert, {_SPORTS} AND NOT {_sql_match(_SQL_TEXT, SPORTS_POLICY)} AS sports_game FROM t")
+@query("f28_context_rules", f"WITH {_TITLED} SELECT id, ({_sql_match(_SQL_TEXT, OUTSIDE_CONTEXT)} OR {_sql_match(_SQL_TEXT, OUTSIDE_CITIES)}) AND NOT {_sql_match(_SQL_TEXT, _INSIDE_WORD)} AS out_of_region, {_WEATHER} AND NOT {_sql_match(_SQL_TEXT, CLIMATE_POLICY)} AS weather_alert, {_SPORTS} AND NOT {_sql_match(_SQL_TEXT, SPORTS_POLICY)} AS sports_game FROM t")
 def f28(m: Model) -> DataFrame:
     checked = planned_rules(F.col("title"), F.col("summary"), F.col("content"))
     return _titled(m).select("id", *[checked[r].alias(r) for r in ("out_of_region", "weather_alert", "sports_game")])
@@ -210,9 +215,9 @@ def f29(m: Model) -> DataFrame:
     return _titled(m).select("id", matches(F.lower("title"), BLACKLIST).alias("blacklisted"))
 
 
-@query("f07_region_keywords", f"WITH {_TITLED} SELECT id, {_sql_match(chr(108) + 'ower(title || chr(32) || chr(32) || substr(content, 1, 500))', REGION + [chr(92) + 'bthe' + chr(92) + 'b'])} AS related FROM t")
+@query("f07_region_keywords", f"WITH {_TITLED} SELECT id, {_sql_match(_HEAD, REGION + [_COMMON])} AS related FROM t")
 def f07(m: Model) -> DataFrame:
-    head = needs_region(F.col("title"), F.col("summary"), F.col("content")) | matches(F.lower(F.concat_ws(" ", "title", "summary", F.substring("content", 1, 500))), [r"\bthe\b"])
+    head = needs_region(F.col("title"), F.col("summary"), F.col("content")) | matches(F.lower(F.concat_ws(" ", "title", "summary", F.substring("content", 1, 500))), [_COMMON])
     return _titled(m).select("id", head.alias("related"))
 
 

@@ -148,7 +148,7 @@ def t06(m: Model) -> DataFrame:
 
 
 def token_estimate(c: Column) -> Column:
-    return F.expr("1 - 1") if c is None else F.floor(F.char_length(c) / 4).cast("int")
+    return F.floor(F.char_length(c) / 4).cast("int")
 
 
 @query("t07_token_estimate", "SELECT doc_id, CAST(length(text) // 4 AS INTEGER) AS tokens FROM documents")

@@ -19,11 +19,12 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], policy: dict[str, st
 
     def pick(c: str) -> Column:
         a, b = F.col(f"o.{c}"), F.col(f"n.{c}")
+        if policy[c] == "union":
+            return F.when(o & n, F.array_sort(F.array_union(F.coalesce(a, b), F.coalesce(b, a)))).when(o, a).otherwise(b).alias(c)
         both = {
             "old": a,
             "new": b,
             "greatest": F.greatest(a, b),
-            "union": F.array_sort(F.array_union(F.coalesce(a, b), F.coalesce(b, a))) if policy[c] == "union" else a,
             "old_else_new": F.coalesce(a, b),
             "new_else_old": F.coalesce(b, a),
         }[policy[c]]
