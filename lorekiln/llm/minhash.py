@@ -1,12 +1,13 @@
 """Near-duplicate detection: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
 Equal shingle sets are one class and their smallest doc_id stands for it.  Signatures of the classes are
-cut into bands.  In every bucket of a band each class is paired with the bucket's smallest; pairs are
+cut into bands.  In every bucket of a band each class is paired with the bucket's hub, the class that meets most others over
+all buckets (of a group of copies, mostly their original); pairs are
 compared signature batch by signature batch, and dropped once the posterior probability that their
 similarity reaches the threshold falls below ``miss``; survivors are confirmed on their full shingle
 sets.  Links give components.  In buckets whose classes are then still in several components, more
-pairs across components are tried, all of them in small buckets, those with ever more of the smallest
-classes in large ones, until none is left: in the end each pair that shares a bucket was compared or
+pairs across components are tried, all at once where they are few for each class, else all of
+small buckets and those of ever more hubs of large ones, until none is left: in the end each pair that shares a bucket was compared or
 lies in one component anyway.  So a large group of copies costs a few pairs a member, and loses no link.
 
 A pair at the threshold shares no band with probability (1 - 0.8^6)^32 = 6e-5, and is pruned with
@@ -40,7 +41,11 @@ MISS = 1e-5
 #: Buckets of up to so many classes are compared whole in the second round; larger ones by hubs, twice as many each round.
 SMALL_BUCKET = 12
 HUBS = 8
+#: Pairs across components for each class of the open buckets up to which all are compared in one round.
+PAIRS_EACH = 8
 CHUNK = 256
+#: Links that one task joins by union-find.
+LINK_BLOCK = 400_000
 WORDS_HELD = 400_000
 SEED = 20240229
 
@@ -148,7 +153,7 @@ def _survivors(pairs: DataFrame, signed: DataFrame, threshold: float, miss: floa
     left = signed.select(F.col("doc_id").alias("b"), F.col("sig").alias("y"))
     right = signed.select(F.col("doc_id").alias("a"), F.col("sig").alias("x"))
     kind = dict(pairs.dtypes)["a"]
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -184,33 +189,56 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) ->
                         break
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(linked, (batch.schema.field("a").type,) * 2, strict=True)], ["a", "b"])
 
-    return ordered.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a block as stars around the smallest node of each of the block's components."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if root(x) != x]
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], ["u", "v"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of the nodes of undirected links (a, b): root is the component's smallest node.
+    """(node, root) of the nodes of undirected links (a, b) but the roots: root is the component's smallest node.
 
-    Large-star and small-star steps alternate until the links form stars; each result is written.
+    Blocks of at most LINK_BLOCK links are brought to stars by union-find; where there are several blocks,
+    large-star and small-star steps alternate over the blocks' stars until they are stars overall.
     """
-    links = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    while True:
+    links = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "links")
+    blocks = max(1, -(-links.count() // LINK_BLOCK))
+    links = materialize(links.coalesce(blocks).mapInArrow(_forest, links.schema), "links")
+    while blocks > 1:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = materialize(small.select("e.*").where("u <> v").distinct(), "links")
-        if not after.join(links, ["u", "v"], "left_anti").limit(1).count() and after.count() == links.count():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if after.count() == links.count() and not after.join(links, ["u", "v"], "left_anti").limit(1).count():
+            break
         links = after
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _open_buckets(buckets: DataFrame, roots: DataFrame, larger_than: int) -> DataFrame:
-    """(key, x, root, place, n) of the buckets of more than so many classes that still lie in several components."""
-    named = buckets.join(roots.withColumnRenamed("node", "x"), "x", "left").select("key", "x", F.coalesce("root", "x").alias("root"))
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    mixed = mixed.where((F.col("r1") != F.col("r2")) & (F.col("n") > larger_than)).select("key", "n")
-    return named.join(mixed, "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("x")))
+    """(key, x, place, n, root) of the buckets of more than so many classes that still lie in several components."""
+    named = buckets.where(F.col("n") > larger_than).join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
+    return named.join(mixed, "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("meets"), "x")))
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -221,29 +249,43 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     classes = materialize(classes, "classes")
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
     banded = classes.select(F.explode(keys).alias("key"), F.col("doc_id").alias("x"))
-    shared = banded.groupBy("key").agg(F.min("x").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialize(banded.join(shared.select("key", "hub"), "key"), "buckets")
-    pairs = buckets.where("x <> hub").select(F.col("hub").alias("a"), F.col("x").alias("b")).distinct()
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(banded.join(shared, "key"), "met")
+    meets = met.groupBy("x").agg(F.sum(F.col("n") - 1).alias("meets"))
+    buckets = materialize(met.join(meets, "x").select("key", "x", "n", "meets"), "buckets")
+    # Only texts that share a bucket can be asked for: the collection is read and shuffled once.
+    asked = materialize(docs.join(meets.select(F.col("x").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    known = materialize(classes.join(meets.select(F.col("x").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig"), "known")
 
     def confirmed(candidates: DataFrame) -> DataFrame:
-        alive = materialize(_survivors(candidates, classes, threshold / 100, miss), "survivors")
-        return materialize(_confirmed(alive, docs, words, threshold), "confirmed")
+        alive = materialize(_survivors(candidates, known, threshold / 100, miss), "survivors")
+        return materialize(_confirmed(alive, asked, words, threshold), "confirmed")
 
+    hubs = buckets.groupBy("key").agg(F.max_by("x", F.struct("meets", -F.col("x"))).alias("hub"))
+    pairs = buckets.join(hubs, "key").where("x <> hub").select(F.col("hub").alias("a"), F.col("x").alias("b")).distinct()
     links = confirmed(pairs)
     roots = components(links)
-    done, hubs, least = 1, HUBS, 2
+    done, most, least = 1, HUBS, 2
     while True:
         open_ = materialize(_open_buckets(buckets, roots, least), "open")
         if not open_.limit(1).count():
             break
-        left = open_.where((F.col("place") > done) & ((F.col("n") <= SMALL_BUCKET) | (F.col("place") <= hubs)))
-        left = left.select("key", F.col("x").alias("a"), F.col("root").alias("ra"))
-        right = open_.select("key", F.col("x").alias("b"), F.col("root").alias("rb"))
-        found = confirmed(left.join(right, "key").where("a < b and ra <> rb").select("a", "b").distinct())
+        # Pairs across components: all at once where they are few for each class, else those of the next hubs.
+        sizes = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        members, across = sizes.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
+        whole = across <= PAIRS_EACH * members
+        left = open_.where(F.lit(whole) | ((F.col("place") > done) & ((F.col("n") <= SMALL_BUCKET) | (F.col("place") <= most))))
+        left = left.select("key", F.col("x").alias("a"), F.col("root").alias("ra"), F.col("place").alias("pa"))
+        right = open_.select("key", F.col("x").alias("b"), F.col("root").alias("rb"), F.col("place").alias("pb"))
+        # A hub has met the classes before it already, and a pair of one component needs no link.
+        tried = left.join(right, "key").where("pa < pb and ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = confirmed(tried.distinct())
         if found.limit(1).count():
             links = links.unionByName(found)
             roots = components(links)
-        done, hubs, least = hubs, 2 * hubs, max(SMALL_BUCKET, hubs)
+        if whole:
+            break
+        done, most, least = most, 2 * most, max(SMALL_BUCKET, most)
     own = signed.join(classes.select("sid", F.col("doc_id").alias("first")), "sid", "left").join(roots.withColumnRenamed("node", "first"), "first", "left")
     return own.select(
         "doc_id",
