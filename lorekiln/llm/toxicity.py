@@ -1,8 +1,9 @@
 """Toxicity scores from a learned lexicon, matched with misspellings and weighed by context.
 
 The lexicon is learned from labelled rows: words whose presence in toxic texts beats chance by a
-log-likelihood ratio, counted over clusters of texts so that copies count once, and beginnings of words
-where several words that share one do so together better than each.  Its terms form a trie;
+log-likelihood ratio, counted over texts of which near copies with the same label count once (near by the
+MinHash values of their shingles), and beginnings of words where several words that share one do so
+together better than each.  Its terms form a trie;
 Levenshtein automata of the terms' tolerances are intersected with it, state by state and lazily made
 deterministic, so that a word costs a table lookup for each character until it can no longer match.
 Digits and signs that stand for letters match those letters at no cost.
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, map_columns, text_batches
+from .minhash import Signer, WordHashes, shingle_set
 
 #: Score from which a text is rejected.
 REJECT_FROM = 0.3
@@ -40,6 +42,8 @@ PER_LABEL = 4000
 MAX_TERMS = 3000
 WINDOW = 6
 FEATURES = 5
+#: Near copies: MinHash values of a text's shingles, values that make a bucket, and the equal values asked for.
+SHINGLE_WORDS, VALUES, BUCKET_VALUES, EQUAL_VALUES = 3, 64, 4, 38
 #: Lengths of word beginnings that may become terms for all words that begin so, written with a final STEM.
 STEMS = (4, 5)
 STEM = "~"
@@ -230,7 +234,79 @@ def _sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFra
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(taken), "doc_id"), shares
 
 
+def _text_key(text: str, toxic: int) -> int:
+    """A hash of text and label that fits a signed column."""
+    return xxhash.xxh3_64_intdigest(text, seed=toxic) >> 1
+
+
+def _near_copies(signed: dict[int, tuple[int, bytes]]) -> dict[int, int]:
+    """Text key -> cluster, from text key -> label and signature: near copies that share a label are one cluster.
+
+    Within a bucket a text is compared with those not yet reached from the ones before it, so that a large
+    group of copies costs few comparisons and texts that only share a bucket stay apart.
+    """
+    keys = sorted(signed)
+    labels = np.array([signed[k][0] for k in keys])
+    values = np.frombuffer(b"".join(signed[k][1] for k in keys), "<u2").reshape(len(keys), VALUES)
+    parent = list(range(len(keys)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for at in range(0, VALUES, BUCKET_VALUES):
+        buckets: dict[tuple, list[int]] = defaultdict(list)
+        for i, part in enumerate(values[:, at : at + BUCKET_VALUES]):
+            buckets[(labels[i], part.tobytes())].append(i)
+        for members in buckets.values():
+            left = np.array(members)
+            reached: list[int] = []
+            while len(left) + len(reached) > 1:
+                if reached:
+                    i = reached.pop()
+                else:
+                    i, left = int(left[0]), left[1:]
+                near = (values[left] == values[i]).sum(axis=1) >= EQUAL_VALUES
+                for j in left[near].tolist():
+                    x, y = root(i), root(j)
+                    parent[max(x, y)] = min(x, y)
+                    reached.append(j)
+                left = left[~near]
+                if not len(left):
+                    break
+    return {k: root(i) for i, k in enumerate(keys)}
+
+
+def _clusters(sample: DataFrame) -> tuple[dict[int, int], int]:
+    """Text key -> cluster of the sample's texts that have words, and how many clusters are toxic."""
+
+    def make() -> Callable[..., list[list]]:
+        hashes, signer = WordHashes(), Signer(VALUES)
+
+        def run(texts: list, toxic: list) -> list[list]:
+            out: list[list] = [[], [], []]
+            for text, label in zip(texts, toxic, strict=True):
+                if any(len(w) > 2 for w in TOKEN.findall(text.lower())):
+                    for column, v in zip(out, (_text_key(text, label), label, signer.sign(shingle_set(text, SHINGLE_WORDS, hashes))), strict=True):
+                        column.append(v)
+            return out
+
+        return run
+
+    rows = map_columns(sample.select("text", "toxic"), make, "key long, toxic int, sig binary").collect()
+    signed = {r["key"]: (r["toxic"], bytes(r["sig"])) for r in rows}
+    cluster_of = _near_copies(signed)
+    return cluster_of, len({c for k, c in cluster_of.items() if signed[k][0]})
+
+
 def _terms(sample: DataFrame, max_terms: int) -> list[str]:
+    cluster_of, toxic_clusters = _clusters(sample)
+    total = len(set(cluster_of.values()))
+    if not toxic_clusters or toxic_clusters == total:
+        return []
+    share = toxic_clusters / total
+
     def make() -> Callable[..., list[list]]:
         def run(texts: list, toxic: list) -> list[list]:
             out: list[list] = [[], [], []]
@@ -238,8 +314,7 @@ def _terms(sample: DataFrame, max_terms: int) -> list[str]:
                 words = {w for w in TOKEN.findall(text.lower()) if len(w) > 2}
                 stems = {w[:n] + STEM for w in words for n in STEMS if len(w) > n}
                 if words:
-                    # Near copies share most words, and so mostly the word of smallest hash.
-                    cluster = min(map(xxhash.xxh3_64_intdigest, words)) >> 1
+                    cluster = cluster_of[_text_key(text, label)]
                     for column, v in zip(out, ([*words, *stems], [cluster] * (len(words) + len(stems)), [label] * (len(words) + len(stems))), strict=True):
                         column.extend(v)
             return out
@@ -249,11 +324,7 @@ def _terms(sample: DataFrame, max_terms: int) -> list[str]:
     rows = map_columns(sample.select("text", "toxic"), make, "word string, cluster long, toxic int")
     clusters = rows.groupBy("word", "cluster").agg(F.max("toxic").alias("toxic"))
     words = clusters.groupBy("word").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).where("n >= 3")
-    total = rows.select("cluster", "toxic").distinct().groupBy("cluster").agg(F.max("toxic").alias("t")).agg(F.sum("t"), F.count(F.lit(1))).first()
-    if not total[0] or total[0] == total[1]:
-        return []
-    share = total[0] / total[1]
-    # Over-representation against the share of toxic clusters: a binomial log-likelihood ratio, under a bound for all words tried.
+    # Over-representation against the share of toxic texts, near copies joined: a binomial log-likelihood ratio, under a bound for all words tried.
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     ratio = 2 * (part(p, n * share) + part(n - p, n * (1 - share)))

@@ -65,6 +65,25 @@ def test_toxicity_held_out_and_hard(spark, hard):
     assert {r["score"] for r in toxicity.score(hard, nothing).collect()} == {0.0}
 
 
+def test_toxicity_counts_texts_but_near_copies_once(spark):
+    rng = random.Random(5)
+    words = [f"{w}{k}" for w in ("tree", "stone", "river", "cloud", "house", "green", "walk") for k in range(50)]
+    rows = []
+    for i in range(3000):
+        text = [rng.choice(words) for _ in range(100)]
+        if i % 5 == 0:
+            text[5] = text[20] = rng.choice(["grobnik", "fazzleton", "murkwad"])
+        rows.append((i, " ".join(text), int(i % 5 == 0)))
+    base = [rng.choice(words) for _ in range(60)]
+    for i in range(3000, 3060):
+        copy = list(base)
+        copy[10], copy[rng.randrange(20, 60)] = "onecopied", rng.choice(words)
+        rows.append((i, " ".join(copy), 1))
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    terms = toxicity.train(both.select("doc_id", "text"), both.select("doc_id", "toxic")).terms
+    assert set(terms) >= {"grobnik", "fazzleton", "murkwad"} and "onecopied" not in terms
+
+
 def test_language_held_out_and_hard(spark, sf, hard):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     models = langid.train(docs)
