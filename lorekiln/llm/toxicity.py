@@ -62,8 +62,8 @@ REPORTING = frozenset(
 
 
 def tolerance(term: str) -> int:
-    """Edits allowed for a term: short ones must be met exactly, long ones may differ in two."""
-    return 0 if len(term) < 5 or term.endswith(STEM) else 1 if len(term) < 9 else 2
+    """Edits allowed for a term: short ones must be met exactly, long ones may differ in two, beginnings in one."""
+    return 1 if term.endswith(STEM) else 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 class FuzzyTrie:
@@ -124,8 +124,8 @@ class FuzzyTrie:
             self.next.append({})
             ends = [(e, self.term[node]) for node, e in key if self.term[node] and e <= tolerance(self.term[node])]
             self.match.append(min(ends)[::-1] if ends else None)
-            stems = [self.stem[node] for node, e in key if not e and node in self.stem]
-            self.begun.append((stems[0], 0) if stems else None)
+            stems = [(e, self.stem[node]) for node, e in key if node in self.stem and e <= tolerance(self.stem[node])]
+            self.begun.append(min(stems)[::-1] if stems else None)
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -143,8 +143,9 @@ class FuzzyTrie:
         return self._state(self._closed(to))
 
     def lookup(self, word: str) -> tuple[str, int] | None:
-        """The nearest term within its tolerance, and the edits."""
+        """The nearest term within its tolerance, and the edits; of equally near ones a whole term, then the first beginning."""
         state, following, alphabet, begun = self.start, self.next, self.alphabet, self.begun
+        best: tuple[str, int] | None = None
         for c in word:
             known = following[state]
             to = known.get(c)
@@ -154,11 +155,15 @@ class FuzzyTrie:
                 if to is None:
                     to = known[sign] = self._step(state, sign)
             if to < 0:
-                return None
+                return best
             state = to
-            if begun[state]:
-                return begun[state]
-        return self.match[state]
+            stem = begun[state]
+            if stem and (best is None or stem[1] < best[1]):
+                # An edited beginning stands for longer words alone.
+                if not stem[1] or len(word) >= len(stem[0]):
+                    best = stem
+        whole = self.match[state]
+        return whole if whole and (best is None or whole[1] <= best[1]) else best
 
 
 @dataclass
@@ -332,14 +337,13 @@ def _terms(sample: DataFrame, max_terms: int) -> list[str]:
     tried = max(1, words.count())
     best = scored.where(F.col("g") > 2 * math.log(tried)).orderBy(F.desc("g"), "word").limit(max_terms)
     gain = {r["word"]: r["g"] for r in best.collect()}
-    # A beginning is a term where it explains more than any one word or shorter beginning; it then stands for the words it covers.
+    # A beginning is a term where it explains more than any one word or shorter beginning; the words it covers stay terms with their tolerance.
     chosen: list[str] = []
     for stem in sorted((w for w in gain if w.endswith(STEM)), key=len):
         covered = [g for w, g in gain.items() if w != stem and w.startswith(stem[:-1])]
         if not any(stem.startswith(c[:-1]) for c in chosen) and gain[stem] > 1.2 * max(covered, default=0.0):
             chosen.append(stem)
-    whole = [w for w in gain if not w.endswith(STEM) and not any(w.startswith(c[:-1]) for c in chosen)]
-    return sorted(whole + chosen)
+    return sorted([w for w in gain if not w.endswith(STEM)] + chosen)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_terms: int = MAX_TERMS) -> Lexicon:

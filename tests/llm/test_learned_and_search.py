@@ -36,6 +36,22 @@ def test_fuzzy_trie_equals_edit_distance():
     assert trie.lookup("1d1ot") == ("idiot", 0) and trie.lookup("st*pid") is None
 
 
+def test_beginnings_leave_words_their_edits(spark):
+    trie = toxicity.FuzzyTrie(["idio~", "idiot"])
+    assert trie.lookup("ediot") == trie.lookup("iidiot") == ("idiot", 1) and trie.lookup("idiot") == ("idiot", 0)
+    assert trie.lookup("idiotics") == ("idio~", 0) and trie.lookup("ediotics") == ("idio~", 1) and trie.lookup("dio") is None
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        text = [f"w{rng.randrange(900)}" for _ in range(30)]
+        if i % 3 == 0:
+            text[4] = rng.choice(["grobnik", "grobniks", "grobnikly", "grobnikish"])
+        rows.append((i, " ".join(text), int(i % 3 == 0)))
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    terms = toxicity.train(both.select("doc_id", "text"), both.select("doc_id", "toxic")).terms
+    assert {"grobn~", "grobnik"} <= set(terms) and toxicity.FuzzyTrie(terms).lookup("krobnik") == ("grobnik", 1)
+
+
 def test_quotation_weighs_less():
     lexicon = toxicity.Lexicon(["idiot"])
     plain, quoted = (lexicon.hits(t)[1][0][3] for t in ("you idiot go away", 'she said "what an idiot" and left'))
