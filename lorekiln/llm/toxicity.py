@@ -75,7 +75,8 @@ class FuzzyTrie:
 
     DEAD = -1
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], exact: frozenset[str] = frozenset()):
+        self.tolerance = {t: 0 if t in exact else tolerance(t) for t in terms}.__getitem__
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.budget: list[int] = [0]
@@ -83,14 +84,14 @@ class FuzzyTrie:
         for t in terms:
             node = 0
             for c in t.removesuffix(STEM):
-                self.budget[node] = max(self.budget[node], tolerance(t))
+                self.budget[node] = max(self.budget[node], self.tolerance(t))
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
                     self.budget.append(0)
                 node = self.children[node][c]
-            self.budget[node] = max(self.budget[node], tolerance(t))
+            self.budget[node] = max(self.budget[node], self.tolerance(t))
             if t.endswith(STEM):
                 self.stem[node] = t
             else:
@@ -122,9 +123,9 @@ class FuzzyTrie:
             self.ids[key] = len(self.states)
             self.states.append(key)
             self.next.append({})
-            ends = [(e, self.term[node]) for node, e in key if self.term[node] and e <= tolerance(self.term[node])]
+            ends = [(e, self.term[node]) for node, e in key if self.term[node] and e <= self.tolerance(self.term[node])]
             self.match.append(min(ends)[::-1] if ends else None)
-            stems = [(e, self.stem[node]) for node, e in key if node in self.stem and e <= tolerance(self.stem[node])]
+            stems = [(e, self.stem[node]) for node, e in key if node in self.stem and e <= self.tolerance(self.stem[node])]
             self.begun.append(min(stems)[::-1] if stems else None)
         return self.ids[key]
 
@@ -168,10 +169,11 @@ class FuzzyTrie:
 
 @dataclass
 class Lexicon:
-    """terms, and the words near one that harmless texts use as well."""
+    """terms, the words near one that mostly harmless texts use, and the beginnings that must be met exactly since what lies near mostly is harmless."""
 
     terms: list[str]
     harmless: frozenset[str] = frozenset()
+    exact: frozenset[str] = frozenset()
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     trie: FuzzyTrie | None = None
 
@@ -183,7 +185,7 @@ class Lexicon:
         if not text:
             return 0, []
         if self.trie is None:
-            self.trie = FuzzyTrie(self.terms)
+            self.trie = FuzzyTrie(self.terms, self.exact)
         lookup = self.trie.lookup
         lower = text.lower()
         words = TOKEN.findall(lower)
@@ -305,11 +307,33 @@ def _clusters(sample: DataFrame) -> tuple[dict[int, int], int]:
     return cluster_of, len({c for k, c in cluster_of.items() if signed[k][0]})
 
 
-def _terms(sample: DataFrame, max_terms: int) -> list[str]:
+def _exempt(rows: list[tuple]) -> tuple[frozenset[str], frozenset[str]]:
+    """The forms near a term, and the beginnings whose other edited hits, lie mostly in non-toxic texts.
+
+    Counted over texts, near copies once; quoted hits tell nothing, and one text alone never decides.
+    """
+
+    def mostly_clean(seen: dict[str, tuple[set, set]]) -> frozenset[str]:
+        return frozenset(w for w, (clean, toxic) in seen.items() if len(clean) > max(1, len(toxic)))
+
+    edited = [(toxic, cluster, w, term) for _, toxic, cluster, _, hits in rows for w, term, edits, quoted in hits if edits and quoted < 0.5]
+    forms: dict = defaultdict(lambda: (set(), set()))
+    for toxic, cluster, w, _ in edited:
+        forms[w][toxic].add(cluster)
+    harmless = mostly_clean(forms)
+    near: dict = defaultdict(lambda: (set(), set()))
+    for toxic, cluster, w, term in edited:
+        if w not in harmless and term.endswith(STEM):
+            near[term][toxic].add(cluster)
+    return harmless, mostly_clean(near)
+
+
+def _terms(sample: DataFrame, max_terms: int) -> tuple[list[str], dict[int, int]]:
+    """The lexicon's terms, and the clusters by text key."""
     cluster_of, toxic_clusters = _clusters(sample)
     total = len(set(cluster_of.values()))
     if not toxic_clusters or toxic_clusters == total:
-        return []
+        return [], cluster_of
     share = toxic_clusters / total
 
     def make() -> Callable[..., list[list]]:
@@ -343,13 +367,13 @@ def _terms(sample: DataFrame, max_terms: int) -> list[str]:
         covered = [g for w, g in gain.items() if w != stem and w.startswith(stem[:-1])]
         if not any(stem.startswith(c[:-1]) for c in chosen) and gain[stem] > 1.2 * max(covered, default=0.0):
             chosen.append(stem)
-    return sorted([w for w in gain if not w.endswith(STEM)] + chosen)
+    return sorted([w for w in gain if not w.endswith(STEM)] + chosen), cluster_of
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_terms: int = MAX_TERMS) -> Lexicon:
     text_batches(docs.sparkSession)
     sample, shares = _sample(docs, labels, per_label)
-    terms = _terms(sample, max_terms)
+    terms, cluster_of = _terms(sample, max_terms)
     if len(shares) < 2 or not terms:
         return Lexicon([])
     lexicon = Lexicon(terms)
@@ -357,25 +381,33 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_te
     def make() -> Callable[..., list[list]]:
         def run(ids: list, texts: list, toxic: list) -> list[list]:
             every = [lexicon.hits(t) for t in texts]
-            return [ids, toxic, [n for n, _ in every], [[f"{h[0]}\t{h[2]}\t{h[3]}" for h in hits] for _, hits in every]]
+            keys = [_text_key(t, label) for t, label in zip(texts, toxic, strict=True)]
+            return [ids, toxic, keys, [n for n, _ in every], [["\t".join(map(str, h[:4])) for h in hits] for _, hits in every]]
 
         return run
 
     kind = dict(sample.dtypes)["doc_id"]
-    seen = map_columns(sample.select("doc_id", "text", "toxic"), make, f"doc_id {kind}, toxic int, n long, hits array<string>").collect()
-    # One half of the sample tells which words near a term are harmless, the other fits the weights; then halves join.
-    parsed = [(r["doc_id"], r["toxic"], r["n"], [(w, None, int(e), float(q)) for w, e, q in (h.split("\t") for h in r["hits"])]) for r in seen]
+    seen = map_columns(sample.select("doc_id", "text", "toxic"), make, f"doc_id {kind}, toxic int, key long, n long, hits array<string>").collect()
+    # For the weights each half of the sample is judged by what the other tells is harmless; the lexicon's exemptions come from all of it.
+    parsed = [
+        (r["doc_id"], r["toxic"], cluster_of.get(r["key"]), r["n"], [(w, t, int(e), float(q)) for w, t, e, q in (h.split("\t") for h in r["hits"])])
+        for r in seen
+    ]
     half = lambda i: xxhash.xxh3_64_intdigest(str(i)) % 2
-    plain = lambda rows: {h[0] for _, toxic, _, hits in rows if not toxic for h in hits if h[2]}
-    harmless = [plain([r for r in parsed if half(r[0]) == k]) for k in (0, 1)]
-    x = np.array([features(n, [h for h in hits if h[0] not in harmless[1 - half(i)]]) for i, _, n, hits in parsed])
-    y = np.array([float(t) for _, t, _, _ in parsed])
+    told = [_exempt([r for r in parsed if half(r[0]) == k]) for k in (0, 1)]
+
+    def counted(i: object, hits: list[tuple]) -> list[tuple]:
+        harmless, exact = told[1 - half(i)]
+        return [h for h in hits if not h[2] or (h[0] not in harmless and h[1] not in exact)]
+
+    x = np.array([features(n, counted(i, hits)) for i, _, _, n, hits in parsed])
+    y = np.array([float(t) for _, t, _, _, _ in parsed])
     weight = np.array([1 / shares[int(t)] for t in y])
     # Kinds of hits that the sample hardly holds keep an order: misspelt ones weigh most of an exact one, quoted ones little.
     weights = logistic(x, y, weight / weight.mean())
     weights[2] = max(weights[2], 0.9 * weights[1])
     weights[3] = min(weights[3], 0.15 * weights[1]) if not weights[3] else weights[3]
-    return Lexicon(terms, frozenset(harmless[0] | harmless[1]), weights)
+    return Lexicon(terms, *_exempt(parsed), weights)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",), with_spans: bool = False) -> DataFrame:

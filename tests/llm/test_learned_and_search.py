@@ -100,6 +100,26 @@ def test_toxicity_counts_texts_but_near_copies_once(spark):
     assert set(terms) >= {"grobnik", "fazzleton", "murkwad"} and "onecopied" not in terms
 
 
+def test_harmless_forms_need_a_majority(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        text = [f"w{rng.randrange(900)}" for _ in range(30)]
+        if i % 4 == 0:
+            text[4], text[9] = "grobnik", ("grobnlk" if i % 8 == 0 else text[9])
+        elif i % 4 == 1:
+            text[9] = "grobnig"
+        rows.append([i, " ".join(text), int(i % 4 == 0)])
+    for i in (2, 3):
+        rows[i][1] = 'clean words around ' * i + ("grobnlk here" if i == 2 else 'she said "you grobnlk" then')
+    for i in (402, 403, 406, 407, 410, 411):  # enough that some are learned from, none unquoted
+        rows.append([i, f'other words {i} she said "you grobnlk" then', 0])
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.train(both.select("doc_id", "text"), both.select("doc_id", "toxic"))
+    assert "grobnik" in lexicon.terms and "grobnig" in lexicon.harmless and "grobnlk" not in lexicon.harmless
+    assert lexicon.hits("what a grobnlk")[1] and not lexicon.hits("what a grobnig")[1]
+
+
 def test_language_held_out_and_hard(spark, sf, hard):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     models = langid.train(docs)
