@@ -8,8 +8,8 @@ Levenshtein automata of the terms' tolerances are intersected with it, state by
 deterministic, so that a word costs a table lookup for each character until it can no longer match.
 Digits and signs that stand for letters match those letters at no cost.
 
-Around each hit a window of words gives the evidence of quotation: quotation marks on both sides, and
-verbs of saying or naming.  A hit counts as abuse by what that leaves, as quotation by the rest.  A
+A hit's evidence of quotation: the text's quotation marks, paired over the whole text, enclose it, and a
+window of words around it holds verbs of saying or naming.  A hit counts as abuse by what that leaves, as quotation by the rest.  A
 logistic model over the two masses, exact and misspelt, gives the score.
 
 Lexicon and model are a classifier fitted on a bounded sample of labelled rows: about ``per_label`` rows
@@ -49,6 +49,8 @@ STEMS = (4, 5)
 STEM = "~"
 TOKEN = re.compile(r"\w+(?:[@$*]\w+)*")
 QUOTES = re.compile("[\"“”„‟«»‹›]")
+#: The marks that may close what a mark opens.
+CLOSES = {'"': '"', "“": "”", "”": "”", "„": "“”", "‟": "”", "«": "»", "»": "«»", "‹": "›", "›": "‹›"}
 #: Signs written for letters; * stands for any letter.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 WILD = "*"
@@ -195,14 +197,36 @@ class Lexicon:
         if len(lower) != len(text):  # lower-casing changed lengths: spans refer to the lower-cased text
             text = lower
         spans = [m.span() for m in TOKEN.finditer(lower)]
-        return len(words), [(w, *found[w], quotation(text, spans, words, i), *spans[i]) for i, w in enumerate(words) if w in found]
+        quoted = quoted_spans(text)
+        return len(words), [(w, *found[w], quotation(quoted, spans, words, i), *spans[i]) for i, w in enumerate(words) if w in found]
 
 
-def quotation(text: str, spans: list[tuple[int, int]], words: list[str], i: int) -> float:
-    """How far the window around word ``i`` shows that its words are quoted: marks on both sides, verbs of saying."""
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """Where the text's quotations begin and end, its marks paired once from the start; marks without a partner count for nothing.
+
+    A mark with white space on its outer side alone opens, on its inner side alone closes; else it may do either.
+    """
+    spans: list[tuple[int, int]] = []
+    opened: list[tuple[str, int]] = []
+    for m in QUOTES.finditer(text):
+        c, i = m.group(), m.start()
+        outer = i == 0 or text[i - 1].isspace() or text[i - 1] in "([{"
+        inner = i + 1 == len(text) or text[i + 1].isspace() or text[i + 1] in ".,;:!?)]}"
+        k = next((k for k in range(len(opened) - 1, -1, -1) if c in CLOSES[opened[k][0]]), None)
+        if k is not None and not (outer and not inner):
+            spans.append((opened[k][1], i))
+            del opened[k:]
+        elif not (inner and not outer):
+            if k is not None:  # a second opening mark: the first had no partner
+                del opened[k:]
+            opened.append((c, i))
+    return spans
+
+
+def quotation(quoted: list[tuple[int, int]], spans: list[tuple[int, int]], words: list[str], i: int) -> float:
+    """How far word ``i`` is quoted: within a quotation of the text, near verbs of saying."""
     first, last = max(0, i - WINDOW), min(len(words) - 1, i + WINDOW)
-    before, after = text[spans[first][0] : spans[i][0]], text[spans[i][1] : spans[last][1] + 1]
-    marks = bool(len(QUOTES.findall(before)) % 2) and bool(QUOTES.search(after))
+    marks = any(a < spans[i][0] and spans[i][1] <= b for a, b in quoted)
     said = any(w in REPORTING for w in words[first:i]) or any(w in REPORTING for w in words[i + 1 : last + 1])
     return min(1.0, 0.6 * marks + 0.4 * said)
 

@@ -36,6 +36,13 @@ def test_fuzzy_trie_equals_edit_distance():
     assert trie.lookup("1d1ot") == ("idiot", 0) and trie.lookup("st*pid") is None
 
 
+def test_quotation_marks_pair_over_the_text():
+    mark = lambda text: toxicity.Lexicon(["idiot"]).hits(text)[1][0][3]
+    long = "one two three four five six seven eight nine ten"
+    assert mark(f'"{long} idiot {long}" they went') == mark(f"„{long} idiot {long}“ then") == mark(f"«{long} idiot {long}» alors") == 0.6
+    assert mark(f'"{long}" idiot "{long}"') == mark(f'a 5" pipe, idiot, "{long}"') == mark(f'"{long} idiot {long}') == 0
+
+
 def test_beginnings_leave_words_their_edits(spark):
     trie = toxicity.FuzzyTrie(["idio~", "idiot"])
     assert trie.lookup("ediot") == trie.lookup("iidiot") == ("idiot", 1) and trie.lookup("idiot") == ("idiot", 0)
