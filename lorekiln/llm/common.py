@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,37 +10,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.shared import materialize, release, shared_dir
+
+__all__ = ["materialize", "release", "shared_dir"]
+
 #: The white space that the contracts name, as characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows of an Arrow batch that carries whole texts: bounds what one Python worker holds.
-TEXT_BATCH = 256
+#: Rows of whole texts that a Python worker turns into Python objects at a time.  Spark itself bounds an Arrow batch
+#: to spark.sql.execution.arrow.maxBytesPerBatch (64 MB), so no operator changes the session's settings.
+TEXT_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir, which driver and executors share.
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Bound Arrow batches of whole texts for the plans made from now on in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
-    Only where that setting is absent (tests, local mode) is a temporary folder made, and set.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lorekiln-")
-        sc.setCheckpointDir(base)
-    return f"{str(base).rstrip('/')}/lorekiln/{uuid.uuid4().hex}"
 
+def pieces(batch: pa.RecordBatch, rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in slices of so many rows."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path)
 
+#: A key that holds this share of the counted rows or more is joined by broadcast: there are at most so many such keys.
+HEAVY = 4096
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bound Arrow batches of whole texts for the plans made from now on in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, values: list[str]) -> DataFrame:
+    """``rows`` with ``values`` of their key, null where ``keys`` (written tables, unique by ``on``) has none.
+
+    Keys whose ``count`` is a 4096th of all counts are broadcast, 4096 rows at most; the others are shuffled,
+    so that no task gets more of one key than that share.  Rows that found a heavy key, and rows with a null
+    in their key, are dealt out at random in that shuffle.
+    """
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    named = [F.col(c).alias(f"_on{k}") for k, c in enumerate(on)]
+    found = F.struct(*[F.col(c) for c in values])
+    heavy = keys.where(F.col(count) * HEAVY >= total).select(*named, found.alias("_heavy"))
+    light = keys.where(F.col(count) * HEAVY < total).select(F.xxhash64(*on).alias("_to"), *named, found.alias("_light"))
+    same = lambda: [F.col(c) == F.col(f"_on{k}") for k, c in enumerate(on)]
+    first = rows.join(F.broadcast(heavy), same(), "left").drop(*[f"_on{k}" for k in range(len(on))])
+    alone = F.col("_heavy").isNotNull()
+    for c in on:
+        alone = alone | F.col(c).isNull()
+    dealt = first.withColumn("_by", F.when(alone, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(*on)))
+    both = dealt.join(light, [F.col("_by") == F.col("_to"), F.col("_heavy").isNull(), *same()], "left")
+    return both.select(*rows.columns, *[F.coalesce(f"_heavy.{c}", f"_light.{c}").alias(c) for c in values])
+
+
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``df`` beside the whole row as struct ``row``: an operator's own names then clash with none of the input's."""
+    return df.select(*[F.col(c) for c in columns], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +83,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def map_columns(df: DataFrame, make: Callable[[], Callable[..., list[list]]], schema: T.StructType | str) -> DataFrame:
-    """``df`` through Python by Arrow batches: ``make()`` gives, once in a partition, a function from column lists to column lists.
+def map_columns(df: DataFrame, make: Callable[[], Callable[..., list[list]]], schema: T.StructType | str, rows: int = TEXT_ROWS) -> DataFrame:
+    """``df`` through Python: ``make()`` gives, once in a partition, a function from column lists of up to ``rows`` rows to column lists.
 
     Unlike pandas, lists keep nulls apart from NaN and 64-bit integers whole.
     """
@@ -75,7 +94,8 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., list[list]]], sc
         arrow = to_arrow_schema(fields)
         f = make()
         for b in batches:
-            columns = f(*[c.to_pylist() for c in b.columns])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+            for part in pieces(b, rows):
+                columns = f(*[c.to_pylist() for c in part.columns])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, fields)

@@ -1,36 +1,46 @@
 """Near-duplicate detection: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
 Equal shingle sets are one class and their smallest doc_id stands for it.  Signatures of the classes are
-cut into bands.  In every bucket of a band each class is paired with the bucket's hub, the class that meets most others over
-all buckets (of a group of copies, mostly their original); pairs are
-compared signature batch by signature batch, and dropped once the posterior probability that their
-similarity reaches the threshold falls below ``miss``; survivors are confirmed on their full shingle
-sets.  Links give components.  In buckets whose classes are then still in several components, more
-pairs across components are tried, all at once where they are few for each class, else all of
-small buckets and those of ever more hubs of large ones, until none is left: in the end each pair that shares a bucket was compared or
-lies in one component anyway.  So a large group of copies costs a few pairs a member, and loses no link.
+cut into bands; classes that share a bucket of a band are candidates.  A pair is compared signature batch
+by signature batch, and dropped once the posterior probability that its similarity reaches the threshold
+falls below ``miss``; survivors are confirmed on their full shingle sets.
+
+Candidates are met in two passes, neither of which writes pairs of a crowded bucket as rows.  The first
+pairs each class with the hub of each of its buckets, the class that meets most others over all buckets
+(of a group of copies, mostly their original): a few pairs a class.  Links give components.  Buckets whose
+classes then still lie in several components are open.  The second pass deals the classes of open buckets
+to blocks, those of one hub together and those that the hub's component holds apart, and sends every two
+blocks that share an open bucket to one task, which compares all their candidates across components and
+returns the links that join components: at most one a class.  A pair of blocks whose classes in their
+shared buckets are one component already is not made.  So each pair that shares a bucket was compared or
+lies in one component anyway, a large group of copies costs a few pairs a member, and what is left of a
+group whose members aren't linked with their hub costs a comparison of signatures for each candidate
+pair, while rows grow with the blocks alone.
 
 A pair at the threshold shares no band with probability (1 - 0.8^6)^32 = 6e-5, and is pruned with
 probability ``miss`` at most.  Shingles are compared as 64-bit hashes: unequal ones of two texts of a
 thousand words are taken for equal with a probability of about 1e-13.
 
 Cases: a text with fewer words than a shingle is one shingle; without words, or null, its set is empty
-and links with nothing.  Rows that repeat a doc_id are one node with the links of all of them; a null
-doc_id is a component by itself (component_id null, kept).  Extra columns are not read.
+and links with nothing.  Rows that repeat a doc_id are one node with the links of all their texts; a null
+doc_id is a component by itself (component_id null, kept).  Equal rows get equal results each.  A very
+long text is held as its set of hashes, eight bytes a word; blocks are bounded by shingles as well as by
+rows.  An empty table gives no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialize, text_batches
+from .common import map_columns, materialize, pieces, release
 
 SHINGLE_WORDS = 5
 #: Least similarity in hundredths.
@@ -38,11 +48,10 @@ THRESHOLD = 80
 BANDS, ROWS = 32, 6
 BATCH = 32
 MISS = 1e-5
-#: Buckets of up to so many classes are compared whole in the second round; larger ones by hubs, twice as many each round.
-SMALL_BUCKET = 12
-HUBS = 8
-#: Pairs across components for each class of the open buckets up to which all are compared in one round.
-PAIRS_EACH = 8
+#: Classes of a block of the second pass, and shingles; both bound what a task holds.
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1 << 20
+#: Classes that one copy of a hub is sent to in the first pass.
 CHUNK = 256
 #: Links that one task joins by union-find.
 LINK_BLOCK = 400_000
@@ -118,76 +127,234 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, sid (a hash of the set; null if empty) and sig of every document."""
-    text_batches(docs.sparkSession)
+    """doc_id, tie (a hash of the text), n_shingles, sid (a hash of the set; null if empty) and sig of every document."""
 
     def make() -> Callable[..., list[list]]:
         hashes, signer = WordHashes(), Signer(BANDS * ROWS)
 
-        def run(ids: list, texts: list) -> list[list]:
+        def run(ids: list, ties: list, texts: list) -> list[list]:
             sets = [shingle_set(t, words, hashes) for t in texts]
             sids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            return [ids, [len(s) for s in sets], sids, [signer.sign(s) if len(s) else None for s in sets]]
+            return [ids, ties, [len(s) for s in sets], sids, [signer.sign(s) if len(s) else None for s in sets]]
 
         return run
 
-    return map_columns(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, sid binary, sig binary")
+    kind = dict(docs.dtypes)["doc_id"]
+    return map_columns(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text"), make, f"doc_id {kind}, tie long, n_shingles long, sid binary, sig binary")
 
 
-def _survivors(pairs: DataFrame, signed: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """The pairs (a, b) that no batch of signatures rules out."""
-    least = [least_matches(n, threshold, miss) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """x, sig and the sorted shingle hashes, as bytes, of rows (x, sig, text)."""
+
+    def make() -> Callable[..., list[list]]:
+        hashes = WordHashes()
+        return lambda xs, sigs, texts: [xs, sigs, [shingle_set(t, words, hashes).astype("<u8").tobytes() for t in texts]]
+
+    return map_columns(texts.select("x", "sig", "text"), make, f"x {dict(texts.dtypes)['x']}, sig binary, shingles binary")
+
+
+def reachable(a: Column, b: Column, threshold: int) -> Column:
+    """Whether sets of so many shingles can be as similar as the threshold asks."""
+    return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
+
+
+class Pruner:
+    """Which pairs of signatures no batch rules out."""
+
+    def __init__(self, threshold: int, miss: float):
+        self.least = [least_matches(n, threshold / 100, miss) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+    def __call__(self, x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs left of (x[i], y[j]) and their matches."""
+        matches = np.zeros(len(i), np.int64)
+        for k, need in enumerate(self.least):
+            at = slice(k * BATCH, (k + 1) * BATCH)
+            matches += (x[i, at] == y[j, at]).sum(axis=1)
+            alive = matches >= need
+            if not alive.all():
+                i, j, matches = i[alive], j[alive], matches[alive]
+        return i, j, matches
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(len(batch), -1) for c in ("x", "y"))
-            alive, matches = np.arange(len(batch)), np.zeros(len(batch), np.int64)
-            for k, need in enumerate(least):
-                at = slice(k * BATCH, (k + 1) * BATCH)
-                matches[alive] += (x[alive, at] == y[alive, at]).sum(axis=1)
-                alive = alive[matches[alive] >= need]
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(alive)) for c in ("a", "b")], ["a", "b"])
-
-    left = signed.select(F.col("doc_id").alias("b"), F.col("sig").alias("y"))
-    right = signed.select(F.col("doc_id").alias("a"), F.col("sig").alias("x"))
-    kind = dict(pairs.dtypes)["a"]
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
+def _signed(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), -1)
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold.
 
-    A hub's text goes before its members' in a partition sorted by hub, so that one set is held at a
-    time; hubs of many members are repeated, one for each chunk of them.
+def _links(a: list, b: list, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+
+
+def hub_links(pairs: DataFrame, sets: DataFrame, threshold: int, miss: float) -> DataFrame:
+    """The pairs (a, b) of a hub and a class that link.
+
+    A hub goes before its classes in a partition sorted by hub, so that one hub is held at a time; hubs
+    of many classes are repeated, one for each chunk of them.
     """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b", F.lit(1).alias("role"))
-    hubs = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("b"), F.lit(0).alias("role"))
-    needed = members.unionByName(hubs).join(docs.select(F.col("doc_id").alias("b"), "text"), "b")
-    ordered = needed.select("a", "chunk", "role", "b", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role", "b")
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    members = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("x"), F.lit(1).alias("side"))
+    hubs = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("x"), F.lit(0).alias("side"))
+    needed = members.unionByName(hubs).join(sets, "x").select("a", "chunk", "side", "x", "sig", "shingles")
+    ordered = needed.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "side")
     kind = dict(pairs.dtypes)["a"]
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, held = WordHashes(), None, []
+        prune, at, held = Pruner(threshold, miss), None, []
         for batch in batches:
-            linked: tuple[list, list] = ([], [])
-            for a, chunk, role, b, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (a, chunk) != at:
-                    at, held = (a, chunk), []
-                s = shingle_set(text, words, hashes)
-                if role == 0:
-                    held.append(s)
+            for part in pieces(batch):
+                a, chunk, side, xs, sigs, shingles = (c.to_pylist() for c in part.columns)
+                # Signatures of the hubs that are met here, and for each class of a hub one pair of places.
+                known = [h[0] for h in held]
+                here, i, j, other = list(range(len(held))), [], [], [h[1] for h in held]
+                for r, unit in enumerate(zip(a, chunk, strict=True)):
+                    if unit != at:
+                        at, held, here = unit, [], []
+                    if side[r] == 0:
+                        here.append(len(known))
+                        known.append(sigs[r])
+                        other.append(shingles[r])
+                        held.append((sigs[r], shingles[r]))
+                    else:
+                        i += here
+                        j += [r] * len(here)
+                if not i:
+                    continue
+                i, j, _ = prune(_signed(known), np.array(i), _signed(sigs), np.array(j))
+                found: tuple[list, list] = ([], [])
+                for h, r in zip(i.tolist(), j.tolist(), strict=True):
+                    p, q = np.frombuffer(other[h], "<u8"), np.frombuffer(shingles[r], "<u8")
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if both and 100 * both >= threshold * (len(p) + len(q) - both):
+                        found[0].append(a[r])
+                        found[1].append(xs[r])
+                if found[0]:
+                    yield _links(*found, part.schema.field("x").type)
+
+    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+class Part:
+    """Some rows of a block: components, signatures, a key for each band, and sets."""
+
+    def __init__(self, roots: list, sigs: list[bytes], shingles: list[bytes]):
+        self.roots, self.sigs = roots, _signed(sigs)
+        self.sets = [np.frombuffer(s, "<u8") for s in shingles]
+        self.sizes = np.array([len(s) for s in self.sets])
+        # 96 bits of a band as one 64-bit key: a chance agreement only means one more candidate.
+        words = np.ascontiguousarray(self.sigs).view("<u4").reshape(len(sigs), BANDS, ROWS // 2).astype(np.uint64)
+        self.bands = ((words[:, :, 0] * _FACTORS[0] + words[:, :, 1]) * _FACTORS[1] + words[:, :, 2]) * _FACTORS[2]
+
+
+class Meeting:
+    """Two blocks (or one, with itself) in a task: finds the links that join components."""
+
+    def __init__(self, threshold: int, prune: Pruner):
+        self.threshold, self.prune = threshold, prune
+        self.held: list[Part] = []
+        self.parent: dict = {}
+        self.found: tuple[list, list] = ([], [])
+
+    def root(self, x):
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def compare(self, p: Part, q: Part, same: bool) -> None:
+        code: dict = {}
+        mine, theirs = ([code.setdefault(self.root(r), len(code)) for r in part.roots] for part in (p, q))
+        open_ = np.array(mine)[:, None] != np.array(theirs)[None, :]
+        if same:
+            open_ &= np.tri(len(mine), k=-1, dtype=bool).T
+        least, most = np.minimum(p.sizes[:, None], q.sizes), np.maximum(p.sizes[:, None], q.sizes)
+        open_ &= 100 * least >= self.threshold * most
+        if not open_.any():
+            return
+        met = np.zeros_like(open_)
+        for k in range(BANDS):
+            met |= p.bands[:, k, None] == q.bands[None, :, k]
+        i, j = np.nonzero(open_ & met)
+        i, j, matches = self.prune(p.sigs, i, q.sigs, j)
+        if len(i):
+            self.verify(p, q, i, j, matches)
+
+    def verify(self, p: Part, q: Part, i: np.ndarray, j: np.ndarray, matches: np.ndarray) -> None:
+        """Confirm survivors on full sets, likeliest first within a row, leaving out those joined meanwhile."""
+        rows, others = np.unique(i), np.unique(j)
+        sets = [p.sets[r] for r in rows] + [q.sets[r] for r in others]
+        values, places = np.unique(np.concatenate(sets), return_inverse=True)
+        cut = np.split(places, np.cumsum([len(s) for s in sets])[:-1])
+        own = dict(zip(rows.tolist(), cut[: len(rows)], strict=True))
+        their = dict(zip(others.tolist(), cut[len(rows) :], strict=True))
+        mark = np.zeros(len(values), bool)
+        order = np.lexsort((-matches, i))
+        for r, group in groupby(zip(i[order].tolist(), j[order].tolist(), strict=True), key=lambda x: x[0]):
+            mark[own[r]] = True
+            for _, s in group:
+                a, b = self.root(p.roots[r]), self.root(q.roots[s])
+                if a == b:
                     continue
-                for h in held:
-                    both = len(np.intersect1d(h, s, assume_unique=True))
-                    if both and 100 * both >= threshold * (len(h) + len(s) - both):
-                        linked[0].append(a)
-                        linked[1].append(b)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(linked, (batch.schema.field("a").type,) * 2, strict=True)], ["a", "b"])
+                both = int(np.count_nonzero(mark[their[s]]))
+                if both and 100 * both >= self.threshold * (len(own[r]) + len(their[s]) - both):
+                    self.parent[max(a, b)] = min(a, b)
+                    self.found[0].append(a)
+                    self.found[1].append(b)
+            mark[own[r]] = False
+
+    def end(self, diagonal: bool) -> None:
+        if diagonal:
+            for k, p in enumerate(self.held):
+                for q in self.held[k:]:
+                    self.compare(p, q, p is q)
+
+
+def block_links(seats: DataFrame, placed: DataFrame, sets: DataFrame, threshold: int, miss: float) -> DataFrame:
+    """Links (a, b) between components, from all candidates across components of the blocks that share an open bucket.
+
+    ``seats``: key, block, and lo and hi, the least and largest component of the block's classes in that
+    bucket.  ``placed``: x, root and block of the classes.
+    """
+    p = seats.select("key", F.col("block").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    q = seats.select("key", F.col("block").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    pairs = p.join(q, "key").where((F.col("a") <= F.col("b")) & (F.least("la", "lb") != F.greatest("ha", "hb"))).select("a", "b")
+    pairs = materialize(pairs.distinct(), "meetings")
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(2).alias("side")))).otherwise(
+        F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))
+    )
+    rows = pairs.select("a", "b", F.explode(sides).alias("e")).select("a", "b", "e.block", "e.side").join(placed, "block")
+    needed = rows.join(sets, "x").select("a", "b", "side", "root", "sig", "shingles")
+    # Little data and much work: tasks by the number of meetings, not by bytes.
+    n = pairs.count()
+    tasks = max(1, min(n, max(pairs.sparkSession.sparkContext.defaultParallelism, n // 32)))
+    ordered = needed.repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "side")
+    kind = dict(placed.dtypes)["root"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prune, at, meeting, last, type_ = Pruner(threshold, miss), None, None, 0, None
+
+        def over() -> Iterator[pa.RecordBatch]:
+            if meeting is not None:
+                meeting.end(last == 2)
+                if meeting.found[0]:
+                    yield _links(*meeting.found, type_)
+
+        for batch in batches:
+            type_ = batch.schema.field("root").type
+            for part in pieces(batch):
+                a, b, side, roots, sigs, shingles = (c.to_pylist() for c in part.columns)
+                for unit, group in groupby(range(len(a)), key=lambda r: (a[r], b[r], side[r])):
+                    span = list(group)
+                    span = slice(span[0], span[-1] + 1)
+                    rows = Part(roots[span], sigs[span], shingles[span])
+                    if unit[:2] != at:
+                        yield from over()
+                        at, meeting = unit[:2], Meeting(threshold, prune)
+                    last = unit[2]
+                    if last == 1:
+                        for held in meeting.held:
+                            meeting.compare(held, rows, False)
+                    else:
+                        meeting.held.append(rows)
+        yield from over()
 
     return ordered.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -234,71 +401,72 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _open_buckets(buckets: DataFrame, roots: DataFrame, larger_than: int) -> DataFrame:
-    """(key, x, place, n, root) of the buckets of more than so many classes that still lie in several components."""
-    named = buckets.where(F.col("n") > larger_than).join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    return named.join(mixed, "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("meets"), "x")))
+def open_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, x, size, root, top) of the buckets whose classes lie in several components; top: the hub as (rank, x, root)."""
+    named = buckets.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    top = F.min(F.struct((-F.col("meets")).alias("rank"), "x", "root")).alias("top")
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), top).where("lo <> hi").select("key", "top")
+    return named.join(mixed, "key").select("key", "x", "size", "root", "top")
+
+
+def blocks_of(open_: DataFrame) -> DataFrame:
+    """(x, root, block): the classes of open buckets dealt to blocks by their best hub and by whether its component holds them."""
+    best = open_.groupBy("x").agg(F.min("root").alias("root"), F.max("size").alias("size"), F.min("top").alias("top"))
+    placed = best.select("x", "root", "size", F.col("top.x").alias("hub"), (F.col("root") == F.col("top.root")).alias("inner"))
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    chunks = placed.groupBy("hub", "inner").agg(many.alias("chunks"))
+    place = F.xxhash64("hub", "inner", F.pmod(F.xxhash64(F.lit("chunk"), "x"), F.col("chunks")))
+    return placed.join(chunks, ["hub", "inner"]).select("x", "root", place.alias("block"))
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, words), "signatures")
-    classes = signed.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"))
-    classes = materialize(classes, "classes")
+    first = F.min(F.struct("doc_id", "tie")).alias("first")
+    classes = signed.where("sid is not null and doc_id is not null").groupBy("sid").agg(first, F.min("sig").alias("sig"), F.min("n_shingles").alias("size"))
+    classes = materialize(classes.select("sid", F.col("first.doc_id").alias("x"), "first.tie", "sig", "size"), "classes")
+    own = materialize(signed.join(classes.select("sid", F.col("x").alias("first")), "sid", "left").select("doc_id", "n_shingles", "first"), "own")
+    release(signed)
+    # Rows of one doc_id with several texts: their classes are linked through the doc_id.
+    several = own.where("first is not null").groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo <> hi")
+    repeats = own.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
-    banded = classes.select(F.explode(keys).alias("key"), F.col("doc_id").alias("x"))
+    banded = classes.select(F.explode(keys).alias("key"), "x", "size")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(banded.join(shared, "key"), "met")
     meets = met.groupBy("x").agg(F.sum(F.col("n") - 1).alias("meets"))
-    buckets = materialize(met.join(meets, "x").select("key", "x", "n", "meets"), "buckets")
+    buckets = materialize(met.join(meets, "x").select("key", "x", "size", "meets"), "buckets")
+    release(met)
     # Only texts that share a bucket can be asked for: the collection is read and shuffled once.
-    asked = materialize(docs.join(meets.select(F.col("x").alias("doc_id")), "doc_id", "left_semi"), "texts")
-    known = materialize(classes.join(meets.select(F.col("x").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig"), "known")
-
-    def confirmed(candidates: DataFrame) -> DataFrame:
-        alive = materialize(_survivors(candidates, known, threshold / 100, miss), "survivors")
-        return materialize(_confirmed(alive, asked, words, threshold), "confirmed")
-
-    hubs = buckets.groupBy("key").agg(F.max_by("x", F.struct("meets", -F.col("x"))).alias("hub"))
-    pairs = buckets.join(hubs, "key").where("x <> hub").select(F.col("hub").alias("a"), F.col("x").alias("b")).distinct()
-    links = confirmed(pairs)
-    roots = components(links)
-    done, most, least = 1, HUBS, 2
-    while True:
-        open_ = materialize(_open_buckets(buckets, roots, least), "open")
-        if not open_.limit(1).count():
-            break
-        # Pairs across components: all at once where they are few for each class, else those of the next hubs.
-        sizes = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        members, across = sizes.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
-        whole = across <= PAIRS_EACH * members
-        left = open_.where(F.lit(whole) | ((F.col("place") > done) & ((F.col("n") <= SMALL_BUCKET) | (F.col("place") <= most))))
-        left = left.select("key", F.col("x").alias("a"), F.col("root").alias("ra"), F.col("place").alias("pa"))
-        right = open_.select("key", F.col("x").alias("b"), F.col("root").alias("rb"), F.col("place").alias("pb"))
-        # A hub has met the classes before it already, and a pair of one component needs no link.
-        tried = left.join(right, "key").where("pa < pb and ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = confirmed(tried.distinct())
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            roots = components(links)
-        if whole:
-            break
-        done, most, least = most, 2 * most, max(SMALL_BUCKET, most)
-    own = signed.join(classes.select("sid", F.col("doc_id").alias("first")), "sid", "left").join(roots.withColumnRenamed("node", "first"), "first", "left")
-    return own.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("root", "first", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("root", "first", "doc_id")).alias("kept"),
-    )
+    asked = classes.join(buckets.select("x").distinct(), "x", "left_semi").select(F.col("x").alias("doc_id"), "tie", "x", "sig")
+    texts = docs.withColumn("tie", F.xxhash64("text")).join(asked, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie", "sig"])
+    sets = materialize(shingle_sets(texts, words), "sets")
+
+    hub = F.min(F.struct((-F.col("meets")).alias("rank"), "x", "size")).alias("hub")
+    pairs = buckets.join(buckets.groupBy("key").agg(hub), "key").where(F.col("x") != F.col("hub.x")).where(reachable(F.col("size"), F.col("hub.size"), threshold))
+    pairs = materialize(pairs.select(F.col("hub.x").alias("a"), F.col("x").alias("b")).distinct(), "pairs")
+    roots = components(hub_links(pairs, sets, threshold, miss).unionByName(repeats))
+    open_ = materialize(open_buckets(buckets, roots), "open")
+    placed = materialize(blocks_of(open_), "placed")
+    seats = open_.select("key", "x").join(placed, "x").groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    joined = components(block_links(materialize(seats, "seats"), placed, sets, threshold, miss))
+    release(pairs, open_, placed, sets, buckets)
+    named = own.join(roots.withColumnRenamed("node", "first"), "first", "left").withColumn("root", F.coalesce("root", "first", "doc_id"))
+    last = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    component = F.coalesce("last", "root")
+    return last.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id; rows without doc_id all stay."""
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id; rows without doc_id all stay.
+
+    Rows travel as one struct, so that no column of theirs can clash with the operator's own.
+    """
     found = near_duplicates(docs, words, threshold)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = docs.join(kept, "doc_id").withColumn("_first", first).where("_first = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    packed = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("tie"))
+    one = packed.join(kept, "doc_id").withColumn("place", place).where("place = 1")
+    return one.unionByName(packed.where("doc_id is null").withColumn("place", F.lit(1))).select("row.*")

@@ -256,3 +256,32 @@ def test_pipeline(spark, sf):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_minhash_star_of_copies_that_differ(spark, docs):
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):  # copies of 0.5 to 1.0 with the original, of less among themselves
+        copy = list(base)
+        for _ in range(rng.randrange(1, 20)):
+            copy[rng.randrange(200)] = f"x{rng.randrange(100000)}"
+        rows.append((i, " ".join(copy)))
+    half = rows[7][1].split()
+    rows += [(900, " ".join(half[:190] + ["q"] * 9)), (901, " ".join(half[:185] + ["r"] * 14))]
+    old = minhash.BLOCK_ROWS
+    minhash.BLOCK_ROWS = 64
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs(rows), 4).collect()}
+    finally:
+        minhash.BLOCK_ROWS = old
+    wanted = brute_components(rows, 4, 80)
+    assert got == wanted and 1 < len({c for _, c in wanted.values()}) < 400
+
+
+def test_minhash_repeated_ids_link_all_their_texts(docs):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    frame = docs([(3, a), (5, a), (5, b), (9, b), (5, a), (7, "alone here")], ["tie", "place", "row", "_first", "kept"])
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(frame).collect()} == {(3, 3), (5, 3), (9, 3), (7, 7)}
+    one = minhash.keep_one(frame)
+    assert one.columns == frame.columns and sorted((r["doc_id"], r["_first"], r["place"]) for r in one.collect()) == [(3, "x", "x"), (7, "x", "x")]
