@@ -66,7 +66,7 @@ def test_mixing_targets_and_bounds(docs, hard):
 
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
-        x = mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(12345).cast("long"), F.lit(mixing.STRIDES[1]).cast("long"))
+        x = mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(12345).cast("long"))
         assert sorted(r[0] for r in spark.range(n).select(x).collect()) == list(range(n))
 
 
