@@ -6,8 +6,11 @@ writer makes grey 8-bit pages of deflated strips.  Everything works on one file
 strip; no shuffle is needed.
 
 Cases: null or empty media give no page; a broken file gives one row with ``error`` set and no
-samples; null text counts as empty, whose payload is 64 zero bytes.  Repeated rows are read anew.
-Extra columns named in ``keep`` pass through.
+samples, after those of the pages before the fault; so do a predictor other than none or horizontal, and
+a page that claims more than ``MAX_PAGE_BYTES``, before any memory is taken for it.  A strip is never
+unpacked beyond the bytes that its rows need.  Null text counts as empty, whose payload is 64 zero bytes.
+Repeated rows are read anew, an empty table gives no rows, a very long text is one page of many strips.
+Extra columns named in ``keep`` pass through, others are not read.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_columns, text_batches
+from .common import map_columns
 
 WIDTH = 64
+#: Bytes of samples up to which a page is decoded.
+MAX_PAGE_BYTES = 1 << 30
 STRIP_ROWS = 1024
 NONE, LZW, ADOBE_DEFLATE, PACKBITS, DEFLATE = 1, 5, 8, 32773, 32946
 #: Bytes of each TIFF field type and the code with which ``struct`` reads it.
@@ -51,9 +56,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and (most is None or len(out) < most):
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + head + 2]
@@ -111,11 +116,11 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    out, acc, held, at = [], 0, 0, 0
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    out, acc, held, at, size = [], 0, 0, 0, 0
     words: list[bytes] = []
     last = b""
-    while True:
+    while most is None or size < most:
         width = _Bits.width(len(words) + bool(last)) if words else 9
         while held < width and at < len(data):
             acc, held, at = acc << 8 | data[at], held + 8, at + 1
@@ -134,19 +139,21 @@ def lzw_decode(data: bytes) -> bytes:
         if last:
             words.append(last + word[:1])
         out.append(word)
+        size += len(word)
         last = word
     return b"".join(out)
 
 
-def _unpacked(data: bytes, how: int) -> bytes:
+def _unpacked(data: bytes, how: int, most: int) -> bytes:
+    """A strip or tile unpacked, up to a little over ``most`` bytes."""
     if how == NONE:
-        return data
+        return data[:most]
     if how == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, most)
     if how == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if how in (ADOBE_DEFLATE, DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     raise ValueError(f"compression {how} is not supported")
 
 
@@ -194,15 +201,22 @@ def read_pages(data: bytes) -> Iterator[Page]:
         how, predictor = one(259, 1), one(317, 1)
         if bits not in (8, 16) or one(284, 1) != 1:
             raise ValueError("only chunky samples of 8 or 16 bits are supported")
+        if predictor not in (1, 2):
+            raise ValueError(f"predictor {predictor} is not supported")
         tiled = 322 in tags
         across, down = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
+        if min(width, height, channels, across, down) < 1:
+            raise ValueError("a page, strip or tile without samples")
+        if max(width * height, across * down) * channels * bits // 8 > MAX_PAGE_BYTES:
+            raise ValueError("the page claims too many samples")
         offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
         kind = np.dtype(f"{end}u{bits // 8}")
         image = np.zeros((height, width, channels), kind)
         for k, (start, size) in enumerate(zip(offsets, sizes, strict=True)):
             top, left = (k // -(-width // across) * down, k % -(-width // across) * across) if tiled else (k * down, 0)
             rows = down if tiled else min(down, height - top)
-            block = np.frombuffer(_unpacked(data[start : start + size], how), kind, rows * across * channels).reshape(rows, across, channels)
+            need = rows * across * channels
+            block = np.frombuffer(_unpacked(data[start : start + size], how, need * kind.itemsize), kind, need).reshape(rows, across, channels)
             if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=kind)
             image[top : top + rows, left : left + across] = block[: height - top, : width - left]
@@ -249,7 +263,6 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 def store_texts(docs: DataFrame, compression: int = ADOBE_DEFLATE, predictor: int = 1) -> DataFrame:
     """doc_id, n_bytes and media: each text as a TIFF of one page, 64 samples wide."""
-    text_batches(docs.sparkSession)
 
     def encode(ids: list, texts: list) -> list[list]:
         made = [payload_of(t) for t in texts]
@@ -272,7 +285,6 @@ def page_features(samples: bytes) -> str:
 
 def decode_pages(media: DataFrame, keep: list[str], with_samples: bool = True) -> DataFrame:
     """One row for each page of the files in column ``media``: ``keep``, the page's place and shape, digests, feature, samples."""
-    text_batches(media.sparkSession)
     own = "page int, width int, height int, channels int, bits int, compression int, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, error string"
     fields = T.StructType([media.schema[c] for c in keep] + T.StructType.fromDDL(own + ", samples binary" * with_samples).fields)
 
@@ -287,7 +299,7 @@ def decode_pages(media: DataFrame, keep: list[str], with_samples: bool = True) -
                     s = p.samples
                     row = [*kept, p.page, p.width, p.height, p.channels, p.bits, p.compression, *stored, len(s), hashlib.sha256(s).hexdigest(), zlib.crc32(s[-WIDTH:]), page_features(s), None]
                     rows.append(row + [s] * with_samples)
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error, TypeError) as e:
+            except (ValueError, KeyError, IndexError, struct.error, zlib.error, TypeError, MemoryError) as e:
                 rows.append([*kept, *[None] * 6, *stored, *[None] * 4, f"{type(e).__name__}: {e}", *[None] * with_samples])
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in fields]
 
@@ -296,4 +308,4 @@ def decode_pages(media: DataFrame, keep: list[str], with_samples: bool = True) -
 
 def media_digest(docs: DataFrame) -> DataFrame:
     pages = decode_pages(store_texts(docs), ["doc_id", "n_bytes"], with_samples=False)
-    return pages.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "page")
+    return pages.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "page", "error")
