@@ -10,7 +10,8 @@ place, whatever surrounds it; what the matcher sees of a match that ends there l
 that space, and matches after it depend on the text after it alone.  Merges stay inside matches.  So the
 tokens left of a safe place in the left half, and those right of one in the right half, are what the
 joined text has.  A window that ends in two such places settles all between; a half without one is taken
-whole, which costs its length once on each level, n log n in all.
+whole, which costs its length once on each level, n log n in all.  The proof holds for
+``public_tokenizers.PATTERN``; ``SAFE`` goes with that pattern, and another one needs a rule of its own.
 
 Cases: null and empty texts have no tokens.  Special tokens' strings are ordinary text.  Rows are
 encoded one by one, so repeated and very long rows need no care.  Extra columns are not read.
@@ -28,7 +29,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import map_columns, text_batches
+from .common import map_columns
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS = 2048
@@ -57,9 +58,13 @@ def last_safe(text: str) -> int:
 
 
 def first_safe(text: str) -> int:
-    """The first safe place of a text; its length if there is none."""
-    m = SAFE.search(text)
-    return m.start() if m else len(text)
+    """The first safe place of a text, found in a growing window from its start; its length if there is none."""
+    size = WINDOW
+    while True:
+        m = SAFE.search(text, 0, size)
+        if m or size >= len(text):
+            return m.start() if m else len(text)
+        size *= 2
 
 
 class TreeEncoder:
@@ -113,7 +118,6 @@ def _encoder(path: str | None) -> tuple[tiktoken.Encoding, Callable[[str], list[
 
 def encode_texts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ids: the tokens of each text.  ``path``: a rank file each executor has; the installed one by default."""
-    text_batches(docs.sparkSession)
 
     def make() -> Callable[..., list[list]]:
         _, encode = _encoder(path)
@@ -125,7 +129,6 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...]
 
 def decode_ids(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and text: the ids put together again, as bytes."""
-    text_batches(encoded.sparkSession)
 
     def make() -> Callable[..., list[list]]:
         encoding = tokenizer(path or public_tokenizers.path(RANKS))
@@ -137,7 +140,6 @@ def decode_ids(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...
 
 def round_trip(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """``keep``, n_tokens, ids_sha256, decoded_sha256 and on request ids: both operators on each text, in one pass."""
-    text_batches(docs.sparkSession)
 
     def make() -> Callable[..., list[list]]:
         encoding, encode = _encoder(path)
