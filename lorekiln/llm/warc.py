@@ -8,8 +8,11 @@ Archives travel as rows (archive, content): Parquet in the shared folder on the
 reader, or whatever ``spark.read.format("binaryFile")`` finds, see ``open_archives``.
 
 Cases: null html is an empty payload.  Rows equal in page_id and payload are all what the first of
-them is.  A payload whose pages all have a null id is a response throughout.  An empty table writes
-no archive.  A broken archive raises with the record's number.  Extra columns are not written.
+them is.  A page without id revisits the smallest id of its payload; a payload whose pages all have a
+null id is a response throughout.  A very long page is one record and one frame, in an archive of its
+own where it exceeds the archive's size.  An empty table writes no archive.  A broken archive raises with
+the record's number.  Header names are read whatever their case, folded lines as one.  Extra columns are
+not written, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,18 +25,19 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialize, text_batches
+from .common import map_columns, materialize, packed, pieces, spread_join
 
 SKIPPABLE = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 ARCHIVE_BYTES = 8 << 20
 DICT_BYTES = 16 << 10
 SAMPLES = 200
-SALTS = 16
 VERSION = b"WARC/1.1"
+#: The headers that are read, by their names in lower case: names are the same whatever their case.
+NAMES = {n.lower(): n for n in ("WARC-Record-ID", "WARC-Type", "WARC-Date", "Content-Length", "WARC-Target-URI", "WARC-Refers-To", "WARC-Payload-Digest", "WARC-Profile", "X-Payload-Length")}
 NEEDED = ("WARC-Record-ID", "WARC-Type", "WARC-Date", "Content-Length")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records carry a fixed date: reruns write the same bytes.
@@ -89,12 +93,17 @@ def parse_record(data: bytes) -> Record:
     first, *lines = head.split(b"\r\n")
     if not found or first.split(b"/")[0] != b"WARC" or first not in (b"WARC/1.0", VERSION):
         raise BrokenArchive("no WARC version line")
-    headers = {}
+    headers, last = {}, None
     for line in lines:
-        name, colon, value = line.decode("utf-8", "surrogateescape").partition(":")
+        text = line.decode("utf-8", "surrogateescape")
+        if text[:1] in (" ", "\t") and last:  # a folded line goes on with the header before it
+            headers[last] = f"{headers[last]} {text.strip()}".strip()
+            continue
+        name, colon, value = text.partition(":")
         if not colon:
             raise BrokenArchive(f"not a header: {name[:60]}")
-        headers[name.strip()] = value.strip()
+        last = NAMES.get(name.strip().lower(), name.strip())
+        headers[last] = value.strip()
     if missing := [n for n in NEEDED if n not in headers]:
         raise BrokenArchive(f"no {', '.join(missing)}")
     length = headers["Content-Length"]
@@ -135,24 +144,28 @@ def read_archive(content: bytes) -> Iterator[Record]:
             raise BrokenArchive(f"record {number}: {e}") from e
 
 
+def html_of(row: str) -> Column:
+    return F.coalesce(f"{row}.html", F.lit("")).cast("binary")
+
+
 def assign_revisits(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     """``pages`` with first: the smallest page_id of an equal payload, null where the row itself is to be a response.
 
-    Digests are combined before the shuffle, and only payloads seen twice are joined back, salted:
-    a payload that holds a third of all pages is spread over tasks.
+    Digests are combined before the shuffle, and only payloads seen twice are joined back; a payload
+    that holds a third of all pages is joined by broadcast, since few payloads can.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
-    keyed = pages.withColumn("_key", F.sha1(html))
-    groups = keyed.where(F.octet_length(html) >= min_payload).groupBy("_key").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    twice = groups.where("_n > 1").select("_key", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(twice, ["_key", "_salt"], "left")
-    return joined.select(*pages.columns, F.when(F.col("page_id") > F.col("_first"), F.col("_first")).alias("first"))
+    keyed = packed(pages, "page_id").withColumn("key", F.when(F.octet_length(html_of("row")) >= min_payload, F.sha1(html_of("row"))))
+    groups = pages.select("page_id", F.when(F.octet_length(html) >= min_payload, F.sha1(html)).alias("key")).where("key is not null")
+    groups = groups.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = spread_join(keyed, materialize(groups, "payloads"), ["key"], "n", ["first"])
+    own = F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))
+    columns = [F.col(f"row.`{c}`").alias(c) for c in pages.columns if c != "first"]
+    return joined.select(*columns, F.when(own, F.col("first")).alias("first"))
 
 
 def write_archives(pages: DataFrame, min_payload: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Rows (archive, content) in the shared folder: a partition's pages in archives of about ``archive_bytes``."""
-    text_batches(pages.sparkSession, 128)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -161,8 +174,8 @@ def write_archives(pages: DataFrame, min_payload: int = 0, archive_bytes: int =
             content = write_archive(held)
             return pa.RecordBatch.from_pydict({"archive": [f"{hashlib.sha1(content).hexdigest()}.warc.zst"], "content": pa.array([content], pa.binary())})
 
-        for b in batches:
-            for page_id, url, html, first in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        for part in (p for b in batches for p in pieces(b)):
+            for page_id, url, html, first in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 held.append(record_bytes(page_id, url, (html or "").encode("utf-8", "surrogatepass"), first))
                 size += len(held[-1])
                 if size >= archive_bytes:
@@ -182,7 +195,6 @@ def open_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """A row for each record: archive, record_id, record_type, target_uri, refers_to_id, payload_length, payload_digest, payload."""
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
 
     def make() -> Callable[..., list[list]]:
         def read(names: list, contents: list) -> list[list]:
@@ -199,7 +211,7 @@ def read_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
         return read
 
     schema = "archive string, record_id string, record_type string, target_uri string, refers_to_id string, payload_bytes long, payload_digest string"
-    return map_columns(archives.select("archive", "content"), make, schema + ", payload binary" * with_payload)
+    return map_columns(archives.select("archive", "content"), make, schema + ", payload binary" * with_payload, rows=1)
 
 
 def archive_round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
