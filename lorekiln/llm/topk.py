@@ -11,7 +11,8 @@ Cases: vectors that are null, empty, or hold null or non-finite components take
 different dimension aren't compared.  A query is compared with no row of its own vec_id; queries that
 repeat a vec_id with another vector have lists of their own, equal ones are one.  Ties go to the
 smaller vec_id, equal rows may both be listed.  Fewer candidates than k give them all.  Rows without
-vec_id are left out.  Extra columns are not read.
+vec_id are left out.  An empty table gives no rows.  Scores are 64-bit integers: components whose products
+could leave them raise an OverflowError, never wrap.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ BUCKET_ROWS = 8192
 BLOCK_ROWS = 1024
 #: Local cosine thresholds from which pruning by a coordinate is worth its lookups.
 COORDINATE_FROM = 0.6
-EXACT = 2.0**53
+EXACT, WHOLE = 2.0**53, 2.0**62
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -79,10 +80,16 @@ def _lengths(m: np.ndarray) -> np.ndarray:
 
 
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by floating point where every sum stays below 2^53."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * q.shape[-1] < EXACT:
+    """Exact integer inner products; by floating point where every sum stays below 2^53, unbounded ones where it may leave 64 bits."""
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(p.astype(float)).max(initial=0)) * q.shape[-1]
+    if most < EXACT:
         return (q.astype(float) @ p.astype(float).T).astype(np.int64)
-    return q @ p.T
+    if most < WHOLE:
+        return q @ p.T
+    table = q.astype(object) @ p.astype(object).T
+    if any(abs(x) >= 2**63 for x in table.flat):
+        raise OverflowError("an inner product leaves 64 bits")
+    return table.astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -156,19 +163,16 @@ def _bounds(blocks: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
         return run
 
     joined = blocks.join(seed, "dim").select("block", "dim", "ids", "matrix", "seed_ids", "seed_matrix")
-    return map_columns(joined, make, "qblock string, dim int, ids binary, matrix binary, bounds binary, need double")
+    return map_columns(joined, make, "qblock string, dim int, ids binary, matrix binary, bounds binary, need double", rows=1)
 
 
 def search(vectors: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each vector whose id ``modulus`` divides, against all others."""
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     rows = materialize(quantized(vectors, scale), "vectors")
     n = max(1, -(-rows.count() // BUCKET_ROWS))
     buckets = materialize(_packed(rows.repartitionByRange(n, "dim", F.desc("norm"), "vec_id"), BUCKET_ROWS), "buckets")
     asked = rows.where(F.col("vec_id") % modulus == 0).dropDuplicates(["vec_id", "v"])
     blocks = _packed(asked.repartition(max(1, -(-n * BUCKET_ROWS // modulus // BLOCK_ROWS)), F.xxhash64("vec_id")), BLOCK_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     blocks = materialize(_bounds(blocks, buckets, k), "queries")
     # Only headers meet here; matrices follow by key to the pairs of blocks that may hold a result.
     pairs = blocks.select("qblock", "dim", "need").join(buckets.select("block", "dim", "longest"), "dim").where("need <= longest")
@@ -192,6 +196,6 @@ def search(vectors: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, scale:
 
         return run
 
-    found = map_columns(met, make, "query_id long, key long, vec_id long, score long")
+    found = map_columns(met, make, "query_id long, key long, vec_id long, score long", rows=1)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
