@@ -22,11 +22,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TEXT_ROWS = 256
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Bound Arrow batches of whole texts for the plans made from now on in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def pieces(batch: pa.RecordBatch, rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
     """An Arrow batch in slices of so many rows."""
     for at in range(0, batch.num_rows, rows):

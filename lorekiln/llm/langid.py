@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_columns, text_batches
+from .common import held_out, map_columns
 
 ORDER = 4
 PER_LANG = 1500
@@ -183,7 +183,6 @@ def _count_words(sample: DataFrame) -> dict[str, dict[str, int]]:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Models | None:
     """Models from a bounded sample of the rows of known language that aren't held out."""
-    text_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
@@ -243,7 +242,6 @@ def _count_grams(words: DataFrame) -> DataFrame:
 
 def identify(docs: DataFrame, models: Models | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, best (the likeliest language, ``und`` without letters), score, entropy and rejected for every row."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def make() -> Callable[..., list[list]]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_columns, text_batches
+from .common import held_out, map_columns
 from .minhash import Signer, WordHashes, shingle_set
 
 #: Score from which a text is rejected.
@@ -395,7 +395,6 @@ def _terms(sample: DataFrame, max_terms: int) -> tuple[list[str], dict[int, int]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_terms: int = MAX_TERMS) -> Lexicon:
-    text_batches(docs.sparkSession)
     sample, shares = _sample(docs, labels, per_label)
     terms, cluster_of = _terms(sample, max_terms)
     if len(shares) < 2 or not terms:
@@ -436,7 +435,6 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_te
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",), with_spans: bool = False) -> DataFrame:
     """``keep``, score, n_hits, and with ``with_spans`` each hit's word, term, edits, quotation and place in the text."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     learned = bool(lexicon.terms)
 

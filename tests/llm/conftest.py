@@ -24,6 +24,10 @@ def docs(spark):
 HARD = [(1, None), (2, ""), (3, " \t\n"), (4, "one two three four five six"), (4, "one two three four five six"), (5, "word " * 30000), (None, "no id at all here")]
 
 
+#: Names that operators use or might use inside.
+CLASHING = "_salt key slot size rank score hits page _gone _doc _row _first _all _key bucket text2 row gone tie to_doc to_row last_doc h1 pos place first x root sig order spread n words".split()
+
+
 @pytest.fixture
 def hard(docs):
-    return docs([(i, t, "en", None if i == 3 else "s") for i, t in HARD], extra=["_salt", "key", "slot", "size", "rank", "score", "hits", "page"])
+    return docs([(i, t, "en", None if i == 3 else "s") for i, t in HARD], extra=CLASHING)
