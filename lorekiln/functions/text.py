@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html as html_lib
+import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -72,10 +74,13 @@ def replaced(c: Column, steps: list[tuple[str, str]]) -> Column:
     return c
 
 
-def clean_html(c: Column, undo: Column | None = None) -> Column:
-    """Tags, attributes and known artefacts removed; entities by ``undo`` (the Python form) or the five named ones."""
+def clean_html(c: Column, undo: Callable[[Column], Column] | None = None) -> Column:
+    """Tags, attributes and known artefacts removed; character references undone by ``undo`` (such as ``unescape``, for
+    all of them, through Python) or, by built-in functions, the five named ones."""
     c = replaced(c, MARKUP)
-    if undo is None:
+    if undo is not None:
+        c = undo(c)
+    else:
         for name, sign in ENTITIES:
             c = F.replace(c, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(replaced(c, LEFTOVERS), r"\s+", " "))
@@ -106,6 +111,11 @@ def t02(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", clean_html(ascii_only).alias("text"))
 
 
+@query("t02b_clean_html_all_references")
+def t02b(m: Model) -> DataFrame:
+    return m.table("pages").select("page_id", clean_html(F.col("html"), unescape).alias("text"))
+
+
 def remove_boilerplate(c: Column) -> Column:
     return replaced(c, [("(?im)" + p, "") for p in BOILERPLATE])
 
@@ -126,12 +136,20 @@ def t04(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", F.sha2(normalize_whitespace(F.col("text")), 256).alias("digest"))
 
 
-#: A sentence ends at one of .!? before white space and a capital letter.
-SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])"
+#: Fixed value: a sentence ends after . ? or ! before white space, but not after initials (e.g.) or a short capitalised
+#: abbreviation (Mr.); what follows need not be a capital.
+SENTENCE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)\s"
+#: White space in Python's sense, and the same pattern where classes must be told to be Unicode's and a dot to be any character but a newline.
+_WHITE = r"[\s\x1c-\x1f]"
+_JVM_SENTENCE_END = r"(?U)(?<!\w\.\w[^\n])(?<![A-Z][a-z]\.)(?<=[.?!])" + _WHITE
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?U)^{_WHITE}+|{_WHITE}+$", "")
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, _JVM_SENTENCE_END), stripped), lambda s: s != "")
 
 
 @query("t05_sentences")
@@ -160,8 +178,6 @@ def chunks(texts: DataFrame, key: str, column: str, size: int = 200, overlap: in
     """Sentence-aligned chunks of about ``size`` tokens, each beginning with up to ``overlap`` tokens of the one before."""
 
     def one(text: str) -> list[tuple[int, str, int]]:
-        import re
-
         out, held, tokens = [], [], 0
         for s in (x.strip() for x in re.split(SENTENCE_END, text or "")):
             if not s:
@@ -204,10 +220,10 @@ def normalize_entity(name: Column, kind: Column) -> Column:
 _TITLE_LIST = ", ".join(f"'{t}'" for t in TITLES)
 
 
-@query("t09_normalize_entity", f"SELECT c_custkey, array_to_string(list_filter(string_split(name, ' '), lambda w, i: NOT (lower(regexp_replace(w, '[.,]+$', '')) IN ({_TITLE_LIST})) AND NOT (lower(w) = 'city' AND i > 1)), ' ') AS person, 'Customer Guild' AS organization FROM (SELECT c_custkey, 'Rutland City Mayor ' || c_name || ' Dr.' AS name FROM customer)")
+@query("t09_normalize_entity", f"SELECT c_custkey, array_to_string(list_filter(string_split(name, ' '), lambda w, i: NOT (lower(regexp_replace(w, '[.,]+$', '')) IN ({_TITLE_LIST})) AND NOT (lower(w) = 'city' AND i > 1)), ' ') AS person, c_name || ' Guild' AS organization FROM (SELECT c_custkey, 'Rutland City Mayor ' || c_name || ' Dr.' AS name, c_name FROM customer)")
 def t09(m: Model) -> DataFrame:
     name = F.concat(F.lit("Rutland City Mayor "), "c_name", F.lit(" Dr."))
-    return m.table("customer").select("c_custkey", normalize_entity(name, F.lit("PERSON")).alias("person"), normalize_entity(F.lit("The Customer Guild"), F.lit("ORGANIZATION")).alias("organization"))
+    return m.table("customer").select("c_custkey", normalize_entity(name, F.lit("PERSON")).alias("person"), normalize_entity(F.concat(F.when(F.col("c_custkey") % 2 == 0, "The ").otherwise(""), "c_name", F.lit(" Guild")), F.lit("ORGANIZATION")).alias("organization"))
 
 
 def occurrences(text: Column, name: Column) -> Column:
@@ -229,6 +245,43 @@ def t10(m: Model) -> DataFrame:
     return found.select("doc_id", F.size("at").cast("long").alias("n"), F.get("at", F.lit(0)).alias("first"))
 
 
+def spans(c: Column) -> Column:
+    """(start, end, text) of each sentence of a text: offsets of the stripped sentence, in order."""
+    white = rf"(?U)^{_WHITE}+"
+    # Each end takes one white character; what a part has at its ends lies outside its sentence.
+    parts = F.transform(F.split(c, _JVM_SENTENCE_END, -1), lambda p: F.struct(F.char_length(p).alias("n"), F.char_length(F.regexp_replace(p, white, "")).alias("left"), stripped(p).alias("text")))
+    placed = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("found")),
+        lambda acc, p: F.struct(
+            (acc["at"] + p["n"] + 1).alias("at"),
+            F.concat(acc["found"], F.array(F.struct((acc["at"] + p["n"] - p["left"]).alias("start"), (acc["at"] + p["n"] - p["left"] + F.char_length(p["text"])).alias("end"), p["text"].alias("text")))).alias("found"),
+        ),
+    )
+    return F.filter(placed["found"], lambda x: x["text"] != "")
+
+
+def containing(places: Column, offset: Column) -> Column:
+    """The index of the first of (start, end) intervals, in order, that holds an offset: start <= offset < end; null if none does."""
+    hits = F.filter(F.sequence(F.lit(0), F.size(places) - 1), lambda i: (F.get(places, i)["start"] <= offset) & (offset < F.get(places, i)["end"]))
+    return F.when(F.size(places) > 0, F.get(hits, F.lit(0)))
+
+
+@query(
+    "j13_interval_membership",
+    """WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+placed AS (SELECT doc_id, i, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start, length(line) AS n FROM lines),
+found AS (SELECT doc_id, strpos(lower(text), ' the ') - 1 AS place FROM documents WHERE strpos(lower(text), ' the ') > 0)
+SELECT f.doc_id, place, CAST(i AS INTEGER) AS line FROM found f LEFT JOIN placed p ON p.doc_id = f.doc_id AND start <= place AND place < start + n""",
+)
+def j13(m: Model) -> DataFrame:
+    lines = F.split("text", "\n", -1)
+    ends = F.aggregate(lines, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(x) + 1)))
+    places = F.zip_with(lines, ends, lambda x, e: F.struct(e.alias("start"), (e + F.char_length(x)).alias("end")))
+    found = m.table("documents").select("doc_id", occurrences(F.col("text"), F.lit(" the ")).alias("all"), F.slice(places, 1, F.size(lines)).alias("places")).where("size(all) > 0")
+    return found.select("doc_id", F.get("all", F.lit(0)).alias("place"), containing(F.col("places"), F.get("all", F.lit(0))).alias("line"))
+
+
 @query("t11_article_hash", over("articles", "SELECT id, sha256(url || '||' || title) AS article_hash FROM articles"))
 def t11(m: Model) -> DataFrame:
     return m.articles.select("id", F.sha2(F.concat_ws("||", "url", "title"), 256).alias("article_hash"))
@@ -319,14 +372,38 @@ def e02(m: Model) -> DataFrame:
     return m.table("events").select("event_id", valid_extraction(reply).alias("valid"))
 
 
-@query("e03_nested_claims", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) * 1000 AS population FROM events")
-def e03(m: Model) -> DataFrame:
-    claims = F.concat(F.lit('{"claims":{"P1082":[{"mainsnak":{"datavalue":{"value":{"amount":"+'), F.get_json_object("props", "$.k"), F.lit('000"}}}}]}}'))
-    return m.table("events").select("event_id", claim_amount(claims, "P1082").alias("population"))
+def claim(c: Column, prop: str, path: str) -> Column:
+    """What the first statement of a property says at ``path`` of its value."""
+    return F.get_json_object(c, f"$.claims.{prop}[0].mainsnak.datavalue.value{path}")
+
 
+def claims(c: Column) -> dict[str, Column]:
+    """Population (P1082), coordinates (P625) and class (P31) of an entity's JSON; null where a statement lacks its value."""
+    lat, lon = claim(c, "P625", ".latitude").try_cast("double"), claim(c, "P625", ".longitude").try_cast("double")
+    both = lat.isNotNull() & lon.isNotNull()
+    return {
+        "population": claim(c, "P1082", ".amount").try_cast("double").cast("long"),
+        "lat": F.when(both, lat),
+        "lon": F.when(both, lon),
+        "instance_of": claim(c, "P31", ".id"),
+    }
 
-def claim_amount(c: Column, prop: str) -> Column:
-    return F.get_json_object(c, f"$.claims.{prop}[0].mainsnak.datavalue.value.amount").try_cast("long")
+
+@query(
+    "e03_nested_claims",
+    """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN k * 1000 END AS population, CASE WHEN event_id % 2 = 0 THEN k / CAST(4 AS DOUBLE) END AS lat,
+  CASE WHEN event_id % 2 = 0 THEN -k / CAST(8 AS DOUBLE) END AS lon, CASE WHEN event_id % 5 <> 0 THEN 'Q' || k END AS instance_of
+FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""",
+)
+def e03(m: Model) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    snak = lambda prop, value, there: F.when(there, F.concat(F.lit(f'"{prop}":[{{"mainsnak":{{"datavalue":{{"value":'), value, F.lit("}}}]")))
+    amount = F.concat(F.lit('{"amount":"+'), k.cast("string"), F.lit('000"}'))
+    place = F.concat(F.lit('{"latitude":'), (k / 4).cast("string"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(',"longitude":'), (-k / 8).cast("string"))).otherwise(""), F.lit("}"))
+    kind = F.concat(F.lit('{"id":"Q'), k.cast("string"), F.lit('"}'))
+    parts = F.concat_ws(",", snak("P1082", amount, F.col("event_id") % 3 != 0), snak("P625", place, F.lit(True)), snak("P31", kind, F.col("event_id") % 5 != 0))
+    found = claims(F.concat(F.lit('{"claims":{'), parts, F.lit("}}")))
+    return m.table("events").select("event_id", *[c.alias(n) for n, c in found.items()])
 
 
 @query("e04_array_union", over("facts", "SELECT article_id, entity, array_to_string(list_sort(list_distinct(list_concat(source_models, ['X', 'A']))), ',') AS models FROM facts"))
