@@ -1,7 +1,7 @@
 """Graphs of entities: components, centralities, communities, layout.
 
 Graphs of one article are small and are worked on whole, one article at a time; the corpus graph is
-worked on by DataFrame iterations, whose state is checkpointed where a checkpoint folder is set.
+worked on by DataFrame iterations, whose state is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.proxy import Model, over
 from ..plans.registry import query
+from ..plans.shared import materialize
 from .prune import _EDGES, edges_of, per_graph
 
 #: The colours that communities cycle through, and that of nodes without one.
@@ -23,9 +24,8 @@ DAMPING = 0.85
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A new lineage through the checkpoint folder, if one is set."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+    """A new lineage through a table in the shared folder, which outlives executors."""
+    return materialize(df, "graph")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -46,13 +46,21 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", F.col("after").alias("label"))
 
 
-def _strong(m: Model) -> DataFrame:
-    return edges_of(m).where("score >= 0.97D")
+_LINKED = "both_ways AS MATERIALIZED (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges)"
 
 
-@query("g07_components", over("facts", "SELECT node, min(root) AS component FROM r GROUP BY node", _EDGES, "s AS (SELECT source AS a, target AS b FROM edges WHERE score >= 0.97 UNION SELECT target, source FROM edges WHERE score >= 0.97)", "r(node, root) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node)").replace("WITH facts", "WITH RECURSIVE facts", 1))
+@query(
+    "g07_components",
+    over(
+        "facts",
+        "SELECT node, root AS component FROM r",
+        _EDGES,
+        _LINKED,
+        "r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT b, min(r.root) FROM r JOIN both_ways ON a = r.node JOIN recurring.r o ON o.node = b GROUP BY b, o.root HAVING min(r.root) < o.root)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def g07(m: Model) -> DataFrame:
-    return components(_strong(m))
+    return components(edges_of(m))
 
 
 def weighted_degree(edges: DataFrame, keys: tuple[str, ...] = ("article_id",)) -> DataFrame:
@@ -68,28 +76,41 @@ def g03(m: Model) -> DataFrame:
     return weighted_degree(edges_of(m)).withColumn("degree", F.round(F.col("degree") - 1e-9, 4))
 
 
-def corpus_pagerank(edges: DataFrame, iterations: int = 10) -> DataFrame:
-    """PageRank of the weighted undirected corpus graph after a fixed number of rounds."""
-    links = _cut(both_ways(edges).groupBy("source", "target").agg(F.sum("score").alias("w")))
+def corpus_pagerank(edges: DataFrame, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+    """PageRank of the weighted undirected corpus graph, until ranks change by less than ``tolerance`` times the nodes
+    in all (looked at every fifth round), or after ``iterations`` rounds."""
+    links = both_ways(edges).groupBy("source", "target").agg(F.sum("score").alias("w"))
     out = links.groupBy("source").agg(F.sum("w").alias("out"))
     shares = _cut(links.join(out, "source").select("source", "target", (F.col("w") / F.col("out")).alias("share")))
-    n = out.count()
-    ranks = out.select(F.col("source").alias("node"), F.lit(1.0 / max(1, n)).alias("rank"))
+    nodes = _cut(shares.select(F.col("source").alias("node")).distinct())
+    n = max(1, nodes.count())
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(iterations):
         got = shares.join(ranks.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        ranks = got.select("node", ((1 - DAMPING) / max(1, n) + DAMPING * F.col("got")).alias("rank"))
+        after = got.select("node", ((1 - DAMPING) / n + DAMPING * F.col("got")).alias("rank"))
         if i % 5 == 4:
-            ranks = _cut(ranks)
+            after = _cut(after)
+            if tolerance is not None:
+                moved = after.join(ranks.withColumnRenamed("rank", "last"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("last")))).first()[0] or 0.0
+                if moved < n * tolerance:
+                    return after
+        ranks = after
     return ranks
 
 
-_RANK_STEPS = ["l AS (SELECT source, target, sum(score) AS w FROM (SELECT source, target, score FROM edges WHERE score >= 0.97 UNION ALL SELECT target, source, score FROM edges WHERE score >= 0.97) GROUP BY 1, 2)", "p AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS share FROM l)", "n AS (SELECT count(DISTINCT source) AS n FROM l)", "r0 AS (SELECT DISTINCT source AS node, 1 / CAST((SELECT n FROM n) AS DOUBLE) AS rank FROM l)"]
-_RANK_STEPS += [f"r{i} AS (SELECT target AS node, 0.15 / (SELECT n FROM n) + 0.85 * sum(share * rank) AS rank FROM p JOIN r{i - 1} ON node = source GROUP BY target)" for i in range(1, 6)]
+_ROUNDS = 20
+_RANK_STEPS = [
+    "l AS (SELECT source, target, sum(score) AS w FROM (SELECT source, target, score FROM edges UNION ALL SELECT target, source, score FROM edges) GROUP BY 1, 2)",
+    "p AS MATERIALIZED (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS share FROM l)",
+    "n AS MATERIALIZED (SELECT count(DISTINCT source) AS n FROM p)",
+    "r0 AS (SELECT DISTINCT source AS node, 1.0::DOUBLE / (SELECT n FROM n) AS rank FROM p)",
+]
+_RANK_STEPS += [f"r{i} AS MATERIALIZED (SELECT target AS node, 0.15::DOUBLE / (SELECT n FROM n) + 0.85::DOUBLE * sum(share * rank) AS rank FROM p JOIN r{i - 1} ON node = source GROUP BY target)" for i in range(1, _ROUNDS + 1)]
 
 
-@query("g01_corpus_pagerank", over("facts", "SELECT node, round(rank, 9) AS rank FROM r5", _EDGES, *_RANK_STEPS))
+@query("g01_corpus_pagerank", over("facts", f"SELECT node, round(rank, 9) AS rank FROM r{_ROUNDS}", _EDGES, *_RANK_STEPS))
 def g01(m: Model) -> DataFrame:
-    return corpus_pagerank(_strong(m), 5).withColumn("rank", F.round("rank", 9))
+    return corpus_pagerank(edges_of(m), _ROUNDS, None).withColumn("rank", F.round("rank", 9))
 
 
 def _adjacency(graph: list) -> tuple[list[str], np.ndarray]:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.scores import size_class
+from ..functions.scores import SIZES, size_class
 from ..plans.proxy import Model, over
 from ..plans.registry import query
 from .relational import entity_pairs
@@ -25,10 +26,15 @@ _EDGES = "edges AS (SELECT a.article_id, a.entity AS source, b.entity AS target,
 
 
 def top_k_edges(edges: DataFrame, k: int = 10, min_nodes: int = 10) -> DataFrame:
-    """Edges among the k strongest of either endpoint, in graphs of more than ``min_nodes`` nodes; smaller graphs stay whole."""
-    ends = edges.select("*", F.explode(F.array("source", "target")).alias("node"))
-    rank = F.row_number().over(Window.partitionBy("article_id", "node").orderBy(F.desc("score"), "source", "target"))
-    nodes = ends.groupBy("article_id").agg(F.count_distinct("node").alias("nodes"))
+    """Edges among the k strongest of either endpoint, in graphs of more than ``min_nodes`` nodes; smaller graphs stay whole.
+
+    Ties in score go by raw_count, then confidence, where the edges have those columns, then by name.  One
+    shuffle puts articles together; ranks, counts and the choice between both ends need no other.
+    """
+    strongest = [F.desc(c) for c in ("score", "raw_count", "confidence") if c in edges.columns]
+    ends = edges.repartition("article_id").select("*", F.explode(F.array("source", "target")).alias("node"))
+    rank = F.row_number().over(Window.partitionBy("article_id", "node").orderBy(*strongest, "source", "target"))
+    nodes = ends.groupBy("article_id", "node").agg(F.lit(1).alias("one")).groupBy("article_id").agg(F.count("one").alias("nodes"))
     ranked = ends.withColumn("rank", rank).join(nodes, "article_id").where((F.col("rank") <= k) | (F.col("nodes") <= min_nodes))
     return ranked.select(*edges.columns).distinct()
 
@@ -38,17 +44,19 @@ def w02(m: Model) -> DataFrame:
     return top_k_edges(edges_of(m), 2, 4)
 
 
+#: An interpolated cut may differ from the score that it equals by rounding.
+ROUNDING = 1e-9
+
+
 def percentile_edges(edges: DataFrame, share: float) -> DataFrame:
     """Edges at or above a percentile of their article's scores, linearly interpolated."""
     cut = edges.groupBy("article_id").agg(F.percentile("score", F.lit(share)).alias("cut"))
-    return edges.join(cut, "article_id").where("score >= cut").drop("cut")
+    return edges.join(cut, "article_id").where(F.col("score") >= F.col("cut") - ROUNDING).drop("cut")
 
 
 @query("w04_percentile_edges", over("facts", "SELECT e.article_id, source, target FROM edges e JOIN (SELECT article_id, quantile_cont(score, 0.7) AS cut FROM edges GROUP BY 1) c ON c.article_id = e.article_id WHERE score >= cut - 1e-9", _EDGES))
 def w04(m: Model) -> DataFrame:
-    edges = edges_of(m)
-    cut = edges.groupBy("article_id").agg(F.percentile("score", F.lit(0.7)).alias("cut"))
-    return edges.join(cut, "article_id").where("score >= cut - 1e-9D").select("article_id", "source", "target")
+    return percentile_edges(edges_of(m), 0.7).select("article_id", "source", "target")
 
 
 def with_fallback(edges: DataFrame, min_score: float, keep: int = 3) -> DataFrame:
@@ -64,38 +72,64 @@ def w05(m: Model) -> DataFrame:
     return with_fallback(edges_of(m), 0.8)
 
 
-def per_graph(edges: DataFrame, work: Callable[[list], list[tuple]], schema: str) -> DataFrame:
-    """``work`` on each article's edges (source, target, score), strongest first, giving rows for ``schema`` after article_id.
+#: Rows of an output batch of ``by_article``.
+BATCH = 4096
+
+
+def by_article(rows: DataFrame, order: list[str | Column], work: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``work`` on the stream of each article's rows in ``order``, tuples without article_id, giving rows for ``schema`` after article_id.
 
-    Graphs travel as one list each and many to a batch: an article's graph is small, articles are many.
+    One shuffle brings articles together, sorted; a task streams through them and holds what ``work`` holds.
     """
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "source", "target")))
-    lists = edges.groupBy("article_id").agg(order.alias("g")).select("article_id", "g.source", "g.target", F.transform("g", lambda x: -x["s"]).alias("score"))
-    fields = T.StructType.fromDDL(f"article_id {dict(edges.dtypes)['article_id']}, {schema}")
+    columns = [c for c in rows.columns if c != "article_id"]
+    sorted_ = rows.select("article_id", *columns).repartition("article_id").sortWithinPartitions("article_id", *order)
+    fields = T.StructType.fromDDL(f"article_id {dict(rows.dtypes)['article_id']}, {schema}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(fields)
-        for b in batches:
-            rows = [(i, *r) for i, *g in zip(*[c.to_pylist() for c in b.columns], strict=True) for r in work(list(zip(*g, strict=True)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow.types, strict=True)], schema=arrow)
 
-    return lists.mapInArrow(run, fields)
+        def stream() -> Iterator[tuple]:
+            for b in batches:
+                for at in range(0, b.num_rows, BATCH):
+                    yield from zip(*[c.to_pylist() for c in b.slice(at, BATCH).columns], strict=True)
 
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
-def degree_cap(edges: DataFrame, cap: int) -> DataFrame:
-    """Edges in order of score, then names, each kept only while both its ends are below the cap: the order decides."""
+        out: list[tuple] = []
+        for article, group in groupby(stream(), key=lambda r: r[0]):
+            for r in work(row[1:] for row in group):
+                out.append((article, *r))
+                if len(out) >= BATCH:
+                    yield packed(out)
+                    out = []
+        if out:
+            yield packed(out)
 
-    def cut(graph: list) -> list[tuple]:
+    return sorted_.mapInArrow(run, fields)
+
+
+def per_graph(edges: DataFrame, work: Callable[[list], list[tuple]], schema: str) -> DataFrame:
+    """``work`` on each article's whole graph, a list of (source, target, score), strongest first."""
+    return by_article(edges.select("article_id", "source", "target", "score"), [F.desc("score"), "source", "target"], lambda rows: work(list(rows)), schema)
+
+
+def degree_cap(edges: DataFrame, cap: int | str) -> DataFrame:
+    """Edges in order of strength (score times confidence, where there is such a column), then names, each kept only while
+    both its ends are below the cap (a number, or the column that holds it): the order decides, so degrees are all a task holds."""
+    confidence = F.col("confidence") if "confidence" in edges.columns else F.lit(1.0)
+    limit = F.col(cap) if isinstance(cap, str) else F.lit(cap)
+    ranked = edges.select("article_id", "source", "target", "score", (F.col("score") * confidence).alias("strength"), limit.cast("int").alias("limit"))
+
+    def cut(graph: Iterator[tuple]) -> Iterator[tuple]:
         degree: dict[str, int] = {}
-        kept = []
-        for source, target, score in graph:
-            if degree.get(source, 0) < cap and degree.get(target, 0) < cap:
+        for source, target, score, _, most in graph:
+            if degree.get(source, 0) < most and degree.get(target, 0) < most:
                 degree[source] = degree.get(source, 0) + 1
                 degree[target] = degree.get(target, 0) + 1
-                kept.append((source, target, score))
-        return kept
+                yield source, target, score
 
-    return per_graph(edges, cut, "source string, target string, score double")
+    return by_article(ranked, [F.desc("strength"), "source", "target"], cut, "source string, target string, score double")
 
 
 @query("w03_degree_cap")
@@ -103,21 +137,25 @@ def w03(m: Model) -> DataFrame:
     return degree_cap(edges_of(m), 2)
 
 
-def adaptive_edges(edges: DataFrame) -> DataFrame:
-    """All stages by the article's size: threshold with fallback, percentile of what is left, degree cap."""
-    ends = edges.select("article_id", F.explode(F.array("source", "target")).alias("node"))
-    sizes = ends.groupBy("article_id").agg(F.count_distinct("node").alias("n"))
-    known = edges.join(sizes, "article_id").withColumns({"least": size_class(F.col("n"), 2), "share": size_class(F.col("n"), 4) / 100.0})
+def adaptive_edges(edges: DataFrame, config: tuple[float, int, int] | None = None) -> DataFrame:
+    """Edges filtered by the article's size class: least score, percentile of what is left, degree cap; ``config``
+    (least score, degree cap, percentile) holds for all sizes.  An article without an edge of that score keeps its three best."""
+    nodes = edges.select("article_id", F.explode(F.array("source", "target")).alias("node")).groupBy("article_id", "node").agg(F.lit(1).alias("one"))
+    sizes = nodes.groupBy("article_id").agg(F.count("one").alias("n"))
+    best = edges.groupBy("article_id").agg(F.max("score").alias("best"))
+    n = F.col("n")
+    given = dict(zip((2, 3, 4), config, strict=True)) if config else {}
+    rule = lambda field: F.lit(given[field]) if config else size_class(n, field)
+    known = edges.join(sizes.join(best, "article_id"), "article_id").withColumns({"least": rule(2), "cap": rule(3), "percentile": rule(4)})
+    passing = known.where("score >= least")
+    shares = sorted({given[4]} if config else {x[4] for x in SIZES})
+    cuts = passing.groupBy("article_id").agg(F.percentile("score", F.array(*[F.lit(p / 100) for p in shares])).alias("cuts"))
+    place = F.array_position(F.array(*[F.lit(p) for p in shares]), F.col("percentile")).cast("int") - 1
+    second = passing.join(cuts, "article_id").where(F.col("score") >= F.get("cuts", place) - ROUNDING)
+    capped = degree_cap(second.select(*edges.columns, "cap"), "cap")
     rank = F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("score"), "source", "target"))
-    best = F.max("score").over(Window.partitionBy("article_id"))
-    first = known.withColumns({"rank": rank, "best": best}).where("score >= least OR (best < least AND rank <= 3)")
-    listed = F.array_sort(F.collect_list("score").over(Window.partitionBy("article_id")))
-    place = (F.size("listed") - 1) * F.col("share")
-    low = F.get("listed", F.floor(place).cast("int"))
-    high = F.get("listed", F.ceil(place).cast("int"))
-    cut = low + (high - low) * (place - F.floor(place))
-    second = first.withColumn("listed", listed).withColumn("cut", cut).where("score >= cut")
-    return degree_cap(second.select("article_id", "source", "target", "score"), 10)
+    few = known.where("best < least").withColumn("rank", rank).where("rank <= 3")
+    return capped.unionByName(few.select("article_id", "source", "target", "score"))
 
 
 @query("g14b_adaptive_edges")

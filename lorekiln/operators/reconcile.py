@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.proxy import Model
 from ..plans.registry import query
-from .prune import per_graph
+from .prune import by_article
 
 THRESHOLD = 0.75
 
@@ -19,59 +20,93 @@ def similarity(a: str, b: str) -> float:
     return 1.0 if a.lower() == b.lower() else SequenceMatcher(None, a.lower(), b.lower()).ratio()
 
 
-def matched(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(article_id, a, b, similarity) over (article_id, name): names taken in order, each with its best unused partner."""
-    both = left.select("article_id", F.col("name").alias("source"), F.lit("").alias("target"), F.lit(2.0).alias("score")).unionByName(
-        right.select("article_id", F.col("name").alias("source"), F.lit("b").alias("target"), F.lit(1.0).alias("score"))
-    )
+def _place(df: DataFrame) -> Column:
+    """The facts' own order, where they have one."""
+    return (F.col("position") if "position" in df.columns else F.lit(0)).cast("long").alias("position")
 
-    def work(rows: list) -> list[tuple]:
-        ours = [s for s, t, _ in rows if not t]
-        theirs = [s for s, t, _ in rows if t]
+
+def matched(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(article_id, a, b, similarity) over (article_id, name[, position]): names taken in order of position, then name,
+    each with its best unused partner; of equally good ones the first."""
+    side = lambda df, k: df.select("article_id", F.lit(k).alias("side"), _place(df), "name")
+
+    def work(rows: Iterator[tuple]) -> Iterator[tuple]:
+        ours: list[str] = []
+        theirs: list[str] = []
+        for side_, _, name in rows:
+            (theirs if side_ else ours).append(name)
         used: set[int] = set()
-        out = []
         for a in ours:
             ranked = [(similarity(a, b), -j) for j, b in enumerate(theirs) if j not in used]
             if ranked and max(ranked)[0] >= threshold:
                 score, j = max(ranked)
                 used.add(-j)
-                out.append((a, theirs[-j], score))
+                yield a, theirs[-j], score
             else:
-                out.append((a, None, None))
-        return out + [(None, b, None) for j, b in enumerate(theirs) if j not in used]
+                yield a, None, None
+        yield from ((None, b, None) for j, b in enumerate(theirs) if j not in used)
 
-    return per_graph(both, work, "a string, b string, similarity double")
+    return by_article(side(left, 0).unionByName(side(right, 1)), ["side", "position", "name"], work, "a string, b string, similarity double")
 
 
 @query("j09_fuzzy_match")
 def j09(m: Model) -> DataFrame:
-    named = m.table("lineitem").join(m.table("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("article_id"), F.col("p_name").alias("name"), "l_returnflag").distinct()
+    named = m.table("lineitem").join(m.table("part"), F.col("p_partkey") == F.col("l_partkey"))
+    named = named.groupBy(F.col("l_orderkey").alias("article_id"), F.col("p_name").alias("name"), "l_returnflag").agg(F.min("l_linenumber").alias("position"))
     return matched(named.where("l_returnflag = 'A'").drop("l_returnflag"), named.where("l_returnflag <> 'A'").drop("l_returnflag"))
 
 
+#: What a fact may carry besides name, type and confidence.
+EXTRAS = {"description": "string", "sources": "array<string>", "wikidata_id": "string"}
+
+
 def merged_names(facts: DataFrame) -> DataFrame:
-    """Names of an article folded into the first seen that holds them or is held by them; the stored name stays the first seen."""
-
-    def work(rows: list) -> list[tuple]:
-        kept: list[list] = []
-        for name, _, confidence in rows:
-            low = name.lower()
-            for k in kept:
-                if low in k[0].lower() or k[0].lower() in low:
-                    k[1], k[2] = max(k[1], confidence), k[2] + 1
+    """Facts of an article folded, in order of position, into the first of their type that holds their name or is held by it.
+
+    The stored name stays the first seen; confidence is the highest and brings its description, sources are
+    joined, an identifier once known stays.  ``merged`` counts the facts.  Columns that the facts lack are null.
+    """
+
+    def work(rows: Iterator[tuple]) -> Iterator[tuple]:
+        kept: dict[str, list[list]] = {}
+        order: list[list] = []
+        for _, name, kind, confidence, description, sources, known in rows:
+            low = (name or "").lower()
+            for k in kept.setdefault(kind, []):
+                held = (k[0] or "").lower()
+                if low in held or held in low:
+                    if (confidence or 0) > (k[2] or 0):
+                        k[2], k[3] = confidence, description
+                    k[4] = sorted({*(k[4] or ()), *(sources or ())}) if k[4] or sources else k[4]
+                    k[5] = k[5] or known
+                    k[6] += 1
                     break
             else:
-                kept.append([name, confidence, 1])
-        return [tuple(k) for k in kept]
+                kept[kind].append([name, kind, confidence, description, sources, known, 1])
+                order.append(kept[kind][-1])
+        yield from map(tuple, order)
 
-    given = facts.select("article_id", F.col("name").alias("source"), F.lit("").alias("target"), F.col("confidence").alias("score"))
-    return per_graph(given, work, "name string, confidence double, merged int")
+    extra = [(F.col(c) if c in facts.columns else F.lit(None)).cast(t).alias(c) for c, t in EXTRAS.items()]
+    kind = (F.col("type") if "type" in facts.columns else F.lit(None)).cast("string").alias("type")
+    given = facts.select("article_id", _place(facts), "name", kind, F.col("confidence").cast("double").alias("confidence"), *extra)
+    schema = "name string, type string, confidence double, " + ", ".join(f"{c} {t}" for c, t in EXTRAS.items()) + ", merged int"
+    return by_article(given, ["position", F.desc("confidence"), "name"], work, schema)
 
 
 @query("g16_merged_facts")
 def g16(m: Model) -> DataFrame:
     named = m.table("lineitem").join(m.table("part"), F.col("p_partkey") == F.col("l_partkey"))
-    return merged_names(named.select(F.col("l_orderkey").alias("article_id"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name"), (F.col("l_quantity") / 50.0).alias("confidence")))
+    return merged_names(
+        named.select(
+            F.col("l_orderkey").alias("article_id"),
+            F.col("l_linenumber").alias("position"),
+            F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name"),
+            F.col("l_linestatus").alias("type"),
+            (F.col("l_quantity") / 50.0).alias("confidence"),
+            F.array("l_returnflag").alias("sources"),
+            F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("Q"), "l_partkey")).alias("wikidata_id"),
+        )
+    )
 
 
 def capitalised_spans(texts: DataFrame) -> DataFrame:
