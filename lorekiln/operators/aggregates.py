@@ -223,9 +223,10 @@ def a37(m: Model) -> DataFrame:
     return recent.groupBy("source").agg(F.count(F.lit(1)).alias("articles"), F.max("collected_date").alias("latest"))
 
 
-@query("a38_duplicate_urls", "SELECT url, count(*) AS n FROM pages GROUP BY url HAVING count(*) > 1")
+@query("a38_duplicate_urls", "SELECT url, count(*) AS n FROM (SELECT url FROM pages UNION ALL SELECT 'https://news.example/' || o_custkey FROM orders) GROUP BY url HAVING count(*) > 1")
 def a38(m: Model) -> DataFrame:
-    return m.table("pages").groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = m.table("orders").select(F.concat(F.lit("https://news.example/"), F.col("o_custkey").cast("string")).alias("url"))
+    return m.table("pages").select("url").unionByName(ordered).groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("a39_positioned_articles", over("articles facts", "SELECT a.id, a.title, a.published_date, count(*) AS facts FROM articles a JOIN facts f ON f.article_id = a.id GROUP BY 1, 2, 3 HAVING count(*) BETWEEN 7 AND 30"))

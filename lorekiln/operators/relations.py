@@ -14,11 +14,19 @@ SMOOTHING = 1e-6
 
 
 def windowed_pairs(mentions: DataFrame, window: int = 2) -> DataFrame:
-    """Mentions a < b of one article within ``window`` sentences: a join on the article, distance as what is left over."""
+    """Mentions a < b of one article within ``window`` sentences.
+
+    An article's sentences are cut into blocks of the window's width; the join is on article and block, to
+    which one side goes with its neighbours, so that work grows with the mentions within reach and not
+    with the square of an article's mentions.
+    """
+    width = max(1, window)
     a = mentions.select("article_id", F.col("entity").alias("entity_a"), F.col("sentence_index").alias("si"), F.col("confidence").alias("confidence_a"))
     b = mentions.select("article_id", F.col("entity").alias("entity_b"), F.col("sentence_index").alias("sj"), F.col("confidence").alias("confidence_b"))
-    joined = a.join(b, "article_id").where(F.expr(f"entity_a < entity_b AND abs(si - sj) <= {window}"))
-    return joined.withColumn("distance", F.abs(F.col("si") - F.col("sj"))).drop("si", "sj")
+    a = a.withColumn("block", F.floor(F.col("si") / width))
+    b = b.withColumn("block", F.explode(F.sequence(F.floor(F.col("sj") / width) - 1, F.floor(F.col("sj") / width) + 1)))
+    joined = a.join(b, ["article_id", "block"]).where(F.expr(f"entity_a < entity_b AND abs(si - sj) <= {window}"))
+    return joined.withColumn("distance", F.abs(F.col("si") - F.col("sj"))).drop("si", "sj", "block")
 
 
 @query("j08_band_join", over("mentions", "SELECT a.article_id, a.entity AS entity_a, b.entity AS entity_b, abs(a.sentence_index - b.sentence_index) AS distance, count(*) AS n FROM mentions a JOIN mentions b ON a.article_id = b.article_id AND a.entity < b.entity AND abs(a.sentence_index - b.sentence_index) <= 1 GROUP BY 1, 2, 3, 4"))
@@ -77,7 +85,7 @@ def sentence_frequency(mentions: DataFrame) -> DataFrame:
 def document_frequency(facts: DataFrame) -> DataFrame:
     """Articles of each entity, and the number of all articles."""
     total = facts.agg(F.count_distinct("article_id").alias("n_articles"))
-    return facts.groupBy("entity").agg(F.count_distinct("article_id").alias("articles")).crossJoin(F.broadcast(total))
+    return facts.groupBy("entity").agg(F.count(F.lit(1)).alias("articles")).crossJoin(F.broadcast(total))
 
 
 @query("a18b_document_frequency", over("facts", "SELECT entity, count(DISTINCT article_id) AS articles, (SELECT count(DISTINCT article_id) FROM facts) AS n_articles FROM facts GROUP BY entity"))
@@ -95,7 +103,8 @@ def a19(m: Model) -> DataFrame:
 
 def corpus_pmi(facts: DataFrame, min_count: int = 2) -> DataFrame:
     """PMI and NPMI of entity pairs by articles."""
-    pairs = entity_pairs(facts).groupBy("entity_a", "entity_b").agg(F.count_distinct("article_id").alias("n_ab"), F.avg((F.col("confidence_a") + F.col("confidence_b")) / 2).alias("confidence"))
+    # Facts are unique by article and entity: a pair's rows are its articles.
+    pairs = entity_pairs(facts).groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("n_ab"), F.avg((F.col("confidence_a") + F.col("confidence_b")) / 2).alias("confidence"))
     freq = document_frequency(facts)
     a = freq.select(F.col("entity").alias("entity_a"), F.col("articles").alias("n_a"), F.col("n_articles").alias("n"))
     b = freq.select(F.col("entity").alias("entity_b"), F.col("articles").alias("n_b"))
@@ -159,7 +168,7 @@ def g14(m: Model) -> DataFrame:
 def pair_support(facts: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """Distinct articles of each pair of confident entities."""
     pairs = entity_pairs(facts.where(F.col("confidence") >= min_confidence))
-    return pairs.groupBy("entity_a", "entity_b").agg(F.count_distinct("article_id").alias("articles"))
+    return pairs.groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("articles"))
 
 
 _SUPPORT = "support AS (SELECT a.entity AS entity_a, b.entity AS entity_b, count(DISTINCT a.article_id) AS articles FROM facts a JOIN facts b ON a.article_id = b.article_id AND a.entity < b.entity WHERE a.confidence >= 0.6 AND b.confidence >= 0.6 GROUP BY 1, 2)"
@@ -188,20 +197,21 @@ def a16(m: Model) -> DataFrame:
 
 
 def hybrid_pairs(facts: DataFrame, min_confidence: float = 0.6, min_articles: int = 2, important: int = 5, focused: int = 20) -> DataFrame:
-    """All occurrences of the pairs that qualify: in several articles, or once between important entities, or once in a focused article."""
+    """All occurrences of the pairs that qualify: in several articles, or once between important entities, or once in a focused article.
+
+    Facts are unique by article and entity, so plain counts count articles and entities.
+    """
     confident = facts.where(F.col("confidence") >= min_confidence)
-    pairs = entity_pairs(confident)
-    support = pairs.groupBy("entity_a", "entity_b").agg(F.count_distinct("article_id").alias("articles"), F.min("article_id").alias("only"))
-    weight = confident.groupBy("entity").agg(F.count_distinct("article_id").alias("w"))
-    density = confident.groupBy(F.col("article_id").alias("only")).agg(F.count_distinct("entity").alias("entities"))
+    density = confident.groupBy("article_id").agg(F.count(F.lit(1)).alias("entities"))
+    weight = confident.groupBy("entity").agg(F.count(F.lit(1)).alias("w"))
+    heavy = weight.where(F.col("w") >= important).select("entity")
     key = ["entity_a", "entity_b"]
-    cross = support.where(F.col("articles") >= min_articles).select(*key)
-    single = support.where("articles = 1")
-    heavy = weight.where(F.col("w") >= important)
-    both = single.join(heavy.select(F.col("entity").alias("entity_a")), "entity_a", "left_semi").join(heavy.select(F.col("entity").alias("entity_b")), "entity_b", "left_semi").select(*key)
-    tight = single.join(density.where(F.col("entities") <= focused), "only", "left_semi").select(*key)
-    qualified = cross.union(both).union(tight).distinct()
-    return pairs.join(qualified, key).select("article_id", *key, F.round((F.col("confidence_a") + F.col("confidence_b")) / 2, 6).alias("confidence"))
+    end = lambda c: heavy.select(F.col("entity").alias(f"entity_{c}"), F.lit(True).alias(f"heavy_{c}"))
+    pairs = entity_pairs(confident).join(density, "article_id")
+    support = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("articles"), F.min("entities").alias("entities"))
+    alone = support.join(end("a"), "entity_a", "left").join(end("b"), "entity_b", "left")
+    qualified = alone.where((F.col("articles") >= min_articles) | (F.col("entities") <= focused) & (F.col("articles") == 1) | F.col("heavy_a") & F.col("heavy_b") & (F.col("articles") == 1))
+    return pairs.drop("entities").join(qualified.select(*key), key).select("article_id", *key, F.round((F.col("confidence_a") + F.col("confidence_b")) / 2, 6).alias("confidence"))
 
 
 @query("g15_hybrid_pairs", over("facts", "SELECT article_id, entity_a, entity_b, round(c, 6) AS confidence FROM pairs JOIN q USING (entity_a, entity_b)", "k AS (SELECT * FROM facts WHERE confidence >= 0.6)", "pairs AS (SELECT a.article_id, a.entity AS entity_a, b.entity AS entity_b, (a.confidence + b.confidence) / 2 AS c FROM k a JOIN k b ON a.article_id = b.article_id AND a.entity < b.entity)", "s AS (SELECT entity_a, entity_b, count(DISTINCT article_id) AS n, min(article_id) AS o FROM pairs GROUP BY 1, 2)", "w AS (SELECT entity FROM k GROUP BY entity HAVING count(DISTINCT article_id) >= 16)", "d AS (SELECT article_id FROM k GROUP BY article_id HAVING count(DISTINCT entity) <= 2)", "q AS (SELECT entity_a, entity_b FROM s WHERE n >= 2 UNION SELECT entity_a, entity_b FROM s WHERE n = 1 AND entity_a IN (SELECT entity FROM w) AND entity_b IN (SELECT entity FROM w) UNION SELECT entity_a, entity_b FROM s WHERE n = 1 AND o IN (SELECT article_id FROM d))"))

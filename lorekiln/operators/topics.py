@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import meaningful, topic_label
 from ..plans.proxy import AS_OF, Model, over
 from ..plans.registry import query
+from ..plans.shared import materialize
 from .aggregates import days_before, ts
 
 
@@ -72,9 +75,9 @@ for _grain in ("day", "week", "month"):
 def topic_entities(facts: DataFrame, article_topics: DataFrame, limit: int = 10) -> DataFrame:
     """The most mentioned entities of each topic."""
     counted = facts.join(article_topics.select("article_id", "topic_id"), "article_id").groupBy("topic_id", "entity").agg(F.count(F.lit(1)).alias("mentions"))
-    # The k best are kept by a sorted array, combined before the shuffle, instead of a ranking window.
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("mentions")).alias("n"), "entity"))), 1, limit)
-    return counted.groupBy("topic_id").agg(best.alias("b")).select("topic_id", F.explode("b").alias("x")).select("topic_id", "x.entity", (-F.col("x.n")).alias("mentions"))
+    # A rank with a limit: each task of the shuffle's map side sends no more than the best of a topic.
+    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("mentions"), "entity"))
+    return counted.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
 
 
 @query("a12_topic_entities", over("facts article_topics", "SELECT topic_id, entity, mentions FROM (SELECT topic_id, entity, count(*) AS mentions, row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, entity) AS k FROM facts f JOIN article_topics x ON x.article_id = f.article_id GROUP BY 1, 2) WHERE k <= 10"))
@@ -97,24 +100,51 @@ def g12(m: Model) -> DataFrame:
     return ctfidf(words, "topic").where("score >= 0.01D").select("topic", "word", F.round("score", 6).alias("score"))
 
 
-def topic_model(texts: DataFrame, k: int = 8, vocabulary: int = 2000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Topics of (id, content): clusters of TF-IDF vectors over words and word pairs, labelled by class-based TF-IDF.
+#: Dimensions that terms are hashed to: no term is left out for want of a place in a vocabulary.
+TERM_BITS = 18
+#: The topic of articles that belong to none: without terms, or of a topic with too few articles.
+OUTLIER = -1
 
-    Gives (topic_id, topic_label, keywords, articles) and (id, topic_id).
+
+def topic_model(texts: DataFrame, k: int = 8, seed: int = 42, min_topic: int = 2, rounds: int = 20, keywords: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Topics of (id, content): clusters of TF-IDF vectors over words, pairs and triples of words, labelled by class-based TF-IDF.
+
+    Gives (topic_id, topic_label, keywords, articles) and (id, topic_id, probability): the highest posterior that a
+    multinomial model of the clusters' term counts gives the article.  -1 collects the articles without terms and those
+    of topics with fewer than ``min_topic`` articles.  Terms of one article alone weigh nothing and are no keywords.
     """
-    words = RegexTokenizer(inputCol="content", outputCol="words", pattern=r"[^\p{L}]+", minTokenLength=3).transform(texts.where("content IS NOT NULL").select("id", "content"))
-    pairs = NGram(n=2, inputCol="words", outputCol="pairs").transform(words).withColumn("terms", F.concat("words", "pairs"))
-    counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2.0).fit(pairs).transform(pairs)
-    weighted = IDF(inputCol="tf", outputCol="features").fit(counted).transform(counted)
-    clustered = KMeans(k=k, seed=seed, maxIter=10).fit(weighted).transform(weighted).select("id", F.col("prediction").alias("topic_id"), "words")
-    terms = clustered.select("topic_id", F.explode("words").alias("word")).where(meaningful(F.col("word"))).groupBy("topic_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "word"))), 1, 10)
-    keywords = ctfidf(terms, "topic_id").groupBy("topic_id").agg(best["word"].alias("keywords"))
-    sizes = clustered.groupBy("topic_id").agg(F.count(F.lit(1)).alias("articles"))
-    labelled = keywords.join(sizes, "topic_id").select("topic_id", topic_label(F.col("keywords")).alias("topic_label"), "keywords", "articles")
-    return labelled, clustered.select("id", "topic_id")
+    words = RegexTokenizer(inputCol="content", outputCol="words", pattern=r"[^\p{L}]+", minTokenLength=3).transform(texts.select("id", F.coalesce("content", F.lit("")).alias("content")))
+    words = words.withColumn("words", F.filter("words", meaningful)).drop("content")
+    for n in (2, 3):
+        words = NGram(n=n, inputCol="words", outputCol=f"n{n}").transform(words)
+    counted = HashingTF(inputCol="terms", outputCol="counts", numFeatures=1 << TERM_BITS).transform(words.select("id", F.concat("words", "n2", "n3").alias("terms")))
+    some = materialize(counted.where("size(terms) > 0"), "counted")
+    weighted = IDF(inputCol="counts", outputCol="weights", minDocFreq=2).fit(some).transform(some)
+    vectors = Normalizer(inputCol="weights", outputCol="features").transform(weighted)
+    placed = KMeans(k=k, seed=seed, maxIter=rounds, predictionCol="likeliest").fit(vectors).transform(vectors).select("id", "terms", "counts", "likeliest")
+    placed = materialize(placed, "clusters")
+    model = NaiveBayes(featuresCol="counts", labelCol="likeliest", predictionCol="predicted", probabilityCol="posterior").fit(placed)
+    posterior = F.array_max(vector_to_array(F.col("posterior")))
+    placed = model.transform(placed).select("id", "terms", "likeliest", posterior.alias("probability"))
+    sizes = placed.groupBy("likeliest").agg(F.count(F.lit(1)).alias("articles")).where(F.col("articles") >= min_topic)
+    # One row for each of at most k topics: safe to broadcast.
+    known = placed.join(F.broadcast(sizes.select("likeliest", F.lit(True).alias("known"))), "likeliest", "left")
+    topic = F.when(F.col("known"), F.col("likeliest")).otherwise(OUTLIER).alias("topic_id")
+    mine = known.select("id", topic, "probability").unionByName(counted.where("size(terms) = 0").select("id", F.lit(OUTLIER).alias("topic_id"), F.lit(0.0).alias("probability")))
+    terms = known.where("known").select("id", F.col("likeliest").alias("topic_id"), F.explode("terms").alias("word")).groupBy("topic_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    spread = terms.groupBy("word").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("word")
+    scored = ctfidf(terms.join(spread, "word", "left_semi").select("topic_id", "word", "n"), "topic_id")
+    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("score"), "word"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= keywords).groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "word")))["word"].alias("keywords"))
+    labelled = sizes.withColumnRenamed("likeliest", "topic_id").join(best, "topic_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    return labelled.select("topic_id", topic_label(F.col("keywords")).alias("topic_label"), "keywords", "articles"), mine
 
 
 @query("g11_topic_model")
 def g11(m: Model) -> DataFrame:
     return topic_model(m.texts)[0]
+
+
+@query("g11b_article_topics")
+def g11b(m: Model) -> DataFrame:
+    return topic_model(m.texts)[1]

@@ -60,11 +60,12 @@ class Model:
 
     @cached_property
     def mentions(self) -> DataFrame:
+        """Two mentions a sentence, of few entities, so that some recur in an article."""
         return self.table("lineitem").selectExpr(
             "l_orderkey AS article_id",
-            "concat('E', lpad(CAST(l_partkey AS STRING), 7, '0')) AS entity",
+            "concat('E', lpad(CAST(l_partkey % 5 AS STRING), 7, '0')) AS entity",
             "l_quantity / CAST(50 AS DOUBLE) AS confidence",
-            "l_linenumber - 1 AS sentence_index",
+            "(l_linenumber - 1) div 2 AS sentence_index",
         )
 
     @cached_property
@@ -101,7 +102,7 @@ VIEWS = {
     "facts": """SELECT l_orderkey AS article_id, 'E' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS entity, any_value(p_type) AS entity_type, max(l_quantity) / CAST(50 AS DOUBLE) AS confidence,
   min(l_linenumber) - 1 AS sentence_index, list_sort(list(DISTINCT l_returnflag)) AS source_models, CASE WHEN max(l_linestatus) = 'O' THEN 'Q' || l_partkey END AS wikidata_id
   FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey, l_partkey""",
-    "mentions": """SELECT l_orderkey AS article_id, 'E' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS entity, l_quantity / CAST(50 AS DOUBLE) AS confidence, l_linenumber - 1 AS sentence_index FROM lineitem""",
+    "mentions": """SELECT l_orderkey AS article_id, 'E' || lpad(CAST(l_partkey % 5 AS VARCHAR), 7, '0') AS entity, l_quantity / CAST(50 AS DOUBLE) AS confidence, (l_linenumber - 1) // 2 AS sentence_index FROM lineitem""",
     "costs": "SELECT o_orderkey AS article_id, o_orderpriority AS api_provider, o_orderdate AS timestamp, o_totalprice AS cost FROM orders",
     "topics": "SELECT n_nationkey AS topic_id, n_name AS topic_label, n_regionkey AS snapshot FROM nation",
     "article_topics": "SELECT o_orderkey AS article_id, c_nationkey AS topic_id, abs(c_acctbal) / CAST(10000 AS DOUBLE) AS probability FROM orders JOIN customer ON o_custkey = c_custkey",

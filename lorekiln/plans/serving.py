@@ -87,6 +87,14 @@ class Engine:
     def topic_entities(self, topic_id: int, limit: int = 10) -> DataFrame:
         return topic_entities(self.m.facts, self.m.article_topics.where(F.col("topic_id") == topic_id), limit)
 
+    def topic_network(self, topic_id: int, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+        """A topic's most mentioned entities, and the edges among them inside the topic's articles."""
+        mine = self.m.facts.join(self._of_topic(topic_id), "article_id", "left_semi")
+        nodes = self.topic_entities(topic_id, self._within(limit, 1, 1000)).select("entity", "mentions")
+        inside = mine.join(nodes, "entity", "left_semi")
+        pairs = entity_pairs(inside).groupBy(F.col("entity_a").alias("source"), F.col("entity_b").alias("target"))
+        return nodes, pairs.agg(F.count(F.lit(1)).alias("weight"))
+
     def trending(self, limit: int = 10, as_of: str = AS_OF) -> DataFrame:
         return self.topics(as_of).where("last_span > 0").orderBy(F.desc("velocity"), "topic_id").limit(limit)
 
@@ -118,3 +126,59 @@ def g10(m: Model) -> DataFrame:
 @query("g10b_article_network", over("facts", "SELECT 5 AS article_id, a.entity AS source, b.entity AS target, round((a.confidence + b.confidence) / 2, 6) AS score FROM facts a JOIN facts b ON a.article_id = b.article_id AND a.entity < b.entity WHERE a.article_id = 5").replace("SELECT 5 AS article_id", "SELECT a.article_id"))
 def g10b(m: Model) -> DataFrame:
     return _engine(m).article_network(5)[1]
+
+
+@query("s29_focal_network", over("facts", "SELECT entity, entity_type, count(DISTINCT article_id) AS articles, round(avg(confidence), 6) AS confidence FROM facts WHERE entity <> 'E0000011' AND article_id IN (SELECT article_id FROM facts WHERE entity = 'E0000011') GROUP BY 1, 2 ORDER BY articles DESC, entity, entity_type LIMIT 20"))
+def s29_focal_network(m: Model) -> DataFrame:
+    return _engine(m).focal_network("E0000011", 20)
+
+
+@query(
+    "s29_stats",
+    over(
+        "articles facts costs",
+        """SELECT * FROM
+ (SELECT count(*) AS total, count(*) FILTER (WHERE processing_status = 'completed') AS completed, count(*) FILTER (WHERE processing_status = 'pending') AS pending,
+   count(*) FILTER (WHERE processing_status = 'failed') AS failed, count(DISTINCT source) AS sources FROM articles),
+ (SELECT count(*) AS facts, round(avg(confidence), 6) AS avg_confidence FROM facts),
+ (SELECT CAST(sum(n) AS BIGINT) AS typed_entities FROM (SELECT count(DISTINCT entity) AS n FROM facts GROUP BY entity_type)),
+ (SELECT round(coalesce(sum(cost) FILTER (WHERE timestamp >= TIMESTAMP '2001-08-01'), 0.0), 4) AS month_to_date,
+   round(coalesce(sum(cost) FILTER (WHERE CAST(timestamp AS DATE) = DATE '2001-08-01'), 0.0), 4) AS today, round(coalesce(sum(cost), 0.0), 4) AS all_time
+  FROM costs WHERE timestamp <= TIMESTAMP '2001-08-01')""",
+    ),
+)
+def s29_stats(m: Model) -> DataFrame:
+    return _engine(m).stats()
+
+
+@query("s29_sources", over("articles", "SELECT source, count(*) AS articles FROM articles WHERE processing_status = 'completed' GROUP BY source"))
+def s29_sources(m: Model) -> DataFrame:
+    return _engine(m).sources()
+
+
+@query("s29_topics", over("topics article_topics articles", "SELECT t.topic_id, topic_label, count(*) AS articles, min(published_date) AS first, max(published_date) AS latest FROM topics t JOIN article_topics x ON x.topic_id = t.topic_id JOIN articles a ON a.id = x.article_id WHERE published_date <= TIMESTAMP '2001-08-01' GROUP BY 1, 2"))
+def s29_topics(m: Model) -> DataFrame:
+    return _engine(m).topics().select("topic_id", "topic_label", "articles", "first", "latest")
+
+
+@query("s29_trending", over("topics article_topics articles", "SELECT topic_id, this_span, last_span FROM (SELECT t.topic_id, count(*) FILTER (WHERE published_date >= TIMESTAMP '2001-07-25') AS this_span, count(*) FILTER (WHERE published_date < TIMESTAMP '2001-07-25' AND published_date >= TIMESTAMP '2001-07-18') AS last_span FROM topics t JOIN article_topics x ON x.topic_id = t.topic_id JOIN articles a ON a.id = x.article_id WHERE published_date <= TIMESTAMP '2001-08-01' GROUP BY 1) WHERE last_span > 0 ORDER BY round((this_span - last_span) * 100.0 / last_span, 2) DESC, topic_id LIMIT 10"))
+def s29_trending(m: Model) -> DataFrame:
+    return _engine(m).trending().select("topic_id", "this_span", "last_span")
+
+
+_TOPIC_3 = "tn AS (SELECT entity, count(*) AS mentions FROM facts WHERE article_id IN (SELECT article_id FROM article_topics WHERE topic_id = 3) GROUP BY 1 ORDER BY mentions DESC, entity LIMIT 50)"
+
+
+@query("s29_topic_network", over("facts article_topics", "SELECT a.entity AS source, b.entity AS target, count(*) AS weight FROM facts a JOIN facts b ON a.article_id = b.article_id AND a.entity < b.entity WHERE a.article_id IN (SELECT article_id FROM article_topics WHERE topic_id = 3) AND a.entity IN (SELECT entity FROM tn) AND b.entity IN (SELECT entity FROM tn) GROUP BY 1, 2", _TOPIC_3))
+def s29_topic_network(m: Model) -> DataFrame:
+    return _engine(m).topic_network(3)[1]
+
+
+@query("s29_topic_entities", over("facts article_topics", "SELECT entity, mentions FROM (SELECT * FROM tn ORDER BY mentions DESC, entity LIMIT 10)", _TOPIC_3))
+def s29_topic_entities(m: Model) -> DataFrame:
+    return _engine(m).topic_entities(3).select("entity", "mentions")
+
+
+@query("s29_article_layout")
+def s29_article_layout(m: Model) -> DataFrame:
+    return _engine(m).article_layout(5)
