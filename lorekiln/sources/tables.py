@@ -46,37 +46,123 @@ def write_replacing(df: DataFrame, path: str, partition: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def read_text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+def read_text_files(spark: SparkSession, path: str, pattern: str = "*.{txt,htm,html}") -> DataFrame:
     """id (the file's stem), is_html and content of text files."""
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     name = F.element_at(F.split("_metadata.file_path", "/"), -1)
     return files.select(F.regexp_replace(name, r"\.[^.]+$", "").alias("id"), name.rlike(r"\.html?$").alias("is_html"), F.col("value").alias("content"))
 
 
-ITEM = "title string, link string, description string, content string, author string, pubDate string"
+#: An item of RSS or an entry of Atom; prefixed elements keep their prefix, or lose it where the reader ignores namespaces.
+TEXT = "struct<_VALUE: string, _type: string>"
+ITEM = "title string, link string, description string, `content:encoded` string, encoded string, content string, author string, `dc:creator` string, creator string, pubDate string"
+ENTRY = f"title {TEXT}, link array<struct<_href: string, _rel: string>>, summary {TEXT}, content array<{TEXT}>, author struct<name: string>, published string, updated string"
+#: Dates of feeds, less the weekday: RFC 822 with numeric zones and names, and ISO 8601.
+DATES = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"]
+
+
+def feed_date(c: Column) -> Column:
+    """A feed's date as a timestamp; null if it has none of the known forms."""
+    bare = F.regexp_replace(F.trim(c), r"^\p{L}+,\s*", "")
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in DATES])
+
+
+def _articles(entries: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Articles from (title, url, content, summary, author, published, source): content, or else the summary; without title or url none."""
+    filled = entries.where("coalesce(title, '') <> '' AND coalesce(url, '') <> ''")
+    source = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("source")], "source") if names else F.col("source")
+    return filled.select(
+        F.sha2(F.concat_ws("||", "url", "title"), 256).alias("article_hash"),
+        "title",
+        "url",
+        F.coalesce(F.nullif("content", F.lit("")), "summary", F.lit("")).alias("content"),
+        F.coalesce("summary", F.lit("")).alias("summary"),
+        F.coalesce("author", F.lit("")).alias("author"),
+        feed_date(F.col("published")).alias("published_date"),
+        source.alias("source"),
+    )
 
 
-def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Articles from feeds' entries: content, or else the description; entries without title or link are left out."""
-    entries = spark.read.format("xml").option("rowTag", row_tag).schema(ITEM).load(path)
-    body = F.coalesce("content", "description")
-    return entries.where("title IS NOT NULL AND link IS NOT NULL").select(
-        F.sha2(F.concat_ws("||", "link", "title"), 256).alias("article_hash"), "title", F.col("link").alias("url"), body.alias("content"), F.col("description").alias("summary"), "author", F.col("pubDate").alias("published")
-    )
+def read_feed(spark: SparkSession, path: str, source: str = "", names: dict[str, str] | None = None) -> DataFrame:
+    """Articles of RSS files (``item``) and Atom files (``entry``) below ``path``; ``source`` names the feed, ``names`` maps titles to names.
+
+    An entry's content is its first content element (content:encoded in RSS), else its summary; its address is
+    the alternate link; its date is that of publication, else of the last update.
+    """
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").option("valueTag", "_VALUE").schema(schema).load(path)
+    rss = read("item", ITEM).select(
+        F.trim("title").alias("title"), F.trim("link").alias("url"), F.coalesce("content:encoded", "encoded", "content").alias("content"),
+        F.col("description").alias("summary"), F.coalesce("author", "dc:creator", "creator").alias("author"), F.col("pubDate").alias("published"),
+    )
+    alternate = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    atom = read("entry", ENTRY).select(
+        F.trim("title._VALUE").alias("title"), F.trim(F.get(alternate, F.lit(0))["_href"]).alias("url"), F.get("content", F.lit(0))["_VALUE"].alias("content"),
+        F.col("summary._VALUE").alias("summary"), F.col("author.name").alias("author"), F.coalesce("published", "updated").alias("published"),
+    )
+    return _articles(rss.unionByName(atom).withColumn("source", F.lit(source)), names or {})
+
+
+#: Characters below which a fetched text is no article.
+LEAST_TEXT = 100
+
+
+def full_text(articles: DataFrame, fetched: str = "fetched") -> DataFrame:
+    """``articles`` with their fetched text as content where it has at least 100 characters, else with the content they had."""
+    long_enough = F.char_length(F.col(fetched)) >= LEAST_TEXT
+    return articles.withColumns({"full_text": F.coalesce(long_enough, F.lit(False)), "content": F.when(long_enough, F.col(fetched)).otherwise(F.col("content"))}).drop(fetched)
+
+
+@query("s03_full_text", "SELECT doc_id, length(text) >= 100 AS full_text, CASE WHEN length(text) >= 100 THEN text ELSE 'summary' END AS content FROM documents")
+def s03(m: Model) -> DataFrame:
+    return full_text(m.table("documents").select("doc_id", F.lit("summary").alias("content"), F.col("text").alias("fetched")))
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_by_article(df: DataFrame, path: str, key: str = "article_id") -> None:
+    """One folder, and in it one JSON file, for each article."""
+    df.withColumn("_key", F.col(key)).repartition("_key").sortWithinPartitions("_key").write.mode("overwrite").partitionBy("_key").json(path)
+
+
+def backup(df: DataFrame, path: str, stamp: str, keep: int = 7) -> list[str]:
+    """A compressed copy of a table below ``path`` under a sortable ``stamp``; of all copies the latest ``keep`` stay.  Gives their names."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{stamp}")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = sorted(s.getPath().getName() for s in files.listStatus(root) if s.isDirectory())
+    for old in names[:-keep]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, old), True)
+    return names[-keep:]
+
+
+def restore(spark: SparkSession, path: str, stamp: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{stamp}")
+
+
 def export_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("row"))
 
 
+def schema_check(spark: SparkSession, found: dict[str, list[str]], expected: dict[str, list[str]]) -> DataFrame:
+    """(table, column, status) of every column that is expected or there: found, missing or extra."""
+    pairs = lambda tables: spark.createDataFrame([(t, c) for t, columns in tables.items() for c in columns], "`table` string, `column` string")
+    there, wanted = pairs(found).withColumn("there", F.lit(True)), pairs(expected).withColumn("wanted", F.lit(True))
+    status = F.when(F.col("there") & F.col("wanted"), "found").when(F.col("wanted"), "missing").otherwise("extra")
+    return there.join(wanted, ["table", "column"], "full").select("table", "column", status.alias("status"))
+
+
 def missing_tables(spark: SparkSession, expected: dict[str, list[str]]) -> DataFrame:
-    """Expected (table, column) pairs and whether the session's catalog has them."""
-    rows = [(t, c, spark.catalog.tableExists(t) and c in spark.table(t).columns) for t, columns in expected.items() for c in columns]
-    return spark.createDataFrame(rows, "table string, column string, found boolean")
+    """The catalog's tables against the expected ones."""
+    return schema_check(spark, {t: spark.table(t).columns for t in expected if spark.catalog.tableExists(t)}, expected)
+
+
+@query("s17_schema_check", "SELECT * FROM (VALUES ('nation', 'n_nationkey', 'found'), ('nation', 'n_name', 'found'), ('nation', 'n_flag', 'missing'), ('nation', 'n_regionkey', 'extra'), ('region', 'r_regionkey', 'found'), ('region', 'r_name', 'extra'), ('gone', 'id', 'missing')) v(\"table\", \"column\", status)")
+def s17(m: Model) -> DataFrame:
+    found = {t: [c for c in m.table(t).columns if not c.endswith("comment")] for t in ("nation", "region")}
+    return schema_check(m.spark, found, {"nation": ["n_nationkey", "n_name", "n_flag"], "region": ["r_regionkey"], "gone": ["id"]})
 
 
 def cached_lookup(names: DataFrame, cache: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
@@ -170,6 +256,6 @@ def s01(m: Model) -> DataFrame:
     return m.table("lineitem").where("l_shipdate >= TIMESTAMP_NTZ'2001-01-01'").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
-@query("s16_export_rows")
+@query("s16_export_rows", over("articles", "SELECT '{\"id\":' || id || ',\"url\":\"' || url || '\",\"title\":\"' || title || '\"}' AS row FROM articles"))
 def s16(m: Model) -> DataFrame:
     return export_rows(m.articles.select("id", "url", "title"))

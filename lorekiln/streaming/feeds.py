@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.proxy import Model, over
 from ..plans.registry import query
-from ..sources.tables import insert_missing
+from ..plans.shared import materialize
+from ..sources.tables import insert_missing, merged, write_replacing
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -26,19 +28,40 @@ def deduplicated(stream: DataFrame, key: str, time: str, late: str = "1 day") ->
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Every micro-batch inserts its new keys into the Parquet table at ``path``; a repeated batch changes nothing."""
+#: Partitions of a stored table: a micro-batch reads and replaces only those that its keys fall in.
+STORE_PARTS = 64
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str, policy: dict[str, str] | None = None, order: str | None = None, parts: int = STORE_PARTS) -> StreamingQuery:
+    """Every micro-batch is upserted into the Parquet table at ``path``; a repeated batch changes nothing.
+
+    ``policy`` says for each further column what a conflict keeps (see ``merged``; by default the new value), ``order``
+    which of a batch's rows of one key is the latest (by default any).  The table is partitioned by a hash of the key;
+    only partitions with keys of the batch are read, merged and replaced, and a replaced partition is first written
+    beside the table, since it is read from there.
+    """
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    rest = [c for c in stream.columns if c not in keys]
+    rules = policy or {c: "new" for c in rest}
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        unique = batch.dropDuplicates(keys)
-        try:
-            held = spark.read.parquet(path).select(*keys)
-            unique = unique.join(held, keys, "left_anti")
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        unique.write.mode("append").parquet(path)
+        if order:
+            latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+            unique = batch.withColumn("_latest", latest).where("_latest = 1").drop("_latest")
+        else:
+            unique = batch.dropDuplicates(keys)
+        new = materialize(unique.select(*keys, *rest).withColumn("_part", part), "batch")
+        if _there(spark, path):
+            touched = [r["_part"] for r in new.select("_part").distinct().collect()]  # at most ``parts`` numbers
+            held = spark.read.parquet(path).where(F.col("_part").isin(touched)).select(*keys, *rest)
+            new = materialize(merged(held, new.drop("_part"), keys, rules).withColumn("_part", part), "batch")
+        write_replacing(new, path, "_part")
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -47,17 +70,24 @@ STATUS = "feed_url string, error_count long, total long"
 
 
 def feed_states(stream: DataFrame) -> DataFrame:
-    """State of each feed over (feed_url, success): a success resets the error count, a failure adds to it."""
+    """State of each feed over (feed_url, event_id, success): the failures after its latest success, and all events.
+
+    Events may come in any order: the state holds the latest success and the failures after it, so that neither
+    the batches of a trigger nor their rows need be sorted.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        errors, total = state.get if state.exists else (0, 0)
+        last, failures, total = state.get if state.exists else (-1, [], 0)
+        failures = list(failures)
         for b in batches:
-            for ok in b.sort_values("event_id")["success"]:
-                errors, total = (0, total + 1) if ok else (errors + 1, total + 1)
-        state.update((errors, total))
-        yield pd.DataFrame({"feed_url": [key[0]], "error_count": [errors], "total": [total]})
+            total += len(b)
+            good = b.loc[b["success"], "event_id"]
+            last = max([last, *good.tolist()])
+            failures = [i for i in failures + b.loc[~b["success"], "event_id"].tolist() if i > last]
+        state.update((int(last), failures, int(total)))
+        yield pd.DataFrame({"feed_url": [key[0]], "error_count": [len(failures)], "total": [total]})
 
-    return stream.groupBy("feed_url").applyInPandasWithState(update, STATUS, "errors long, total long", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("feed_url").applyInPandasWithState(update, STATUS, "last_ok long, failures array<long>, total long", "update", GroupStateTimeout.NoTimeout)
 
 
 def trailing_failures(events: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -75,15 +105,29 @@ def r02(m: Model) -> DataFrame:
     return trailing_failures(events, ["feed_url"], "event_id")
 
 
-def within_budget(queue: DataFrame, cap: float, order: list[str], key: str) -> DataFrame:
-    """Whether each queued item still fits under the cap of its key's running cost."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return queue.withColumn("claimed", F.sum("cost").over(w) <= cap)
+#: Buckets that a key's queue is cut into by its order.
+QUEUE_BUCKETS = 256
+
+
+def within_budget(queue: DataFrame, cap: float, order: str, key: str, buckets: int = QUEUE_BUCKETS) -> DataFrame:
+    """Whether each queued item still fits under the cap of its key's running cost, in order of the numeric column ``order``.
+
+    Sums of buckets of that order come first, then running sums within a bucket: no task sees all items of a key.
+    """
+    ends = queue.groupBy(key).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    width = F.greatest((F.col("_high") - F.col("_low") + 1) / buckets, F.lit(1.0))
+    placed = queue.join(ends, key).withColumn("_bucket", F.floor((F.col(order) - F.col("_low")) / width)).drop("_low", "_high")
+    sums = placed.groupBy(key, "_bucket").agg(F.sum("cost").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(key, "_bucket", F.coalesce(before, F.lit(0.0)).alias("_before"))
+    inner = F.sum("cost").over(Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    running = placed.join(starts, [key, "_bucket"]).withColumn("claimed", F.col("_before") + inner <= cap)
+    return running.select(*queue.columns, "claimed")
 
 
 @query("r03_budgeted_queue", over("costs", "SELECT api_provider, count(*) FILTER (WHERE run <= 1000000) AS claimed, count(*) FILTER (WHERE run > 1000000) AS skipped FROM (SELECT api_provider, sum(round(cost)) OVER (PARTITION BY api_provider ORDER BY article_id) AS run FROM costs) GROUP BY 1"))
 def r03(m: Model) -> DataFrame:
-    queue = within_budget(m.costs.withColumn("cost", F.round("cost")), 1_000_000, ["article_id"], "api_provider")
+    queue = within_budget(m.costs.withColumn("cost", F.round("cost")), 1_000_000, "article_id", "api_provider")
     return queue.groupBy("api_provider").agg(F.count_if("claimed").alias("claimed"), F.count_if(~F.col("claimed")).alias("skipped"))
 
 
@@ -110,6 +154,31 @@ class Provider:
         return None if value is None else f"offline:{len(value)}"
 
 
+class RateLimited(Exception):
+    """Raised by a provider whose service asks to wait."""
+
+
+class Patient(Provider):
+    """A provider that is asked again after 5, 10 and 20 seconds where its service asks to wait, with a pause after each call; then null."""
+
+    def __init__(self, inner: Provider, attempts: int = 3, first_wait: float = 5.0, pause: float = 0.0, sleep: Callable[[float], None] = time.sleep):
+        self.inner, self.attempts, self.first_wait, self.pause, self.sleep = inner, attempts, first_wait, pause, sleep
+
+    def fetch(self, value: str | None) -> str | None:
+        for k in range(self.attempts + 1):
+            try:
+                answer = self.inner.fetch(value)
+            except RateLimited:
+                if k == self.attempts:
+                    return None
+                self.sleep(self.first_wait * 2**k)
+                continue
+            if self.pause:
+                self.sleep(self.pause)
+            return answer
+        return None
+
+
 def through(df: DataFrame, column: str, result: str, make: Callable[[], Provider] = Provider) -> DataFrame:
     """``df`` with a provider's answers; one provider serves a partition."""
     schema = f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, `{result}` string"
@@ -122,6 +191,6 @@ def through(df: DataFrame, column: str, result: str, make: Callable[[], Provider
     return df.mapInPandas(run, schema)
 
 
-@query("k03_provider")
+@query("k03_provider", "SELECT page_id, url, 'offline:' || length(url) AS answer FROM pages")
 def k03(m: Model) -> DataFrame:
     return through(m.table("pages").select("page_id", "url"), "url", "answer")
