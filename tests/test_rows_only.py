@@ -1,7 +1,6 @@
 """Queries beyond SQL: invariants, and plain-Python forms on small graphs."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from lorekiln.functions import scores, text
@@ -9,11 +8,6 @@ from lorekiln.operators import graph, prune, reconcile
 from lorekiln.plans.catalog import QUERIES
 
 
-@pytest.mark.parametrize("name", ["k03_provider", "s16_export_rows", "g13_capitalised_spans", "t01_html_to_text", "t08_chunks", "t05_sentences", "g11_topic_model", "g05_graph_metrics", "g14b_adaptive_edges"])
-def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
-
-
 def test_degree_cap_holds_at_every_node(spark, sf):
     kept = QUERIES["w03_degree_cap"](spark, sf)
     ends = kept.select("article_id", F.explode(F.array("source", "target")).alias("n")).groupBy("article_id", "n").count()
@@ -72,6 +66,10 @@ def test_greedy_match(spark):
     b = spark.createDataFrame([(1, "phil scott"), (1, "Lake")], "article_id long, name string")
     got = {(r["a"], r["b"]) for r in reconcile.matched(a, b).collect()}
     assert got == {("Phil Scott", "phil scott"), ("State House", None), (None, "Lake")}
+    placed = lambda names: spark.createDataFrame([(1, k, n) for k, n in enumerate(names)], "article_id long, position int, name string")
+    # The first fact takes the partner, whatever the alphabet says.
+    got = {(r["a"], r["b"]) for r in reconcile.matched(placed(["Zed Corp", "Zed Cor"]), placed(["Zed Corp."])).collect()}
+    assert got == {("Zed Corp", "Zed Corp."), ("Zed Cor", None)}
 
 
 def test_empty_tables(spark):
