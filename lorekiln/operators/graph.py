@@ -298,9 +298,10 @@ def community_stats(communities: DataFrame, edges: DataFrame) -> DataFrame:
     named = edges.join(side("source"), ["article_id", "source"]).join(side("target"), ["article_id", "target"])
     inner = named.where("source_c = target_c").groupBy("article_id", F.col("source_c").alias("community")).agg(F.count(F.lit(1)).alias("internal"))
     outer = named.where("source_c <> target_c").select("article_id", F.explode(F.array("source_c", "target_c")).alias("community")).groupBy("article_id", "community").agg(F.count(F.lit(1)).alias("external"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "entity"))), 1, 5)
-    sizes = communities.groupBy("article_id", "community").agg(F.count(F.lit(1)).alias("size"), F.mode("entity_type", deterministic=True).alias("dominant_type"), F.array_join(best["entity"], ",").alias("top"))
-    both = sizes.join(inner, ["article_id", "community"], "left").join(outer, ["article_id", "community"], "left").na.fill(0, ["internal", "external"])
+    rank = F.row_number().over(Window.partitionBy("article_id", "community").orderBy(F.desc("confidence"), "entity"))
+    best = communities.withColumn("rank", rank).where("rank <= 5").groupBy("article_id", "community").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "entity")))["entity"], ",").alias("top"))
+    sizes = communities.groupBy("article_id", "community").agg(F.count(F.lit(1)).alias("size"), F.mode("entity_type", deterministic=True).alias("dominant_type"))
+    both = sizes.join(best, ["article_id", "community"]).join(inner, ["article_id", "community"], "left").join(outer, ["article_id", "community"], "left").na.fill(0, ["internal", "external"])
     return both.withColumn("cohesion", F.coalesce(F.round(F.try_divide(F.col("internal").cast("double"), F.col("internal") + F.col("external")), 6), F.lit(0.0)))
 
 

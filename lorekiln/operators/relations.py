@@ -73,6 +73,11 @@ def f22(m: Model) -> DataFrame:
     return cooccurrence_matrix(m.mentions).where("total_weight >= 6").select("article_id", "entity_a", "entity_b", "total_weight")
 
 
+@query("f22b_matrix_weight_default", over("mentions", "SELECT article_id, count(*) AS pairs FROM matrix WHERE total_weight >= 2.0 GROUP BY 1", _MATRIX))
+def f22b(m: Model) -> DataFrame:
+    return cooccurrence_matrix(m.mentions).where("total_weight >= 2.0D").groupBy("article_id").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 @query("a18_sentence_frequency", over("mentions", "SELECT article_id, entity, count(DISTINCT sentence_index) AS sentences FROM mentions GROUP BY 1, 2"))
 def a18(m: Model) -> DataFrame:
     return sentence_frequency(m.mentions)
@@ -219,6 +224,11 @@ def g15(m: Model) -> DataFrame:
     return hybrid_pairs(m.facts, important=16, focused=2)
 
 
+@query("g15b_hybrid_defaults", over("facts", "SELECT article_id, entity_a, entity_b, round(c, 6) AS confidence FROM pairs JOIN q USING (entity_a, entity_b)", "k AS (SELECT * FROM facts WHERE confidence >= 0.6)", "pairs AS (SELECT a.article_id, a.entity AS entity_a, b.entity AS entity_b, (a.confidence + b.confidence) / 2 AS c FROM k a JOIN k b ON a.article_id = b.article_id AND a.entity < b.entity)", "s AS (SELECT entity_a, entity_b, count(DISTINCT article_id) AS n, min(article_id) AS o FROM pairs GROUP BY 1, 2)", "w AS (SELECT entity FROM k GROUP BY entity HAVING count(DISTINCT article_id) >= 5)", "d AS (SELECT article_id FROM k GROUP BY article_id HAVING count(DISTINCT entity) <= 20)", "q AS (SELECT entity_a, entity_b FROM s WHERE n >= 2 UNION SELECT entity_a, entity_b FROM s WHERE n = 1 AND entity_a IN (SELECT entity FROM w) AND entity_b IN (SELECT entity FROM w) UNION SELECT entity_a, entity_b FROM s WHERE n = 1 AND o IN (SELECT article_id FROM d))"))
+def g15b(m: Model) -> DataFrame:
+    return hybrid_pairs(m.facts)
+
+
 def relation_type(distance: Column) -> Column:
     return F.when(distance == 0, "same-sentence").when(distance == 1, "adjacent-sentence").otherwise("near-proximity")
 
