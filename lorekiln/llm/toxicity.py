@@ -6,7 +6,9 @@ MinHash values of their shingles), and beginnings of words where several words t
 together better than each.  Its terms form a trie;
 Levenshtein automata of the terms' tolerances are intersected with it, state by state and lazily made
 deterministic, so that a word costs a table lookup for each character until it can no longer match.
-Digits and signs that stand for letters match those letters at no cost.
+Digits and signs that stand for letters match those letters at no cost.  Where the edited forms around a
+term are mostly those of non-toxic texts, as in a language whose words lie close together, it gets fewer
+edits or none.
 
 A hit's evidence of quotation: the text's quotation marks, paired over the whole text, enclose it, and a
 window of words around it holds verbs of saying or naming.  A hit counts as abuse by what that leaves, as quotation by the rest.  A
@@ -17,7 +19,8 @@ of each label, those of smallest hash of their id, whole texts.  Every text is t
 
 Cases: null and empty texts score like texts without a hit.  Labels that are null, or whose doc_id has
 no document, teach nothing; repeated labels of a document count as toxic if any is.  Without labels of
-both kinds every score is 0.  Rows that repeat a document are scored alike.  Extra columns aren't read.
+both kinds every score is 0.  Rows that repeat a document are scored alike.  A very long text is scored
+whole.  An empty table gives no rows.  Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,8 +80,8 @@ class FuzzyTrie:
 
     DEAD = -1
 
-    def __init__(self, terms: list[str], exact: frozenset[str] = frozenset()):
-        self.tolerance = {t: 0 if t in exact else tolerance(t) for t in terms}.__getitem__
+    def __init__(self, terms: list[str], limits: dict[str, int] | None = None):
+        self.tolerance = {t: min(tolerance(t), (limits or {}).get(t, 9)) for t in terms}.__getitem__
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.budget: list[int] = [0]
@@ -171,11 +174,11 @@ class FuzzyTrie:
 
 @dataclass
 class Lexicon:
-    """terms, the words near one that mostly harmless texts use, and the beginnings that must be met exactly since what lies near mostly is harmless."""
+    """terms, the words near one that mostly harmless texts use, and fewer edits for terms whose neighbourhood mostly is harmless."""
 
     terms: list[str]
     harmless: frozenset[str] = frozenset()
-    exact: frozenset[str] = frozenset()
+    limits: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     trie: FuzzyTrie | None = None
 
@@ -187,7 +190,7 @@ class Lexicon:
         if not text:
             return 0, []
         if self.trie is None:
-            self.trie = FuzzyTrie(self.terms, self.exact)
+            self.trie = FuzzyTrie(self.terms, self.limits)
         lookup = self.trie.lookup
         lower = text.lower()
         words = TOKEN.findall(lower)
@@ -331,25 +334,28 @@ def _clusters(sample: DataFrame) -> tuple[dict[int, int], int]:
     return cluster_of, len({c for k, c in cluster_of.items() if signed[k][0]})
 
 
-def _exempt(rows: list[tuple]) -> tuple[frozenset[str], frozenset[str]]:
-    """The forms near a term, and the beginnings whose other edited hits, lie mostly in non-toxic texts.
+def _exempt(rows: list[tuple]) -> tuple[frozenset[str], dict[str, int]]:
+    """The forms near a term that mostly non-toxic texts use, and by term the edits that remain where they are limited.
 
-    Counted over texts, near copies once; quoted hits tell nothing, and one text alone never decides.
+    Forms are counted over texts, near copies once; quoted hits tell nothing, and one text alone never decides.
+    A term is limited to fewer edits than bring it to more forms of non-toxic texts than of toxic ones, however
+    often each is used: in a language whose words lie close together, or for a common beginning, what is near
+    means little, while one common neighbour is just one form.
     """
-
-    def mostly_clean(seen: dict[str, tuple[set, set]]) -> frozenset[str]:
-        return frozenset(w for w, (clean, toxic) in seen.items() if len(clean) > max(1, len(toxic)))
-
-    edited = [(toxic, cluster, w, term) for _, toxic, cluster, _, hits in rows for w, term, edits, quoted in hits if edits and quoted < 0.5]
     forms: dict = defaultdict(lambda: (set(), set()))
-    for toxic, cluster, w, _ in edited:
-        forms[w][toxic].add(cluster)
-    harmless = mostly_clean(forms)
-    near: dict = defaultdict(lambda: (set(), set()))
-    for toxic, cluster, w, term in edited:
-        if w not in harmless and term.endswith(STEM):
-            near[term][toxic].add(cluster)
-    return harmless, mostly_clean(near)
+    reached: dict = defaultdict(set)
+    for _, toxic, cluster, _, hits in rows:
+        for w, term, edits, quoted in hits:
+            if edits and quoted < 0.5:
+                forms[w][toxic].add(cluster)
+                reached[term, edits].add(w)
+    harmless = frozenset(w for w, (clean, toxic) in forms.items() if len(clean) > max(1, len(toxic)))
+    limits: dict[str, int] = {}
+    for (term, edits), words in sorted(reached.items(), key=lambda x: -x[0][1]):  # the fewest edits last
+        clean = sum(len(forms[w][0]) > len(forms[w][1]) for w in words)
+        if clean > max(1, len(words) - clean):
+            limits[term] = edits - 1
+    return harmless, limits
 
 
 def _terms(sample: DataFrame, max_terms: int) -> tuple[list[str], dict[int, int]]:
@@ -420,8 +426,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_te
     told = [_exempt([r for r in parsed if half(r[0]) == k]) for k in (0, 1)]
 
     def counted(i: object, hits: list[tuple]) -> list[tuple]:
-        harmless, exact = told[1 - half(i)]
-        return [h for h in hits if not h[2] or (h[0] not in harmless and h[1] not in exact)]
+        harmless, limits = told[1 - half(i)]
+        return [h for h in hits if not h[2] or (h[0] not in harmless and h[2] <= limits.get(h[1], 9))]
 
     x = np.array([features(n, counted(i, hits)) for i, _, _, n, hits in parsed])
     y = np.array([float(t) for _, t, _, _, _ in parsed])
