@@ -1,9 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 A text is its words, each between two spaces; a model gives each character and the closing space a
-probability from the three characters before it.  N-grams of all languages lie in one array sorted by
-64-bit hash, beside it the languages' log probabilities and back-off weights.  The language of lowest
-cross-entropy per character is chosen.  Rejection is calibrated: on texts kept out of the counts, the
+probability from the three characters before it.  A language's n-grams lie in an array sorted by 64-bit
+hash, beside it their log probabilities and back-off weights.  The language of lowest cross-entropy per
+character is chosen.  Rejection is calibrated: on texts kept out of the counts, the
 quantile REJECT_QUANTILE of the cross-entropy under the right language is each language's limit.
 
 The models are a classifier fitted on a bounded sample: about ``per_lang`` documents of each language,
@@ -11,7 +11,10 @@ those of smallest hash of their id, whole texts.  Every text is then scored whol
 
 Cases: null texts and those without a letter are ``und`` with score 0.  Documents of null language or
 text are scored but not learned from.  Without any labelled row every text is ``und``.  Rows that
-repeat a document are scored alike; ties go to the language first in order.  Extra columns are not read.
+repeat a document are scored alike; ties go to the language first in order.  A very long text is scored
+whole, word by word; an empty table gives no rows.  Extra columns are not read, whatever their names.
+
+The models are sent to every executor: at most the grams of ``per_lang`` documents for each language.
 """
 
 from __future__ import annotations
@@ -75,12 +78,15 @@ def gram_hashes(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
 @dataclass
 class Models:
-    """grams: sorted hashes; logp and backoff: a row for each gram, a column for each language."""
+    """For each language its grams as sorted hashes, beside them their log probabilities (NaN: a context alone) and back-off weights.
+
+    A gram takes space only in the languages that have it.
+    """
 
     langs: list[str]
-    grams: np.ndarray
-    logp: np.ndarray
-    backoff: np.ndarray
+    grams: list[np.ndarray]
+    logp: list[np.ndarray]
+    backoff: list[np.ndarray]
     floor: np.ndarray
     limits: np.ndarray
 
@@ -90,39 +96,35 @@ class Models:
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             grams, word = gram_hashes(part)
-            total = np.zeros((len(word), len(self.langs)), np.float32)
-            total += self.floor
-            place: list[np.ndarray] = []
-            found: list[np.ndarray] = []
-            for g in grams:
-                at = np.searchsorted(self.grams, g)
-                at[at == len(self.grams)] = 0
-                place.append(at)
-                found.append((self.grams[at] == g) & (g != 0))
-            # From short to long: a known gram sets the probability, an unknown one pays its context's back-off.
-            for n in range(ORDER):
-                known = self.logp[place[n]]
-                use = found[n][:, None] & ~np.isnan(known)
-                if n:
-                    context, seen = np.roll(place[n - 1], 1), np.roll(found[n - 1], 1)
-                    pay = np.where(seen[:, None], self.backoff[context], np.float32(0))
-                    # A context of the gram's length less one exists only inside the word.
-                    pay[grams[n] == 0] = 0
-                    total = np.where(use, known, total + pay)
-                else:
-                    total = np.where(use, known, total)
+            # Grams recur: each is looked up once a language.
+            unique = [np.unique(g, return_inverse=True) for g in grams]
+            inside = [g != 0 for g in grams]
             for k in range(len(self.langs)):
-                out[i : i + len(part), k] = np.bincount(word, total[:, k], len(part))
+                out[i : i + len(part), k] = np.bincount(word, self._chars(k, unique, inside), len(part))
         return out
 
+    def _chars(self, k: int, unique: list[tuple[np.ndarray, np.ndarray]], inside: list[np.ndarray]) -> np.ndarray:
+        """Each character's log probability in language ``k``, from short contexts to long: a known gram sets it, an unknown one pays its context's back-off."""
+        keys, logp, backoff = self.grams[k], self.logp[k], self.backoff[k]
+        total = np.full(len(unique[0][1]), self.floor[k], np.float32)
+        pay = None
+        for n, (grams, back) in enumerate(unique):
+            at = np.searchsorted(keys, grams)
+            at[at == len(keys)] = 0
+            found = (keys[at] == grams) & (grams != 0)
+            if n:
+                # A context of the gram's length less one exists only inside the word.
+                total += np.where(inside[n], np.roll(pay, 1), np.float32(0))
+            known = np.where(found, logp[at], np.float32(np.nan))[back]
+            total = np.where(np.isnan(known), total, known)
+            pay = np.where(found, backoff[at], np.float32(0))[back]
+        return total
+
 
 def fit(counts: dict[str, list[dict[int, int]]], contexts: dict[int, int], shorter: dict[int, int], limits: dict[str, float]) -> Models:
     """Models from ``counts[lang][n - 1]``: gram -> count; contexts, shorter: gram -> the gram without its last, first character."""
     langs = sorted(counts)
-    grams = np.array(sorted({g for by_order in counts.values() for c in by_order for g in c}), np.uint64)
-    row = {int(g): i for i, g in enumerate(grams)}
-    logp = np.full((len(grams), len(langs)), np.nan, np.float32)
-    backoff = np.zeros((len(grams), len(langs)), np.float32)
+    tables: tuple[list, list, list] = ([], [], [])
     floor = np.zeros(len(langs), np.float32)
     for k, lang in enumerate(langs):
         by_order = counts[lang]
@@ -136,7 +138,9 @@ def fit(counts: dict[str, list[dict[int, int]]], contexts: dict[int, int], short
             for g in by_order[n]:
                 types[shorter[g]] += 1
             used.append({g: types.get(g) or c for g, c in by_order[n - 1].items()})
-        prob: list[dict[int, float]] = []
+        last: dict[int, float] = {}
+        logs: dict[int, float] = {}
+        weights: dict[int, float] = {}
         for n, c in enumerate(used, 1):
             ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
@@ -154,15 +158,16 @@ def fit(counts: dict[str, list[dict[int, int]]], contexts: dict[int, int], short
             else:
                 for g, v in c.items():
                     x = contexts[g]
-                    weight = discount * kinds[x] / total[x]
-                    p[g] = max(v - discount, 0) / total[x] + weight * prob[-1][shorter[g]]
+                    p[g] = max(v - discount, 0) / total[x] + discount * kinds[x] / total[x] * last[shorter[g]]
                 for x, t in total.items():
-                    if x in row:
-                        backoff[row[x], k] = np.log(discount * kinds[x] / t)
-            prob.append(p)
-            for g, v in p.items():
-                logp[row[g], k] = np.log(v)
-    return Models(langs, grams, logp, backoff, floor, np.array([limits.get(x, np.inf) for x in langs]))
+                    weights[x] = np.log(discount * kinds[x] / t)
+            last = p
+            logs.update((g, np.log(v)) for g, v in p.items())
+        keys = np.array(sorted(logs.keys() | weights.keys()), np.uint64)
+        tables[0].append(keys)
+        tables[1].append(np.array([logs.get(int(g), np.nan) for g in keys], np.float32))
+        tables[2].append(np.array([weights.get(int(g), 0.0) for g in keys], np.float32))
+    return Models(langs, *tables, floor, np.array([limits.get(x, np.inf) for x in langs]))
 
 
 def _count_words(sample: DataFrame) -> dict[str, dict[str, int]]:
