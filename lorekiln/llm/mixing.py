@@ -26,6 +26,8 @@ from .common import materialize
 BLOCK_WORDS = 128
 MAX_EPOCHS = 3
 SHARD_SLOTS = 4096
+#: Slots that a task permutes, where there are many.
+SLOTS_EACH = 500_000
 #: Rows of a bucket on average, and the fewest buckets of a source: a bucket's rows are ranked in one task.
 BUCKET_ROWS = 20_000
 BUCKETS = 1024
@@ -101,6 +103,7 @@ class Mix:
         sources = sources.withColumns({"blocks": blocks, "quota": quota})
         first = F.coalesce(F.sum("quota").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         self.sources = materialize(sources.withColumn("first", first), "sources")
+        self.n_slots = self.sources.agg(F.sum("quota")).first()[0] or 0
         known = self.sources.select("source", "rank", "source_size", "target").alias("k")
         starts = parts.alias("q").join(known, F.col("q.source").eqNullSafe(F.col("k.source")))
         starts = starts.select("q.source", "bucket", "outer", "rank", "source_size", "target").alias("p")
@@ -111,7 +114,7 @@ class Mix:
 
     def counts(self) -> DataFrame:
         """rank, shard, count: how many slots of each source every output shard draws."""
-        n = self.sources.agg(F.sum("quota")).first()[0] or 0
+        n = self.n_slots
         # Slots p belong to sources by intervals, found through bins of equal width: no source's interval meets in one task.
         last = (F.col("first") + F.col("quota") - 1) / BIN
         bins = self.sources.where("quota > 0").select("rank", "first", "quota", F.explode(F.sequence(F.floor(F.col("first") / BIN), F.floor(last))).alias("bin"))
@@ -130,7 +133,9 @@ class Mix:
         shard = Window.partitionBy("shard")
         placed = placed.withColumns({"base": before(shard.orderBy("rank")), "size": F.sum("count").over(shard), "start": F.col("outer") + F.col("inner")})
         known = self.sources.select("rank", "blocks")
-        each = placed.join(known, "rank").select("rank", "shard", "blocks", "start", "base", "size", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("k"))
+        # Small rows and much work behind them: tasks by the number of slots, not by bytes.
+        tasks = max(self.spark.sparkContext.defaultParallelism, self.n_slots // SLOTS_EACH)
+        each = placed.repartition(tasks, "rank", "shard").join(known, "rank").select("rank", "shard", "blocks", "start", "base", "size", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("k"))
         t = F.col("start") + F.col("k")
         epoch = F.floor(t / F.col("blocks"))
         block = permuted(t % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(self.seed), F.lit("blocks"), "rank", epoch))
