@@ -7,7 +7,7 @@ together better than each.  Its terms form a trie;
 Levenshtein automata of the terms' tolerances are intersected with it, state by state and lazily made
 deterministic, so that a word costs a table lookup for each character until it can no longer match.
 Digits and signs that stand for letters match those letters at no cost.  Where the edited forms around a
-term are mostly those of non-toxic texts, as in a language whose words lie close together, it gets fewer
+term are as common in non-toxic texts, as in a language whose words lie close together, it gets fewer
 edits or none.
 
 A hit's evidence of quotation: the text's quotation marks, paired over the whole text, enclose it, and a
@@ -43,6 +43,8 @@ from .minhash import Signer, WordHashes, shingle_set
 REJECT_FROM = 0.3
 PER_LABEL = 4000
 MAX_TERMS = 3000
+#: How much oftener toxic texts must use a form for it to tell something, and the share of a term's near forms that may tell nothing.
+LIFT, NEUTRAL = 3.0, 0.25
 WINDOW = 6
 FEATURES = 5
 #: Near copies: MinHash values of a text's shingles, values that make a bucket, and the equal values asked for.
@@ -174,7 +176,7 @@ class FuzzyTrie:
 
 @dataclass
 class Lexicon:
-    """terms, the words near one that mostly harmless texts use, and fewer edits for terms whose neighbourhood mostly is harmless."""
+    """terms, the words near one that tell nothing, and fewer edits for terms among too many such words."""
 
     terms: list[str]
     harmless: frozenset[str] = frozenset()
@@ -335,27 +337,30 @@ def _clusters(sample: DataFrame) -> tuple[dict[int, int], int]:
 
 
 def _exempt(rows: list[tuple]) -> tuple[frozenset[str], dict[str, int]]:
-    """The forms near a term that mostly non-toxic texts use, and by term the edits that remain where they are limited.
+    """The forms near a term that tell nothing of toxicity, and by term the edits that remain where they are limited.
 
     Forms are counted over texts, near copies once; quoted hits tell nothing, and one text alone never decides.
-    A term is limited to fewer edits than bring it to more forms of non-toxic texts than of toxic ones, however
-    often each is used: in a language whose words lie close together, or for a common beginning, what is near
-    means little, while one common neighbour is just one form.
+    A form tells of toxicity where toxic texts use it ``LIFT`` times as often, for their number, as others do.
+    A term loses the edits that bring it to forms of which more than ``NEUTRAL`` tell nothing, however often each
+    is used: in a language whose words lie close together what is near means little, while one common
+    neighbour is just one form.
     """
+    texts: tuple[set, set] = (set(), set())
     forms: dict = defaultdict(lambda: (set(), set()))
     reached: dict = defaultdict(set)
     for _, toxic, cluster, _, hits in rows:
+        texts[toxic].add(cluster)
         for w, term, edits, quoted in hits:
             if edits and quoted < 0.5:
                 forms[w][toxic].add(cluster)
                 reached[term, edits].add(w)
-    harmless = frozenset(w for w, (clean, toxic) in forms.items() if len(clean) > max(1, len(toxic)))
+    often = LIFT * len(texts[1]) / max(1, len(texts[0]))
+    neutral = {w for w, (clean, toxic) in forms.items() if len(toxic) <= often * len(clean)}
     limits: dict[str, int] = {}
     for (term, edits), words in sorted(reached.items(), key=lambda x: -x[0][1]):  # the fewest edits last
-        clean = sum(len(forms[w][0]) > len(forms[w][1]) for w in words)
-        if clean > max(1, len(words) - clean):
+        if len(words & neutral) > max(1, NEUTRAL * len(words)):
             limits[term] = edits - 1
-    return harmless, limits
+    return frozenset(w for w in neutral if len(forms[w][0]) > 1), limits
 
 
 def _terms(sample: DataFrame, max_terms: int) -> tuple[list[str], dict[int, int]]:
