@@ -8,14 +8,14 @@ falls below ``miss``; survivors are confirmed on their full shingle sets.
 Candidates are met in two passes, neither of which writes pairs of a crowded bucket as rows.  The first
 pairs each class with the hub of each of its buckets, the class that meets most others over all buckets
 (of a group of copies, mostly their original): a few pairs a class.  Links give components.  Buckets whose
-classes then still lie in several components are open.  The second pass deals the classes of open buckets
-to blocks, those of one hub together and those that the hub's component holds apart, and sends every two
-blocks that share an open bucket to one task, which compares all their candidates across components and
-returns the links that join components: at most one a class.  A pair of blocks whose classes in their
-shared buckets are one component already is not made.  So each pair that shares a bucket was compared or
-lies in one component anyway, a large group of copies costs a few pairs a member, and what is left of a
-group whose members aren't linked with their hub costs a comparison of signatures for each candidate
-pair, while rows grow with the blocks alone.
+classes then still lie in several components are open.  In the second pass the classes of an open bucket
+come together in one task, which compares all their candidates across components; a pair that shares
+several buckets is met in that of the first band.  A crowded bucket is dealt to blocks, the hub's
+component and the rest apart, and every two blocks meet in a task, but for blocks of that component among
+themselves.  Signatures alone go first; the classes that have a survivor come again with their shingle
+sets, and what comes back are links that join components, at most one a class.  So each pair that shares a
+bucket was compared or lies in one component anyway.  A class goes to a task for each of its open buckets,
+32 at most, and in a crowded one for each of its blocks: rows grow with the classes, not with their pairs.
 
 A pair at the threshold shares no band with probability (1 - 0.8^6)^32 = 6e-5, and is pruned with
 probability ``miss`` at most.  Shingles are compared as 64-bit hashes: unequal ones of two texts of a
@@ -49,8 +49,8 @@ BANDS, ROWS = 32, 6
 BATCH = 32
 MISS = 1e-5
 #: Classes of a block of the second pass, and shingles; both bound what a task holds.
-BLOCK_ROWS = 512
-BLOCK_SHINGLES = 1 << 20
+BLOCK_ROWS = 2048
+BLOCK_SHINGLES = 1 << 22
 #: Classes that one copy of a hub is sent to in the first pass.
 CHUNK = 256
 #: Links that one task joins by union-find.
@@ -233,23 +233,23 @@ def hub_links(pairs: DataFrame, sets: DataFrame, threshold: int, miss: float) ->
 
 
 class Part:
-    """Some rows of a block: components, signatures, a key for each band, and sets."""
+    """Some classes of a block: components, sizes, signatures, a key for each band, and where they are there sets."""
 
-    def __init__(self, roots: list, sigs: list[bytes], shingles: list[bytes]):
-        self.roots, self.sigs = roots, _signed(sigs)
-        self.sets = [np.frombuffer(s, "<u8") for s in shingles]
-        self.sizes = np.array([len(s) for s in self.sets])
+    def __init__(self, xs: list, roots: list, sizes: list, sigs: list[bytes], shingles: list[bytes] | None):
+        self.xs, self.roots, self.sizes, self.sigs = xs, roots, np.array(sizes), _signed(sigs)
+        self.sets = shingles and [np.frombuffer(s, "<u8") for s in shingles]
         # 96 bits of a band as one 64-bit key: a chance agreement only means one more candidate.
         words = np.ascontiguousarray(self.sigs).view("<u4").reshape(len(sigs), BANDS, ROWS // 2).astype(np.uint64)
         self.bands = ((words[:, :, 0] * _FACTORS[0] + words[:, :, 1]) * _FACTORS[1] + words[:, :, 2]) * _FACTORS[2]
+        self.hit = np.zeros(len(xs), bool)
 
 
 class Meeting:
-    """Two blocks (or one, with itself) in a task: finds the links that join components."""
+    """A bucket's block with another, or with itself, in a task: marks the classes with a survivor, or finds the links that join components."""
 
-    def __init__(self, threshold: int, prune: Pruner):
-        self.threshold, self.prune = threshold, prune
-        self.held: list[Part] = []
+    def __init__(self, band: int, threshold: int, prune: Pruner):
+        self.band, self.threshold, self.prune = band, threshold, prune
+        self.parts: dict[int, list[Part]] = {}
         self.parent: dict = {}
         self.found: tuple[list, list] = ([], [])
 
@@ -259,6 +259,14 @@ class Meeting:
             parent[x] = x = parent[parent[x]]
         return x
 
+    def add(self, side: int, part: Part) -> None:
+        """Side 0 waits for side 1; side 2 meets itself."""
+        for other in self.parts.get(2 if side == 2 else 0, []) if side else []:
+            self.compare(other, part, False)
+        if side == 2:
+            self.compare(part, part, True)
+        self.parts.setdefault(side, []).append(part)
+
     def compare(self, p: Part, q: Part, same: bool) -> None:
         code: dict = {}
         mine, theirs = ([code.setdefault(self.root(r), len(code)) for r in part.roots] for part in (p, q))
@@ -267,14 +275,16 @@ class Meeting:
             open_ &= np.tri(len(mine), k=-1, dtype=bool).T
         least, most = np.minimum(p.sizes[:, None], q.sizes), np.maximum(p.sizes[:, None], q.sizes)
         open_ &= 100 * least >= self.threshold * most
-        if not open_.any():
-            return
-        met = np.zeros_like(open_)
-        for k in range(BANDS):
-            met |= p.bands[:, k, None] == q.bands[None, :, k]
-        i, j = np.nonzero(open_ & met)
+        for k in range(self.band):  # met in the bucket of an earlier band
+            if not open_.any():
+                return
+            open_ &= p.bands[:, k, None] != q.bands[None, :, k]
+        i, j = np.nonzero(open_)
         i, j, matches = self.prune(p.sigs, i, q.sigs, j)
-        if len(i):
+        if not len(i):
+            return
+        p.hit[i], q.hit[j] = True, True
+        if p.sets:
             self.verify(p, q, i, j, matches)
 
     def verify(self, p: Part, q: Part, i: np.ndarray, j: np.ndarray, matches: np.ndarray) -> None:
@@ -300,63 +310,70 @@ class Meeting:
                     self.found[1].append(b)
             mark[own[r]] = False
 
-    def end(self, diagonal: bool) -> None:
-        if diagonal:
-            for k, p in enumerate(self.held):
-                for q in self.held[k:]:
-                    self.compare(p, q, p is q)
 
-
-def block_links(seats: DataFrame, placed: DataFrame, sets: DataFrame, threshold: int, miss: float) -> DataFrame:
-    """Links (a, b) between components, from all candidates across components of the blocks that share an open bucket.
-
-    ``seats``: key, block, and lo and hi, the least and largest component of the block's classes in that
-    bucket.  ``placed``: x, root and block of the classes.
-    """
-    p = seats.select("key", F.col("block").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    q = seats.select("key", F.col("block").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    pairs = p.join(q, "key").where((F.col("a") <= F.col("b")) & (F.least("la", "lb") != F.greatest("ha", "hb"))).select("a", "b")
-    pairs = materialize(pairs.distinct(), "meetings")
-    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(2).alias("side")))).otherwise(
-        F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))
-    )
-    rows = pairs.select("a", "b", F.explode(sides).alias("e")).select("a", "b", "e.block", "e.side").join(placed, "block")
-    needed = rows.join(sets, "x").select("a", "b", "side", "root", "sig", "shingles")
-    # Little data and much work: tasks by the number of meetings, not by bytes.
-    n = pairs.count()
-    tasks = max(1, min(n, max(pairs.sparkSession.sparkContext.defaultParallelism, n // 32)))
-    ordered = needed.repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "side")
-    kind = dict(placed.dtypes)["root"]
+def meetings(open_: DataFrame) -> DataFrame:
+    """(key, a, b, side, band, x, root, size): the classes of open buckets, a row for each two blocks of their bucket that meet in a task."""
+    inner = (F.col("root") == F.col("top.root")).alias("inner")
+    known = open_.select("key", "band", "x", "root", "size", inner)
+    count = lambda c: (F.greatest(F.ceil(F.count_if(c) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)) / BLOCK_SHINGLES))).cast("int")
+    sizes = known.groupBy("key").agg(count(F.lit(True)).alias("all"), count(F.col("inner")).alias("c_in"), count(~F.col("inner")).alias("c_out"))
+    draw = lambda n: F.pmod(F.xxhash64(F.lit("block"), "x"), n).cast("int")
+    whole = F.col("all") <= 1
+    block = F.when(whole, 0).when(F.col("inner"), draw(F.col("c_in"))).otherwise(F.col("c_in") + draw(F.col("c_out")))
+    # Blocks of the hub's component need not meet each other.
+    first = F.when(F.col("inner"), F.col("c_in")).otherwise(0)
+    others = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(first, F.col("c_in") + F.col("c_out") - 1))
+    each = known.join(sizes, "key").withColumn("p", block).withColumn("q", F.explode(others))
+    side = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") < F.col("q"), 0).otherwise(1)
+    return each.select("key", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), side.alias("side"), "band", "x", "root", "size")
+
+
+def _met(rows: DataFrame, n: int, threshold: int, miss: float, links: bool) -> DataFrame:
+    """Runs the meetings of ``rows`` (with sig, and for links shingles): the rows that have a survivor, without sig, or the links (a, b)."""
+    columns = ["key", "a", "b", "side", "band", "x", "root", "size"]
+    # Little data and much work: tasks by the number of rows, not by bytes.
+    tasks = max(1, min(n // 256, max(rows.sparkSession.sparkContext.defaultParallelism, n // 50_000)))
+    ordered = rows.select(*columns, "sig", *["shingles"] * links).repartition(tasks, "key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
+    kinds = dict(rows.dtypes)
+    schema = f"a {kinds['root']}, b {kinds['root']}" if links else ", ".join(f"{c} {kinds[c]}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prune, at, meeting, last, type_ = Pruner(threshold, miss), None, None, 0, None
+        prune, at, meeting, types = Pruner(threshold, miss), None, None, None
 
         def over() -> Iterator[pa.RecordBatch]:
-            if meeting is not None:
-                meeting.end(last == 2)
-                if meeting.found[0]:
-                    yield _links(*meeting.found, type_)
+            if meeting is None:
+                return
+            if links and meeting.found[0]:
+                yield _links(*meeting.found, types.field("root").type)
+            for side, parts in meeting.parts.items() if not links else []:
+                for p in parts:
+                    if p.hit.any():
+                        rest = [(*at, side, meeting.band, p.xs[r], p.roots[r], int(p.sizes[r])) for r in np.flatnonzero(p.hit).tolist()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, types.field(name).type) for name, c in zip(columns, zip(*rest, strict=True), strict=True)], columns)
 
         for batch in batches:
-            type_ = batch.schema.field("root").type
+            types = batch.schema
             for part in pieces(batch):
-                a, b, side, roots, sigs, shingles = (c.to_pylist() for c in part.columns)
-                for unit, group in groupby(range(len(a)), key=lambda r: (a[r], b[r], side[r])):
+                key, a, b, side, band, xs, roots, sizes, sigs, *sets = (c.to_pylist() for c in part.columns)
+                for unit, group in groupby(range(len(key)), key=lambda r: (key[r], a[r], b[r], side[r])):
                     span = list(group)
                     span = slice(span[0], span[-1] + 1)
-                    rows = Part(roots[span], sigs[span], shingles[span])
-                    if unit[:2] != at:
+                    if unit[:3] != at:
                         yield from over()
-                        at, meeting = unit[:2], Meeting(threshold, prune)
-                    last = unit[2]
-                    if last == 1:
-                        for held in meeting.held:
-                            meeting.compare(held, rows, False)
-                    else:
-                        meeting.held.append(rows)
+                        at, meeting = unit[:3], Meeting(band[span.start], threshold, prune)
+                    meeting.add(unit[3], Part(xs[span], roots[span], sizes[span], sigs[span], sets[0][span] if sets else None))
         yield from over()
 
-    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
+    return ordered.mapInArrow(run, schema)
+
+
+def open_links(open_: DataFrame, sets: DataFrame, threshold: int, miss: float) -> DataFrame:
+    """Links (a, b) between components, from all candidates across components of the open buckets."""
+    met = materialize(meetings(open_), "meetings")
+    survivors = materialize(_met(met.join(sets.select("x", "sig"), "x"), met.count(), threshold, miss, False), "survivors")
+    links = materialize(_met(survivors.join(sets, "x"), survivors.count(), threshold, miss, True), "links")
+    release(met, survivors)
+    return links
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,21 +419,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def open_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, x, size, root, top) of the buckets whose classes lie in several components; top: the hub as (rank, x, root)."""
+    """(key, band, x, size, root, top) of the buckets whose classes lie in several components; top: the hub as (rank, x, root)."""
     named = buckets.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     top = F.min(F.struct((-F.col("meets")).alias("rank"), "x", "root")).alias("top")
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), top).where("lo <> hi").select("key", "top")
-    return named.join(mixed, "key").select("key", "x", "size", "root", "top")
-
-
-def blocks_of(open_: DataFrame) -> DataFrame:
-    """(x, root, block): the classes of open buckets dealt to blocks by their best hub and by whether its component holds them."""
-    best = open_.groupBy("x").agg(F.min("root").alias("root"), F.max("size").alias("size"), F.min("top").alias("top"))
-    placed = best.select("x", "root", "size", F.col("top.x").alias("hub"), (F.col("root") == F.col("top.root")).alias("inner"))
-    many = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES))
-    chunks = placed.groupBy("hub", "inner").agg(many.alias("chunks"))
-    place = F.xxhash64("hub", "inner", F.pmod(F.xxhash64(F.lit("chunk"), "x"), F.col("chunks")))
-    return placed.join(chunks, ["hub", "inner"]).select("x", "root", place.alias("block"))
+    return named.join(mixed, "key").select("key", "band", "x", "size", "root", "top")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -433,11 +440,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     repeats = own.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
-    banded = classes.select(F.explode(keys).alias("key"), "x", "size")
+    banded = classes.select(F.posexplode(keys).alias("band", "key"), "x", "size")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(banded.join(shared, "key"), "met")
     meets = met.groupBy("x").agg(F.sum(F.col("n") - 1).alias("meets"))
-    buckets = materialize(met.join(meets, "x").select("key", "x", "size", "meets"), "buckets")
+    buckets = materialize(met.join(meets, "x").select("key", "band", "x", "size", "meets"), "buckets")
     release(met)
     # Only texts that share a bucket can be asked for: the collection is read and shuffled once.
     asked = classes.join(buckets.select("x").distinct(), "x", "left_semi").select(F.col("x").alias("doc_id"), "tie", "x", "sig")
@@ -449,10 +456,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     pairs = materialize(pairs.select(F.col("hub.x").alias("a"), F.col("x").alias("b")).distinct(), "pairs")
     roots = components(hub_links(pairs, sets, threshold, miss).unionByName(repeats))
     open_ = materialize(open_buckets(buckets, roots), "open")
-    placed = materialize(blocks_of(open_), "placed")
-    seats = open_.select("key", "x").join(placed, "x").groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    joined = components(block_links(materialize(seats, "seats"), placed, sets, threshold, miss))
-    release(pairs, open_, placed, sets, buckets)
+    links = open_links(open_, sets, threshold, miss)
+    joined = components(links)
+    release(pairs, open_, sets, buckets, links)
     named = own.join(roots.withColumnRenamed("node", "first"), "first", "left").withColumn("root", F.coalesce("root", "first", "doc_id"))
     last = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
     component = F.coalesce("last", "root")
