@@ -45,6 +45,7 @@ from .common import map_columns, materialize, pieces, release
 SHINGLE_WORDS = 5
 #: Least similarity in hundredths.
 THRESHOLD = 80
+#: A power of two bands, and the values of each.
 BANDS, ROWS = 32, 6
 BATCH = 32
 MISS = 1e-5
@@ -184,8 +185,13 @@ def _links(a: list, b: list, kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
 
+def similar(p: np.ndarray, q: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both > 0 and 100 * both >= threshold * (len(p) + len(q) - both)
+
+
 def hub_links(pairs: DataFrame, sets: DataFrame, threshold: int, miss: float) -> DataFrame:
-    """The pairs (a, b) of a hub and a class that link.
+    """The pairs (a, b) of a hub and a class that link, or where ``sets`` has signatures alone, that no batch rules out.
 
     A hub goes before its classes in a partition sorted by hub, so that one hub is held at a time; hubs
     of many classes are repeated, one for each chunk of them.
@@ -193,7 +199,8 @@ def hub_links(pairs: DataFrame, sets: DataFrame, threshold: int, miss: float) ->
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     members = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("x"), F.lit(1).alias("side"))
     hubs = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("x"), F.lit(0).alias("side"))
-    needed = members.unionByName(hubs).join(sets, "x").select("a", "chunk", "side", "x", "sig", "shingles")
+    whole = "shingles" in sets.columns
+    needed = members.unionByName(hubs).join(sets, "x").select("a", "chunk", "side", "x", "sig", *["shingles"] * whole)
     ordered = needed.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "side")
     kind = dict(pairs.dtypes)["a"]
 
@@ -201,7 +208,8 @@ def hub_links(pairs: DataFrame, sets: DataFrame, threshold: int, miss: float) ->
         prune, at, held = Pruner(threshold, miss), None, []
         for batch in batches:
             for part in pieces(batch):
-                a, chunk, side, xs, sigs, shingles = (c.to_pylist() for c in part.columns)
+                a, chunk, side, xs, sigs, *rest = (c.to_pylist() for c in part.columns)
+                shingles = rest[0] if whole else [None] * len(a)
                 # Signatures of the hubs that are met here, and for each class of a hub one pair of places.
                 known = [h[0] for h in held]
                 here, i, j, other = list(range(len(held))), [], [], [h[1] for h in held]
@@ -221,9 +229,7 @@ def hub_links(pairs: DataFrame, sets: DataFrame, threshold: int, miss: float) ->
                 i, j, _ = prune(_signed(known), np.array(i), _signed(sigs), np.array(j))
                 found: tuple[list, list] = ([], [])
                 for h, r in zip(i.tolist(), j.tolist(), strict=True):
-                    p, q = np.frombuffer(other[h], "<u8"), np.frombuffer(shingles[r], "<u8")
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if both and 100 * both >= threshold * (len(p) + len(q) - both):
+                    if not whole or similar(np.frombuffer(other[h], "<u8"), np.frombuffer(shingles[r], "<u8"), threshold):
                         found[0].append(a[r])
                         found[1].append(xs[r])
                 if found[0]:
@@ -439,12 +445,15 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     several = own.where("first is not null").groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo <> hi")
     repeats = own.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
-    banded = classes.select(F.posexplode(keys).alias("band", "key"), "x", "size")
+    # A bucket's key ends in its band's number.
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)).bitwiseAND(-BANDS).bitwiseOR(k) for k in range(BANDS)])
+    banded = classes.select(F.explode(keys).alias("key"), "x")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(banded.join(shared, "key"), "met")
-    meets = met.groupBy("x").agg(F.sum(F.col("n") - 1).alias("meets"))
-    buckets = materialize(met.join(meets, "x").select("key", "band", "x", "size", "meets"), "buckets")
+    sizes = classes.groupBy("x").agg(F.max("size").alias("size"))
+    meets = met.groupBy("x").agg(F.sum(F.col("n") - 1).alias("meets")).join(sizes, "x")
+    band = F.col("key").bitwiseAND(BANDS - 1).cast("int").alias("band")
+    buckets = materialize(met.join(meets, "x").select("key", band, "x", "size", "meets"), "buckets")
     release(met)
     # Only texts that share a bucket can be asked for: the collection is read and shuffled once.
     asked = classes.join(buckets.select("x").distinct(), "x", "left_semi").select(F.col("x").alias("doc_id"), "tie", "x", "sig")
@@ -454,11 +463,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     hub = F.min(F.struct((-F.col("meets")).alias("rank"), "x", "size")).alias("hub")
     pairs = buckets.join(buckets.groupBy("key").agg(hub), "key").where(F.col("x") != F.col("hub.x")).where(reachable(F.col("size"), F.col("hub.size"), threshold))
     pairs = materialize(pairs.select(F.col("hub.x").alias("a"), F.col("x").alias("b")).distinct(), "pairs")
-    roots = components(hub_links(pairs, sets, threshold, miss).unionByName(repeats))
+    alive = materialize(hub_links(pairs, sets.select("x", "sig"), threshold, miss).distinct(), "alive")
+    roots = components(hub_links(alive, sets, threshold, miss).unionByName(repeats))
     open_ = materialize(open_buckets(buckets, roots), "open")
     links = open_links(open_, sets, threshold, miss)
     joined = components(links)
-    release(pairs, open_, sets, buckets, links)
+    release(pairs, alive, open_, sets, buckets, links)
     named = own.join(roots.withColumnRenamed("node", "first"), "first", "left").withColumn("root", F.coalesce("root", "first", "doc_id"))
     last = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
     component = F.coalesce("last", "root")
