@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, media, minhash, mixing, sharding, topk, toxicity, warc
+from . import bpe, langid, line_dedup, media, minhash, mixing, sharding, simhash, spelling, topk, toxicity, warc, whitening
 from .common import held_out, table
 
 
@@ -69,7 +69,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
-_ALL = (op1_toxicity, op2_line_dedup, op3_sharding, op4_mixing, op5_media, op6_byte_bpe, op7_warc, op8_topk, op9_langid, op10_minhash)
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.vocabulary(docs, slips=True)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+_ALL = (op1_toxicity, op2_line_dedup, op3_sharding, op4_mixing, op5_media, op6_byte_bpe, op7_warc, op8_topk, op9_langid, op10_minhash, op11_whitening, op12_simhash, op13_spelling)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
