@@ -107,7 +107,7 @@ def units(classes: DataFrame, distance: int) -> DataFrame:
     if full.first():
         groups = F.ceil(F.coalesce("held", F.lit(1)) / CROWD).cast("int")
         dealt = spread_join(crowded, full, unit, "held", ["held"]).withColumn("side", F.pmod(F.xxhash64(F.lit("side"), "fingerprint"), groups).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1)))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1))).drop("held")
     else:
         dealt = crowded.withColumns({"side": F.lit(0), "other": F.lit(0)})
     both = loose.withColumns({"side": F.lit(0), "other": F.lit(0)}).unionByName(dealt)
@@ -172,7 +172,7 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
             pivots = rows.column("pivots")
             table = pivots.flatten().to_numpy().reshape(rows.num_rows, -1)
             # Within a group all meet; groups of an unequal pair meet across.
-            label = close(d.astype(np.int64), unit, np.where(a == b, np.arange(len(a)), -1 - side) if (a != b).any() else None, table, prints, distance)
+            label = close(d.astype(np.int64), unit, np.where(a == b, np.arange(len(a)), -1 - side) if (a != b).any() else None, table, prints.astype(np.uint64), distance)
             child = np.flatnonzero(label != np.arange(len(label)))
             if len(child):
                 xs = rows.column("x")
