@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from ..functions import filters, scores, text
 from ..operators import aggregates, graph, prune, reconcile, relational, relations, topics
-from ..sources import tables
+from ..sources import caches, snapshots, tables
 from ..streaming import feeds
 from . import serving
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "feeds", "filters", "graph", "prune", "reconcile", "relational", "relations", "scores", "serving", "tables", "text", "topics"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "caches", "feeds", "filters", "graph", "prune", "reconcile", "relational", "relations", "scores", "serving", "snapshots", "tables", "text", "topics"]
