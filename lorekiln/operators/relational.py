@@ -124,11 +124,41 @@ def j10(m: Model) -> DataFrame:
     return containment_matches(short, e).select("article_id", "short_name", "long_name")
 
 
+#: Characters of the pieces that names are looked up by.
+GRAM = 3
+
+
+def _grams(name: Column, size: Column) -> Column:
+    """The distinct pieces of a name of one size: of size 0 the empty one, none where the name is shorter."""
+    starts = F.sequence(F.lit(1), F.char_length(name) - size + 1)
+    pieces = F.array_distinct(F.transform(starts, lambda at: F.substring(name, at, size)))
+    return F.when(size == 0, F.array(F.lit(""))).when(F.char_length(name) >= size, pieces).otherwise(F.array().cast("array<string>"))
+
+
 def containment_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Names of one type in one article of which one holds the other, whatever the case."""
-    a = left.select("article_id", "type", F.col("name").alias("short_name"))
-    b = right.select("article_id", "type", F.col("name").alias("long_name"))
-    return a.join(b, ["article_id", "type"]).where(F.contains(F.lower("long_name"), F.lower("short_name")) & (F.col("short_name") != F.col("long_name")))
+    """Names of one type in one article of which one holds the other, whatever the case: article_id, type, short_name and long_name for each two rows.
+
+    Long names are listed by their pieces of up to GRAM characters, and each short name looks at the list of its
+    rarest piece alone, which any name that holds it is on; what is found there is verified.  So an article of
+    thousands of names doesn't compare all of them.  An empty name is held by all.
+    """
+    key = ["article_id", "type"]
+
+    def named(df: DataFrame, c: str) -> DataFrame:
+        counted = df.where("name IS NOT NULL").groupBy(*key, F.col("name").alias(f"{c}_name")).agg(F.count(F.lit(1)).alias(f"{c}_rows"))
+        return counted.withColumn(f"{c}_low", F.lower(f"{c}_name"))
+
+    sizes = F.sequence(F.lit(0), F.lit(GRAM))
+    listed = named(right, "long").withColumn("gram", F.explode(F.flatten(F.transform(sizes, lambda n: _grams(F.col("long_low"), n)))))
+    lists = listed.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("listed"))
+    short = named(left, "short")
+    pieces = short.withColumn("gram", F.explode(_grams(F.col("short_low"), F.least(F.char_length("short_low"), F.lit(GRAM)))))
+    known = pieces.join(lists, [*key, "gram"], "left")  # a piece without a list: no name holds the short one
+    least = F.min(F.struct(F.coalesce("listed", F.lit(0)).alias("listed"), "gram")).alias("least")
+    rarest = known.groupBy(*key, "short_name", "short_rows", "short_low").agg(least).where("least.listed > 0").withColumn("gram", F.col("least.gram"))
+    found = rarest.join(listed, [*key, "gram"]).where(F.contains("long_low", "short_low") & (F.col("short_name") != F.col("long_name")))
+    times = F.sequence(F.lit(1), (F.col("short_rows") * F.col("long_rows")).cast("int"))
+    return found.select(*key, "short_name", "long_name", F.explode(times).alias("time")).drop("time")
 
 
 @query("j11_least_greatest_pairs", "WITH p AS (SELECT DISTINCT least(l_suppkey, l_partkey % 100) AS entity_a, greatest(l_suppkey, l_partkey % 100) AS entity_b, l_orderkey FROM lineitem) SELECT entity_a, entity_b, count(*) AS articles FROM p GROUP BY 1, 2 HAVING count(*) >= 3")

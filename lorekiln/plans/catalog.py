@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..functions import filters, scores, text
-from ..operators import aggregates, graph, prune, reconcile, relational, relations, topics
+from ..operators import aggregates, graph, positions, prune, reconcile, relational, relations, topics
 from ..sources import caches, snapshots, tables
 from ..streaming import feeds, states
 from . import serving
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "caches", "feeds", "filters", "graph", "prune", "reconcile", "relational", "relations", "scores", "serving", "snapshots", "states", "tables", "text", "topics"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "caches", "feeds", "filters", "graph", "positions", "prune", "reconcile", "relational", "relations", "scores", "serving", "snapshots", "states", "tables", "text", "topics"]
