@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import distance_weight, pmi_columns
-from ..plans.proxy import Model, over
+from ..plans.proxy import AS_OF, Model, over
 from ..plans.registry import query
 from .relational import entity_pairs
 
@@ -87,8 +87,17 @@ def sentence_frequency(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("article_id", "entity").agg(F.count_distinct("sentence_index").alias("sentences"))
 
 
+def by_entity(facts: DataFrame) -> DataFrame:
+    """(article_id, entity, confidence): facts are unique by article, entity and type; of an entity's types in an article the surest counts.
+
+    Partitioned by article, so that pairs inside an article need no other shuffle.
+    """
+    return facts.repartition("article_id").groupBy("article_id", "entity").agg(F.max("confidence").alias("confidence"))
+
+
 def document_frequency(facts: DataFrame) -> DataFrame:
     """Articles of each entity, and the number of all articles."""
+    facts = facts.select("article_id", "entity").distinct()
     total = facts.agg(F.count_distinct("article_id").alias("n_articles"))
     return facts.groupBy("entity").agg(F.count(F.lit(1)).alias("articles")).crossJoin(F.broadcast(total))
 
@@ -108,8 +117,7 @@ def a19(m: Model) -> DataFrame:
 
 def corpus_pmi(facts: DataFrame, min_count: int = 2) -> DataFrame:
     """PMI and NPMI of entity pairs by articles."""
-    # Facts are unique by article and entity: a pair's rows are its articles.
-    pairs = entity_pairs(facts).groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("n_ab"), F.avg((F.col("confidence_a") + F.col("confidence_b")) / 2).alias("confidence"))
+    pairs = entity_pairs(by_entity(facts)).groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("n_ab"), F.avg((F.col("confidence_a") + F.col("confidence_b")) / 2).alias("confidence"))
     freq = document_frequency(facts)
     a = freq.select(F.col("entity").alias("entity_a"), F.col("articles").alias("n_a"), F.col("n_articles").alias("n"))
     b = freq.select(F.col("entity").alias("entity_b"), F.col("articles").alias("n_b"))
@@ -172,7 +180,7 @@ def g14(m: Model) -> DataFrame:
 
 def pair_support(facts: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """Distinct articles of each pair of confident entities."""
-    pairs = entity_pairs(facts.where(F.col("confidence") >= min_confidence))
+    pairs = entity_pairs(by_entity(facts.where(F.col("confidence") >= min_confidence)))
     return pairs.groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("articles"))
 
 
@@ -191,7 +199,7 @@ def a15b(m: Model) -> DataFrame:
 
 def weighted_pairs(facts: DataFrame, min_articles: int = 2) -> DataFrame:
     """Pairs weighted by the number of articles, with the first of them and a description."""
-    pairs = entity_pairs(facts).groupBy("entity_a", "entity_b")
+    pairs = entity_pairs(by_entity(facts)).groupBy("entity_a", "entity_b")
     counted = pairs.agg(F.count(F.lit(1)).alias("articles"), F.round(F.avg((F.col("confidence_a") + F.col("confidence_b")) / 2), 6).alias("confidence"), F.min("article_id").alias("first_article"))
     return counted.where(F.col("articles") >= min_articles).withColumn("description", F.concat(F.lit("Appears together in "), F.col("articles").cast("string"), F.lit(" article(s)")))
 
@@ -201,21 +209,25 @@ def a16(m: Model) -> DataFrame:
     return weighted_pairs(m.facts)
 
 
-def hybrid_pairs(facts: DataFrame, min_confidence: float = 0.6, min_articles: int = 2, important: int = 5, focused: int = 20) -> DataFrame:
+def hybrid_pairs(facts: DataFrame, min_confidence: float = 0.6, min_articles: int = 2, important: int = 5, focused: int = 20, either: bool = False, articles: DataFrame | None = None) -> DataFrame:
     """All occurrences of the pairs that qualify: in several articles, or once between important entities, or once in a focused article.
 
-    Facts are unique by article and entity, so plain counts count articles and entities.
+    Both ends of a single pair must be important, or with ``either`` one of them.  ``articles`` (article_id), where
+    given, are those that pairs come from; importance and focus are those of all facts.
     """
-    confident = facts.where(F.col("confidence") >= min_confidence)
+    confident = by_entity(facts.where(F.col("confidence") >= min_confidence))
     density = confident.groupBy("article_id").agg(F.count(F.lit(1)).alias("entities"))
     weight = confident.groupBy("entity").agg(F.count(F.lit(1)).alias("w"))
     heavy = weight.where(F.col("w") >= important).select("entity")
     key = ["entity_a", "entity_b"]
     end = lambda c: heavy.select(F.col("entity").alias(f"entity_{c}"), F.lit(True).alias(f"heavy_{c}"))
-    pairs = entity_pairs(confident).join(density, "article_id")
+    inside = confident if articles is None else confident.join(articles, "article_id", "left_semi")
+    pairs = entity_pairs(inside).join(density, "article_id")
     support = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("articles"), F.min("entities").alias("entities"))
     alone = support.join(end("a"), "entity_a", "left").join(end("b"), "entity_b", "left")
-    qualified = alone.where((F.col("articles") >= min_articles) | (F.col("entities") <= focused) & (F.col("articles") == 1) | F.col("heavy_a") & F.col("heavy_b") & (F.col("articles") == 1))
+    known = [F.coalesce(f"heavy_{c}", F.lit(False)) for c in "ab"]
+    weighty = known[0] | known[1] if either else known[0] & known[1]
+    qualified = alone.where((F.col("articles") >= min_articles) | (F.col("entities") <= focused) & (F.col("articles") == 1) | weighty & (F.col("articles") == 1))
     return pairs.drop("entities").join(qualified.select(*key), key).select("article_id", *key, F.round((F.col("confidence_a") + F.col("confidence_b")) / 2, 6).alias("confidence"))
 
 
@@ -229,6 +241,70 @@ def g15b(m: Model) -> DataFrame:
     return hybrid_pairs(m.facts)
 
 
+def completed_since(articles: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """(article_id) of the articles that are completed and were published in the last ``days`` days."""
+    return articles.where((F.col("processing_status") == "completed") & (F.col("published_date") >= as_of - F.expr(f"INTERVAL {days} DAYS"))).select(F.col("id").alias("article_id"))
+
+
+def hybrid_strategy(facts: DataFrame, articles: DataFrame, as_of: Column, days: int = 180, min_articles: int = 2, important: int = 3, focused: int = 20) -> DataFrame:
+    """The surveyed hybrid strategy: pairs of recent completed articles, single ones kept where either end is important or their article focused."""
+    return hybrid_pairs(facts, 0.6, min_articles, important, focused, True, completed_since(articles, as_of, days))
+
+
+def weighted_strategy(facts: DataFrame, articles: DataFrame, as_of: Column, days: int = 180) -> DataFrame:
+    """The surveyed frequency-weighted strategy: confident pairs of recent completed articles."""
+    inside = facts.where("confidence >= 0.6D").join(completed_since(articles, as_of, days), "article_id", "left_semi")
+    return weighted_pairs(inside)
+
+
+def two_types(m: Model) -> DataFrame:
+    """The model's facts, a third of whose entities are known in their articles under a second type, less surely."""
+    other = m.facts.where("CAST(substr(entity, 2) AS BIGINT) % 3 = 0").withColumns({"entity_type": F.lit("OTHER"), "confidence": F.col("confidence") / 2})
+    return m.facts.unionByName(other).select("article_id", "entity", "entity_type", "confidence")
+
+
+_TWO = "two AS (SELECT article_id, entity, entity_type, confidence FROM facts UNION ALL SELECT article_id, entity, 'OTHER', confidence / 2 FROM facts WHERE CAST(substr(entity, 2) AS BIGINT) % 3 = 0), one AS (SELECT article_id, entity, max(confidence) AS confidence FROM two GROUP BY 1, 2)"
+_TWO_PAIRS = "pairs AS (SELECT a.article_id, a.entity AS entity_a, b.entity AS entity_b, (a.confidence + b.confidence) / 2 AS c FROM one a JOIN one b ON a.article_id = b.article_id AND a.entity < b.entity)"
+
+
+@query("a15c_support_two_types", over("facts", "SELECT a.entity AS entity_a, b.entity AS entity_b, count(DISTINCT a.article_id) AS articles FROM two a JOIN two b ON a.article_id = b.article_id AND a.entity < b.entity WHERE a.confidence >= 0.6 AND b.confidence >= 0.6 GROUP BY 1, 2", _TWO))
+def a15c(m: Model) -> DataFrame:
+    return pair_support(two_types(m))
+
+
+@query("a16b_weighted_two_types", over("facts", "SELECT entity_a, entity_b, count(DISTINCT article_id) AS articles, round(avg(c), 6) AS confidence, min(article_id) AS first_article, 'Appears together in ' || count(DISTINCT article_id) || ' article(s)' AS description FROM pairs GROUP BY 1, 2 HAVING count(DISTINCT article_id) >= 2", _TWO, _TWO_PAIRS))
+def a16b(m: Model) -> DataFrame:
+    return weighted_pairs(two_types(m))
+
+
+_RECENT = f"recent AS (SELECT id AS article_id FROM articles WHERE processing_status = 'completed' AND published_date >= TIMESTAMP '{AS_OF}' - INTERVAL 900 DAYS)"
+
+
+@query("a16c_weighted_strategy", over("facts articles", "SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS articles, round(avg((a.confidence + b.confidence) / 2), 6) AS confidence, min(article_id) AS first_article, 'Appears together in ' || count(*) || ' article(s)' AS description FROM one a JOIN one b USING (article_id) WHERE a.entity < b.entity AND a.confidence >= 0.6 AND b.confidence >= 0.6 AND article_id IN (FROM recent) GROUP BY 1, 2 HAVING count(*) >= 2", _TWO, _RECENT))
+def a16c(m: Model) -> DataFrame:
+    return weighted_strategy(two_types(m), m.articles, F.lit(AS_OF).cast("timestamp_ntz"), 900)
+
+
+@query("a18c_frequency_two_types", over("facts", "SELECT entity, count(DISTINCT article_id) AS articles, (SELECT count(DISTINCT article_id) FROM two) AS n_articles FROM two GROUP BY entity", _TWO))
+def a18c(m: Model) -> DataFrame:
+    return document_frequency(two_types(m))
+
+
+@query("m01b_pmi_two_types", over("facts", """SELECT entity_a, entity_b, n_ab, round(ln(pxy / (px * py + 1e-6) + 1e-6), 6) AS pmi FROM (SELECT entity_a, entity_b, n_ab, (n_ab + 1e-6) / (n + 1e-6) AS pxy, (x.k + 1e-6) / (n + 1e-6) AS px, (y.k + 1e-6) / (n + 1e-6) AS py
+FROM (SELECT entity_a, entity_b, count(DISTINCT article_id) AS n_ab FROM pairs GROUP BY 1, 2 HAVING count(DISTINCT article_id) >= 2) JOIN d x ON x.entity = entity_a JOIN d y ON y.entity = entity_b CROSS JOIN (SELECT CAST(count(DISTINCT article_id) AS DOUBLE) AS n FROM two))""", _TWO, _TWO_PAIRS, "d AS (SELECT entity, count(DISTINCT article_id) AS k FROM two GROUP BY 1)"))
+def m01b(m: Model) -> DataFrame:
+    return corpus_pmi(two_types(m)).select("entity_a", "entity_b", "n_ab", F.round("pmi", 6).alias("pmi"))
+
+
+@query("g15c_hybrid_strategy", over("facts articles", """SELECT article_id, entity_a, entity_b, round(c, 6) AS confidence FROM p JOIN q USING (entity_a, entity_b)""", _TWO, _RECENT,
+"k AS (SELECT * FROM two WHERE confidence >= 0.6)", "w AS (SELECT entity FROM k GROUP BY entity HAVING count(DISTINCT article_id) >= 18)", "d AS (SELECT article_id FROM k GROUP BY article_id HAVING count(DISTINCT entity) <= 2)",
+"p AS (SELECT a.article_id, a.entity AS entity_a, b.entity AS entity_b, (a.confidence + b.confidence) / 2 AS c FROM one a JOIN one b ON a.article_id = b.article_id AND a.entity < b.entity WHERE a.confidence >= 0.6 AND b.confidence >= 0.6 AND a.article_id IN (FROM recent))",
+"s AS (SELECT entity_a, entity_b, count(DISTINCT article_id) AS n, min(article_id) AS o FROM p GROUP BY 1, 2)",
+"q AS (SELECT entity_a, entity_b FROM s WHERE n >= 2 UNION SELECT entity_a, entity_b FROM s WHERE n = 1 AND (entity_a IN (FROM w) OR entity_b IN (FROM w)) UNION SELECT entity_a, entity_b FROM s WHERE n = 1 AND o IN (FROM d))"))
+def g15c(m: Model) -> DataFrame:
+    return hybrid_strategy(two_types(m), m.articles, F.lit(AS_OF).cast("timestamp_ntz"), 900, important=18, focused=2)
+
+
 def relation_type(distance: Column) -> Column:
     return F.when(distance == 0, "same-sentence").when(distance == 1, "adjacent-sentence").otherwise("near-proximity")
 
