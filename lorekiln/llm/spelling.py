@@ -145,30 +145,35 @@ class Unit:
 NEAR = "word string, n_near long, best_n long, best string"
 
 
+#: Rows of a batch that leaves a task: units are small, and a batch costs memory of its own.
+OUT_ROWS = 4096
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs units one after the other over rows sorted by them."""
-    at, unit = None, None
+    at, unit, held = None, None, []
 
-    def out(unit: Unit) -> Iterator[pa.RecordBatch]:
-        rows = list(unit.near())
-        if rows:
-            word, n, best_n, best = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word, "string"), pa.array(n, "int64"), pa.array(best_n, "int64"), pa.array(best, "string")], ["word", "n_near", "best_n", "best"])
+    def out() -> pa.RecordBatch:
+        columns = zip(zip(*held, strict=True), ("string", "int64", "int64", "string"), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["word", "n_near", "best_n", "best"])
 
     for batch in batches:
-        for part in pieces(batch, 8192):
+        for part in pieces(batch, OUT_ROWS):
             rows = zip(*[c.to_pylist() for c in part.columns], strict=True)
             for key, group in groupby(rows, key=lambda r: r[:5]):
                 if key != at:
-                    if unit:
-                        yield from out(unit)
+                    held += unit.near() if unit else ()
+                    if len(held) >= OUT_ROWS:
+                        yield out()
+                        held = []
                     at, unit = key, Unit(key[0], key[1], key[3], key[4])
                 for r in group:
                     unit.blocks.append(r[5])
                     unit.words.append(r[6])
                     unit.counts.append(r[7])
-    if unit:
-        yield from out(unit)
+    held += unit.near() if unit else ()
+    if held:
+        yield out()
 
 
 def partitions(words: DataFrame) -> DataFrame:
