@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.scores import SIZES, size_class
 from ..plans.proxy import Model, over
 from ..plans.registry import query
+from ..plans.shared import materialize, release
 from .relational import entity_pairs
 
 
@@ -48,9 +50,55 @@ def w02(m: Model) -> DataFrame:
 ROUNDING = 1e-9
 
 
-def percentile_edges(edges: DataFrame, share: float) -> DataFrame:
-    """Edges at or above a percentile of their article's scores, linearly interpolated."""
-    cut = edges.groupBy("article_id").agg(F.percentile("score", F.lit(share)).alias("cut"))
+#: Bins that an article's scores are counted in at a time, and scores that are few enough to be sorted.
+BINS, FEW = 1024, 4096
+
+
+def exact_cuts(edges: DataFrame, share: float, bins: int = BINS, few: int = FEW) -> DataFrame:
+    """(article_id, cut): the linearly interpolated percentile of an article's scores, without holding them in one place.
+
+    The scores that stand at the two ranks around the percentile are found by narrowing: scores are counted in bins
+    between the least and the largest, the bin of the rank is kept, and so on until few or equal ones are left,
+    which are ranked.  What a task holds of an article is its bins.  Articles all narrow in the same rounds.
+    """
+    place = (F.col("n") - 1) * share
+    known = edges.where("score IS NOT NULL").groupBy("article_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    known = known.withColumns({"at": place - F.floor(place), "rank": F.explode(F.array_distinct(F.array(F.floor(place), F.least(F.floor(place) + 1, F.col("n") - 1))))})
+    # (article_id, rank, skip, size, low, high): the rank's score is the (rank - skip)-th of the ``size`` from low to high.
+    open_ = materialize(known.select("article_id", "rank", "at", F.lit(0).cast("long").alias("skip"), F.col("n").alias("size"), "low", "high"), "ranks")
+    bin_ = F.least(F.floor((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
+    wide = (F.col("size") > few) & (F.col("high") > F.col("low"))
+    scores = edges.select("article_id", "score")
+    while open_.where(wide).limit(1).count():
+        inside = scores.join(open_.where(wide), "article_id").where("score BETWEEN low AND high")
+        counted = inside.groupBy("article_id", "rank", "at", "skip", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("size"), F.min("score").alias("low"), F.max("score").alias("high"))
+        before = F.sum("size").over(Window.partitionBy("article_id", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+        placed = counted.withColumn("skip", F.col("skip") + F.coalesce(before, F.lit(0)))
+        narrow = placed.where("rank >= skip AND rank < skip + size").drop("bin")
+        after = materialize(open_.where(~wide).unionByName(narrow), "ranks")
+        release(open_)
+        open_ = after
+    equal = open_.where("low = high").select("article_id", "rank", "at", F.col("low").alias("score"))
+    order = F.row_number().over(Window.partitionBy("article_id", "rank").orderBy("score")) - 1
+    rest = scores.join(open_.where("low < high"), "article_id").where("score BETWEEN low AND high").withColumn("k", order).where("k = rank - skip")
+    found = rest.select("article_id", "rank", "at", "score").unionByName(equal)
+    low, high = F.min_by("score", "rank"), F.max_by("score", "rank")
+    return found.groupBy("article_id").agg((low + (high - low) * F.first("at")).alias("cut"))
+
+
+#: Edges of an article from which its percentile is found by narrowing, and its degree cap in rounds.
+LARGE = 1 << 20
+
+
+def percentile_edges(edges: DataFrame, share: float, large: int = LARGE) -> DataFrame:
+    """Edges at or above a percentile of their article's scores, linearly interpolated; large articles' scores are never held in one place."""
+    sizes = edges.groupBy("article_id").agg(F.count(F.lit(1)).alias("edges"))
+    big = materialize(sizes.where(F.col("edges") > large).select("article_id"), "large")
+    if big.first() is None:
+        cut = edges.groupBy("article_id").agg(F.percentile("score", F.lit(share)).alias("cut"))
+    else:
+        small = edges.join(big, "article_id", "left_anti").groupBy("article_id").agg(F.percentile("score", F.lit(share)).alias("cut"))
+        cut = small.unionByName(exact_cuts(edges.join(big, "article_id", "left_semi"), share))
     return edges.join(cut, "article_id").where(F.col("score") >= F.col("cut") - ROUNDING).drop("cut")
 
 
@@ -114,12 +162,17 @@ def per_graph(edges: DataFrame, work: Callable[[list], list[tuple]], schema: str
     return by_article(edges.select("article_id", "source", "target", "score"), [F.desc("score"), "source", "target"], lambda rows: work(list(rows)), schema)
 
 
-def degree_cap(edges: DataFrame, cap: int | str) -> DataFrame:
-    """Edges in order of strength (score times confidence, where there is such a column), then names, each kept only while
-    both its ends are below the cap (a number, or the column that holds it): the order decides, so degrees are all a task holds."""
+def _by_strength(edges: DataFrame, cap: int | str) -> DataFrame:
+    """Edges with their strength (score times confidence, where there is such a column) and their cap (a number, or the column that holds it)."""
     confidence = F.col("confidence") if "confidence" in edges.columns else F.lit(1.0)
     limit = F.col(cap) if isinstance(cap, str) else F.lit(cap)
-    ranked = edges.select("article_id", "source", "target", "score", (F.col("score") * confidence).alias("strength"), limit.cast("int").alias("limit"))
+    return edges.select("article_id", "source", "target", "score", (F.col("score") * confidence).alias("strength"), limit.cast("int").alias("limit"))
+
+
+def degree_cap(edges: DataFrame, cap: int | str) -> DataFrame:
+    """Edges in order of strength, then names, each kept only while both its ends are below the cap (a number, or the
+    column that holds it): the order decides, so degrees are all a task holds.  An article is one task's stream; see
+    ``degree_cap_in_rounds`` for articles that are too large for that."""
 
     def cut(graph: Iterator[tuple]) -> Iterator[tuple]:
         degree: dict[str, int] = {}
@@ -129,7 +182,54 @@ def degree_cap(edges: DataFrame, cap: int | str) -> DataFrame:
                 degree[target] = degree.get(target, 0) + 1
                 yield source, target, score
 
-    return by_article(ranked, [F.desc("strength"), "source", "target"], cut, "source string, target string, score double")
+    return by_article(_by_strength(edges, cap), [F.desc("strength"), "source", "target"], cut, "source string, target string, score double")
+
+
+#: Rounds after which the edges that are still open are streamed: each round settles all that no open edge can change.
+ROUNDS = 12
+
+
+def degree_cap_in_rounds(edges: DataFrame, cap: int, rounds: int = ROUNDS) -> DataFrame:
+    """What ``degree_cap`` keeps, found by many tasks for each article.
+
+    An open edge that is among the first of the open ones at both its ends, as many as each end has places left, is
+    kept whatever becomes of the others: in the order of the stream both ends are still below the cap when its turn
+    comes.  Ends without places left drop their other edges.  The strongest open edge always qualifies, so rounds end;
+    what a long chain of dependent edges leaves after ``rounds`` of them is streamed, with the places left.
+    Edges from a node to itself take two places, as in the stream.
+    """
+    numbered = _by_strength(edges, cap).withColumn("edge", F.monotonically_increasing_id())
+    open_ = materialize(numbered.withColumns({"s_left": F.lit(cap), "t_left": F.lit(cap)}), "open")
+    order = [F.desc("strength"), "source", "target", "edge"]
+    kept: list[DataFrame] = []
+    for _ in range(rounds):
+        ends = open_.select("*", F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("s_left").alias("left")), F.struct(F.col("target").alias("node"), F.col("t_left").alias("left")))).alias("end"))
+        # An edge from a node to itself stands twice in its node's order.
+        ranked = ends.withColumn("rank", F.row_number().over(Window.partitionBy("article_id", "end.node").orderBy(*order))).where(F.col("rank") <= cap)
+        first = ranked.where("rank <= end.left").groupBy("article_id", "edge").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2")
+        keep = materialize(open_.join(first.select("article_id", "edge"), ["article_id", "edge"], "left_semi"), "kept")
+        if keep.first() is None:
+            release(keep)
+            break
+        kept.append(keep)
+        taken = keep.select("article_id", F.explode(F.array("source", "target")).alias("node")).groupBy("article_id", "node").agg(F.count(F.lit(1)).alias("taken"))
+        rest = open_.join(keep.select("article_id", "edge"), ["article_id", "edge"], "left_anti")
+        for end, left in (("source", "s_left"), ("target", "t_left")):
+            rest = rest.join(taken.withColumnRenamed("node", end), ["article_id", end], "left").withColumn(left, F.col(left) - F.coalesce("taken", F.lit(0))).drop("taken")
+        after = materialize(rest.where("s_left > 0 AND t_left > 0").select(*open_.columns), "open")
+        release(open_)
+        open_ = after
+
+    def stream(graph: Iterator[tuple]) -> Iterator[tuple]:
+        left: dict[str, int] = {}
+        for source, target, score, *_, s_left, t_left in graph:
+            if left.setdefault(source, s_left) > 0 and left.setdefault(target, t_left) > 0:
+                left[source] -= 1
+                left[target] -= 1
+                yield source, target, score
+
+    last = by_article(open_, order, stream, "source string, target string, score double")
+    return reduce(DataFrame.unionByName, [k.select("article_id", "source", "target", "score") for k in kept], last)
 
 
 @query("w03_degree_cap")
@@ -137,6 +237,18 @@ def w03(m: Model) -> DataFrame:
     return degree_cap(edges_of(m), 2)
 
 
+@query("w03b_degree_cap_rounds")
+def w03b(m: Model) -> DataFrame:
+    return degree_cap_in_rounds(edges_of(m), 2)
+
+
+@query("w04b_exact_percentile", over("facts", "SELECT l_part AS article_id, round(quantile_cont(score, 0.7), 6) AS cut FROM (SELECT article_id % 3 AS l_part, score FROM edges) GROUP BY 1", _EDGES))
+def w04b(m: Model) -> DataFrame:
+    # Three large articles, made of all others.
+    cuts = exact_cuts(edges_of(m).withColumn("article_id", F.col("article_id") % 3), 0.7, 16, 8)
+    return cuts.select("article_id", F.round("cut", 6).alias("cut"))
+
+
 def adaptive_edges(edges: DataFrame, config: tuple[float, int, int] | None = None) -> DataFrame:
     """Edges filtered by the article's size class: least score, percentile of what is left, degree cap; ``config``
     (least score, degree cap, percentile) holds for all sizes.  An article without an edge of that score keeps its three best."""
