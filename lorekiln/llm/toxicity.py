@@ -6,9 +6,11 @@ MinHash values of their shingles), and beginnings of words where several words t
 together better than each.  Its terms form a trie;
 Levenshtein automata of the terms' tolerances are intersected with it, state by state and lazily made
 deterministic, so that a word costs a table lookup for each character until it can no longer match.
-Digits and signs that stand for letters match those letters at no cost.  Where the edited forms around a
-term are as common in non-toxic texts, as in a language whose words lie close together, it gets fewer
-edits or none.
+Digits and signs that stand for letters match those letters at no cost.  A word that lies near a term
+without being a misspelling of it is exempt, word by word: one that the labelled sample doesn't show as
+toxic, or one that many texts of the whole collection use, counted over all documents, unless the sample
+shows it as it shows a term.  Whole terms keep their edits; beginnings lose theirs where what they reach
+beside such words is no sign of toxicity.
 
 A hit's evidence of quotation: the text's quotation marks, paired over the whole text, enclose it, and a
 window of words around it holds verbs of saying or naming.  A hit counts as abuse by what that leaves, as quotation by the rest.  A
@@ -36,15 +38,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_columns
+from .common import held_out, map_columns, materialize, release
 from .minhash import Signer, WordHashes, shingle_set
 
 #: Score from which a text is rejected.
 REJECT_FROM = 0.3
 PER_LABEL = 4000
 MAX_TERMS = 3000
-#: How much oftener toxic texts must use a form for it to tell something, and the share of a term's near forms that may tell nothing.
-LIFT, NEUTRAL = 3.0, 0.25
+#: How much oftener toxic texts must use a form for it to tell something.
+LIFT = 3.0
+#: A form near a term is a word in its own right where so many texts use it, and this share of the texts that use the term.
+OWN_TEXTS, OWN_SHARE = 3, 0.05
+#: The least weight of misspelt hits, of the exact ones' weight.
+MISSPELT = 0.7
 WINDOW = 6
 FEATURES = 5
 #: Near copies: MinHash values of a text's shingles, values that make a bucket, and the equal values asked for.
@@ -176,7 +182,7 @@ class FuzzyTrie:
 
 @dataclass
 class Lexicon:
-    """terms, the words near one that tell nothing, and fewer edits for terms among too many such words."""
+    """terms, the words near one that tell nothing, and the edits of terms that have fewer than their length allows."""
 
     terms: list[str]
     harmless: frozenset[str] = frozenset()
@@ -336,14 +342,47 @@ def _clusters(sample: DataFrame) -> tuple[dict[int, int], int]:
     return cluster_of, len({c for k, c in cluster_of.items() if signed[k][0]})
 
 
-def _exempt(rows: list[tuple]) -> tuple[frozenset[str], dict[str, int]]:
-    """The forms near a term that tell nothing of toxicity, and by term the edits that remain where they are limited.
+def _own_words(docs: DataFrame, terms: list[str]) -> frozenset[str]:
+    """The forms near a term that are words in their own right: used by OWN_TEXTS texts of all documents or more, and by OWN_SHARE of
+    the texts that use the term.  Equal texts count once.  There are no more than 1 / OWN_SHARE such forms for each
+    time that what is near a term is used as often as the term, whatever the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(terms))
 
-    Forms are counted over texts, near copies once; quoted hits tell nothing, and one text alone never decides.
-    A form tells of toxicity where toxic texts use it ``LIFT`` times as often, for their number, as others do.
-    A term loses the edits that bring it to forms of which more than ``NEUTRAL`` tell nothing, however often each
-    is used: in a language whose words lie close together what is near means little, while one common
-    neighbour is just one form.
+    def make() -> Callable[..., list[list]]:
+        own = shared.value
+
+        def run(texts: list) -> list[list]:
+            out: list[list] = [[], [], [], []]
+            for text in texts:
+                key = None
+                for form, term, edits in {h[:3] for h in own.hits(text)[1]}:
+                    key = _text_key(text, 0) if key is None else key
+                    for column, v in zip(out, (form, term, edits, key), strict=True):
+                        column.append(v)
+            return out
+
+        return run
+
+    used = materialize(map_columns(docs.select("text"), make, "form string, term string, edits int, key long").distinct(), "used")
+    by_term = used.where("edits = 0").groupBy("term").agg(F.count_distinct("key").alias("of_term"))  # as many rows as terms
+    forms = used.where("edits > 0").groupBy("form", "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(by_term), "term", "left")
+    own = forms.where(F.col("n") >= F.greatest(F.lit(OWN_TEXTS), OWN_SHARE * F.coalesce("of_term", F.lit(0)))).select("form").collect()
+    release(used)
+    return frozenset(r["form"] for r in own)
+
+
+def _least_share(share: float) -> float:
+    """The share of toxic texts among those of a word from which it may be a term."""
+    return min(0.9, max(0.5, 2 * share))
+
+
+def _exempt(rows: list[tuple], own: frozenset[str]) -> tuple[frozenset[str], dict[str, int]]:
+    """The forms near a term that tell nothing of toxicity, and by beginning the edits that remain where they are limited.
+
+    Forms are counted over the sample's texts, near copies once; quoted hits tell nothing, and one text alone never
+    decides.  A form tells of toxicity where toxic texts use it LIFT times as often, for their number, as others do;
+    a word in its own right (``own``) where so large a share of its texts is toxic as is asked of terms.  A beginning
+    loses its edit if the uses of what it reaches beside exempt forms tell nothing; whole terms keep their edits.
     """
     texts: tuple[set, set] = (set(), set())
     forms: dict = defaultdict(lambda: (set(), set()))
@@ -353,14 +392,18 @@ def _exempt(rows: list[tuple]) -> tuple[frozenset[str], dict[str, int]]:
         for w, term, edits, quoted in hits:
             if edits and quoted < 0.5:
                 forms[w][toxic].add(cluster)
-                reached[term, edits].add(w)
+                if term.endswith(STEM):
+                    reached[term, edits].add(w)
     often = LIFT * len(texts[1]) / max(1, len(texts[0]))
-    neutral = {w for w, (clean, toxic) in forms.items() if len(toxic) <= often * len(clean)}
+    least = _least_share(len(texts[1]) / max(1, len(texts[0]) + len(texts[1])))
+    tells = {w for w, (clean, toxic) in forms.items() if len(toxic) > 1 and len(toxic) > least * (len(clean) + len(toxic))}
+    harmless = {w for w, (clean, toxic) in forms.items() if len(clean) > 1 and len(toxic) <= often * len(clean)} | (own - tells)
     limits: dict[str, int] = {}
     for (term, edits), words in sorted(reached.items(), key=lambda x: -x[0][1]):  # the fewest edits last
-        if len(words & neutral) > max(1, NEUTRAL * len(words)):
+        clean, toxic = (sum(len(forms[w][k]) for w in words - harmless) for k in (0, 1))
+        if clean > 1 and toxic <= often * clean:
             limits[term] = edits - 1
-    return frozenset(w for w in neutral if len(forms[w][0]) > 1), limits
+    return frozenset(harmless), limits
 
 
 def _terms(sample: DataFrame, max_terms: int) -> tuple[list[str], dict[int, int]]:
@@ -392,7 +435,7 @@ def _terms(sample: DataFrame, max_terms: int) -> tuple[list[str], dict[int, int]
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     ratio = 2 * (part(p, n * share) + part(n - p, n * (1 - share)))
-    scored = words.select("word", "p", "n", ratio.alias("g")).where(p / n > min(0.9, max(0.5, 2 * share)))
+    scored = words.select("word", "p", "n", ratio.alias("g")).where(p / n > _least_share(share))
     tried = max(1, words.count())
     best = scored.where(F.col("g") > 2 * math.log(tried)).orderBy(F.desc("g"), "word").limit(max_terms)
     gain = {r["word"]: r["g"] for r in best.collect()}
@@ -427,8 +470,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_te
         (r["doc_id"], r["toxic"], cluster_of.get(r["key"]), r["n"], [(w, t, int(e), float(q)) for w, t, e, q in (h.split("\t") for h in r["hits"])])
         for r in seen
     ]
+    own = _own_words(docs, terms)
     half = lambda i: xxhash.xxh3_64_intdigest(str(i)) % 2
-    told = [_exempt([r for r in parsed if half(r[0]) == k]) for k in (0, 1)]
+    told = [_exempt([r for r in parsed if half(r[0]) == k], own) for k in (0, 1)]
 
     def counted(i: object, hits: list[tuple]) -> list[tuple]:
         harmless, limits = told[1 - half(i)]
@@ -439,9 +483,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_te
     weight = np.array([1 / shares[int(t)] for t in y])
     # Kinds of hits that the sample hardly holds keep an order: misspelt ones weigh most of an exact one, quoted ones little.
     weights = logistic(x, y, weight / weight.mean())
-    weights[2] = max(weights[2], 0.9 * weights[1])
-    weights[3] = min(weights[3], 0.15 * weights[1]) if not weights[3] else weights[3]
-    return Lexicon(terms, *_exempt(parsed), weights)
+    weights[2] = max(weights[2], MISSPELT * weights[1])
+    weights[3] = min(weights[3], 0.15 * weights[1])
+    return Lexicon(terms, *_exempt(parsed, own), weights)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",), with_spans: bool = False) -> DataFrame:

@@ -83,6 +83,29 @@ def test_toxicity_scores_and_lexicon(spark, sf):
         assert sum(seen) / len(seen) > 1.5 * share
 
 
+def test_toxicity_limits_and_exempt_forms(spark, sf):
+    """Hits of a lexicon whose terms have fewer edits and whose near words are partly exempt, against edit distances."""
+    texts = texts_of(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(8)
+    every = sorted({w for t in texts.values() for w in toxicity.TOKEN.findall((t or "").lower())})
+    some = sorted(rng.sample([w for w in every if len(w) > 5], 12))
+    stem = some[0][:4] + toxicity.STEM
+    terms, limits = sorted([*some, stem]), {some[1]: 0, some[2]: 1, stem: 0}
+    allowed = lambda t: min(toxicity.tolerance(t), limits.get(t, 9))
+
+    def nearest(w):
+        found = [(e, 0, t) for t in some if (e := edits(w, t)) <= allowed(t)]
+        return min(found, default=None) or ((0, 1, stem) if w.startswith(stem[:-1]) else None)
+
+    harmless = frozenset(rng.sample([w for w in every if (f := nearest(w)) and f[0]], 5))
+    lexicon = toxicity.Lexicon(terms, harmless, limits, np.ones(toxicity.FEATURES))
+    got = {r["doc_id"]: [(h["word"], h["edits"]) for h in r["hits"]] for r in toxicity.score(docs, lexicon, with_spans=True).collect()}
+    for i, t in texts.items():
+        words = toxicity.TOKEN.findall((t or "").lower())
+        assert got[i] == [(w, f[0]) for w in words if w not in harmless and (f := nearest(w))]
+
+
 def test_sharding_query(spark, sf):
     texts = texts_of(spark, sf)
     rows = queries.op3_sharding(spark, sf).collect()

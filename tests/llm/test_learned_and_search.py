@@ -88,6 +88,49 @@ def test_toxicity_held_out_and_hard(spark, hard):
     assert {r["score"] for r in toxicity.score(hard, nothing).collect()} == {0.0}
 
 
+def single_edits(terms, per=20, seed=1):
+    """Random single edits of whole terms of five letters or more."""
+    rng, letters = random.Random(seed), "abcdefghijklmnopqrstuvwxyz"
+    for term in terms:
+        if term.endswith(toxicity.STEM) or len(term) < 5:
+            continue
+        for _ in range(per):
+            kind, at, c = rng.randrange(3), rng.randrange(len(term)), rng.choice(letters)
+            word = term[:at] + (c + term[at + 1 :] if kind == 0 else term[at + 1 :] if kind == 1 else c + term[at:])
+            if word != term:
+                yield word
+
+
+def test_toxicity_catches_misspellings_and_leaves_clean_texts(spark):
+    """On sf0.1: most single edits of whole terms, most held-out toxic texts, few others."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    lexicon = toxicity.train(docs, labels)
+    assert all(t.endswith(toxicity.STEM) for t in lexicon.limits)  # whole terms keep all their edits
+    trie = toxicity.FuzzyTrie(lexicon.terms, lexicon.limits)
+    tried = list(single_edits(lexicon.terms))
+    caught = sum(w not in lexicon.harmless and trie.lookup(w) is not None for w in tried)
+    assert caught >= 0.95 * len(tried) > 1000
+    found = toxicity.score(docs, lexicon).join(labels.where(held_out(F.col("doc_id"))), "doc_id").groupBy("toxic").agg(F.count_if(F.col("score") >= toxicity.REJECT_FROM).alias("k")).collect()
+    by = {r["toxic"]: r["k"] for r in found}
+    assert by[1] >= 114 and by[0] <= 10
+
+
+def test_toxicity_words_of_many_texts_are_exempt(spark):
+    """A neighbour of a term that many unlabelled texts use is a word; a misspelling in two texts isn't, nor one that toxic texts use."""
+    rows = [(i, f"what a grobnik number {i} of all", 1) for i in range(40)] + [(100 + i, f"a calm text of {i} words", 0) for i in range(40)]
+    rows += [(200 + i, f"the drobnik stands in field {i}", None) for i in range(6)] + [(300 + i, f"that brobnik came by way {i}", None) for i in range(2)]
+    rows += [(400 + i, f"you krobnik again {i}", 1) for i in range(12)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    own = toxicity._own_words(both, ["grobnik"])
+    assert own == {"drobnik", "krobnik"}
+    lexicon = toxicity.train(both.select("doc_id", "text"), both.where("toxic is not null").select("doc_id", "toxic"))
+    caught = {w for w in ("grobnik", "drobnik", "brobnik", "krobnik", "grobnlk") if lexicon.hits(f"some {w} here")[1]}
+    assert caught == {"grobnik", "brobnik", "krobnik", "grobnlk"}
+    assert lexicon.weights[3] <= 0.15 * lexicon.weights[1] and lexicon.weights[2] >= toxicity.MISSPELT * lexicon.weights[1]
+
+
 def test_toxicity_counts_texts_but_near_copies_once(spark):
     rng = random.Random(5)
     words = [f"{w}{k}" for w in ("tree", "stone", "river", "cloud", "house", "green", "walk") for k in range(50)]
