@@ -7,12 +7,18 @@ its length and the bucket's largest.  Below COORDINATE_FROM the bucket's prefix
 taken; above it, the vectors whose share along the query's largest coordinate is feasible.  Products of
 all candidates left are verified exactly, in integers.
 
+Neighbouring buckets form chunks, and a task holds one chunk, through which the blocks of queries stream
+that may find something in it: a bucket's matrix is shuffled once, a query's once for each chunk it visits,
+never for each pair of blocks.  A query goes through a chunk's buckets from the longest on, and what it
+finds raises its bound for those that follow; what leaves the task are its k best of the chunk.
+
 Cases: vectors that are null, empty, or hold null or non-finite components take no part.  Vectors of
 different dimension aren't compared.  A query is compared with no row of its own vec_id; queries that
 repeat a vec_id with another vector have lists of their own, equal ones are one.  Ties go to the
 smaller vec_id, equal rows may both be listed.  Fewer candidates than k give them all.  Rows without
-vec_id are left out.  An empty table gives no rows.  Scores are 64-bit integers: components whose products
-could leave them raise an OverflowError, never wrap.  Extra columns are not read.
+vec_id are left out.  An empty table gives no rows.  Scores are 64-bit integers: products that leave them
+raise an OverflowError and components of 2^62 or more an error of Spark's; nothing wraps or saturates.  Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ QUERY_MODULUS = 50
 K = 5
 BUCKET_ROWS = 8192
 BLOCK_ROWS = 1024
+#: Buckets of a chunk at most: with 64 dimensions 64 MB.
+CHUNK_BUCKETS = 16
 #: Local cosine thresholds from which pruning by a coordinate is worth its lookups.
 COORDINATE_FROM = 0.6
 EXACT, WHOLE = 2.0**53, 2.0**62
@@ -42,7 +50,10 @@ def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     x = F.transform("embedding", lambda e: e.cast("double"))
     whole = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & whole)
-    rows = rows.select("vec_id", F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"))
+    # The cast of a double to a long saturates instead of failing.
+    far = F.raise_error(F.lit("a component beyond 2^62 has no product of 64 bits")).cast("long")
+    component = lambda e: F.when(F.abs(F.floor(e * scale).cast("double")) < WHOLE, F.floor(e * scale).cast("long")).otherwise(far)
+    rows = rows.select("vec_id", F.transform(x, component).alias("v"))
     return rows.withColumns({"dim": F.size("v"), "norm": F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))})
 
 
@@ -166,36 +177,71 @@ def _bounds(blocks: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
     return map_columns(joined, make, "qblock string, dim int, ids binary, matrix binary, bounds binary, need double", rows=1)
 
 
+class Held:
+    """The buckets of a chunk, longest first, that a task holds while queries pass."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.buckets: list[tuple[float, np.ndarray, np.ndarray]] = []
+
+    def ask(self, query_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's place, vec_ids, scores) of the k best of the chunk for each query that finds any."""
+        low, reach = bounds.copy(), _lengths(q)
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for longest, ids, p in self.buckets:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                if not (np.where(low > 0, low / reach, 0.0) * (1 - 1e-9) <= longest).any():
+                    continue
+            for i, places, scores in search_bucket(query_ids, q, low, ids, p, self.k):
+                here = ids[places]
+                if i in found:
+                    here, scores = np.concatenate((found[i][0], here)), np.concatenate((found[i][1], scores))
+                    top = best(scores, here, self.k)
+                    here, scores = here[top], scores[top]
+                found[i] = here, scores
+                if len(scores) == self.k:
+                    low[i] = max(low[i], scores[-1])
+        for i, (here, scores) in found.items():
+            yield i, here, scores
+
+
+def _found(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The results of the queries that follow a chunk's buckets in a sorted partition."""
+    at, held = None, Held(k)
+    for batch in batches:
+        for r in range(batch.num_rows):
+            chunk, dim, side, longest, ids, matrix, bounds = (c[r].as_py() for c in batch.columns)
+            if (chunk, dim) != at:
+                at, held = (chunk, dim), Held(k)
+            place, m = _opened(ids, matrix, dim)
+            if side == 0:
+                held.buckets.append((longest, place, m))
+                continue
+            out: list[list] = [[], [], [], []]
+            for i, here, scores in held.ask(place, m, np.frombuffer(bounds, "<i8")):
+                key = xxhash.xxh3_64_intdigest(m[i].tobytes()) >> 1
+                for column, values in zip(out, ([int(place[i])] * len(here), [key] * len(here), here.tolist(), scores.tolist()), strict=True):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, "int64") for c in out], ["query_id", "key", "vec_id", "score"])
+
+
 def search(vectors: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each vector whose id ``modulus`` divides, against all others."""
     rows = materialize(quantized(vectors, scale), "vectors")
     n = max(1, -(-rows.count() // BUCKET_ROWS))
-    buckets = materialize(_packed(rows.repartitionByRange(n, "dim", F.desc("norm"), "vec_id"), BUCKET_ROWS), "buckets")
+    chunk = max(1, min(CHUNK_BUCKETS, n // vectors.sparkSession.sparkContext.defaultParallelism))
+    # Partitions follow the order of lengths, so neighbouring ones make a chunk.
+    packed = _packed(rows.repartitionByRange(n, "dim", F.desc("norm"), "vec_id"), BUCKET_ROWS).withColumn("chunk", F.floor(F.spark_partition_id() / chunk).cast("int"))
+    buckets = materialize(packed, "buckets")
     asked = rows.where(F.col("vec_id") % modulus == 0).dropDuplicates(["vec_id", "v"])
     blocks = _packed(asked.repartition(max(1, -(-n * BUCKET_ROWS // modulus // BLOCK_ROWS)), F.xxhash64("vec_id")), BLOCK_ROWS)
     blocks = materialize(_bounds(blocks, buckets, k), "queries")
-    # Only headers meet here; matrices follow by key to the pairs of blocks that may hold a result.
-    pairs = blocks.select("qblock", "dim", "need").join(buckets.select("block", "dim", "longest"), "dim").where("need <= longest")
-    met = (
-        pairs.select("qblock", "block", "dim")
-        .join(buckets.select("block", F.col("ids").alias("p_ids"), F.col("matrix").alias("p_matrix")), "block")
-        .join(blocks.select("qblock", "ids", "matrix", "bounds"), "qblock")
-        .select("dim", "ids", "matrix", "bounds", "p_ids", "p_matrix")
-    )
-
-    def make() -> Callable[..., list[list]]:
-        def run(*columns: list) -> list[list]:
-            out: list[list] = [[], [], [], []]
-            for d, i, m, b, pi, pm in zip(*columns, strict=True):
-                (qi, q), (ids, p) = _opened(i, m, d), _opened(pi, pm, d)
-                for at, places, scores in search_bucket(qi, q, np.frombuffer(b, "<i8"), ids, p, k):
-                    key = xxhash.xxh3_64_intdigest(q[at].tobytes()) >> 1
-                    for column, values in zip(out, ([int(qi[at])] * len(places), [key] * len(places), ids[places].tolist(), scores.tolist()), strict=True):
-                        column.extend(values)
-            return out
-
-        return run
-
-    found = map_columns(met, make, "query_id long, key long, vec_id long, score long", rows=1)
+    # Only headers meet here.
+    chunks = buckets.groupBy("dim", "chunk").agg(F.max("longest").alias("longest"))
+    visits = blocks.select("qblock", "dim", "need").join(chunks, "dim").where("need <= longest").groupBy("qblock").agg(F.collect_list("chunk").alias("chunks"))
+    guests = blocks.join(visits, "qblock").select(F.explode("chunks").alias("chunk"), "dim", F.lit(1).alias("side"), F.lit(0.0).alias("longest"), "ids", "matrix", "bounds")
+    hosts = buckets.select("chunk", "dim", F.lit(0).alias("side"), "longest", "ids", "matrix", F.lit(None).cast("binary").alias("bounds"))
+    both = hosts.unionByName(guests).repartition(max(1, -(-n // chunk)), "chunk", "dim").sortWithinPartitions("chunk", "dim", "side", F.desc("longest"))
+    found = both.mapInArrow(lambda batches: _found(batches, k), "query_id long, key long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

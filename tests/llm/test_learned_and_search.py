@@ -215,6 +215,32 @@ def test_warc_validation():
             list(warc.read_archive(broken))
 
 
+def test_topk_refuses_components_beyond_64_bits(spark):
+    """(1/256, 0) and (1e300, 0): no saturated product."""
+    df = spark.createDataFrame([(0, [1 / 256, 0.0]), (1, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 2\\^62"):
+        topk.search(df).collect()
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 16])
+def test_topk_chunks_of_several_dimensions(spark, monkeypatch, chunk):
+    """Many buckets of three dimensions in chunks of any size give what all pairs give; each bucket's row travels once."""
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(topk, "CHUNK_BUCKETS", chunk)
+    rng = np.random.default_rng(chunk)
+    rows = [(k, (rng.normal(size=(2, 3, 5)[k % 3]) * (1 + k % 7) / 4).tolist()) for k in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(df).collect())
+    whole = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows}
+    wanted = []
+    for q in whole:
+        if q % 50 == 0:
+            scores = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
+            wanted += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert got == sorted(wanted)
+
+
 def test_topk_brute_force(spark):
     rng = np.random.default_rng(8)
     v = (rng.normal(size=(700, 8)) * rng.gamma(1.0, 1.0, (700, 1))).astype("float32")
