@@ -2,14 +2,16 @@
 
 The reader walks the chain of image directories, decodes strips and tiles that are stored plainly or
 packed by PackBits, LZW or deflate, undoes horizontal prediction, and gives a page's samples.  The
-writer makes grey 8-bit pages of deflated strips.  Everything works on one file at a time, strip by
-strip; no shuffle is needed.
+writer makes grey 8-bit pages of PAGE_ROWS rows, in strips or tiles, packed and predicted in one of STYLES,
+which a hash of the samples chooses unless the caller does: equal texts have equal files, and a collection
+goes through all of them.  Files are written to the shared folder and read back from there.  Everything
+works on one file at a time, strip by strip; no shuffle is needed.
 
 Cases: null or empty media give no page; a broken file gives one row with ``error`` set and no
 samples, after those of the pages before the fault; so do a predictor other than none or horizontal, and
 a page that claims more than ``MAX_PAGE_BYTES``, before any memory is taken for it.  A strip is never
 unpacked beyond the bytes that its rows need.  Null text counts as empty, whose payload is 64 zero bytes.
-Repeated rows are read anew, an empty table gives no rows, a very long text is one page of many strips.
+Repeated rows are read anew, an empty table gives no rows, a very long text is a file of many pages.
 Extra columns named in ``keep`` pass through, others are not read.
 """
 
@@ -26,13 +28,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_columns
+from .common import map_columns, materialize
 
 WIDTH = 64
 #: Bytes of samples up to which a page is decoded.
 MAX_PAGE_BYTES = 1 << 30
-STRIP_ROWS = 1024
+STRIP_ROWS = 64
+#: Rows of a page; what is longer goes on in the next one.
+PAGE_ROWS = 256
+#: Columns and rows of a tile.
+TILE = (32, 64)
 NONE, LZW, ADOBE_DEFLATE, PACKBITS, DEFLATE = 1, 5, 8, 32773, 32946
+#: (compression, predictor, tiled): what the hash of a file's samples chooses from; deflate, the fastest, most often.
+STYLES = [
+    (NONE, 1, False), (PACKBITS, 1, False), (PACKBITS, 1, True), (LZW, 1, False), (LZW, 2, False), (LZW, 2, True),
+    (ADOBE_DEFLATE, 2, False), (ADOBE_DEFLATE, 2, True), (DEFLATE, 1, True), *[(ADOBE_DEFLATE, 1, False)] * 4, *[(ADOBE_DEFLATE, 1, True)] * 3,
+]
 #: Bytes of each TIFF field type and the code with which ``struct`` reads it.
 FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d"}
 
@@ -223,32 +234,46 @@ def read_pages(data: bytes) -> Iterator[Page]:
         yield Page(len(seen) - 1, width, height, channels, bits, how, image.tobytes())
 
 
-def write_tiff(pages: list[bytes], width: int = WIDTH, compression: int = ADOBE_DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS) -> bytes:
-    """A little-endian TIFF of grey 8-bit pages, each a whole number of rows."""
-    pack = {NONE: bytes, LZW: lzw_encode, PACKBITS: pack_bits, ADOBE_DEFLATE: lambda b: zlib.compress(b, 1)}[compression]
+def _predicted(block: np.ndarray, predictor: int) -> bytes:
+    """Rows of samples, or with horizontal prediction their differences."""
+    return (np.diff(block, axis=1, prepend=np.uint8(0)).astype(np.uint8) if predictor == 2 else np.ascontiguousarray(block)).tobytes()
+
+
+def write_tiff(pages: list[bytes], width: int = WIDTH, compression: int | None = None, predictor: int | None = None, tiled: bool | None = None, strip_rows: int = STRIP_ROWS) -> bytes:
+    """A little-endian TIFF of grey 8-bit pages, each a whole number of rows; longer ones than PAGE_ROWS are cut into several.
+
+    What isn't given of compression, predictor and tiling is chosen by a hash of the samples.
+    """
+    style = STYLES[zlib.crc32(b"".join(pages)) % len(STYLES)]
+    compression, predictor, tiled = (own if own is not None else chosen for own, chosen in zip((compression, predictor, tiled), style, strict=True))
+    deflate = lambda b: zlib.compress(b, 1)
+    pack = {NONE: bytes, LZW: lzw_encode, PACKBITS: pack_bits, ADOBE_DEFLATE: deflate, DEFLATE: deflate}[compression]
     out = bytearray(struct.pack("<2sHI", b"II", 42, 8))
     link = 4
-    for payload in pages:
-        height = len(payload) // width
-        strips = []
-        for top in range(0, height, strip_rows):
-            part = payload[top * width : (top + strip_rows) * width]
-            if predictor == 2:
-                rows = np.frombuffer(part, np.uint8).reshape(-1, width)
-                part = np.diff(rows, axis=1, prepend=np.uint8(0)).astype(np.uint8).tobytes()
-            strips.append(pack(part))
+    for payload in (p[at : at + PAGE_ROWS * width] for p in pages for at in range(0, len(p), PAGE_ROWS * width)):
+        image = np.frombuffer(payload, np.uint8).reshape(-1, width)
+        height = len(image)
+        across, down = TILE if tiled else (width, strip_rows)
+        parts = []
+        for top in range(0, height, down):
+            for left in range(0, width, across):
+                block = image[top : top + down, left : left + across]
+                if tiled:  # tiles are whole: what lies outside of the image is zero
+                    block = np.pad(block, ((0, down - block.shape[0]), (0, across - block.shape[1])))
+                parts.append(pack(_predicted(block, predictor)))
         places = []
-        for s in strips:
+        for part in parts:
             places.append(len(out))
-            out += s
+            out += part
         out += b"\0" * (len(out) % 2)
         lists = []
-        for values in (places, [len(s) for s in strips]):
+        for values in (places, [len(part) for part in parts]):
             lists.append(values[0] if len(values) == 1 else len(out))
             if len(values) > 1:
                 out += struct.pack(f"<{len(values)}I", *values)
         struct.pack_into("<I", out, link, len(out))
-        entries = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 8), (259, 3, 1, compression), (262, 3, 1, 1), (273, 4, len(strips), lists[0]), (277, 3, 1, 1), (278, 4, 1, strip_rows), (279, 4, len(strips), lists[1]), (317, 3, 1, predictor)]
+        shape = [(322, 4, 1, across), (323, 4, 1, down), (324, 4, len(parts), lists[0]), (325, 4, len(parts), lists[1])] if tiled else [(273, 4, len(parts), lists[0]), (278, 4, 1, down), (279, 4, len(parts), lists[1])]
+        entries = sorted([(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 8), (259, 3, 1, compression), (262, 3, 1, 1), (277, 3, 1, 1), (317, 3, 1, predictor), *shape])
         out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries)
         link = len(out)
         out += b"\0\0\0\0"
@@ -261,26 +286,43 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH) - len(raw))
 
 
-def store_texts(docs: DataFrame, compression: int = ADOBE_DEFLATE, predictor: int = 1) -> DataFrame:
-    """doc_id, n_bytes and media: each text as a TIFF of one page, 64 samples wide."""
+def store_texts(docs: DataFrame, compression: int | None = None, predictor: int | None = None) -> DataFrame:
+    """doc_id, n_bytes and media, written to the shared folder: each text as a TIFF, 64 samples wide."""
 
     def encode(ids: list, texts: list) -> list[list]:
         made = [payload_of(t) for t in texts]
         return [ids, [n for n, _ in made], [write_tiff([p], compression=compression, predictor=predictor) for _, p in made]]
 
-    return map_columns(docs.select("doc_id", "text"), lambda: encode, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, media binary")
+    return materialize(map_columns(docs.select("doc_id", "text"), lambda: encode, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, media binary"), "media")
+
+
+class Features:
+    """Mean, deviation and entropy of samples that come page by page, and their eight coarse shares."""
+
+    def __init__(self):
+        self.counts = np.zeros(256, np.int64)
+
+    def add(self, samples: bytes) -> None:
+        self.counts += np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
+
+    def told(self) -> str:
+        counts, levels = self.counts, np.arange(256)
+        n = max(1, int(counts.sum()))
+        mean = float((counts * levels).sum()) / n
+        spread = math.sqrt(max(0.0, float((counts * levels * levels).sum()) / n - mean * mean))
+        p = counts[counts > 0] / n
+        shares = ",".join(f"{x / n:.4f}" for x in counts.reshape(8, 32).sum(axis=1))
+        return f"mean={mean:.4f};sd={spread:.4f};entropy={max(0.0, -float((p * np.log2(p)).sum())):.4f};shares={shares}"
 
 
 def page_features(samples: bytes) -> str:
-    """Mean, deviation and entropy of the samples, and their eight coarse shares."""
-    counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
-    n = max(1, len(samples))
-    levels = np.arange(256)
-    mean = float((counts * levels).sum()) / n
-    spread = math.sqrt(max(0.0, float((counts * levels * levels).sum()) / n - mean * mean))
-    p = counts[counts > 0] / n
-    shares = ",".join(f"{x / n:.4f}" for x in counts.reshape(8, 32).sum(axis=1))
-    return f"mean={mean:.4f};sd={spread:.4f};entropy={max(0.0, -float((p * np.log2(p)).sum())):.4f};shares={shares}"
+    of = Features()
+    of.add(samples)
+    return of.told()
+
+
+#: What a file that can't be read may raise.
+UNREADABLE = (ValueError, KeyError, IndexError, struct.error, zlib.error, TypeError, MemoryError)
 
 
 def decode_pages(media: DataFrame, keep: list[str], with_samples: bool = True) -> DataFrame:
@@ -299,13 +341,38 @@ def decode_pages(media: DataFrame, keep: list[str], with_samples: bool = True) -
                     s = p.samples
                     row = [*kept, p.page, p.width, p.height, p.channels, p.bits, p.compression, *stored, len(s), hashlib.sha256(s).hexdigest(), zlib.crc32(s[-WIDTH:]), page_features(s), None]
                     rows.append(row + [s] * with_samples)
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error, TypeError, MemoryError) as e:
+            except UNREADABLE as e:
                 rows.append([*kept, *[None] * 6, *stored, *[None] * 4, f"{type(e).__name__}: {e}", *[None] * with_samples])
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in fields]
 
     return map_columns(media.select(*keep, "media"), lambda: decode, fields)
 
 
+def decode_files(media: DataFrame, keep: list[str]) -> DataFrame:
+    """One row for each file in column ``media``: ``keep``, digests of the file and of all its pages' samples, in order, and their feature."""
+    own = "pages int, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, error string"
+    fields = T.StructType([media.schema[c] for c in keep] + T.StructType.fromDDL(own).fields)
+
+    def decode(*columns: list) -> list[list]:
+        rows = []
+        for *kept, data in zip(*columns, strict=True):
+            if not data:
+                continue
+            stored = [len(data), hashlib.sha256(data).hexdigest()]
+            n, size, digest, tail, of = 0, 0, hashlib.sha256(), b"", Features()
+            try:
+                for p in read_pages(data):
+                    n, size, tail = n + 1, size + len(p.samples), (tail + p.samples)[-WIDTH:] if len(p.samples) < WIDTH else p.samples[-WIDTH:]
+                    digest.update(p.samples)
+                    of.add(p.samples)
+                rows.append([*kept, n, *stored, size, digest.hexdigest(), zlib.crc32(tail), of.told(), None])
+            except UNREADABLE as e:
+                rows.append([*kept, n, *stored, *[None] * 4, f"{type(e).__name__}: {e}"])
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in fields]
+
+    return map_columns(media.select(*keep, "media"), lambda: decode, fields)
+
+
 def media_digest(docs: DataFrame) -> DataFrame:
-    pages = decode_pages(store_texts(docs), ["doc_id", "n_bytes"], with_samples=False)
-    return pages.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "page", "error")
+    files = decode_files(store_texts(docs), ["doc_id", "n_bytes"])
+    return files.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages", "error")

@@ -79,6 +79,33 @@ def test_tiff_round_trip(compression, predictor):
     assert [p.samples for p in got] == pages and [p.page for p in got] == [0, 1, 2]
 
 
+@pytest.mark.parametrize("style", sorted(set(media.STYLES)))
+def test_tiff_styles_and_pages(style):
+    """Strips and tiles, packed and predicted in each way; pages longer than PAGE_ROWS go on in the next directory."""
+    rng = random.Random(6)
+    payload = bytes(rng.choice([rng.randrange(256), 65, 66]) for _ in range(64 * (media.PAGE_ROWS + 130)))
+    for data in (payload, payload[: 64 * 3]):
+        got = list(media.read_pages(media.write_tiff([data], compression=style[0], predictor=style[1], tiled=style[2])))
+        assert b"".join(p.samples for p in got) == data and len(got) == -(-len(data) // (64 * media.PAGE_ROWS))
+        assert {p.compression for p in got} == {style[0]}
+
+
+def test_texts_go_through_all_styles(spark, sf):
+    """The query's files hold every compression, both predictors, strips and tiles, and several pages; one row a page, and one a file."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    stored = media.store_texts(docs)
+    pages = media.decode_pages(stored, ["doc_id"]).collect()
+    assert {r["compression"] for r in pages} == {media.NONE, media.LZW, media.PACKBITS, media.ADOBE_DEFLATE, media.DEFLATE}
+    assert max(r["page"] for r in pages) > 0 and not any(r["error"] for r in pages)
+    texts = {r["doc_id"]: media.payload_of(r["text"])[1] for r in docs.collect()}
+    whole = {}
+    for r in sorted(pages, key=lambda r: (r["doc_id"], r["page"])):
+        whole[r["doc_id"]] = whole.get(r["doc_id"], b"") + r["samples"]
+    assert whole == texts
+    digests = {r["doc_id"]: (r["payload_sha256"], r["pages"]) for r in media.decode_files(stored, ["doc_id"]).collect()}
+    assert digests == {i: (hashlib.sha256(p).hexdigest(), -(-len(p) // (64 * media.PAGE_ROWS))) for i, p in texts.items()}
+
+
 def test_lzw_fills_its_table():
     data = bytes(random.Random(1).randrange(256) for _ in range(30000)) + b"ab" * 9000
     assert media.lzw_decode(media.lzw_encode(data)) == data and media.unpack_bits(media.pack_bits(data)) == data
