@@ -10,8 +10,9 @@ reader, or whatever ``spark.read.format("binaryFile")`` finds, see ``open_archiv
 Cases: null html is an empty payload.  Rows equal in page_id and payload are all what the first of
 them is.  A page without id revisits the smallest id of its payload; a payload whose pages all have a
 null id is a response throughout.  A very long page is one record and one frame, in an archive of its
-own where it exceeds the archive's size.  An empty table writes no archive.  A broken archive raises with
-the record's number.  Header names are read whatever their case, folded lines as one.  Extra columns are
+own where it exceeds the archive's size.  An empty table writes no archive.  A broken record raises with
+its number, or with ``errors="rows"`` gives a row with the fault, after which reading goes on at the next
+frame that holds a whole record; other archives and records are read all the same.  Header names are read whatever their case, folded lines as one.  Extra columns are
 not written, whatever their names.
 """
 
@@ -115,33 +116,68 @@ def parse_record(data: bytes) -> Record:
     return Record(headers, payload)
 
 
-def read_archive(content: bytes) -> Iterator[Record]:
-    """The records of an archive, one Zstandard frame each."""
-    trained, view, at = None, memoryview(content), 0
-    if len(content) >= 8 and struct.unpack_from("<I", content)[0] == SKIPPABLE:
-        (size,) = struct.unpack_from("<I", content, 4)
-        raw = bytes(view[8 : 8 + size])
-        if len(raw) != size:
-            raise BrokenArchive("the dictionary is cut off")
-        trained = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(raw) if raw[:4] == ZSTD_MAGIC else raw)
-        at = 8 + size
+def _frame(reader: zstandard.ZstdDecompressor, view: memoryview, at: int) -> tuple[bytes, int]:
+    """The content of the frame that begins at a place, and where it ends."""
+    frame = reader.decompressobj()
+    parts, step = [], 1 << 16
+    while not frame.eof:
+        piece = view[at : at + step]
+        if not piece:
+            raise BrokenArchive("a frame is cut off")
+        parts.append(frame.decompress(piece))
+        at += len(piece)
+    return b"".join(parts), at - len(frame.unused_data)
+
+
+def _dictionary(content: bytes) -> tuple[zstandard.ZstdCompressionDict | None, int]:
+    """The dictionary of the leading skippable frame, if there is one, and where the records begin."""
+    if len(content) < 8 or struct.unpack_from("<I", content)[0] != SKIPPABLE:
+        return None, 0
+    (size,) = struct.unpack_from("<I", content, 4)
+    raw = content[8 : 8 + size]
+    if len(raw) != size:
+        raise BrokenArchive("the dictionary is cut off")
+    try:
+        return zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(raw) if raw[:4] == ZSTD_MAGIC else raw), 8 + size
+    except zstandard.ZstdError as e:
+        raise BrokenArchive(f"the dictionary: {e}") from e
+
+
+def read_archive(content: bytes, errors: str = "raise") -> Iterator[Record | BrokenArchive]:
+    """The records of an archive, one Zstandard frame each.
+
+    With ``errors="rows"`` a broken record comes as the exception that tells of it, once for each broken stretch:
+    reading goes on at the next frame's magic number behind which a whole record is found.
+    """
+    if errors not in ("raise", "rows"):
+        raise ValueError("errors: raise or rows")
+    try:
+        trained, at = _dictionary(content)
+    except BrokenArchive as e:
+        if errors == "raise":
+            raise
+        yield e
+        return
+    view = memoryview(content)
     reader = zstandard.ZstdDecompressor(dict_data=trained) if trained else zstandard.ZstdDecompressor()
-    number = 0
+    number, lost = 0, False
     while at < len(content):
-        number += 1
+        number += not lost
         try:
-            frame = reader.decompressobj()
-            parts, step = [], 1 << 16
-            while not frame.eof:
-                piece = view[at : at + step]
-                if not piece:
-                    raise BrokenArchive("a frame is cut off")
-                parts.append(frame.decompress(piece))
-                at += len(piece)
-            at -= len(frame.unused_data)
-            yield parse_record(b"".join(parts))
+            data, after = _frame(reader, view, at)
+            record = parse_record(data)
         except (zstandard.ZstdError, BrokenArchive) as e:
-            raise BrokenArchive(f"record {number}: {e}") from e
+            fault = BrokenArchive(f"record {number}: {e}")
+            if errors == "raise":
+                raise fault from e
+            if not lost:
+                yield fault
+            lost, at = True, content.find(ZSTD_MAGIC, at + 1)
+            if at < 0:
+                return
+            continue
+        number, lost, at = number + lost, False, after
+        yield record
 
 
 def html_of(row: str) -> Column:
@@ -193,25 +229,30 @@ def open_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
 
 
-def read_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """A row for each record: archive, record_id, record_type, target_uri, refers_to_id, payload_length, payload_digest, payload."""
+def read_records(archives: DataFrame, with_payload: bool = True, errors: str = "raise") -> DataFrame:
+    """A row for each record: archive, record_id, record_type, target_uri, refers_to_id, payload_bytes, payload_digest, payload.
+
+    With ``errors="rows"`` also a row for each broken stretch, whose ``error`` names record and fault; it is null elsewhere.
+    """
 
     def make() -> Callable[..., list[list]]:
+        def values(name: str, r: Record | BrokenArchive) -> list:
+            if isinstance(r, BrokenArchive):
+                return [name, *[None] * (6 + with_payload), str(r)]
+            h = r.headers
+            length = int(h["X-Payload-Length"]) if h["WARC-Type"] == "revisit" and h.get("X-Payload-Length", "").isdigit() else len(r.payload)
+            digest = h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or digest_of(r.payload)
+            return [name, h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Target-URI"), h.get("WARC-Refers-To"), length, digest, *[r.payload] * with_payload, None]
+
         def read(names: list, contents: list) -> list[list]:
-            out: list[list] = [[] for _ in range(7 + with_payload)]
-            for name, content in zip(names, contents, strict=True):
-                for r in read_archive(content or b""):
-                    h = r.headers
-                    values = [name, h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Target-URI"), h.get("WARC-Refers-To"), int(h["X-Payload-Length"]) if h["WARC-Type"] == "revisit" and "X-Payload-Length" in h else len(r.payload)]
-                    values.append(h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or digest_of(r.payload))
-                    for column, value in zip(out, values + [r.payload] * with_payload, strict=True):
-                        column.append(value)
-            return out
+            rows = [values(name, r) for name, content in zip(names, contents, strict=True) for r in read_archive(content or b"", errors)]
+            return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(8 + with_payload)]
 
         return read
 
-    schema = "archive string, record_id string, record_type string, target_uri string, refers_to_id string, payload_bytes long, payload_digest string"
-    return map_columns(archives.select("archive", "content"), make, schema + ", payload binary" * with_payload, rows=1)
+    schema = "archive string, record_id string, record_type string, target_uri string, refers_to_id string, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
+    found = map_columns(archives.select("archive", "content"), make, f"{schema}, error string", rows=1)
+    return found if errors == "rows" else found.drop("error")
 
 
 def archive_round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:

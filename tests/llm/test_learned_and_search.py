@@ -215,6 +215,30 @@ def test_warc_validation():
             list(warc.read_archive(broken))
 
 
+def test_warc_reads_on_behind_broken_records(spark):
+    """A record of another digest, one whose frame is damaged, one cut off at the end, a lost dictionary: rows with the fault, all else is read."""
+    records = [warc.record_bytes(k, "http://h", f"payload {k} {'x' * 300}".encode(), None) for k in range(6)]
+    frames = [zstandard.compress(r) for r in records]
+    wrong = zstandard.compress(records[1].replace(b"payload 1", b"PAYLOAD 1", 1))
+    damaged = frames[3][:20] + bytes(b ^ 0xFF for b in frames[3][20:])
+    broken = frames[0] + wrong + frames[2] + damaged + frames[4] + frames[5][:-4]
+    trained = warc.write_archive([warc.record_bytes(k, "http://h", random.Random(k).randbytes(900).hex().encode(), None) for k in range(60)])
+    assert trained[:4] == b"\x5d\x2a\x4d\x18"
+    archives = [("a", broken), ("b", b"".join(frames)), ("c", trained[:40]), ("d", b"junk"), ("e", None), ("f", b"")]
+    df = spark.createDataFrame(archives, "archive string, content binary")
+    got = warc.read_records(df, errors="rows").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["archive"], []).append(r["error"].split(":")[0] if r["error"] else r["record_id"])
+    page = "<urn:x-page:{}>".format
+    assert by["a"] == [page(0), "record 2", page(2), "record 4", page(4), "record 6"]
+    assert by["b"] == [page(k) for k in range(6)] and by["c"] == ["the dictionary is cut off"] and by["d"] == ["record 1"] and set(by) == set("abcd")
+    assert all((r["error"] is None) == (r["payload"] is not None) for r in got)
+    with pytest.raises(Exception, match="record 2"):
+        warc.read_records(df).collect()
+    assert "error" not in warc.read_records(df).columns
+
+
 def test_topk_refuses_components_beyond_64_bits(spark):
     """(1/256, 0) and (1e300, 0): no saturated product."""
     df = spark.createDataFrame([(0, [1 / 256, 0.0]), (1, [1e300, 0.0])], "vec_id long, embedding array<double>")
