@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialize, pieces, release
+from .common import map_columns, materialize, pieces, release, spread_join
 
 SHINGLE_WORDS = 5
 #: Least similarity in hundredths.
@@ -437,13 +437,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, words), "signatures")
     first = F.min(F.struct("doc_id", "tie")).alias("first")
-    classes = signed.where("sid is not null and doc_id is not null").groupBy("sid").agg(first, F.min("sig").alias("sig"), F.min("n_shingles").alias("size"))
-    classes = materialize(classes.select("sid", F.col("first.doc_id").alias("x"), "first.tie", "sig", "size"), "classes")
-    own = materialize(signed.join(classes.select("sid", F.col("x").alias("first")), "sid", "left").select("doc_id", "n_shingles", "first"), "own")
-    release(signed)
+    usable = signed.where("sid is not null and doc_id is not null")
+    classes = usable.groupBy("sid").agg(first, F.min("sig").alias("sig"), F.min("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes.select("sid", F.col("first.doc_id").alias("x"), "first.tie", "sig", "size", "n"), "classes")
     # Rows of one doc_id with several texts: their classes are linked through the doc_id.
-    several = own.where("first is not null").groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo <> hi")
-    repeats = own.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    several = usable.groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
+    texts_of = usable.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "sid").distinct()
+    repeats = texts_of.join(classes.select("sid", "x"), "sid").select(F.col("doc_id").alias("a"), F.col("x").alias("b"))
 
     # A bucket's key ends in its band's number.
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)).bitwiseAND(-BANDS).bitwiseOR(k) for k in range(BANDS)])
@@ -469,16 +469,20 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     links = open_links(open_, sets, threshold, miss)
     joined = components(links)
     release(pairs, alive, open_, sets, buckets, links)
-    named = own.join(roots.withColumnRenamed("node", "first"), "first", "left").withColumn("root", F.coalesce("root", "first", "doc_id"))
+    # Components are named for the classes; documents, of which most may share one text or have none, come last and are dealt out.
+    named = classes.select("sid", "x", "n").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     last = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
-    component = F.coalesce("last", "root")
-    return last.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    last = materialize(last.select("sid", F.coalesce("last", "root").alias("component_id"), "n"), "last")
+    release(classes)
+    found = spread_join(signed.select("doc_id", "n_shingles", "sid"), last, ["sid"], "n", ["component_id"])
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest doc_id; rows without doc_id all stay.
 
-    Rows travel as one struct, so that no column of theirs can clash with the operator's own.
+    A doc_id is one document: of rows that repeat it one stays, whether their texts are alike or not.  Rows travel as one struct, so that no column of theirs can clash with the operator's own.
     """
     found = near_duplicates(docs, words, threshold)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
