@@ -36,7 +36,8 @@ WEATHER_TITLE = r"(high|low|temp|temperature)s?\s+(of|in)\s+\d+°?"
 OPINION = [r"\bopinion:", r"\beditorial:", r"\bcolumn:", r"\bcommentary:", r"\bletter to the editor\b", r"\bletters to the editor\b", r"\bguest column\b", r"\bguest commentary\b", r"\bop-ed\b", r"\bmy view\b", r"\bpoint of view\b"]
 OPINION_TITLE = [r"\btime to reclaim\b.*\bpractice\b.*\bgod\b", r"\bpeople are the sovereign power\b", r"\bcapturing the.*cruelty\b"]
 HUMAN_INTEREST = [r"\bdream comes true\b", r"\bfollowing (his|her|their) dream\b", r"\bfriends enjoy\b", r"\bswim and run\b", r"\benjo(y|ying) .*\b(along|in|at)\b", r"\banswering the call\b", r"\b(heartwarming|inspiring|uplifting) (story|tale)\b"]
-#: Sources that also carry other regions' news, for which the region's keywords are asked.
+#: The feeds that also carry other regions' news, of whose articles the region's keywords are asked.
+REGIONAL_FEEDS = ["https://www.boston.com/tag/vermont/feed/", "https://whdh.com/regional/vermont/feed/", "https://www.news10.com/news/vt-news/feed/", "https://www.mynbc5.com/topstories-rss", "https://www.mychamplainvalley.com/feed/"]
 MIN_CHARS = 200
 
 
@@ -115,6 +116,12 @@ def needs_region(title: Column, summary: Column, content: Column) -> Column:
     return matches(F.lower(head), REGION)
 
 
+def passes_gate(feed: Column, title: Column, summary: Column, content: Column) -> Column:
+    """Whether an article passes the region gate: all of most feeds do, of the listed ones those that need the region's keywords and have them."""
+    listed = F.coalesce(feed.isin(REGIONAL_FEEDS), F.lit(False))
+    return F.when(listed, F.coalesce(needs_region(title, summary, content), F.lit(False))).otherwise(F.lit(True))
+
+
 # Fixed values of the import: titles that are left out, tags that leave out or raise, signs of investigations,
 # and the score's weights and bounds.
 IMPORT_TITLES = [
@@ -241,6 +248,17 @@ def f07(m: Model) -> DataFrame:
     return _titled(m).select("id", needs_region(F.col("title"), F.col("summary"), F.col("content")).alias("related"))
 
 
+_FEEDS = [*REGIONAL_FEEDS, "https://news.example/feed", "https://paper.example/rss"]
+
+
+@query("f07b_region_gate", f"WITH {_TITLED}, g AS (SELECT *, list_extract({_FEEDS!r}, CAST(id % 7 AS INTEGER) + 1) AS feed FROM t) SELECT feed, count(*) FILTER (WHERE id % 7 >= 5 OR {_sql_match(_HEAD, REGION)}) AS passed, count(*) FILTER (WHERE id % 7 < 5 AND NOT {_sql_match(_HEAD, REGION)}) AS dropped FROM g GROUP BY feed")
+def f07b(m: Model) -> DataFrame:
+    feed = F.get(F.array(*[F.lit(f) for f in _FEEDS]), F.pmod("id", F.lit(7)).cast("int"))
+    passes = passes_gate(F.col("feed"), F.col("title"), F.col("summary"), F.col("content"))
+    gated = _titled(m).withColumn("feed", feed).select("feed", passes.alias("passes"))
+    return gated.groupBy("feed").agg(F.count_if("passes").alias("passed"), F.count_if(~F.col("passes")).alias("dropped"))
+
+
 #: Tags for the import, by id: none, one that raises, two that do, one that leaves out.
 _TAGS = [[], ["Housing "], ["climate", "legislation", "other"], ["Police_Log", "climate"]]
 

@@ -133,6 +133,37 @@ def m07(m: Model) -> DataFrame:
     return m.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", s.alias("similarity"), *[c.alias(n) for n, c in flags.items()])
 
 
+#: What stands in for a summary, and what a report says, where extractions failed.
+NO_SUMMARY, ONE_FAILED, BOTH_FAILED = "[Extraction failed]", "%s extraction failed", "Both models failed"
+
+
+def consensus(first: Column, second: Column, first_ok: Column, second_ok: Column, similarity: Column, names: tuple[str, str] = ("First", "Second")) -> dict[str, Column]:
+    """The text that two extractors' summaries give, whose facts to take (both, first, second, none) and what the report says of failures.
+
+    Like summaries: the first's.  Unlike ones: both, the second marked.  If one failed the other's alone; if both
+    did a stand-in.  A null success counts as a failure, a null similarity as unlike, null summaries as empty.
+    """
+    a, b = (F.coalesce(c, F.lit("")) for c in (first, second))
+    one, two = (F.coalesce(c, F.lit(False)) for c in (first_ok, second_ok))
+    alike = F.coalesce(similarity >= 0.75, F.lit(False))
+    both = F.when(alike, a).otherwise(F.concat(a, F.lit(" [Alternative perspective: "), b, F.lit("]")))
+    return {
+        "summary": F.when(one & two, both).when(one, a).when(two, b).otherwise(F.lit(NO_SUMMARY)),
+        "facts_of": F.when(one & two, "both").when(one, "first").when(two, "second").otherwise("none"),
+        "failure": F.when(one & two, F.lit(None).cast("string")).when(one, ONE_FAILED % names[1]).when(two, ONE_FAILED % names[0]).otherwise(BOTH_FAILED),
+    }
+
+
+@query("m07b_consensus", """WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS a, coalesce(string_split(text, chr(10))[2], '') AS b, doc_id % 5 <> 1 AS p, doc_id % 7 <> 2 AS q, (doc_id % 100) / CAST(100 AS DOUBLE) AS s FROM documents)
+SELECT doc_id, CASE WHEN p AND q THEN CASE WHEN s >= 0.75 THEN a ELSE a || ' [Alternative perspective: ' || b || ']' END WHEN p THEN a WHEN q THEN b ELSE '[Extraction failed]' END AS summary,
+ CASE WHEN p AND q THEN 'both' WHEN p THEN 'first' WHEN q THEN 'second' ELSE 'none' END AS facts_of,
+ CASE WHEN p AND q THEN NULL WHEN p THEN 'Second extraction failed' WHEN q THEN 'First extraction failed' ELSE 'Both models failed' END AS failure FROM d""")
+def m07b(m: Model) -> DataFrame:
+    lines = F.split("text", "\n")
+    told = consensus(F.get(lines, F.lit(0)), F.get(lines, F.lit(1)), F.col("doc_id") % 5 != 1, F.col("doc_id") % 7 != 2, (F.col("doc_id") % 100) / 100.0)
+    return m.table("documents").select("doc_id", *[c.alias(n) for n, c in told.items()])
+
+
 @query("m08_article_cost", "SELECT o_orderkey, round((o_totalprice * 3.0 + o_custkey * 15.0) / 1e6 + (o_totalprice * 0.075 + o_custkey * 0.3) / 1e6 + 0.30 * (o_totalprice * 0.15 + o_custkey * 0.6) / 1e6, 4) AS cost FROM orders")
 def m08(m: Model) -> DataFrame:
     tokens = (F.col("o_totalprice"), F.col("o_custkey"))

@@ -126,6 +126,14 @@ def t03(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", remove_boilerplate(F.regexp_replace(marked, r"[^\x00-\x7F]", "")).alias("text"))
 
 
+@query("t03b_boilerplate_copyright", f"SELECT doc_id, {_sql_replaced('t', [('(?im)' + p, '') for p in BOILERPLATE])} AS text FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') || chr(10) || '© 20' || doc_id || ' The Paper. ALL rights reserved' || chr(10) || 'last line ©' AS t FROM documents)")
+def t03b(m: Model) -> DataFrame:
+    # The one sign beyond ASCII that a pattern names is put in after the others are taken out.
+    ending = F.concat(F.lit("\n© 20"), F.col("doc_id").cast("string"), F.lit(" The Paper. ALL rights reserved\nlast line ©"))
+    marked = F.concat(F.regexp_replace("text", r"[^\x00-\x7F]", ""), ending)
+    return m.table("documents").select("doc_id", remove_boilerplate(marked).alias("text"))
+
+
 def normalize_whitespace(c: Column) -> Column:
     c = F.regexp_replace(F.regexp_replace(c, " +", " "), r"\n\s*\n+", "\n\n")
     return F.trim(F.array_join(F.transform(F.split(c, "\n"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", "")), "\n"))

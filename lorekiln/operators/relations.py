@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import distance_weight, pmi_columns
+from ..functions.scores import distance_weight, edge_strength, pmi_columns
 from ..plans.proxy import AS_OF, Model, over
 from ..plans.registry import query
 from .relational import entity_pairs
@@ -178,6 +178,25 @@ def g14(m: Model) -> DataFrame:
     return article_relations(m.mentions).select("article_id", "entity_a", "entity_b", "total_weight", "is_rare", F.round("pmi_score", 6).alias("pmi_score"))
 
 
+def scored_edges(mentions: DataFrame, min_score: float = 0.0, types: list[str] | None = None) -> DataFrame:
+    """An article's edges as its network shows them: the score is NPMI, of rare pairs proximity, and strength the score under confidence."""
+    found = article_relations(mentions)
+    score, strength = edge_strength(F.when(~F.col("is_rare"), F.col("npmi")), F.col("total_weight"), F.col("confidence"))
+    raw = F.col("same_sentence") + F.col("adjacent_sentence") + F.col("near_proximity")
+    edges = found.select("article_id", F.col("entity_a").alias("source"), F.col("entity_b").alias("target"), relation_type(F.col("min_distance")).alias("type"), score.alias("score"), strength.alias("strength"), "confidence", raw.alias("raw_count"))
+    kept = edges.where(F.col("score") >= min_score)
+    return kept if types is None else kept.where(F.col("type").isin(types))
+
+
+@query("s29_scored_edges", over("mentions", """SELECT article_id, entity_a AS source, entity_b AS target, CASE min_distance WHEN 0 THEN 'same-sentence' WHEN 1 THEN 'adjacent-sentence' ELSE 'near-proximity' END AS type, round(score, 6) AS score, round(least(score * confidence, 1.0), 6) AS strength, raw_count
+FROM (SELECT m.*, same_sentence + adjacent_sentence + near_proximity AS raw_count, CASE WHEN x.s < 2 OR y.s < 2 THEN least(1.0, total_weight / 10)
+  ELSE ln(((total_weight + 1e-6) / (n + 1e-6)) / (((x.s + 1e-6) / (n + 1e-6)) * ((y.s + 1e-6) / (n + 1e-6)) + 1e-6) + 1e-6) / (-ln((total_weight + 1e-6) / (n + 1e-6) + 1e-6) + 1e-6) END AS score
+  FROM matrix m JOIN f x ON x.article_id = m.article_id AND x.entity = entity_a JOIN f y ON y.article_id = m.article_id AND y.entity = entity_b JOIN t ON t.article_id = m.article_id) WHERE score >= 0.5""", _MATRIX, "f AS (SELECT article_id, entity, count(DISTINCT sentence_index) AS s FROM mentions GROUP BY 1, 2)", "t AS (SELECT article_id, CAST(count(DISTINCT sentence_index) AS DOUBLE) AS n FROM mentions GROUP BY 1)"))
+def s29_scored_edges(m: Model) -> DataFrame:
+    edges = scored_edges(m.mentions, 0.5)
+    return edges.select("article_id", "source", "target", "type", F.round("score", 6).alias("score"), F.round("strength", 6).alias("strength"), "raw_count")
+
+
 def pair_support(facts: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """Distinct articles of each pair of confident entities."""
     pairs = entity_pairs(by_entity(facts.where(F.col("confidence") >= min_confidence)))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import article_rollup, entity_mentions, entity_type_counts, facts_by_article, spend, status_counts
-from ..operators.graph import coloured, graph_metrics
+from ..operators.aggregates import TYPE_GROUPS, article_rollup, entity_mentions, entity_type_counts, facts_by_article, spend, status_counts, type_rollup
+from ..operators.graph import coloured, graph_metrics, super_nodes
 from ..operators.prune import top_k_edges
-from ..operators.relational import co_mentions, entity_pairs, recent_articles, with_facts
+from ..operators.relational import co_mentions, entity_pairs, min_max, recent_articles, with_facts
+from ..operators.relations import by_entity, scored_edges
 from ..operators.topics import timeline, topic_entities, topic_trends
 from .proxy import AS_OF, Model, over
 from .registry import query
@@ -56,6 +57,42 @@ class Engine:
         """Nodes of an article's network with measures, community, colour and place."""
         return coloured(graph_metrics(self.article_network(article_id)[1]))
 
+    def scored_network(self, article_id: int, min_score: float = 0.0, types: list[str] | None = None, cap: int = 10) -> DataFrame:
+        """An article's edges by NPMI or else proximity; in articles of more than ten entities the strongest of either end."""
+        mine = self.m.mentions.where(F.col("article_id") == article_id)
+        return top_k_edges(scored_edges(mine, min_score, types), self._within(cap, 5, 50))
+
+    def article_view(self, article_id: int) -> DataFrame:
+        """The layout's nodes with ``size``, their PageRank brought to 0.3 to 1."""
+        return min_max(self.article_layout(article_id), "pagerank").withColumnRenamed("scaled", "size")
+
+    def collapsed_network(self, article_id: int, smaller_than: int = 5) -> DataFrame:
+        """An article's edges with its small communities as one node each."""
+        nodes, edges = self.article_network(article_id)
+        found = graph_metrics(edges, ["community"]).select("article_id", F.col("node").alias("entity"), "community")
+        return super_nodes(found, edges, smaller_than)
+
+    def _recent(self, days: int, as_of: str) -> DataFrame:
+        since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
+        return self.m.articles.where(F.col("published_date") >= since).select(F.col("id").alias("article_id"))
+
+    def focal_view(self, entity: str, days: int = 30, limit: int = 50, as_of: str = AS_OF) -> tuple[DataFrame, DataFrame]:
+        """The focal entity under its most frequent type with the entities of its recent articles, and its edges to them by article count."""
+        facts = self.m.facts.join(self._recent(days, as_of), "article_id", "left_semi")
+        own = facts.where(F.col("entity") == entity).groupBy("entity", "entity_type").agg(F.count(F.lit(1)).alias("weight"), F.avg("confidence").alias("confidence"))
+        focal = own.orderBy(F.desc("weight"), "entity_type").limit(1).withColumn("is_focal", F.lit(True))
+        others = co_mentions(facts, entity, self._within(limit, 1, 200)).select("entity", "entity_type", F.col("articles").alias("weight"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("is_focal"))
+        there = facts.where(F.col("entity") == entity).select("article_id")
+        named = others.select("entity").distinct().unionByName(self.m.spark.createDataFrame([(entity,)], "entity string"))
+        inside = by_entity(facts.join(there, "article_id", "left_semi").join(named, "entity", "left_semi"))
+        pairs = entity_pairs(inside).where((F.col("entity_a") == entity) | (F.col("entity_b") == entity))
+        edges = pairs.groupBy(F.col("entity_a").alias("source"), F.col("entity_b").alias("target")).agg(F.count(F.lit(1)).alias("count"))
+        return focal.unionByName(others), edges
+
+    def headline(self, groups: dict[str, list[str]] = TYPE_GROUPS, as_of: str = AS_OF) -> DataFrame:
+        """``stats`` with the distinct entities of each group of types."""
+        return self.stats(as_of).crossJoin(type_rollup(entity_type_counts(self.m.facts), groups))
+
     def focal_network(self, entity: str, limit: int = 50) -> DataFrame:
         return co_mentions(self.m.facts, entity, limit)
 
@@ -182,3 +219,24 @@ def s29_topic_entities(m: Model) -> DataFrame:
 @query("s29_article_layout")
 def s29_article_layout(m: Model) -> DataFrame:
     return _engine(m).article_layout(5)
+
+
+_FOCAL = f"""rf AS (SELECT * FROM facts WHERE article_id IN (SELECT id FROM articles WHERE published_date >= TIMESTAMP '{AS_OF}' - INTERVAL 900 DAYS)), fa AS (SELECT DISTINCT article_id FROM rf WHERE entity = 'E0000011'),
+co AS (SELECT entity, entity_type, count(DISTINCT article_id) AS weight FROM rf WHERE entity <> 'E0000011' AND article_id IN (SELECT article_id FROM fa) GROUP BY 1, 2 ORDER BY weight DESC, entity, entity_type LIMIT 20)"""
+
+
+@query("s29_focal_view_nodes", over("facts articles", "SELECT * FROM (SELECT entity, entity_type, count(*) AS weight, round(avg(confidence), 6) AS confidence, true AS is_focal FROM rf WHERE entity = 'E0000011' GROUP BY 1, 2 ORDER BY weight DESC, entity_type LIMIT 1) UNION ALL SELECT entity, entity_type, weight, NULL, false FROM co", _FOCAL))
+def s29_focal_view_nodes(m: Model) -> DataFrame:
+    return _engine(m).focal_view("E0000011", 900, 20)[0].withColumn("confidence", F.round("confidence", 6))
+
+
+@query("s29_focal_view_edges", over("facts articles", "SELECT least(entity, 'E0000011') AS source, greatest(entity, 'E0000011') AS target, count(DISTINCT article_id) AS \"count\" FROM rf WHERE entity IN (SELECT entity FROM co) AND article_id IN (SELECT article_id FROM fa) GROUP BY entity", _FOCAL))
+def s29_focal_view_edges(m: Model) -> DataFrame:
+    return _engine(m).focal_view("E0000011", 900, 20)[1]
+
+
+@query("s29_headline", over("facts articles", "SELECT * FROM (SELECT count(*) AS total FROM articles), (SELECT CAST(coalesce(sum(n) FILTER (WHERE entity_type LIKE 'STANDARD%'), 0) AS BIGINT) AS people, CAST(coalesce(sum(n) FILTER (WHERE entity_type LIKE 'PROMO%' OR entity_type LIKE 'ECONOMY%'), 0) AS BIGINT) AS organizations FROM (SELECT entity_type, count(DISTINCT entity) AS n FROM facts GROUP BY 1))"))
+def s29_headline(m: Model) -> DataFrame:
+    kinds = [r[0] for r in m.table("part").select("p_type").distinct().collect()]  # the model's types are few
+    groups = {"people": [k for k in kinds if k.startswith("STANDARD")], "organizations": [k for k in kinds if k.startswith(("PROMO", "ECONOMY"))]}
+    return _engine(m).headline(groups).select("total", "people", "organizations")
