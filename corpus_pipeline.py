@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekiln.llm import bpe, line_dedup, minhash, mixing, toxicity
-from lorekiln.llm.common import materialize, table
+from lorekiln.llm.common import materialize, release, table
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -61,7 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(*written)  # what the stage before wrote
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

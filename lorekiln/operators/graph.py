@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.proxy import Model, over
 from ..plans.registry import query
-from ..plans.shared import materialize
+from ..plans.shared import materialize, release
 from .prune import _EDGES, edges_of, per_graph
 
 #: The colours that communities cycle through, and that of nodes without one.
@@ -35,15 +35,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that can be reached; labels spread and jump until none changes."""
     links = _cut(both_ways(edges).select("source", "target").distinct())
-    labels = _cut(links.groupBy(F.col("source").alias("node")).agg(F.least(F.min("target"), F.first("source")).alias("label")))
+    held = labels = _cut(links.groupBy(F.col("source").alias("node")).agg(F.least(F.min("target"), F.first("source")).alias("label")))
     while True:
         near = links.join(labels.select(F.col("node").alias("target"), "label"), "target").groupBy(F.col("source").alias("node")).agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = labels.join(near, "node").join(jump, "label", "left").select("node", F.least("label", "near", "further").alias("after"), "label")
         after = _cut(after)
+        release(held)
         if not after.where("after <> label").limit(1).count():
+            release(links)
             return after.select("node", F.col("after").alias("component"))
-        labels = after.select("node", F.col("after").alias("label"))
+        held, labels = after, after.select("node", F.col("after").alias("label"))
 
 
 _LINKED = "both_ways AS MATERIALIZED (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges)"
@@ -84,7 +86,7 @@ def corpus_pagerank(edges: DataFrame, iterations: int = 100, tolerance: float |
     shares = _cut(links.join(out, "source").select("source", "target", (F.col("w") / F.col("out")).alias("share")))
     nodes = _cut(shares.select(F.col("source").alias("node")).distinct())
     n = max(1, nodes.count())
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    held, ranks = nodes, nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(iterations):
         got = shares.join(ranks.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         after = got.select("node", ((1 - DAMPING) / n + DAMPING * F.col("got")).alias("rank"))
@@ -94,6 +96,8 @@ def corpus_pagerank(edges: DataFrame, iterations: int = 100, tolerance: float |
                 moved = after.join(ranks.withColumnRenamed("rank", "last"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("last")))).first()[0] or 0.0
                 if moved < n * tolerance:
                     return after
+            release(held)
+            held = after
         ranks = after
     return ranks
 

@@ -43,7 +43,9 @@ def upsert_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: st
     ``policy`` says for each further column what a conflict keeps (see ``merged``; by default the new value), ``order``
     which of a batch's rows of one key is the latest (by default any).  The table is partitioned by a hash of the key;
     only partitions with keys of the batch are read, merged and replaced, and a replaced partition is first written
-    beside the table, since it is read from there.
+    beside the table, since it is read from there.  The table is plain Parquet, so a driver that dies while partitions
+    are replaced leaves some of them new; the batch then runs again.  ``snapshots.upsert_stream`` shows a batch whole
+    or not at all.
     """
     part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
     rest = [c for c in stream.columns if c not in keys]
@@ -73,7 +75,8 @@ def feed_states(stream: DataFrame) -> DataFrame:
     """State of each feed over (feed_url, event_id, success): the failures after its latest success, and all events.
 
     Events may come in any order: the state holds the latest success and the failures after it, so that neither
-    the batches of a trigger nor their rows need be sorted.
+    the batches of a trigger nor their rows need be sorted.  That list grows while a feed fails; where events have
+    a time, ``states.feed_states`` keeps a state of bounded size.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
