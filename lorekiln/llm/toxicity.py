@@ -344,8 +344,8 @@ def _clusters(sample: DataFrame) -> tuple[dict[int, int], int]:
 
 def _own_words(docs: DataFrame, terms: list[str]) -> frozenset[str]:
     """The forms near a term that are words in their own right: used by OWN_TEXTS texts of all documents or more, and by OWN_SHARE of
-    the texts that use the term.  Equal texts count once.  There are no more than 1 / OWN_SHARE such forms for each
-    time that what is near a term is used as often as the term, whatever the number of documents."""
+    the texts that use the term.  Equal texts count once.  Shares of the term's own use decide, so that the number of
+    such forms follows the lexicon, not the number of documents."""
     shared = docs.sparkSession.sparkContext.broadcast(Lexicon(terms))
 
     def make() -> Callable[..., list[list]]:

@@ -348,7 +348,7 @@ def test_pipeline(spark, sf):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_minhash_star_of_copies_that_differ(spark, docs):
