@@ -437,13 +437,16 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, words), "signatures")
     first = F.min(F.struct("doc_id", "tie")).alias("first")
-    usable = signed.where("sid is not null and doc_id is not null")
-    classes = usable.groupBy("sid").agg(first, F.min("sig").alias("sig"), F.min("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
+    own = materialize(signed.select("doc_id", "n_shingles", "sid"), "own")
+    classes = signed.where("sid is not null and doc_id is not null").groupBy("sid").agg(first, F.min("sig").alias("sig"), F.min("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.select("sid", F.col("first.doc_id").alias("x"), "first.tie", "sig", "size", "n"), "classes")
+    named = materialize(classes.select("sid", "x", "n"), "named")
+    release(signed)
     # Rows of one doc_id with several texts: their classes are linked through the doc_id.
+    usable = own.where("sid is not null and doc_id is not null")
     several = usable.groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
     texts_of = usable.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "sid").distinct()
-    repeats = texts_of.join(classes.select("sid", "x"), "sid").select(F.col("doc_id").alias("a"), F.col("x").alias("b"))
+    repeats = texts_of.join(named, "sid").select(F.col("doc_id").alias("a"), F.col("x").alias("b"))
 
     # A bucket's key ends in its band's number.
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)).bitwiseAND(-BANDS).bitwiseOR(k) for k in range(BANDS)])
@@ -459,22 +462,25 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     asked = classes.join(buckets.select("x").distinct(), "x", "left_semi").select(F.col("x").alias("doc_id"), "tie", "x", "sig")
     texts = docs.withColumn("tie", F.xxhash64("text")).join(asked, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie", "sig"])
     sets = materialize(shingle_sets(texts, words), "sets")
+    release(classes)
 
     hub = F.min(F.struct((-F.col("meets")).alias("rank"), "x", "size")).alias("hub")
     pairs = buckets.join(buckets.groupBy("key").agg(hub), "key").where(F.col("x") != F.col("hub.x")).where(reachable(F.col("size"), F.col("hub.size"), threshold))
     pairs = materialize(pairs.select(F.col("hub.x").alias("a"), F.col("x").alias("b")).distinct(), "pairs")
     alive = materialize(hub_links(pairs, sets.select("x", "sig"), threshold, miss).distinct(), "alive")
+    release(pairs)
     roots = components(hub_links(alive, sets, threshold, miss).unionByName(repeats))
     open_ = materialize(open_buckets(buckets, roots), "open")
+    release(alive, buckets)
     links = open_links(open_, sets, threshold, miss)
     joined = components(links)
-    release(pairs, alive, open_, sets, buckets, links)
+    release(open_, sets, links)
     # Components are named for the classes; documents, of which most may share one text or have none, come last and are dealt out.
-    named = classes.select("sid", "x", "n").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    last = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    rooted = named.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    last = rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
     last = materialize(last.select("sid", F.coalesce("last", "root").alias("component_id"), "n"), "last")
-    release(classes)
-    found = spread_join(signed.select("doc_id", "n_shingles", "sid"), last, ["sid"], "n", ["component_id"])
+    release(named)
+    found = spread_join(own, last, ["sid"], "n", ["component_id"])
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
