@@ -234,8 +234,8 @@ def test_warc_reads_on_behind_broken_records(spark):
     assert by["a"] == [page(0), "record 2", page(2), "record 4", page(4), "record 6"]
     assert by["b"] == [page(k) for k in range(6)] and by["c"] == ["the dictionary is cut off"] and by["d"] == ["record 1"] and set(by) == set("abcd")
     assert all((r["error"] is None) == (r["payload"] is not None) for r in got)
-    with pytest.raises(Exception, match="record 2"):
-        warc.read_records(df).collect()
+    with pytest.raises(Exception, match="record 2"):  # of one archive: which of several fails first is open
+        warc.read_records(df.where("archive = 'a'")).collect()
     assert "error" not in warc.read_records(df).columns
 
 
