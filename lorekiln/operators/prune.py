@@ -157,11 +157,6 @@ def by_article(rows: DataFrame, order: list[str | Column], work: Callable[[Itera
     return sorted_.mapInArrow(run, fields)
 
 
-def per_graph(edges: DataFrame, work: Callable[[list], list[tuple]], schema: str) -> DataFrame:
-    """``work`` on each article's whole graph, a list of (source, target, score), strongest first."""
-    return by_article(edges.select("article_id", "source", "target", "score"), [F.desc("score"), "source", "target"], lambda rows: work(list(rows)), schema)
-
-
 def _by_strength(edges: DataFrame, cap: int | str) -> DataFrame:
     """Edges with their strength (score times confidence, where there is such a column) and their cap (a number, or the column that holds it)."""
     confidence = F.col("confidence") if "confidence" in edges.columns else F.lit(1.0)
