@@ -135,12 +135,17 @@ def _grams(name: Column, size: Column) -> Column:
     return F.when(size == 0, F.array(F.lit(""))).when(F.char_length(name) >= size, pieces).otherwise(F.array().cast("array<string>"))
 
 
-def containment_matches(left: DataFrame, right: DataFrame) -> DataFrame:
+#: Long names of one article and type that a short name is compared with one by one.
+FEW = 64
+
+
+def containment_matches(left: DataFrame, right: DataFrame, few: int = FEW) -> DataFrame:
     """Names of one type in one article of which one holds the other, whatever the case: article_id, type, short_name and long_name for each two rows.
 
-    Long names are listed by their pieces of up to GRAM characters, and each short name looks at the list of its
-    rarest piece alone, which any name that holds it is on; what is found there is verified.  So an article of
-    thousands of names doesn't compare all of them.  An empty name is held by all.
+    In groups of few long names a short one is compared with all.  In others long names are listed by their pieces of
+    up to GRAM characters, and each short name looks at the list of its rarest piece alone, which any name that holds
+    it is on; what is found there is verified.  So an article of thousands of names doesn't compare all of them, and
+    pieces, many for each name, are made only there.  An empty name is held by all.
     """
     key = ["article_id", "type"]
 
@@ -148,15 +153,20 @@ def containment_matches(left: DataFrame, right: DataFrame) -> DataFrame:
         counted = df.where("name IS NOT NULL").groupBy(*key, F.col("name").alias(f"{c}_name")).agg(F.count(F.lit(1)).alias(f"{c}_rows"))
         return counted.withColumn(f"{c}_low", F.lower(f"{c}_name"))
 
+    held = named(right, "long").withColumn("group", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    short = named(left, "short")
+    holds = F.contains("long_low", "short_low") & (F.col("short_name") != F.col("long_name"))
+    names = [*key, "short_name", "short_rows", "long_name", "long_rows"]
+    near = short.join(held.where(F.col("group") <= few), key).where(holds).select(*names)
     sizes = F.sequence(F.lit(0), F.lit(GRAM))
-    listed = named(right, "long").withColumn("gram", F.explode(F.flatten(F.transform(sizes, lambda n: _grams(F.col("long_low"), n)))))
+    listed = held.where(F.col("group") > few).withColumn("gram", F.explode(F.flatten(F.transform(sizes, lambda n: _grams(F.col("long_low"), n)))))
     lists = listed.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("listed"))
-    short = named(left, "short")
-    pieces = short.withColumn("gram", F.explode(_grams(F.col("short_low"), F.least(F.char_length("short_low"), F.lit(GRAM)))))
+    crowded = short.join(listed.select(*key).distinct(), key, "left_semi")
+    pieces = crowded.withColumn("gram", F.explode(_grams(F.col("short_low"), F.least(F.char_length("short_low"), F.lit(GRAM)))))
     known = pieces.join(lists, [*key, "gram"], "left")  # a piece without a list: no name holds the short one
     least = F.min(F.struct(F.coalesce("listed", F.lit(0)).alias("listed"), "gram")).alias("least")
     rarest = known.groupBy(*key, "short_name", "short_rows", "short_low").agg(least).where("least.listed > 0").withColumn("gram", F.col("least.gram"))
-    found = rarest.join(listed, [*key, "gram"]).where(F.contains("long_low", "short_low") & (F.col("short_name") != F.col("long_name")))
+    found = near.unionByName(rarest.join(listed, [*key, "gram"]).where(holds).select(*names))
     times = F.sequence(F.lit(1), (F.col("short_rows") * F.col("long_rows")).cast("int"))
     return found.select(*key, "short_name", "long_name", F.explode(times).alias("time")).drop("time")
 

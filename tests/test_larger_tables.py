@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from test_oracles import normal
 
+from lorekiln.operators import relational
 from lorekiln.plans.catalog import ORACLES, QUERIES
 
 
@@ -25,3 +26,13 @@ def test_article_network_holds_all_edges_of_a_large_article(spark, large):
     got = QUERIES["g10b_article_network"](spark, large).select("article_id", "source", "target", "score").collect()
     wanted = duck.sql(f"SELECT article_id, source, target, score FROM ({ORACLES['g10b_article_network']})").fetchall()
     assert len(wanted) == 30 * 29 // 2 and normal(got) == normal(wanted)
+
+
+@pytest.mark.parametrize("few", [0, 5, 64])
+def test_containment_by_pairs_and_by_pieces(spark, few):
+    schema = "article_id long, type string, name string"
+    longs = [(k % 4, "AB"[k % 3 % 2], f"{'Old' if k % 2 else 'new'} Ring{k % 9} {'x' * (k % 4)}") for k in range(60)] + [(0, "A", None), (9, "A", "alone")]
+    shorts = [(k % 4, "AB"[k % 2], n) for k, n in enumerate(["ring", "RING3", "", "x", "old", "xx", "nowhere", "new Ring4 ", None, "g1 ", "ring", "ring"] * 4)]
+    got = relational.containment_matches(spark.createDataFrame(shorts, schema), spark.createDataFrame(longs, schema), few).collect()
+    wanted = [(a, t, s, n) for a, t, s in shorts for b, u, n in longs if (a, t) == (b, u) and s is not None and n is not None and s.lower() in n.lower() and s != n]
+    assert sorted(tuple(r) for r in got) == sorted(wanted) and wanted
