@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.proxy import AS_OF, Model, over
 from ..plans.registry import query
+from ..plans.shared import materialize
 from .aggregates import days_before, ts
 
 PAIR = ("least(x, y) AS entity_a", "greatest(x, y) AS entity_b")
@@ -86,6 +87,16 @@ def j02(m: Model) -> DataFrame:
     return m.facts.join(done, "article_id").groupBy("source", "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Facts of a task that makes pairs of them.
+PAIR_ROWS = 1 << 16
+
+
+def dealt(facts: DataFrame, rows: int = PAIR_ROWS) -> DataFrame:
+    """``facts`` written once, and read in partitions by article of about so many rows: what a task holds of their pairs doesn't grow with the input."""
+    held = materialize(facts, "facts")
+    return held.repartition(max(1, -(-held.count() // rows)), "article_id")
+
+
 def entity_pairs(facts: DataFrame) -> DataFrame:
     """Every pair a < b of an article's entities with both confidences: an equi join with an inequality left over."""
     a = facts.select("article_id", F.col("entity").alias("entity_a"), F.col("confidence").alias("confidence_a"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import distance_weight, edge_strength, pmi_columns
 from ..plans.proxy import AS_OF, Model, over
 from ..plans.registry import query
-from .relational import entity_pairs
+from .relational import dealt, entity_pairs
 
 SMOOTHING = 1e-6
 
@@ -90,9 +90,9 @@ def sentence_frequency(mentions: DataFrame) -> DataFrame:
 def by_entity(facts: DataFrame) -> DataFrame:
     """(article_id, entity, confidence): facts are unique by article, entity and type; of an entity's types in an article the surest counts.
 
-    Partitioned by article, so that pairs inside an article need no other shuffle.
+    Dealt out by article, so that pairs inside an article need no other shuffle and their number in a task is bounded.
     """
-    return facts.repartition("article_id").groupBy("article_id", "entity").agg(F.max("confidence").alias("confidence"))
+    return dealt(facts.select("article_id", "entity", "confidence")).groupBy("article_id", "entity").agg(F.max("confidence").alias("confidence"))
 
 
 def document_frequency(facts: DataFrame) -> DataFrame:
@@ -117,8 +117,9 @@ def a19(m: Model) -> DataFrame:
 
 def corpus_pmi(facts: DataFrame, min_count: int = 2) -> DataFrame:
     """PMI and NPMI of entity pairs by articles."""
-    pairs = entity_pairs(by_entity(facts)).groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("n_ab"), F.avg((F.col("confidence_a") + F.col("confidence_b")) / 2).alias("confidence"))
-    freq = document_frequency(facts)
+    known = by_entity(facts)
+    pairs = entity_pairs(known).groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("n_ab"), F.avg((F.col("confidence_a") + F.col("confidence_b")) / 2).alias("confidence"))
+    freq = document_frequency(known)
     a = freq.select(F.col("entity").alias("entity_a"), F.col("articles").alias("n_a"), F.col("n_articles").alias("n"))
     b = freq.select(F.col("entity").alias("entity_b"), F.col("articles").alias("n_b"))
     joined = pairs.where(F.col("n_ab") >= min_count).join(a, "entity_a").join(b, "entity_b")
@@ -354,13 +355,13 @@ def a32(m: Model) -> DataFrame:
 
 @query("a34_nested_aggregates", over("facts", "SELECT min(n) AS min_articles, max(n) AS max_articles, round(avg(n), 6) AS avg_articles FROM (SELECT count(*) AS n FROM facts a JOIN facts b ON a.article_id = b.article_id AND a.entity < b.entity GROUP BY a.entity, b.entity)"))
 def a34(m: Model) -> DataFrame:
-    per_pair = entity_pairs(m.facts).groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("n"))
+    per_pair = entity_pairs(dealt(m.facts.select("article_id", "entity", "confidence"))).groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("n"))
     return per_pair.agg(F.min("n").alias("min_articles"), F.max("n").alias("max_articles"), F.round(F.avg("n"), 6).alias("avg_articles"))
 
 
 @query("a35_top_pairs", over("facts", "SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS frequency FROM facts a JOIN facts b ON a.article_id = b.article_id AND a.entity < b.entity GROUP BY 1, 2 ORDER BY frequency DESC, 1, 2 LIMIT 20"))
 def a35(m: Model) -> DataFrame:
-    return entity_pairs(m.facts).groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("frequency")).orderBy(F.desc("frequency"), "entity_a", "entity_b").limit(20)
+    return entity_pairs(dealt(m.facts.select("article_id", "entity", "confidence"))).groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("frequency")).orderBy(F.desc("frequency"), "entity_a", "entity_b").limit(20)
 
 
 @query("a36_temporal_pairs", over("articles facts", "SELECT a.entity AS entity_a, b.entity AS entity_b, min(published_date) AS first_seen, max(published_date) AS last_seen, count(*) AS frequency FROM facts a JOIN facts b ON a.article_id = b.article_id AND a.entity < b.entity JOIN articles r ON r.id = a.article_id GROUP BY 1, 2 HAVING count(*) >= 2"))

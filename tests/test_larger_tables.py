@@ -36,3 +36,11 @@ def test_containment_by_pairs_and_by_pieces(spark, few):
     got = relational.containment_matches(spark.createDataFrame(shorts, schema), spark.createDataFrame(longs, schema), few).collect()
     wanted = [(a, t, s, n) for a, t, s in shorts for b, u, n in longs if (a, t) == (b, u) and s is not None and n is not None and s.lower() in n.lower() and s != n]
     assert sorted(tuple(r) for r in got) == sorted(wanted) and wanted
+
+
+def test_tasks_that_make_pairs_grow_in_number_with_the_input(spark):
+    rows = [(k // 3, f"E{k % 7}", 0.5) for k in range(90)]
+    facts = spark.createDataFrame(rows, "article_id long, entity string, confidence double")
+    few, many = (relational.dealt(f, 10) for f in (facts.where("article_id < 10"), facts))
+    assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (3, 9)
+    assert sorted(tuple(r) for r in many.collect()) == sorted(rows) and relational.dealt(facts.limit(0)).collect() == []
