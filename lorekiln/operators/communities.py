@@ -36,19 +36,21 @@ def _round(links: DataFrame, member: DataFrame, total: float, nodes: int, resolu
     Gains are rounded to what sums in another order can't change; ties keep the community, then take the smallest.
     """
     volume = member.groupBy("community").agg(F.sum("k").alias("volume"))
-    ends = member.select(F.col("node").alias("target"), F.col("community").alias("to"))
-    near = links.where("source <> target").join(ends, "target").groupBy(F.col("source").alias("node"), "to").agg(F.sum("w").alias("w"))
-    own = member.select("node", F.col("community").alias("to"), F.lit(0.0).alias("w"))
-    offers = near.unionByName(own).groupBy("node", "to").agg(F.sum("w").alias("w"))
-    known = offers.join(member, "node").join(volume.withColumnRenamed("community", "to"), "to")
+    ends = member.join(volume, "community").select(F.col("node").alias("target"), F.col("community").alias("to"), "volume")
+    # Only the links of awake nodes are looked at.  They are shuffled twice: to their targets' communities and back to their nodes.
+    near = links.where("source <> target").withColumnRenamed("source", "node").where(awake).join(ends, "target").select("node", "to", "w", "volume")
+    own = member.where(awake).join(volume, "community").select("node", F.col("community").alias("to"), F.lit(0.0).alias("w"), "volume")
+    offers = near.unionByName(own).repartition("node").groupBy("node", "to").agg(F.sum("w").alias("w"), F.max("volume").alias("volume"))
+    known = offers.join(member, "node")
     home = F.col("to") == F.col("community")
     rest = F.col("volume") - F.when(home, F.col("k")).otherwise(0.0)
     gain = F.round((F.col("w") - resolution * F.col("k") * rest / total) * nodes / total, 9)
     # The largest gain, at home first among equals, then the smallest community: min of (-gain, away, name).
     best = F.min(F.struct((-gain).alias("loss"), (~home).cast("int").alias("away"), "to")).alias("best")
     chosen = known.groupBy("node").agg(best, F.first("k").alias("k"), F.first("community").alias("community"))
-    goes = awake & (F.col("best.away") == 1)
-    return chosen.select("node", "k", F.when(goes, F.col("best.to")).otherwise(F.col("community")).alias("community"), goes.alias("moved"))
+    goes = F.col("best.away") == 1
+    asleep = member.where(~awake).select("node", "k", "community", F.lit(False).alias("moved"))
+    return chosen.select("node", "k", F.when(goes, F.col("best.to")).otherwise(F.col("community")).alias("community"), goes.alias("moved")).unionByName(asleep)
 
 
 def _moves(links: DataFrame, member: DataFrame, total: float, resolution: float, rounds: int, seed: int) -> DataFrame:
