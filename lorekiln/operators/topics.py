@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import meaningful, topic_label
 from ..plans.proxy import AS_OF, Model, over
 from ..plans.registry import query
-from ..plans.shared import materialize
+from ..plans.shared import materialize, release
 from .aggregates import days_before, ts
 
 
@@ -91,7 +96,11 @@ def ctfidf(words: DataFrame, class_column: str) -> DataFrame:
     mean = classes.agg(F.avg("size").alias("mean"))
     total = words.groupBy("word").agg(F.sum("n").alias("all"))
     joined = words.join(classes, class_column).join(total, "word").crossJoin(F.broadcast(mean))
-    return joined.withColumn("score", F.col("n") / F.col("size") * F.ln(1 + F.col("mean") / F.col("all")))
+    return joined.withColumn("score", _class_score())
+
+
+def _class_score() -> Column:
+    return F.col("n") / F.col("size") * F.ln(1 + F.col("mean") / F.col("all"))
 
 
 @query("g12_ctfidf", "WITH w AS (SELECT p_type AS topic, unnest(string_split(p_name, ' ')) AS word FROM part), n AS (SELECT topic, word, count(*) AS n FROM w GROUP BY 1, 2), s AS (SELECT topic, sum(n) AS size FROM n GROUP BY 1), a AS (SELECT word, sum(n) AS alln FROM n GROUP BY 1) SELECT topic, word, round(n / CAST(size AS DOUBLE) * ln(1 + (SELECT avg(size) FROM s) / alln), 6) AS score FROM n JOIN s USING (topic) JOIN a USING (word) WHERE n / CAST(size AS DOUBLE) * ln(1 + (SELECT avg(size) FROM s) / alln) >= 0.01")
@@ -106,36 +115,206 @@ TERM_BITS = 18
 OUTLIER = -1
 
 
+#: Words of texts whose terms are counted together before they are sent on, and terms of a task that puts counts together.
+TOGETHER, BUCKET = 1 << 19, 1 << 20
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finalizer."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _terms(lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place of its first word) of the words, pairs and triples of consecutive texts, of the words' 64-bit hashes."""
+    text, at = np.repeat(np.arange(len(lengths)), lengths), np.arange(len(words))
+    hashes, texts, places = [_mix(words + np.uint64(1))], [text], [at]
+    for n in (2, 3):
+        longer = _mix(hashes[-1][: max(0, len(words) - n + 1)] ^ _mix(words[n - 1 :] + np.uint64(n)))
+        hashes.append(longer)
+    for n in (2, 3):
+        inside = text[: max(0, len(words) - n + 1)] == text[n - 1 :]
+        hashes[n - 1] = hashes[n - 1][inside]
+        texts.append(text[: len(inside)][inside])
+        places.append(at[: len(inside)][inside])
+    return np.concatenate(hashes), np.concatenate(texts), np.concatenate(places)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with a column ``hashed``, of about TOGETHER words or one text: the rows, their lengths and their words' hashes."""
+    for b in batches:
+        ends = np.concatenate([[0], np.cumsum(b.column("hashed").value_lengths().to_numpy(zero_copy_only=False))])
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOGETHER, "right")) - 1)
+            rows = b.slice(at, to - at)
+            yield rows, np.diff(ends[at : to + 1]), rows.column("hashed").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            at = to
+
+
+#: A term of a block: its distance from the one before, its topic, whether several texts of the block hold it, its count.
+_ENTRY = np.dtype([("step", "<u8"), ("topic", "<u2"), ("several", "u1"), ("n", "<u4")])
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sum of each one's ``n``."""
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    return key[order][first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+def _blocks(hashed: DataFrame, topics: int, buckets: int) -> DataFrame:
+    """(bucket, size, block) of (topic_id, hashed): what the terms of some texts count, by ranges of hashes, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, lengths, words in _chunks(batches):
+            terms, text, _ = _terms(lengths, words)
+            if not len(terms):
+                continue
+            order = np.argsort(terms, kind="stable")  # a term's texts stay in order
+            terms, text = terms[order], text[order]
+            new = np.append(True, terms[1:] != terms[:-1])
+            first = np.flatnonzero(new)
+            several = text[first] != text[np.append(first[1:], len(terms)) - 1]
+            topic = rows.column("topic_id").to_numpy(zero_copy_only=False)[text].astype(np.int64)
+            key, n = _summed((np.cumsum(new) - 1) * topics + topic, np.ones(len(terms), np.int64))
+            run_, found = key // topics, terms[first]
+            bucket = ((found[run_] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(key))
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                entries = np.empty(b - a, _ENTRY)
+                entries["step"] = np.diff(found[run_[a:b]], prepend=np.uint64(0))
+                entries["topic"], entries["several"], entries["n"] = key[a:b] % topics, several[run_[a:b]], n[a:b]
+                planes = entries.view(np.uint8).reshape(b - a, _ENTRY.itemsize).T.tobytes()  # equal bytes side by side
+                out.append((int(bucket[a]), int(b - a), pa.compress(planes, "zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "size", "block"])
+
+    return hashed.mapInArrow(run, "bucket int, size int, block binary")
+
+
+def _recurring(blocks: DataFrame, topics: int, keep: int) -> DataFrame:
+    """Of the terms that several texts hold: (topic_id, null, n, null), a topic's occurrences in one bucket, and
+    (topic_id, term, n, all) of those that can be among the topic's ``keep`` best by class-based TF-IDF.
+
+    x * ln(1 + mean / x) grows with x whatever the mean, so a term that occurs more often in all, and of that at least
+    as large a share in the topic, scores higher: a term with ``keep`` such others is left out.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = []
+        for size, block in zip(group["size"].to_pylist(), group["block"].to_pylist(), strict=True):
+            planes = np.frombuffer(pa.decompress(block, size * _ENTRY.itemsize, "zstd", asbytes=True), np.uint8)
+            parts.append(np.ascontiguousarray(planes.reshape(_ENTRY.itemsize, size).T).view(_ENTRY)[:, 0])
+        terms = np.concatenate([np.cumsum(p["step"], dtype=np.uint64) for p in parts])
+        block = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        entries = np.concatenate(parts)
+        order = np.argsort(terms, kind="stable")
+        terms, block, entries = terms[order], block[order], entries[order]
+        new = np.append(True, terms[1:] != terms[:-1])
+        first = np.flatnonzero(new)
+        several = np.logical_or.reduceat(entries["several"] > 0, first) | (block[first] != block[np.append(first[1:], len(terms)) - 1])
+        n = entries["n"].astype(np.int64)
+        total = np.add.reduceat(n, first)
+        key, n = _summed((np.cumsum(new) - 1) * topics + entries["topic"], n)
+        known = several[key // topics]
+        key, n = key[known], n[known]
+        term, topic, total = terms[first][key // topics].view(np.int64), key % topics, total[key // topics]
+        out: list[tuple] = []
+        for t in np.unique(topic):
+            mine = np.flatnonzero(topic == t)
+            out.append((int(t), None, int(n[mine].sum()), None))
+            mine = mine[np.argsort(-total[mine], kind="stable")]
+            cuts = np.append(np.flatnonzero(np.diff(-total[mine], prepend=1)), len(mine))
+            best = np.empty(0)  # the largest shares of the terms that occur more often
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                share = n[mine[a:b]] / total[mine[a:b]]
+                some = mine[a:b][share > best[0]] if len(best) == keep else mine[a:b]
+                out += [(int(t), int(term[i]), int(n[i]), int(total[i])) for i in some]
+                best = np.sort(np.concatenate([best, share]))[-keep:]
+                if len(best) == keep and best[0] == 1:
+                    break
+        return pa.table([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], ty) for ty in types], ["topic_id", "term", "n", "all"])
+
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return blocks.groupBy("bucket").applyInArrow(run, "topic_id int, term long, n long, all long")
+
+
+def _spelled(hashed: DataFrame, wanted: list[int]) -> DataFrame:
+    """(term, word) of some terms of (words, hashed)."""
+    sought = np.sort(np.array(wanted, np.int64).view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, lengths, words in _chunks(batches):
+            terms, _, place = _terms(lengths, words)
+            order = np.where(np.arange(len(terms)) < len(words), 1, 0)
+            order[len(words) :] = 2
+            order[len(words) + int(np.maximum(lengths - 1, 0).sum()) :] = 3
+            hits = np.flatnonzero(np.isin(terms, sought))
+            hits = hits[np.unique(terms[hits], return_index=True)[1]]
+            text = rows.column("words").flatten()
+            spelled = [" ".join(text.slice(int(place[i]), int(order[i])).to_pylist()) for i in hits]
+            yield pa.RecordBatch.from_arrays([pa.array(terms[hits].view(np.int64)), pa.array(spelled, pa.string())], ["term", "word"])
+
+    return hashed.select("words", "hashed").mapInArrow(run, "term long, word string").distinct()
+
+
+def topic_keywords(words: DataFrame, topics: int, occurrences: int, keywords: int = 10) -> DataFrame:
+    """(topic_id, keywords): of (topic_id, words) each topic's best words, pairs and triples by class-based TF-IDF among
+    those that several texts hold; topics are numbers from 0 to ``topics``, ``occurrences`` those of all terms.
+
+    Terms are counted by hashes of 64 bits; only the best, and what ties with them, are spelled out.
+    """
+    hashed = words.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+    blocks = _blocks(hashed.select("topic_id", "hashed"), topics, max(1, -(-occurrences // BUCKET)))
+    counted = materialize(_recurring(blocks, topics, keywords), "terms")
+    classes = counted.where("term IS NULL").groupBy("topic_id").agg(F.sum("n").alias("size"))
+    # One row for each topic, and one of all: safe to broadcast.
+    scored = counted.where("term IS NOT NULL").join(F.broadcast(classes), "topic_id").crossJoin(F.broadcast(classes.agg(F.avg("size").alias("mean")))).withColumn("score", _class_score())
+    strongest = Window.partitionBy("topic_id").orderBy(F.desc("score"))
+    best = materialize(scored.withColumn("rank", F.rank().over(strongest)).where(F.col("rank") <= keywords).select("topic_id", "term", "score"), "best")
+    release(counted)
+    spelled = best.join(_spelled(hashed, [r["term"] for r in best.select("term").distinct().collect()]), "term")
+    ranked = spelled.withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("score"), "word"))).where(F.col("rank") <= keywords)
+    return ranked.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "word")))["word"].alias("keywords"))
+
+
 def topic_model(texts: DataFrame, k: int = 8, seed: int = 42, min_topic: int = 2, rounds: int = 20, keywords: int = 10) -> tuple[DataFrame, DataFrame]:
     """Topics of (id, content): clusters of TF-IDF vectors over words, pairs and triples of words, labelled by class-based TF-IDF.
 
     Gives (topic_id, topic_label, keywords, articles) and (id, topic_id, probability): the highest posterior that a
     multinomial model of the clusters' term counts gives the article.  -1 collects the articles without terms and those
     of topics with fewer than ``min_topic`` articles.  Terms of one article alone weigh nothing and are no keywords.
+
+    What is stored of an article are its hashed counts, once; its terms are made anew where they are looked at.
     """
     words = RegexTokenizer(inputCol="content", outputCol="words", pattern=r"[^\p{L}]+", minTokenLength=3).transform(texts.select("id", F.coalesce("content", F.lit("")).alias("content")))
     words = words.withColumn("words", F.filter("words", meaningful)).drop("content")
+    with_terms = words.where("size(words) > 0")
     for n in (2, 3):
-        words = NGram(n=n, inputCol="words", outputCol=f"n{n}").transform(words)
-    counted = HashingTF(inputCol="terms", outputCol="counts", numFeatures=1 << TERM_BITS).transform(words.select("id", F.concat("words", "n2", "n3").alias("terms")))
-    some = materialize(counted.where("size(terms) > 0"), "counted")
-    weighted = IDF(inputCol="counts", outputCol="weights", minDocFreq=2).fit(some).transform(some)
-    vectors = Normalizer(inputCol="weights", outputCol="features").transform(weighted)
-    placed = KMeans(k=k, seed=seed, maxIter=rounds, predictionCol="likeliest").fit(vectors).transform(vectors).select("id", "terms", "counts", "likeliest")
-    placed = materialize(placed, "clusters")
-    model = NaiveBayes(featuresCol="counts", labelCol="likeliest", predictionCol="predicted", probabilityCol="posterior").fit(placed)
+        with_terms = NGram(n=n, inputCol="words", outputCol=f"n{n}").transform(with_terms)
+    with_terms = with_terms.select("id", "words", F.concat("words", "n2", "n3").alias("terms"))
+    counted = HashingTF(inputCol="terms", outputCol="counts", numFeatures=1 << TERM_BITS).transform(with_terms)
+    some = materialize(counted.select("id", "counts", F.size("terms").alias("terms")), "counted")
+    idf = IDF(inputCol="counts", outputCol="weights", minDocFreq=2).fit(some)
+    normalizer = Normalizer(inputCol="weights", outputCol="features")
+    # What doesn't fit in memory is read again; KMeans itself would put it on executors' disks.
+    vectors = normalizer.transform(idf.transform(some)).select("features").persist(StorageLevel.MEMORY_ONLY)
+    clusters = KMeans(k=k, seed=seed, maxIter=rounds, predictionCol="likeliest").fit(vectors)
+    vectors.unpersist()
+    nearest = lambda df: clusters.transform(normalizer.transform(idf.transform(df)))
+    model = NaiveBayes(featuresCol="counts", labelCol="likeliest", predictionCol="predicted", probabilityCol="posterior").fit(nearest(some).select("counts", "likeliest"))
     posterior = F.array_max(vector_to_array(F.col("posterior")))
-    placed = model.transform(placed).select("id", "terms", "likeliest", posterior.alias("probability"))
+    placed = materialize(model.transform(nearest(some).select("id", "counts", "likeliest", "terms")).select("id", "likeliest", posterior.alias("probability"), "terms"), "clusters")
+    release(some)
     sizes = placed.groupBy("likeliest").agg(F.count(F.lit(1)).alias("articles")).where(F.col("articles") >= min_topic)
     # One row for each of at most k topics: safe to broadcast.
-    known = placed.join(F.broadcast(sizes.select("likeliest", F.lit(True).alias("known"))), "likeliest", "left")
+    is_known = F.broadcast(sizes.select("likeliest", F.lit(True).alias("known")))
     topic = F.when(F.col("known"), F.col("likeliest")).otherwise(OUTLIER).alias("topic_id")
-    mine = known.select("id", topic, "probability").unionByName(counted.where("size(terms) = 0").select("id", F.lit(OUTLIER).alias("topic_id"), F.lit(0.0).alias("probability")))
-    terms = known.where("known").select("id", F.col("likeliest").alias("topic_id"), F.explode("terms").alias("word")).groupBy("topic_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-    spread = terms.groupBy("word").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("word")
-    scored = ctfidf(terms.join(spread, "word", "left_semi").select("topic_id", "word", "n"), "topic_id")
-    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("score"), "word"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= keywords).groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "word")))["word"].alias("keywords"))
+    mine = placed.join(is_known, "likeliest", "left").select("id", topic, "probability").unionByName(words.where("size(words) = 0").select("id", F.lit(OUTLIER).alias("topic_id"), F.lit(0.0).alias("probability")))
+    occurrences = placed.agg(F.sum("terms")).first()[0] or 0
+    best = topic_keywords(nearest(counted).join(is_known, "likeliest").select(F.col("likeliest").alias("topic_id"), "words"), k, occurrences, keywords)
     labelled = sizes.withColumnRenamed("likeliest", "topic_id").join(best, "topic_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
     return labelled.select("topic_id", topic_label(F.col("keywords")).alias("topic_label"), "keywords", "articles"), mine
 

@@ -265,6 +265,35 @@ def test_topic_model_gives_labels_and_probabilities(spark, sf):
     assert QUERIES["g11_topic_model"](spark, sf).where("articles > 0 AND size(keywords) > 0").count() > 0
 
 
+def test_keywords_of_topics_are_the_best_of_all_terms(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}" for a in "abcdefgh" for b in "xyzé"]
+    rows = [(int(t), [str(w) for w in rng.choice(vocabulary[:: t + 1], rng.integers(0, 12))]) for t in rng.integers(0, 3, 200)] + [(4, ["alone", "only", "here"]), (5, ["ax", "ax", "ax"])]
+    n, holders = defaultdict(lambda: defaultdict(int)), defaultdict(set)
+    for i, (t, words) in enumerate(rows):
+        for size in (1, 2, 3):
+            for at in range(len(words) - size + 1):
+                term = " ".join(words[at : at + size])
+                n[t][term] += 1
+                holders[term].add(i)
+    n = {t: {x: c for x, c in found.items() if len(holders[x]) > 1} for t, found in n.items()}
+    sizes = {t: sum(found.values()) for t, found in n.items() if found}
+    mean, total = sum(sizes.values()) / len(sizes), {x: sum(n[t].get(x, 0) for t in n) for x in holders}
+    score = {t: {x: n[t][x] / sizes[t] * math.log(1 + mean / total[x]) for x in n[t]} for t in sizes}
+    wanted = {t: [x for x, _ in sorted(score[t].items(), key=lambda e: (-round(e[1], 12), e[0]))[:10]] for t in sizes}
+    df = spark.createDataFrame(rows, "topic_id int, words array<string>").repartition(5)
+    for occurrences in (0, 7 * topics.BUCKET):  # in one bucket, in seven
+        assert {r["topic_id"]: list(r["keywords"]) for r in topics.topic_keywords(df, 8, occurrences).collect()} == wanted
+
+
+def test_topic_model_stores_its_counts_once_and_no_text(spark, sf, monkeypatch):
+    written = []
+    monkeypatch.setattr(topics, "materialize", lambda df, name, keep=topics.materialize: written.append(df.dtypes) or keep(df, name))
+    topics.topic_model(spark.createDataFrame([(k, f"river water flood number {'abcdefgh'[k % 8] * 4}") for k in range(40)], "id long, content string"), k=2)
+    types = [t for table in written for _, t in table]
+    assert types.count("vector") == 1 and not any("string" in t for t in types)
+
+
 GOLDEN = [
     ("Nashua mayor wins second term", "", "out_of_region"),
     ("Hanover selectmen and Burlington council agree", "", "passed"),
