@@ -184,8 +184,9 @@ def degree_cap(edges: DataFrame, cap: int | str) -> DataFrame:
 ROUNDS = 12
 
 
-def degree_cap_in_rounds(edges: DataFrame, cap: int, rounds: int = ROUNDS) -> DataFrame:
-    """What ``degree_cap`` keeps, found by many tasks for each article.
+def degree_cap_in_rounds(edges: DataFrame, cap: int, rounds: int = ROUNDS, large: int = 0) -> DataFrame:
+    """What ``degree_cap`` keeps, found by many tasks for each article of more than ``large`` edges; smaller ones are
+    streamed whole, by one shuffle, where rounds would shuffle each edge many times.
 
     An open edge that is among the first of the open ones at both its ends, as many as each end has places left, is
     kept whatever becomes of the others: in the order of the stream both ends are still below the cap when its turn
@@ -193,6 +194,13 @@ def degree_cap_in_rounds(edges: DataFrame, cap: int, rounds: int = ROUNDS) -> Da
     what a long chain of dependent edges leaves after ``rounds`` of them is streamed, with the places left.
     Edges from a node to itself take two places, as in the stream.
     """
+    if large:
+        sizes = edges.groupBy("article_id").agg(F.count(F.lit(1)).alias("edges"))
+        big = materialize(sizes.where(F.col("edges") > large).select("article_id"), "large")
+        if big.first() is None:
+            return degree_cap(edges, cap)
+        small = degree_cap(edges.join(big, "article_id", "left_anti"), cap)
+        return small.unionByName(degree_cap_in_rounds(edges.join(big, "article_id", "left_semi"), cap, rounds))
     numbered = _by_strength(edges, cap).withColumn("edge", F.monotonically_increasing_id())
     open_ = materialize(numbered.withColumns({"s_left": F.lit(cap), "t_left": F.lit(cap)}), "open")
     order = [F.desc("strength"), "source", "target", "edge"]
@@ -201,17 +209,19 @@ def degree_cap_in_rounds(edges: DataFrame, cap: int, rounds: int = ROUNDS) -> Da
         ends = open_.select("*", F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("s_left").alias("left")), F.struct(F.col("target").alias("node"), F.col("t_left").alias("left")))).alias("end"))
         # An edge from a node to itself stands twice in its node's order.
         ranked = ends.withColumn("rank", F.row_number().over(Window.partitionBy("article_id", "end.node").orderBy(*order))).where(F.col("rank") <= cap)
-        first = ranked.where("rank <= end.left").groupBy("article_id", "edge").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2")
-        keep = materialize(open_.join(first.select("article_id", "edge"), ["article_id", "edge"], "left_semi"), "kept")
+        # Few rows for each node hold all that is known of the kept edges: the open ones needn't be looked through for them.
+        first = ranked.where("rank <= end.left").groupBy("article_id", "edge").agg(F.count(F.lit(1)).alias("sides"), *[F.first(c).alias(c) for c in ("source", "target", "score")])
+        keep = materialize(first.where("sides = 2").drop("sides"), "kept")
         if keep.first() is None:
             release(keep)
             break
         kept.append(keep)
-        taken = keep.select("article_id", F.explode(F.array("source", "target")).alias("node")).groupBy("article_id", "node").agg(F.count(F.lit(1)).alias("taken"))
-        rest = open_.join(keep.select("article_id", "edge"), ["article_id", "edge"], "left_anti")
+        taken = keep.select("article_id", "edge", F.explode(F.array("source", "target")).alias("node")).groupBy("article_id", "node").agg(F.count(F.lit(1)).alias("taken"), F.collect_set("edge").alias("settled"))
+        rest = open_
         for end, left in (("source", "s_left"), ("target", "t_left")):
-            rest = rest.join(taken.withColumnRenamed("node", end), ["article_id", end], "left").withColumn(left, F.col(left) - F.coalesce("taken", F.lit(0))).drop("taken")
-        after = materialize(rest.where("s_left > 0 AND t_left > 0").select(*open_.columns), "open")
+            rest = rest.join(taken.withColumnRenamed("node", end), ["article_id", end], "left").withColumn(left, F.col(left) - F.coalesce("taken", F.lit(0)))
+            rest = rest.where(f"{left} > 0 AND NOT coalesce(array_contains(settled, edge), false)").drop("taken", "settled")
+        after = materialize(rest.select(*open_.columns), "open")
         release(open_)
         open_ = after
 
@@ -234,7 +244,7 @@ def w03(m: Model) -> DataFrame:
 
 @query("w03b_degree_cap_rounds")
 def w03b(m: Model) -> DataFrame:
-    return degree_cap_in_rounds(edges_of(m), 2)
+    return degree_cap_in_rounds(edges_of(m), 2, large=LARGE)
 
 
 @query("w04b_exact_percentile", over("facts", "SELECT l_part AS article_id, round(quantile_cont(score, 0.7), 6) AS cut FROM (SELECT article_id % 3 AS l_part, score FROM edges) GROUP BY 1", _EDGES))

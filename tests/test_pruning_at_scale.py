@@ -39,6 +39,18 @@ def test_rounds_follow_strength(spark):
     assert rows(prune.degree_cap_in_rounds(df, 2)) == rows(prune.degree_cap(df, 2))
 
 
+def test_only_large_articles_go_in_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    edges = [e for a in range(6) for e in graph(rng, a, 9, 30)] + graph(rng, 9, 20, 200)
+    df, seen = spark.createDataFrame(edges, EDGES), []
+    monkeypatch.setattr(prune, "materialize", lambda df, name, keep=prune.materialize: seen.append((name, keep(df, name))) or seen[-1][1])
+    assert rows(prune.degree_cap_in_rounds(df, 3, 1, 100)) == rows(prune.degree_cap(df, 3))
+    assert [n for n, _ in seen] == ["large", "open", "kept", "open"]
+    assert [r["article_id"] for r in seen[0][1].collect()] == [9] and {r["article_id"] for r in seen[2][1].collect()} == {9}
+    seen.clear()
+    assert rows(prune.degree_cap_in_rounds(df, 3, 1, 200)) == rows(prune.degree_cap(df, 3)) and [n for n, _ in seen] == ["large"]
+
+
 def test_a_large_article_is_many_tasks(spark):
     """Sixty thousand edges of one article: most are settled by rounds, in tasks by node, and equal the stream."""
     n = 60_000
