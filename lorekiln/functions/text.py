@@ -58,9 +58,19 @@ def html_to_text(s: pd.Series) -> pd.Series:
     return s.map(visible_text)
 
 
-@F.pandas_udf(T.StringType())
-def unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: html_lib.unescape(x) if x else x)
+#: What Python's html.unescape takes for a character reference.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _characters(references: pd.Series) -> pd.Series:
+    return references.map(lambda refs: refs if refs is None else [html_lib.unescape(r) for r in refs])
+
+
+def unescape(c: Column) -> Column:
+    """All character references undone.  Python sees the references only, so that its memory doesn't follow the documents' sizes."""
+    signs = _characters(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)))
+    return F.array_join(F.zip_with(F.split(c, REFERENCE, -1), signs, lambda rest, sign: F.concat(rest, F.coalesce(sign, F.lit("")))), "")
 
 
 @query("t01_html_to_text")

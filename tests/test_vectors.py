@@ -76,6 +76,15 @@ def test_all_character_references(spark, sf):
         assert html.unescape(r["text"]) == r["text"] or "&" in r["text"]
 
 
+def test_references_alone_go_through_python(spark, capsys):
+    cases = ["", "none", "&amp;", "&amp;&lt", "a&notit;b&notin;c", "&#65;&#x41&#X42;&#0;&#xD800;&#x110000;&#128;x", "&&amp;amp; &", "&unknown; &copy2024 &", "caf&eacute\n&é;&\x00;", "&" + "x" * 40 + ";", "&#;&#x;&#1", "😀&😀;&amp", None, "&AMP;&ngE;&#9;end"]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, c string").select("c", text.unescape(F.col("c")).alias("got"))
+    assert [(r["c"], r["got"]) for r in df.collect()] == [(c, c if c is None else html.unescape(c)) for c in cases]
+    df.explain()
+    python = [line for line in capsys.readouterr().out.splitlines() if "ArrowEvalPython" in line]
+    assert len(python) == 1 and "regexp_extract_all" in python[0]
+
+
 def test_visible_text(spark, sf):
     page = "<html><head><style>p {}</style></head><body><nav>menu</nav><p>One &amp; two</p><script>var x;</script><footer>end</footer><p>three</p></body></html>"
     assert text.visible_text(page) == "One & two three" and text.visible_text(None) == ""
