@@ -257,22 +257,22 @@ def w04b(m: Model) -> DataFrame:
 def adaptive_edges(edges: DataFrame, config: tuple[float, int, int] | None = None) -> DataFrame:
     """Edges filtered by the article's size class: least score, percentile of what is left, degree cap; ``config``
     (least score, degree cap, percentile) holds for all sizes.  An article without an edge of that score keeps its three best."""
-    nodes = edges.select("article_id", F.explode(F.array("source", "target")).alias("node")).groupBy("article_id", "node").agg(F.lit(1).alias("one"))
-    sizes = nodes.groupBy("article_id").agg(F.count("one").alias("n"))
-    best = edges.groupBy("article_id").agg(F.max("score").alias("best"))
+    ends = edges.select("article_id", F.explode(F.array("source", "target")).alias("node"), "score").groupBy("article_id", "node").agg(F.max("score").alias("best"))
+    sizes = ends.groupBy("article_id").agg(F.count(F.lit(1)).alias("n"), F.max("best").alias("best"))
     n = F.col("n")
     given = dict(zip((2, 3, 4), config, strict=True)) if config else {}
     rule = lambda field: F.lit(given[field]) if config else size_class(n, field)
-    known = edges.join(sizes.join(best, "article_id"), "article_id").withColumns({"least": rule(2), "cap": rule(3), "percentile": rule(4)})
-    passing = known.where("score >= least")
     shares = sorted({given[4]} if config else {x[4] for x in SIZES})
-    cuts = passing.groupBy("article_id").agg(F.percentile("score", F.array(*[F.lit(p / 100) for p in shares])).alias("cuts"))
-    place = F.array_position(F.array(*[F.lit(p) for p in shares]), F.col("percentile")).cast("int") - 1
-    second = passing.join(cuts, "article_id").where(F.col("score") >= F.get("cuts", place) - ROUNDING)
-    capped = degree_cap(second.select(*edges.columns, "cap"), "cap")
-    rank = F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("score"), "source", "target"))
-    few = known.where("best < least").withColumn("rank", rank).where("rank <= 3")
-    return capped.unionByName(few.select("article_id", "source", "target", "score"))
+    place = F.array_position(F.array(*[F.lit(p) for p in shares]), rule(4)).cast("int") - 1
+    known = edges.join(sizes.withColumns({"least": rule(2), "cap": rule(3), "place": place}).drop("n"), "article_id")
+    # An article either has passing edges or keeps its best, so one pass finds both; the best have no cap.
+    passing = F.col("score") >= F.col("least")
+    article = Window.partitionBy("article_id")
+    cuts = F.percentile("score", F.array(*[F.lit(p / 100) for p in shares])).over(article)
+    rank = F.row_number().over(article.orderBy(F.desc("score"), "source", "target"))
+    found = known.where(passing | (F.col("best") < F.col("least"))).withColumns({"cuts": cuts, "rank": rank})
+    kept = found.where(F.when(passing, F.col("score") >= F.get("cuts", F.col("place")) - ROUNDING).otherwise(F.col("rank") <= 3))
+    return degree_cap(kept.select(*edges.columns, F.when(passing, F.col("cap")).otherwise(F.lit(6)).alias("cap")), "cap")
 
 
 @query("g14b_adaptive_edges")
