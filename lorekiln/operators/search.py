@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +29,47 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.filter(F.zip_with(pairs, rest(3), joined), lambda g: g.isNotNull()))
 
 
+#: Characters of texts whose postings are put together before they are sent on.
+CHARACTERS = 1 << 21
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Where a slice of about CHARACTERS starts, and its texts; nulls are empty."""
+    at, held, size = 0, [], 0
+    for k, t in enumerate(texts):
+        held.append(t.as_py() or "")
+        size += len(held[-1])
+        if size >= CHARACTERS:
+            yield at, held
+            at, held, size = k + 1, [], 0
+    if held:
+        yield at, held
+
+
+def _holders(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The pieces of the texts (those of ``grams``, lower case given), where each one's texts begin, and the texts by number."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    n = max(0, len(points) - 2)
+    inside = text[:n] == text[2:]
+    pieces, text = (points[:n] << np.uint64(42) | points[1 : n + 1] << np.uint64(21) | points[2:])[inside], text[:n][inside]
+    order = np.argsort(pieces, kind="stable")  # a piece's texts stay in order
+    pieces, text = pieces[order], text[order]
+    new = np.append(True, pieces[1:] != pieces[:-1])[: len(pieces)]
+    once = new | np.append(True, text[1:] != text[:-1])[: len(pieces)]
+    pieces, text, first = pieces[once], text[once], np.flatnonzero(new[once])
+    found, low = pieces[first], np.uint64((1 << 21) - 1)
+    spelled = np.stack([found >> np.uint64(42), found >> np.uint64(21) & low, found & low], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    return [spelled[k : k + 3] for k in range(0, len(spelled), 3)], np.append(first, len(text)), text
+
+
 def term_grams(term: str) -> list[str]:
     low = term.lower()
     return sorted({low[at : at + 3] for at in range(len(low) - 2)})
 
 
 class TextIndex:
-    """Postings (field, gram, key) of texts, and how many each gram has; both in folders by the hash of field and gram."""
+    """Postings (field, gram, keys), a row for some texts that hold the gram, and how many texts each gram has; both in folders by the hash of field and gram."""
 
     def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = BUCKETS):
         self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
@@ -42,12 +79,21 @@ class TextIndex:
 
     def write(self, texts: DataFrame, fields: list[str]) -> None:
         """Index the ``fields`` of ``texts``; null texts have no pieces, and keys needn't be unique."""
-        each = [texts.select(F.lit(f).alias("field"), F.explode(grams(F.col(f))).alias("gram"), F.col(self.key).alias("key")) for f in fields]
-        postings = reduce(DataFrame.unionByName, each).withColumn("bucket", self._bucket())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for field, column in zip(fields, b.columns[1:], strict=True):
+                    for at, some in _slices(column):
+                        pieces, starts, text = _holders(some)
+                        keys = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), b.column(0).take(pa.array(at + text)))
+                        yield pa.RecordBatch.from_arrays([pa.array([field] * len(pieces), pa.string()), pa.array(pieces, pa.string()), keys], ["field", "gram", "keys"])
+
+        lowered = texts.select(F.col(self.key), *[F.lower(F.col(f)) for f in fields])
+        postings = lowered.mapInArrow(run, f"field string, gram string, keys array<{dict(texts.dtypes)[self.key]}>").withColumn("bucket", self._bucket())
         # Frequent pieces are dealt to several tasks, and so files, of their bucket.
-        dealt = postings.repartition(F.col("bucket"), F.pmod(F.xxhash64("key"), F.lit(16)))
+        dealt = postings.repartition(F.col("bucket"), F.pmod(F.xxhash64(F.get("keys", F.lit(0))), F.lit(16)))
         dealt.sortWithinPartitions("bucket", "field", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        counted = self.spark.read.parquet(f"{self.path}/postings").groupBy("bucket", "field", "gram").agg(F.count(F.lit(1)).alias("n"))
+        counted = self.spark.read.parquet(f"{self.path}/postings").groupBy("bucket", "field", "gram").agg(F.sum(F.size("keys")).alias("n"))
         counted.repartition("bucket").sortWithinPartitions("bucket", "field", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts")
 
     def _read(self, table: str, wanted: list[tuple[str, str]]) -> DataFrame:
@@ -64,9 +110,9 @@ class TextIndex:
             return None
         known = self._read("counts", [(field, g) for g in pieces]).orderBy("n", "gram").select("gram").collect()
         if len(known) < len(pieces):
-            return self._read("postings", [(field, pieces[0])]).select("key").limit(0)  # a piece that no text has
+            return self._read("postings", [(field, pieces[0])]).select(F.explode("keys").alias("key")).limit(0)  # a piece that no text has
         rare = [r["gram"] for r in known[:LOOKED_UP]]
-        found = self._read("postings", [(field, g) for g in rare]).groupBy("key").agg(F.count_distinct("gram").alias("n"))
+        found = self._read("postings", [(field, g) for g in rare]).select("gram", F.explode("keys").alias("key")).groupBy("key").agg(F.count_distinct("gram").alias("n"))
         return found.where(F.col("n") == len(rare)).select("key")
 
     def search(self, texts: DataFrame, terms: dict[str, str]) -> DataFrame:

@@ -108,3 +108,15 @@ def test_grams_by_hand(spark):
     df = spark.createDataFrame([("AbCd",), ("ab",), ("",), (None,), ("😀é日x",), ("aaaa",)], "t string")
     assert [r[0] for r in df.select(search.grams(F.col("t"))).collect()] == [["abc", "bcd"], [], [], None, ["😀é日", "é日x"], ["aaa"]]
     assert search.term_grams("AbCd") == ["abc", "bcd"]
+
+
+def test_postings_of_texts_that_lie_together_are_one_row(spark, tmp_path):
+    texts = ["Abcabc", "", None, "ab", "xABCé", "😀é日x", "İab", "abc abc", "ABC"]
+    df = spark.createDataFrame([(k // 2, t, "abc") for k, t in enumerate(texts)], "id long, t string, u string")
+    index = search.TextIndex(spark, str(tmp_path), "id", 4)
+    index.write(df.coalesce(1), ["t", "u"])
+    stored = spark.read.parquet(f"{tmp_path}/postings")
+    each = df.select(F.col("id").alias("key"), F.explode(search.grams(F.col("t"))).alias("gram"))
+    assert rows(stored.where("field = 't'").select(F.explode("keys").alias("key"), "gram")) == rows(each)
+    assert stored.where("field = 'u'").select("gram", F.size("keys").alias("n")).collect() == [("abc", len(texts))]
+    assert {r["gram"]: r["n"] for r in spark.read.parquet(f"{tmp_path}/counts").where("field = 't'").collect()} == {r["gram"]: r["count"] for r in each.groupBy("gram").count().collect()}
