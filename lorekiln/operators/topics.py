@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import RegexTokenizer
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import meaningful, topic_label
 from ..plans.proxy import AS_OF, Model, over
@@ -116,7 +114,7 @@ OUTLIER = -1
 
 
 #: Words of texts whose terms are counted together before they are sent on, and terms of a task that puts counts together.
-TOGETHER, BUCKET = 1 << 19, 1 << 20
+TOGETHER, BUCKET = 1 << 17, 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -241,6 +239,21 @@ def _recurring(blocks: DataFrame, topics: int, keep: int) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(run, "topic_id int, term long, n long, all long")
 
 
+def _holders(hashed: DataFrame, wanted: list[int]) -> DataFrame:
+    """(term, id): for some terms of (id, hashed) one of the texts that hold each."""
+    sought = np.sort(np.array(wanted, np.int64).view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, lengths, words in _chunks(batches):
+            terms, text, _ = _terms(lengths, words)
+            hits = np.flatnonzero(np.isin(terms, sought))
+            hits = hits[np.unique(terms[hits], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(terms[hits].view(np.int64)), rows.column("id").take(pa.array(text[hits]))], ["term", "id"])
+
+    found = hashed.select("id", "hashed").mapInArrow(run, T.StructType([T.StructField("term", T.LongType()), T.StructField("id", hashed.schema["id"].dataType)]))
+    return found.groupBy("term").agg(F.min("id").alias("id"))
+
+
 def _spelled(hashed: DataFrame, wanted: list[int]) -> DataFrame:
     """(term, word) of some terms of (words, hashed)."""
     sought = np.sort(np.array(wanted, np.int64).view(np.uint64))
@@ -260,13 +273,36 @@ def _spelled(hashed: DataFrame, wanted: list[int]) -> DataFrame:
     return hashed.select("words", "hashed").mapInArrow(run, "term long, word string").distinct()
 
 
-def topic_keywords(words: DataFrame, topics: int, occurrences: int, keywords: int = 10) -> DataFrame:
-    """(topic_id, keywords): of (topic_id, words) each topic's best words, pairs and triples by class-based TF-IDF among
-    those that several texts hold; topics are numbers from 0 to ``topics``, ``occurrences`` those of all terms.
+#: Rows and bytes of a batch of texts that goes to Python.
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 22
 
-    Terms are counted by hashes of 64 bits; only the best, and what ties with them, are spelled out.
-    """
-    hashed = words.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+
+def _read_again(held: DataFrame, spark: SparkSession) -> DataFrame:
+    """What ``materialize`` wrote, read by another session."""
+    back = spark.read.schema(held.schema).parquet(held.written_to)
+    back.written_to = held.written_to
+    return back
+
+
+def _narrow(held: DataFrame) -> DataFrame:
+    """What ``materialize`` wrote, read by a session of its own whose batches for Python are small: of Spark's own limit of
+    64 MB there are several copies in an executor for each task.  The caller's session stays as it is."""
+    spark = held.sparkSession
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        if (value := spark.conf.get(name, None)) is not None:
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return _read_again(held, own)
+
+
+def _with_hashes(words: DataFrame) -> DataFrame:
+    return words.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+
+
+def _best_terms(hashed: DataFrame, topics: int, occurrences: int, keywords: int) -> DataFrame:
+    """(topic_id, term, score) of (topic_id, hashed): each topic's best terms, and what ties with them, as hashes."""
     blocks = _blocks(hashed.select("topic_id", "hashed"), topics, max(1, -(-occurrences // BUCKET)))
     counted = materialize(_recurring(blocks, topics, keywords), "terms")
     classes = counted.where("term IS NULL").groupBy("topic_id").agg(F.sum("n").alias("size"))
@@ -275,11 +311,283 @@ def topic_keywords(words: DataFrame, topics: int, occurrences: int, keywords: in
     strongest = Window.partitionBy("topic_id").orderBy(F.desc("score"))
     best = materialize(scored.withColumn("rank", F.rank().over(strongest)).where(F.col("rank") <= keywords).select("topic_id", "term", "score"), "best")
     release(counted)
-    spelled = best.join(_spelled(hashed, [r["term"] for r in best.select("term").distinct().collect()]), "term")
-    ranked = spelled.withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("score"), "word"))).where(F.col("rank") <= keywords)
+    return best
+
+
+def _listed(best: DataFrame, spelled: DataFrame, keywords: int) -> DataFrame:
+    """(topic_id, keywords) of the best terms and their words."""
+    ranked = best.join(spelled, "term").withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("score"), "word"))).where(F.col("rank") <= keywords)
     return ranked.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "word")))["word"].alias("keywords"))
 
 
+def _terms_of(best: DataFrame) -> list[int]:
+    return [r["term"] for r in best.select("term").distinct().collect()]
+
+
+def topic_keywords(words: DataFrame, topics: int, occurrences: int, keywords: int = 10) -> DataFrame:
+    """(topic_id, keywords): of (topic_id, words) each topic's best words, pairs and triples by class-based TF-IDF among
+    those that several texts hold; topics are numbers from 0 to ``topics``, ``occurrences`` those of all terms.
+
+    Terms are counted by hashes of 64 bits; only the best, and what ties with them, are spelled out.
+    """
+    hashed = _with_hashes(words)
+    best = _best_terms(hashed, topics, occurrences, keywords)
+    return _listed(best, _spelled(hashed, _terms_of(best)), keywords)
+
+
+def _counted(hashed: DataFrame) -> DataFrame:
+    """(id, hashed, counts, terms) of (id, hashed): a text's terms counted in dimensions by hash, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, lengths, words in _chunks(batches):
+            terms, text, _ = _terms(lengths, words)
+            key, n = _summed((text << TERM_BITS) | (terms >> np.uint64(64 - TERM_BITS)).astype(np.int64), np.ones(len(terms), np.int64))
+            ends = pa.array(np.searchsorted(key, np.arange(len(lengths) + 1) << TERM_BITS).astype(np.int32))
+            sparse = [pa.array(np.zeros(len(lengths), np.int8)), pa.array(np.full(len(lengths), 1 << TERM_BITS, np.int32))]
+            sparse += [pa.ListArray.from_arrays(ends, pa.array((key & ((1 << TERM_BITS) - 1)).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.float64)))]
+            counts = pa.StructArray.from_arrays(sparse, ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("hashed"), counts, pa.array(np.bincount(text, minlength=len(lengths)))], ["id", "hashed", "counts", "terms"])
+
+    more = [T.StructField("counts", VectorUDT()), T.StructField("terms", T.LongType())]
+    return hashed.mapInArrow(run, T.StructType([hashed.schema["id"], hashed.schema["hashed"], *more]))
+
+
+#: Texts that are picked by name to spell terms; for more, all are looked through.
+PICKED = 4096
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """(id, words) of (id, content)."""
+    words = RegexTokenizer(inputCol="content", outputCol="words", pattern=r"[^\p{L}]+", minTokenLength=3).transform(texts.select("id", F.coalesce("content", F.lit("")).alias("content")))
+    return words.withColumn("words", F.filter("words", meaningful)).drop("content")
+
+
+#: Counts whose distances to all centres a task takes at once, and parts in which sums over the dimensions travel.
+AT_ONCE, PARTS = 1 << 16, 16
+#: Rows of candidates: each text's random number, what it is worth, and its counts.
+_CANDIDATE = "luck double, indices binary, counts binary"
+
+
+class _Rows:
+    """Consecutive texts: the dimensions and counts of all, where each one's begin, and their TF-IDF scaled to length 1."""
+
+    def __init__(self, batch: pa.RecordBatch, weights: np.ndarray | None):
+        self.batch = batch
+        indices, values = (batch.column("counts").field(k) for k in ("indices", "values"))
+        self.dims, self.counts = indices.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
+        self.lengths = indices.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        if weights is not None:
+            x = self.counts * weights[self.dims]
+            norm = np.sqrt(np.add.reduceat(x * x, self.starts))
+            self.square = (norm > 0).astype(float)
+            self.features = x / np.repeat(np.where(norm > 0, norm, 1.0), self.lengths)
+
+    def distances(self, centres: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        """Squared ones of each text to the columns of ``centres``, single precision."""
+        near, x = np.take(centres, self.dims, axis=0), self.features.astype(np.float32)
+        dots = np.stack([x[a : a + n] @ near[a : a + n] for a, n in zip(self.starts, self.lengths, strict=True)])
+        return np.maximum(self.square[:, None] + squares - 2 * dots, 0.0)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], weights: np.ndarray | None) -> Iterator[_Rows]:
+    for b in batches:
+        ends = np.concatenate([[0], np.cumsum(b.column("counts").field("indices").value_lengths().to_numpy(zero_copy_only=False))])
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + AT_ONCE, "right")) - 1)
+            yield _Rows(b.slice(at, to - at), weights)
+            at = to
+
+
+def _summed_up(known: DataFrame, groups: int, add: Callable[[_Rows, np.ndarray], None], weights: np.ndarray | None, size: int = 1 << TERM_BITS) -> np.ndarray:
+    """(groups, ``size`` and one more) sums over all texts: a task's go in PARTS, one row for each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((groups, size + PARTS))
+        for rows in _rows(batches, weights):
+            add(rows, sums)
+        parts = [pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True) for x in np.split(sums, PARTS, axis=1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
+
+    width = (size + PARTS) // PARTS
+
+    def put_together(group: pa.Table) -> pa.Table:
+        total = np.zeros(groups * width)
+        for x in group["sums"]:
+            total += np.frombuffer(pa.decompress(x.as_py(), groups * width * 8, "zstd", asbytes=True))
+        return pa.table([group["part"][:1], pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())], ["part", "sums"])
+
+    added = known.mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(put_together, "part int, sums binary")
+    found = {r["part"]: np.frombuffer(pa.decompress(bytes(r["sums"]), groups * width * 8, "zstd", asbytes=True)).reshape(groups, width) for r in added.collect()}
+    return np.concatenate([found[k] for k in range(PARTS)], axis=1) if found else np.zeros((groups, size + PARTS))
+
+
+def _lucky(known: DataFrame, weights: np.ndarray, centres: np.ndarray | None, most: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(dimensions, features) of texts drawn by their squared distance to the nearest centre, without repetition: the
+    ``most`` largest of log(u) / distance.  A text's u is a hash of its counts, whatever the order of rows."""
+    sent = known.sparkSession.sparkContext.broadcast((weights, centres))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, centres = sent.value
+        squares = (centres * centres).sum(axis=0) if centres is not None else None
+        best: dict = {}
+        for rows in _rows(batches, weights):
+            far = rows.distances(centres, squares).min(axis=1) if centres is not None else np.ones(len(rows.lengths))
+            far[far < 1e-6] = 0.0
+            mixed = _mix(rows.dims.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rows.counts.astype(np.uint64))
+            u = (_mix(np.add.reduceat(mixed, rows.starts) ^ _mix(np.array([seed + 1], np.uint64))) >> np.uint64(11)).astype(float) / (1 << 53)
+            luck = np.where(far > 0, np.log(np.maximum(u, 1e-300)) / np.where(far > 0, far, 1.0), -np.inf)
+            for i in np.argsort(-luck, kind="stable")[:most]:
+                if luck[i] > -np.inf:
+                    at = slice(rows.starts[i], rows.starts[i] + rows.lengths[i])
+                    best[float(luck[i])] = (rows.dims[at].astype("<i4").tobytes(), rows.counts[at].astype("<f8").tobytes())
+            best = dict(sorted(best.items(), reverse=True)[:most])
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.float64()), *[pa.array([x[k] for x in best.values()], pa.binary()) for k in (0, 1)]], ["luck", "indices", "counts"])
+
+    drawn = {r["luck"]: r for r in known.mapInArrow(run, _CANDIDATE).orderBy(F.desc("luck")).limit(most).collect()}
+    sent.unpersist()
+    out = []
+    for r in drawn.values():
+        dims, x = np.frombuffer(r["indices"], "<i4"), np.frombuffer(r["counts"]) * weights[np.frombuffer(r["indices"], "<i4")]
+        out.append((dims, x / (np.linalg.norm(x) or 1.0)))
+    return out
+
+
+def _dense(some: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    out = np.zeros((1 << TERM_BITS, len(some)), np.float32)
+    for j, (dims, x) in enumerate(some):
+        out[dims, j] = x
+    return out
+
+
+def _passed(known: DataFrame, weights: np.ndarray, centres: np.ndarray, of: str | None) -> np.ndarray:
+    """(centres, dimensions and one more): ``features`` or ``counts`` of the texts nearest to each centre, or neither; at last the number of those."""
+    sent, groups, size = known.sparkSession.sparkContext.broadcast((weights, centres.astype(np.float32))), centres.shape[1], (1 << TERM_BITS) if of else 0
+
+    def add(rows: _Rows, sums: np.ndarray) -> None:
+        centres = sent.value[1]
+        near = rows.distances(centres, (centres * centres).sum(axis=0)).argmin(axis=1)
+        if of:
+            np.add.at(sums.reshape(-1), np.repeat(near, rows.lengths) * sums.shape[1] + rows.dims, getattr(rows, of))
+        sums[:, size] += np.bincount(near, minlength=groups)
+
+    out = _summed_up(known, groups, add, weights, size)
+    sent.unpersist()
+    return out
+
+
+def _first_centres(known: DataFrame, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means||: a text, twice 2 k far ones, and of those k by k-means++ and rounds of moves, weighted by the texts near each."""
+    some = _lucky(known, weights, None, 1, seed)
+    for step in (1, 2):
+        some += _lucky(known, weights, _dense(some), 2 * k, seed + step)
+    if len(some) <= k:
+        return _dense(some).astype(float)
+    dense = _dense(some)
+    held, gram = _passed(known, weights, dense, None)[:, 0], (dense.T @ dense).astype(float)
+    gap = np.maximum(np.diag(gram)[:, None] + np.diag(gram) - 2 * gram, 0.0)
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(some), p=held / held.sum()))]
+    while len(chosen) < k and (odds := held * gap[:, chosen].min(axis=1)).sum() > 0:
+        chosen.append(int(rng.choice(len(some), p=odds / odds.sum())))
+    share = np.eye(len(some))[:, chosen]  # centres as weighted means of candidates
+    for _ in range(30):
+        near = (np.einsum("ic,ij,jc->c", share, gram, share) - 2 * gram @ share).argmin(axis=1)
+        member = (near[:, None] == np.arange(len(chosen))) * held[:, None]
+        after = np.where(member.sum(axis=0) > 0, member / np.maximum(member.sum(axis=0), 1e-300), share)
+        if np.array_equal(after, share):
+            break
+        share = after
+    return dense @ share
+
+
+def _clustered(texts: DataFrame, k: int, seed: int, rounds: int, with_hashes: bool) -> DataFrame:
+    """(id, likeliest, probability, terms), with ``hashed`` on demand, of (id, content): each text's cluster, null without
+    terms, and the highest posterior that a multinomial model of the clusters' counts gives it.
+
+    Executors' heaps hold no vectors: a pass streams the counts through twice as many tasks as there are cores, and a task
+    holds the centres and one sum for each of their dimensions.
+    """
+    size = 1 << TERM_BITS
+    some = _narrow(materialize(_counted(_with_hashes(_words(texts)).select("id", "hashed")), "counted"))
+    context = some.sparkSession.sparkContext
+    known = some.where("terms > 0").select("counts").coalesce(max(1, 2 * context.defaultParallelism))
+
+    def holders(rows: _Rows, sums: np.ndarray) -> None:
+        sums[0, :size] += np.bincount(rows.dims, minlength=size)
+        sums[0, size] += len(rows.lengths)
+
+    found = _summed_up(known, 1, holders, None)[0]
+    texts_, held_by = found[size], found[:size]
+    if not texts_:
+        held = materialize(some.select("id", F.lit(None).cast("int").alias("likeliest"), F.lit(0.0).alias("probability"), "terms", *["hashed"] * with_hashes), "clusters")
+        release(some)
+        return _read_again(held, texts.sparkSession)
+    weights = np.where(held_by >= 2, np.log((texts_ + 1) / (held_by + 1)), 0.0)
+    centres = _first_centres(known, weights, k, seed)
+    for _ in range(rounds):
+        sums = _passed(known, weights, centres, "features")
+        after = np.where(sums[:, size] > 0, sums[:, :size].T / np.maximum(sums[:, size], 1.0), centres)
+        still = bool((((after - centres) ** 2).sum(axis=0) <= 1e-8).all())
+        centres = after
+        if still:
+            break
+    counts = _passed(known, weights, centres, "counts")
+    there = counts[:, size] > 0
+    prior = np.where(there, np.log(counts[:, size] + 1) - np.log(texts_ + there.sum()), -np.inf)
+    logs = np.log(counts[:, :size] + 1).T - np.log(counts[:, :size].sum(axis=1) + size)
+    sent = context.broadcast((weights, centres.astype(np.float32), prior, logs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, centres, prior, logs = sent.value
+        squares = (centres * centres).sum(axis=0)
+        for b in batches:
+            has = b.column("terms").to_numpy(zero_copy_only=False) > 0
+            place = np.cumsum(has) - 1
+            near, sure = [np.empty(0, np.int32)], [np.empty(0)]
+            for rows in _rows(iter([b.filter(pa.array(has))]), weights):
+                near.append(rows.distances(centres, squares).argmin(axis=1).astype(np.int32))
+                p = prior + np.stack([np.add.reduceat(rows.counts * logs[rows.dims, j], rows.starts) for j in range(len(prior))], 1)
+                sure.append(1 / np.exp(p - p.max(axis=1, keepdims=True)).sum(axis=1))
+            likeliest = pa.array(np.concatenate(near)).take(pa.array(place, mask=~has))
+            probability = np.append(np.concatenate(sure), 0.0)[np.where(has, place, -1)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), likeliest, pa.array(probability), b.column("terms"), *([b.column("hashed")] if with_hashes else [])], ["id", "likeliest", "probability", "terms", *["hashed"] * with_hashes])
+
+    kept = ["terms", *["hashed"] * with_hashes]
+    more = [T.StructField("likeliest", T.IntegerType()), T.StructField("probability", T.DoubleType()), *[some.schema[c] for c in kept]]
+    held = materialize(some.select("id", "counts", *kept).mapInArrow(run, T.StructType([some.schema["id"], *more])), "clusters")
+    sent.unpersist()
+    release(some)
+    return _read_again(held, texts.sparkSession)
+
+
+def _labelled(texts: DataFrame, placed: DataFrame, k: int, min_topic: int, keywords: int) -> DataFrame:
+    """(topic_id, topic_label, keywords, articles) of what _clustered found with hashes."""
+    sizes, narrow = _sizes(placed, min_topic), _narrow(placed)
+    known = narrow.join(F.broadcast(_sizes(narrow, min_topic).select("likeliest")), "likeliest").select("id", F.col("likeliest").alias("topic_id"), "hashed")
+    best = _read_again(_best_terms(known, k, placed.agg(F.sum("terms")).first()[0] or 0, keywords), texts.sparkSession)
+    wanted = _terms_of(best)
+    holders = {r["id"] for r in _holders(known, wanted).collect()}
+    if len(holders) <= PICKED and None not in holders:
+        texts = texts.where(F.col("id").isin(list(holders)))
+    listed = _listed(best, _spelled(_with_hashes(_words(texts)), wanted), keywords)
+    labelled = sizes.withColumnRenamed("likeliest", "topic_id").join(listed, "topic_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    return labelled.select("topic_id", topic_label(F.col("keywords")).alias("topic_label"), "keywords", "articles")
+
+
+def _sizes(placed: DataFrame, min_topic: int) -> DataFrame:
+    return placed.where("likeliest IS NOT NULL").groupBy("likeliest").agg(F.count(F.lit(1)).alias("articles")).where(F.col("articles") >= min_topic)
+
+
+def _members(placed: DataFrame, min_topic: int) -> DataFrame:
+    """(id, topic_id, probability)."""
+    # One row for each of at most k topics: safe to broadcast.
+    is_known = F.broadcast(_sizes(placed, min_topic).select("likeliest", F.lit(True).alias("known")))
+    topic = F.when(F.col("known"), F.col("likeliest")).otherwise(OUTLIER).alias("topic_id")
+    return placed.join(is_known, "likeliest", "left").select("id", topic, "probability")
+
+
 def topic_model(texts: DataFrame, k: int = 8, seed: int = 42, min_topic: int = 2, rounds: int = 20, keywords: int = 10) -> tuple[DataFrame, DataFrame]:
     """Topics of (id, content): clusters of TF-IDF vectors over words, pairs and triples of words, labelled by class-based TF-IDF.
 
@@ -287,36 +595,16 @@ def topic_model(texts: DataFrame, k: int = 8, seed: int = 42, min_topic: int = 2
     multinomial model of the clusters' term counts gives the article.  -1 collects the articles without terms and those
     of topics with fewer than ``min_topic`` articles.  Terms of one article alone weigh nothing and are no keywords.
 
-    What is stored of an article are its hashed counts, once; its terms are made anew where they are looked at.
+    Texts are split into words once; their words' hashes and their hashed counts are stored, and terms are made anew of
+    the hashes where they are looked at.
     """
-    words = RegexTokenizer(inputCol="content", outputCol="words", pattern=r"[^\p{L}]+", minTokenLength=3).transform(texts.select("id", F.coalesce("content", F.lit("")).alias("content")))
-    words = words.withColumn("words", F.filter("words", meaningful)).drop("content")
-    with_terms = words.where("size(words) > 0")
-    for n in (2, 3):
-        with_terms = NGram(n=n, inputCol="words", outputCol=f"n{n}").transform(with_terms)
-    with_terms = with_terms.select("id", "words", F.concat("words", "n2", "n3").alias("terms"))
-    counted = HashingTF(inputCol="terms", outputCol="counts", numFeatures=1 << TERM_BITS).transform(with_terms)
-    some = materialize(counted.select("id", "counts", F.size("terms").alias("terms")), "counted")
-    idf = IDF(inputCol="counts", outputCol="weights", minDocFreq=2).fit(some)
-    normalizer = Normalizer(inputCol="weights", outputCol="features")
-    # What doesn't fit in memory is read again; KMeans itself would put it on executors' disks.
-    vectors = normalizer.transform(idf.transform(some)).select("features").persist(StorageLevel.MEMORY_ONLY)
-    clusters = KMeans(k=k, seed=seed, maxIter=rounds, predictionCol="likeliest").fit(vectors)
-    vectors.unpersist()
-    nearest = lambda df: clusters.transform(normalizer.transform(idf.transform(df)))
-    model = NaiveBayes(featuresCol="counts", labelCol="likeliest", predictionCol="predicted", probabilityCol="posterior").fit(nearest(some).select("counts", "likeliest"))
-    posterior = F.array_max(vector_to_array(F.col("posterior")))
-    placed = materialize(model.transform(nearest(some).select("id", "counts", "likeliest", "terms")).select("id", "likeliest", posterior.alias("probability"), "terms"), "clusters")
-    release(some)
-    sizes = placed.groupBy("likeliest").agg(F.count(F.lit(1)).alias("articles")).where(F.col("articles") >= min_topic)
-    # One row for each of at most k topics: safe to broadcast.
-    is_known = F.broadcast(sizes.select("likeliest", F.lit(True).alias("known")))
-    topic = F.when(F.col("known"), F.col("likeliest")).otherwise(OUTLIER).alias("topic_id")
-    mine = placed.join(is_known, "likeliest", "left").select("id", topic, "probability").unionByName(words.where("size(words) = 0").select("id", F.lit(OUTLIER).alias("topic_id"), F.lit(0.0).alias("probability")))
-    occurrences = placed.agg(F.sum("terms")).first()[0] or 0
-    best = topic_keywords(nearest(counted).join(is_known, "likeliest").select(F.col("likeliest").alias("topic_id"), "words"), k, occurrences, keywords)
-    labelled = sizes.withColumnRenamed("likeliest", "topic_id").join(best, "topic_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
-    return labelled.select("topic_id", topic_label(F.col("keywords")).alias("topic_label"), "keywords", "articles"), mine
+    placed = _clustered(texts, k, seed, rounds, True)
+    return _labelled(texts, placed, k, min_topic, keywords), _members(placed, min_topic)
+
+
+def article_topics(texts: DataFrame, k: int = 8, seed: int = 42, min_topic: int = 2, rounds: int = 20) -> DataFrame:
+    """The second table of ``topic_model``, without looking for keywords."""
+    return _members(_clustered(texts, k, seed, rounds, False), min_topic)
 
 
 @query("g11_topic_model")
@@ -326,4 +614,4 @@ def g11(m: Model) -> DataFrame:
 
 @query("g11b_article_topics")
 def g11b(m: Model) -> DataFrame:
-    return topic_model(m.texts)[1]
+    return article_topics(m.texts)

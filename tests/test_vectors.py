@@ -10,6 +10,7 @@ from collections import defaultdict
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,6 +327,25 @@ def test_topic_model_stores_its_counts_once_and_no_text(spark, sf, monkeypatch):
     assert types.count("vector") == 1 and not any("string" in t for t in types)
 
 
+def test_topic_model_keeps_no_vectors_on_executors_and_sends_small_batches(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    kept = []
+    monkeypatch.setattr(DataFrame, "persist", lambda df, *a: kept.append(df) or df)
+    texts = spark.createDataFrame([(k, f"river water flood number {'abcdefgh'[k % 8] * 4}") for k in range(2000)], "id long, content string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r["articles"] for r in topics.topic_model(texts, k=2)[0].collect()) == 2000 and not kept
+    held = topics._narrow(topics.materialize(texts, "texts"))
+    assert max(r["n"] for r in held.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()) <= topics.BATCH_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_article_topics_look_for_no_keywords(spark, sf, monkeypatch):
+    monkeypatch.setattr(topics, "_blocks", lambda *a: pytest.fail("terms of topics were counted"))
+    rows = QUERIES["g11b_article_topics"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(0 <= r["probability"] <= 1 for r in rows)
+
+
 @pytest.mark.parametrize("few", [0, 3, 64])
 def test_community_stats_count_edges_in_one_pass(spark, few):
     rng = np.random.default_rng(8)
